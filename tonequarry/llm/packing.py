@@ -57,37 +57,57 @@ class WordIds:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.parts: dict[str, list[int]] = {}
-        self.lengths, self.flat, self.total = [], [], 0
+        self.lengths, self.n_rows = np.zeros(1024, dtype=np.int64), 0
+        self.flat, self.n_flat = np.zeros(4096, dtype=np.uint32), 0
+
+    @staticmethod
+    def _grown(array: np.ndarray, used: int, more: list[int]) -> tuple[np.ndarray, int]:
+        need = used + len(more)
+        if need > len(array):
+            array = np.concatenate((array[:used], np.zeros(max(need, 2 * len(array)) - used, dtype=array.dtype)))
+        array[used:need] = more
+        return array, need
 
     def _learn(self, pieces: list[str]) -> None:
-        split: dict[str, list[str]] = {}
+        plain, find, bytewise, parts = self.plain, self.split, self.bytewise, self.parts
+        split: list[list[str] | None] = []
         new: dict[str, None] = {}
         rest = []
         for p in pieces:
-            if self.plain(p):
-                split[p] = [x.translate(self.bytewise) for x in self.split(p.lower())]
-                for x in split[p]:
-                    if x not in self.parts:
+            if plain(p):
+                own = find(p.lower())
+                if not p.isascii():
+                    own = [x.translate(bytewise) for x in own]
+                for x in own:
+                    if x not in parts:
                         new[x] = None
+                split.append(own)
             else:
                 rest.append(p)
+                split.append(None)
         words = list(new)
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
             e = self.bare.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.asarray(e.ids, dtype=np.uint32), np.asarray(e.word_ids, dtype=np.int64)
-            ends = np.cumsum(np.bincount(of, minlength=len(some))).tolist()
-            ids = ids.tolist()
-            start = 0
+            ends = np.cumsum(np.bincount(np.asarray(e.word_ids, dtype=np.int64), minlength=len(some))).tolist()
+            ids, start = e.ids, 0
             for w, end in zip(some, ends, strict=True):
-                self.parts[w] = ids[start:end]
+                parts[w] = ids[start:end]
                 start = end
         whole = iter(self.whole.encode_batch(rest, add_special_tokens=False)) if rest else iter(())
-        for p in pieces:
-            ids = [i for x in split[p] for i in self.parts[x]] if p in split else next(whole).ids
-            self.known[p] = len(self.lengths)
-            self.lengths.append(len(ids))
-            self.flat.extend(ids)
+        flat: list[int] = []
+        lengths: list[int] = []
+        for own in split:
+            before = len(flat)
+            if own is None:
+                flat += next(whole).ids
+            else:
+                for x in own:
+                    flat += parts[x]
+            lengths.append(len(flat) - before)
+        self.known.update(zip(pieces, range(self.n_rows, self.n_rows + len(pieces)), strict=True))
+        self.lengths, self.n_rows = self._grown(self.lengths, self.n_rows, lengths)
+        self.flat, self.n_flat = self._grown(self.flat, self.n_flat, flat)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids of each text; null as empty."""
@@ -100,28 +120,20 @@ class WordIds:
         split = pc.ascii_split_whitespace(column)
         pieces = split.flatten().dictionary_encode()
         words = pieces.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known and w]
+        known = self.known
+        new = [w for w in words if w not in known]
         if new:
             self._learn(new)
-        row = np.asarray([self.known[w] if w else -1 for w in words], dtype=np.int64)
-        lengths = np.asarray(self.lengths + [0], dtype=np.int64)
-        # Only the rows that this batch needs are laid out.
-        firsts_all = np.concatenate(([0], np.cumsum(lengths)))
-        occ = row[pieces.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, dtype=np.int64)
-        n = lengths[occ]
-        flat = self._flat()
-        total = int(n.sum())
-        at = np.cumsum(n)
-        index = np.arange(total) + np.repeat(firsts_all[occ] - (at - n), n)
-        ids = flat[index] if total else np.empty(0, dtype=np.uint32)
-        per = np.concatenate(([0], at))
+        row = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        at = pieces.indices.to_numpy(zero_copy_only=False)
+        firsts = np.cumsum(self.lengths[: self.n_rows]) - self.lengths[: self.n_rows]
+        occ = row[at] if len(row) else np.empty(0, dtype=np.int64)
+        n = self.lengths[occ]
+        ends = np.cumsum(n)
+        index = np.arange(int(n.sum())) + np.repeat(firsts[occ] - (ends - n), n)
+        per = np.concatenate(([0], ends))
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        return ids, per[offsets[1:]] - per[offsets[:-1]]
-
-    def _flat(self) -> np.ndarray:
-        if self.total != len(self.flat):
-            self.array, self.total = np.asarray(self.flat, dtype=np.uint32), len(self.flat)
-        return self.array if self.total else np.empty(0, dtype=np.uint32)
+        return self.flat[index], per[offsets[1:]] - per[offsets[:-1]]
 
 
 @lru_cache(maxsize=1)
