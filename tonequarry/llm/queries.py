@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import common, line_dedup, mixing, packing
+from . import common, langid, line_dedup, mixing, packing, pii, secret_scan
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,19 @@ def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(common.documents(spark, sf_dir).select("doc_id", "text"), written=written)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", F.col("__held_out").alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(common.documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_pack_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +53,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_curriculum_mix": op2_curriculum_mix,
+    "op3_personal_data": op3_personal_data,
+    "op4_language_id": op4_language_id,
+    "op6_secret_scan": op6_secret_scan,
     "op7_pack_ffd": op7_pack_ffd,
     "op10_line_dedup": op10_line_dedup,
 }
