@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def chunks(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = C
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(name))
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64) + 16)
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64) + 16)
         start = 0
         while start < batch.num_rows:
             done = int(ends[start - 1]) if start else 0
