@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import common, langid, line_dedup, mixing, packing, pii, secret_scan
+from . import common, langid, line_dedup, mixing, packing, pii, quality, secret_scan
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_pack_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), written=written)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(common.documents(spark, sf_dir).select("doc_id", "text", "lang"), written=written)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select(
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op6_secret_scan": op6_secret_scan,
     "op7_pack_ffd": op7_pack_ffd,
+    "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
 
