@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import common, langid, line_dedup, mixing, packing, pii, quality, secret_scan
+from . import common, langid, line_dedup, lm_score, mixing, packing, pii, quality, secret_scan
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", F.col("__held_out").alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+def op5_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(common.documents(spark, sf_dir).select("doc_id", "text"), written=written)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(common.documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_curriculum_mix": op2_curriculum_mix,
     "op3_personal_data": op3_personal_data,
     "op4_language_id": op4_language_id,
+    "op5_context_trees": op5_context_trees,
     "op6_secret_scan": op6_secret_scan,
     "op7_pack_ffd": op7_pack_ffd,
     "op9_quality_rules": op9_quality_rules,
