@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import common, langid, line_dedup, lm_score, mixing, packing, pii, quality, secret_scan
+from . import common, langid, line_dedup, lm_score, mixing, near_dedup, packing, pii, quality, secret_scan
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_pack_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), written=written)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(common.documents(spark, sf_dir).select("doc_id", "text"), words=3, percent=85, written=written)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(common.documents(spark, sf_dir).select("doc_id", "text", "lang"), written=written)
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op5_context_trees": op5_context_trees,
     "op6_secret_scan": op6_secret_scan,
     "op7_pack_ffd": op7_pack_ffd,
+    "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
