@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import common, langid, line_dedup, lm_score, mixing, near_dedup, packing, pii, quality, secret_scan
+from . import common, fingerprint, langid, line_dedup, lm_score, mixing, near_dedup, packing, pii, quality, secret_scan
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(common.documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +68,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_curriculum_mix": op2_curriculum_mix,
     "op3_personal_data": op3_personal_data,
     "op4_language_id": op4_language_id,
