@@ -27,6 +27,8 @@ PARTS = 3
 CELLS, GROWTH = 8, 6
 #: A paragraph (line) is cut to runs of this many words; texts of fewer code points than these have units of a word, or of three characters.
 RUN, WORDS_BELOW, GRAMS_BELOW = 8, 512, 64
+#: In lines of longer words than this on average, words are cut to pieces of as many bytes.
+LONG = 32
 _U = np.uint64
 
 
@@ -50,6 +52,8 @@ def digests(text: str) -> np.ndarray:
         units = []
         for line in text.encode("utf-8", "replace").split(b"\n"):
             words = line.split()
+            if len(line) > LONG * len(words) and words:
+                words = [w[k : k + LONG] for w in words for k in range(0, len(w), LONG)]
             units += [b" ".join(words[k : k + run]) for k in range(0, len(words), run)]
     seen: dict[bytes, int] = {}
     found = []
