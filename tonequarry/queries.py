@@ -2,5 +2,753 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .functions import vectors as V
+from .operators import albums, audio, clustering, history, mix, sets, similarity, wave
+from .oracles import ORACLE_SQL, PRELUDE
+from .sources import export
+from .sources import tables as S
+from .streaming import listens as streamed
+
+__all__ = ["ORACLE_SQL", "PRELUDE", "QUERIES"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def _songs_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = S.songs(spark, sf_dir)
+    artist, title, folder = F.col("artist"), F.col("title"), F.col("folder")
+    return s.select("song_id", "title", "artist", "folder", X.act_of(artist, title, folder).alias("act"), X.song_in_title(title).alias("song"), X.artist_of(artist, title).alias("display"), X.duplicate_key(artist, title, folder).alias("duplicate_key"))
+
+
+def _listens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.recorded(S.play_events(spark, sf_dir))
+
+
+def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.taste_weights(history.listens_since(_listens(spark, sf_dir), S.NOW), S.favourites(spark, sf_dir), S.NOW)
+
+
+def _mix_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(song_id, vector, grp, duplicate_key, last_played)."""
+    acts = _songs_acts(spark, sf_dir).select("song_id", F.col("act").alias("grp"), "duplicate_key")
+    return S.tracks(spark, sf_dir).select("song_id", "vector").join(acts, "song_id").join(history.last_played(_listens(spark, sf_dir)), "song_id", "left")
+
+
+def _offered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.tracks(spark, sf_dir).where(F.col("song_id") % 11 == 0).select("song_id")
+
+
+def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.eligible(_mix_tracks(spark, sf_dir), _weights(spark, sf_dir), _offered(spark, sf_dir), S.favourites(spark, sf_dir), S.NOW)
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-ins for text prompts: the centroid of each label."""
+    t = S.tracks(spark, sf_dir)
+    return V.elementwise(t, "vector", ["label"], F.avg).select(F.col("label").alias("label_idx"), "vector")
+
+
+# Sources and sinks.
+
+
+@query
+def library_scan(spark, sf_dir):
+    return S.cleaned(S.library(spark, sf_dir)).orderBy("title", "song_id").select("song_id", "title", "artist", "folder")
+
+
+@query
+def embedding_scan(spark, sf_dir):
+    return S.tracks(spark, sf_dir).select("song_id", F.size("vector").alias("dims"), r6(V.total(V.doubles(F.col("vector")))).alias("total"))
+
+
+@query
+def embedding_ids(spark, sf_dir):
+    return S.tracks(spark, sf_dir).select("song_id")
+
+
+@query
+def embedding_count(spark, sf_dir):
+    return S.tracks(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def upsert_latest(spark, sf_dir):
+    """The last departure of each song, as replace-on-conflict would keep it."""
+    p = S.play_events(spark, sf_dir)
+    return S.upserted(p, ["song_id"], [F.desc("played_at"), F.desc("id")]).select("song_id", "id", "played_at")
+
+
+@query
+def listens_recorded(spark, sf_dir):
+    return _listens(spark, sf_dir).select("id", "listener", "song_id", "played_at", "played_ms", "duration_ms")
+
+
+@query
+def listens_recent(spark, sf_dir):
+    return history.listens_since(_listens(spark, sf_dir), S.NOW, 14).orderBy(F.desc("played_at"), "id").select("id", "song_id", "played_at")
+
+
+@query
+def listens_pruned(spark, sf_dir):
+    return history.pruned(_listens(spark, sf_dir), S.NOW, 21).agg(F.count(F.lit(1)).alias("kept"), F.min("played_at").alias("oldest"))
+
+
+@query
+def legacy_vectors(spark, sf_dir):
+    """Vectors as JSON text, some null or damaged, read back."""
+    t = S.tracks(spark, sf_dir)
+    raw = F.when(F.col("song_id") % 5 == 0, F.lit(None)).when(F.col("song_id") % 5 == 1, F.lit("[")).when(F.col("song_id") % 5 == 2, F.lit("[]")).otherwise(F.to_json("vector"))
+    back = S.legacy_vectors(t.select("song_id", raw.alias("vector")))
+    return back.select("song_id", F.size("vector").alias("dims"), r6(F.col("vector")[0].cast("double")).alias("first"))
+
+
+@query
+def binary_vectors(spark, sf_dir):
+    """Vectors through the byte codec and back."""
+    back = audio.decoded(audio.encoded(S.tracks(spark, sf_dir).select("song_id", "vector")))
+    return back.select("song_id", F.size("vector").alias("dims"), r6(V.total(V.doubles(F.col("vector")))).alias("total"))
+
+
+@query
+def current_analysis(spark, sf_dir):
+    t = S.tracks(spark, sf_dir).withColumn("analysis_version", F.lit(1) + F.col("song_id") % 2)
+    return S.current(t).agg(F.count(F.lit(1)).alias("analysed"))
+
+
+@query
+def daily_document(spark, sf_dir):
+    """The playlist document written as JSON and read back."""
+    ids = F.array_sort(F.collect_list("song_id"))
+    day = S.favourites(spark, sf_dir).agg(ids.alias("ids")).select(F.lit("2024-01-30").alias("day"), F.lit(2).alias("attempt"), "ids", F.array(F.struct(F.lit("2024-01-29").alias("day"), F.slice("ids", 1, 3).alias("ids"))).alias("recent"))
+    back = export.daily_from(export.daily_document(day))
+    return back.select("day", "attempt", F.explode("ids").alias("song_id"), F.size(F.col("recent")[0]["ids"]).alias("recent_songs"))
+
+
+@query
+def albums_document(spark, sf_dir):
+    by = S.tracks(spark, sf_dir).groupBy("label").agg(F.array_sort(F.collect_list("song_id")).alias("songIds"))
+    doc = by.agg(F.sort_array(F.collect_list(F.struct("label", "songIds"))).alias("albums")).select(F.to_json(F.struct(F.lit("s1").alias("signature"), F.lit(True).alias("named"), "albums")).alias("doc"))
+    stale = doc.select(F.regexp_replace("doc", '"s1"', '"s0"').alias("doc"))
+    return export.albums_from(doc.unionByName(stale), "s1")
+
+
+@query
+def tsv_round_trip(spark, sf_dir):
+    lines = export.library_lines(S.songs(spark, sf_dir), S.tracks(spark, sf_dir))
+    back = export.with_vectors(lines)
+    return back.select("song_id", "title", "artist", "folder", F.size("vector").alias("dims"), r6(F.col("vector")[1].cast("double")).alias("second"))
+
+
+@query
+def media_deleted(spark, sf_dir):
+    return export.deleted(S.songs(spark, sf_dir), S.favourites(spark, sf_dir)).select("song_id", "title")
+
+
+# Projections and predicates.
+
+
+@query
+def analysed_songs(spark, sf_dir):
+    s = S.songs(spark, sf_dir)
+    return s.unionByName(s).join(S.tracks(spark, sf_dir), "song_id", "left_semi").dropDuplicates(["song_id"]).select("song_id", "title")
+
+
+@query
+def not_yet_scanned(spark, sf_dir):
+    part = S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("song_id"))
+    return part.join(S.tracks(spark, sf_dir).select("song_id"), "song_id", "left_anti")
+
+
+@query
+def plain_search(spark, sf_dir):
+    return similarity.search_text(S.songs(spark, sf_dir), "BRAND#1").select("song_id", "title", "artist")
+
+
+@query
+def scoped_search(spark, sf_dir):
+    return similarity.search_text(S.songs(spark, sf_dir), "brand#2", S.favourites(spark, sf_dir)).select("song_id", "title", "artist")
+
+
+@query
+def document_search(spark, sf_dir):
+    """Plain search over the whole texts of a larger corpus; its limit is the feature."""
+    d = S.table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("chars"), "text")
+    return d.where(X.contains(F.col("text"), "all rights RESERVED")).orderBy("doc_id").limit(20).select("doc_id", "source", "chars")
+
+
+@query
+def listen_fractions(spark, sf_dir):
+    part = S.fraction(F.col("played_ms"), F.col("duration_ms"))
+    return _listens(spark, sf_dir).select("id", r6(part).alias("fraction"), history.taste_of(part).alias("taste"), history.steer_of(part, F.col("event_type") == "error").alias("steer"))
+
+
+@query
+def fresh_tracks(spark, sf_dir):
+    return _mix_tracks(spark, sf_dir).select("song_id", mix.is_fresh(F.col("last_played"), S.NOW - 5 * S.DAY).alias("fresh"))
+
+
+@query
+def mix_eligible(spark, sf_dir):
+    return _eligible(spark, sf_dir).select("song_id", r6("weight").alias("weight"))
+
+
+@query
+def wave_relaxed(spark, sf_dir):
+    t = _mix_tracks(spark, sf_dir)
+    rows = t.select("song_id", "last_played", (F.col("song_id") % 17 == 0).alias("excluded"), (F.col("song_id") % 7 == 0).alias("played"), (F.col("song_id") % 2 == 1).alias("cooling"))
+    return wave.relaxed(rows, S.NOW, 0.5).select("song_id", "level")
+
+
+@query
+def wave_hold_back(spark, sf_dir):
+    t = _mix_tracks(spark, sf_dir).withColumn("novelty", (F.col("song_id") % 5) / F.lit(2.0) - 0.5)
+    days = wave.hold_back(F.col("novelty"))
+    held = F.col("last_played").isNotNull() & (F.lit(S.NOW) - F.col("last_played") < days * S.DAY)
+    return t.select("song_id", r6(days).alias("days"), held.alias("held"))
+
+
+@query
+def virtual_favourites(spark, sf_dir):
+    """Favourites before the stored playlists, present only if there are any."""
+    fav = S.songs(spark, sf_dir).join(S.favourites(spark, sf_dir), "song_id", "left_semi").select(F.lit(0).alias("ordinal"), F.lit("Favourites").alias("name"), "song_id")
+    stored = S.tracks(spark, sf_dir).select(F.lit(1).alias("ordinal"), F.concat(F.lit("list "), F.col("label").cast("string")).alias("name"), "song_id")
+    return fav.unionByName(stored)
+
+
+@query
+def persisted_playlists(spark, sf_dir):
+    rows = virtual_favourites(spark, sf_dir)
+    return sets.without_virtual(rows).groupBy("name").agg(F.count(F.lit(1)).alias("songs"))
+
+
+@query
+def cyrillic_routing(spark, sf_dir):
+    t = F.when(F.col("song_id") % 4 == 0, F.concat(F.lit("песня "), F.col("title"))).otherwise(F.col("title"))
+    return S.songs(spark, sf_dir).select("song_id", X.is_cyrillic(t).alias("cyrillic"))
+
+
+@query
+def slider_snap(spark, sf_dir):
+    x = F.least(F.lit(1.5), F.greatest(F.lit(0.5), F.col("song_id") / F.lit(300.0)))
+    return S.tracks(spark, sf_dir).select("song_id", r6(F.round(x * 20) / 20).alias("snapped"))
+
+
+@query
+def size_gates(spark, sf_dir):
+    n = S.tracks(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    return n.select((F.col("n") >= albums.MIN_SONGS).alias("albums"), (F.col("n") >= mix.MIN_LIBRARY).alias("mix"), (F.col("n") >= wave.MIN_LIBRARY).alias("wave"), F.greatest(F.lit(4), F.least(F.lit(12), F.bround(F.log(F.greatest("n", F.lit(1)))))).cast("int").alias("min_points"), F.least(F.lit(60), F.greatest(F.lit(20), F.floor(F.col("n") * F.lit(0.15)))).cast("int").alias("cap"))
+
+
+@query
+def resumable_sessions(spark, sf_dir):
+    """Listeners whose last departure is young enough to go on from and was a track of the library."""
+    last = S.upserted(S.play_events(spark, sf_dir), ["listener"], [F.desc("played_at"), F.desc("id")])
+    ok = last.where(F.lit(S.NOW) - F.col("played_at") <= 4 * wave.TTL_MS)
+    return ok.join(S.tracks(spark, sf_dir), "song_id", "left_semi").select("listener", "song_id", "played_at")
+
+
+# Joins.
+
+
+@query
+def songs_with_vectors(spark, sf_dir):
+    return S.songs(spark, sf_dir).join(S.tracks(spark, sf_dir), "song_id").select("song_id", "title", "label")
+
+
+@query
+def songs_last_played(spark, sf_dir):
+    return S.songs(spark, sf_dir).select("song_id").join(history.last_played(_listens(spark, sf_dir)), "song_id", "left").select("song_id", "last_played")
+
+
+@query
+def ordered_lookup(spark, sf_dir):
+    """A list of ids to songs in its own order, without those that are gone."""
+    ids = S.favourites(spark, sf_dir).agg(F.reverse(F.array_sort(F.collect_list("song_id"))).alias("ids")).select(F.concat("ids", F.array(F.lit(-1).cast("long"))).alias("ids"))
+    return sets.ordered_join(ids, S.songs(spark, sf_dir)).select(F.col("position").cast("long").alias("position"), "song_id", "title").orderBy("position")
+
+
+@query
+def weights_with_default(spark, sf_dir):
+    t = S.tracks(spark, sf_dir).select("song_id").join(_weights(spark, sf_dir), "song_id", "left")
+    return t.select("song_id", r6(F.coalesce("weight", F.lit(0.0))).alias("weight"))
+
+
+@query
+def close_pairs(spark, sf_dir):
+    """The theta self-join: pairs of tracks within a cosine distance."""
+    unit = S.tracks(spark, sf_dir).select("song_id", "vector")
+    return similarity.close_pairs(unit, 0.65).select("a", "b", r6("distance").alias("distance"))
+
+
+@query
+def anchor_closeness(spark, sf_dir):
+    """For each track the best product with any of four anchors."""
+    t = S.tracks(spark, sf_dir)
+    a = t.where(F.col("song_id").isin(1, 2, 3, 4)).select("vector")
+    rows = mix.candidate_scores(t.withColumn("weight", F.lit(0.0)), a)
+    return rows.select("song_id", r6("score").alias("closeness"))
+
+
+@query
+def album_labels(spark, sf_dir):
+    """Each album's label: what suits it beyond what suits the library."""
+    t = S.tracks(spark, sf_dir)
+    cl = t.select("song_id", (F.col("song_id") % 12).alias("cluster"))
+    whole = V.elementwise(t, "vector", [], F.avg)
+    return albums.named(albums.centroids(cl, t), _labels(spark, sf_dir), whole).select("cluster", "label_idx", r6("score").alias("score"))
+
+
+@query
+def rank_agreement(spark, sf_dir):
+    """How many of each query's ten nearest stay under a coarse quantisation of the vectors."""
+    t = S.tracks(spark, sf_dir).select("song_id", V.doubles(F.col("vector")).alias("vector"))
+    coarse = t.select("song_id", F.transform("vector", lambda x: F.round(x * 8) / 8).alias("vector"))
+    ask = lambda df: df.where(F.col("song_id") % 25 == 0).select(F.col("song_id").alias("query_id"), "vector")
+    a, b = similarity.neighbours(t, ask(t), 10), similarity.neighbours(coarse, ask(coarse), 10)
+    both = a.select("query_id", "song_id").join(b.select("query_id", "song_id"), ["query_id", "song_id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("shared"))
+    return ask(t).select("query_id").join(both, "query_id", "left").select("query_id", F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
+@query
+def rank_of_first(spark, sf_dir):
+    """The rank that coarse vectors give to each query's nearest by exact ones."""
+    t = S.tracks(spark, sf_dir).select("song_id", V.doubles(F.col("vector")).alias("vector"))
+    coarse = t.select("song_id", F.transform("vector", lambda x: F.round(x * 8) / 8).alias("vector"))
+    ask = lambda df: df.where(F.col("song_id") % 50 == 0).select(F.col("song_id").alias("query_id"), "vector")
+    first = similarity.neighbours(t, ask(t), 1).select("query_id", "song_id")
+    return similarity.neighbours(coarse, ask(coarse), 100).join(first, ["query_id", "song_id"]).select("query_id", "song_id", "rank")
+
+
+@query
+def duplicate_groups(spark, sf_dir):
+    return _songs_acts(spark, sf_dir).groupBy("duplicate_key").agg(F.count(F.lit(1)).alias("copies"), F.min("song_id").alias("first")).where(F.col("copies") > 1)
+
+
+# Aggregations.
+
+
+@query
+def songs_by_folder(spark, sf_dir):
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("title", "song_id"))), lambda s: s["song_id"].cast("string"))
+    return S.songs(spark, sf_dir).groupBy("folder").agg(F.count(F.lit(1)).alias("songs"), F.array_join(ids, ",").alias("ids"))
+
+
+@query
+def last_played(spark, sf_dir):
+    return history.last_played(_listens(spark, sf_dir))
+
+
+@query
+def analysed_per_folder(spark, sf_dir):
+    """Analysed and all songs of each folder, and of a virtual folder of everything."""
+    part = S.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("song_id"), F.col("p_type").alias("folder"))
+    known = S.tracks(spark, sf_dir).select(F.col("song_id").alias("k"))
+    rows = part.join(known, F.col("song_id") == F.col("k"), "left")
+    by = rows.groupBy("folder").agg(F.count("k").alias("analysed"), F.count(F.lit(1)).alias("songs"))
+    return by.unionByName(rows.agg(F.count("k").alias("analysed"), F.count(F.lit(1)).alias("songs")).select(F.lit("All tracks").alias("folder"), "analysed", "songs"))
+
+
+@query
+def taste_weights(spark, sf_dir):
+    return _weights(spark, sf_dir).select("song_id", r6("weight").alias("weight"))
+
+
+@query
+def taste_weights_by_listener(spark, sf_dir):
+    w = history.taste_weights(history.listens_since(_listens(spark, sf_dir), S.NOW), None, S.NOW, "listener")
+    return w.select("listener", "song_id", r6("weight").alias("weight"))
+
+
+@query
+def taste_vector(spark, sf_dir):
+    v = history.taste_vector(_weights(spark, sf_dir), S.tracks(spark, sf_dir))
+    return v.select(F.posexplode("vector").alias("pos", "x")).select("pos", F.round("x", 4).alias("x"))
+
+
+@query
+def library_centre(spark, sf_dir):
+    v = V.elementwise(S.tracks(spark, sf_dir), "vector", [], F.avg)
+    return v.select(F.posexplode("vector").alias("pos", "x")).select("pos", r6("x").alias("x"))
+
+
+@query
+def cluster_centroids(spark, sf_dir):
+    t = S.tracks(spark, sf_dir)
+    c = albums.centroids(t.select("song_id", F.col("label").alias("cluster")), t)
+    return c.select("cluster", F.posexplode("vector").alias("pos", "x")).select("cluster", "pos", r6("x").alias("x"))
+
+
+@query
+def score_statistics(spark, sf_dir):
+    t = S.tracks(spark, sf_dir)
+    s = similarity.scored(t, t.where(F.col("song_id") == 0))
+    return s.agg(r6(F.avg("score")).alias("mean"), r6(F.stddev_pop("score")).alias("deviation"))
+
+
+@query
+def covariance(spark, sf_dir):
+    """The unscaled Gram matrix of the centred vectors: its trace and its leading corner."""
+    t = S.tracks(spark, sf_dir).select("song_id", F.posexplode("vector").alias("pos", "x"))
+    means = t.groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    c = t.join(F.broadcast(means), "pos").select("song_id", "pos", (F.col("x").cast("double") - F.col("mean")).alias("x"))
+    corner = c.where(F.col("pos") < 8)
+    gram = corner.alias("p").join(corner.alias("q"), "song_id").groupBy(F.col("p.pos").alias("i"), F.col("q.pos").alias("j")).agg(F.round(F.sum(F.col("p.x") * F.col("q.x")), 4).alias("g"))
+    trace = c.agg(F.round(F.sum(F.col("x") * F.col("x")), 4).alias("g")).select(F.lit(-1).alias("i"), F.lit(-1).alias("j"), "g")
+    return gram.unionByName(trace)
+
+
+@query
+def cluster_sizes(spark, sf_dir):
+    t = S.tracks(spark, sf_dir)
+    return t.groupBy(F.col("label").alias("cluster")).agg(F.count(F.lit(1)).alias("size"), F.min("song_id").alias("first"))
+
+
+@query
+def cluster_coverage(spark, sf_dir):
+    t = S.tracks(spark, sf_dir).select("song_id", (F.col("song_id") % 37 % 11 - 1).alias("cluster"))
+    return clustering.coverage(t, 4, 50)
+
+
+@query
+def dominant_artists(spark, sf_dir):
+    m = _songs_acts(spark, sf_dir).select(F.col("folder").alias("cluster"), F.col("display").alias("artist"), F.col("song_id").alias("place"))
+    return albums.dominant_artist(m)
+
+
+@query
+def leading_artists(spark, sf_dir):
+    m = _songs_acts(spark, sf_dir).select((F.col("song_id") % 6).alias("cluster"), F.col("display").alias("artist"), F.col("song_id").alias("place"))
+    return albums.leading_artists(m)
+
+
+@query
+def distinct_groups(spark, sf_dir):
+    return _songs_acts(spark, sf_dir).agg(F.greatest(F.lit(1), F.countDistinct("act")).alias("groups"))
+
+
+@query
+def distance_quantiles(spark, sf_dir):
+    """Order statistics of all distances from a query, at truncated places."""
+    t = S.tracks(spark, sf_dir)
+    s = similarity.scored(t, t.where(F.col("song_id") == 0)).select((1 - F.col("score")).alias("distance"))
+    q = clustering.order_statistics(s, "distance", [0.001 + 0.149 * k / 39 for k in range(40)])
+    return q.select("step", r6("eps").alias("eps"))
+
+
+@query
+def set_hashes(spark, sf_dir):
+    return S.tracks(spark, sf_dir).groupBy("label").agg(albums.set_id(F.collect_list("song_id")).alias("id"))
+
+
+@query
+def asset_bytes(spark, sf_dir):
+    p = S.table(spark, sf_dir, "part")
+    return p.groupBy(F.col("p_brand").alias("kind")).agg(F.coalesce(F.sum(F.when(F.col("p_size") > 25, F.col("p_size"))), F.lit(0)).cast("long").alias("missing"))
+
+
+@query
+def distinct_over_days(spark, sf_dir):
+    d = _listens(spark, sf_dir).select("song_id", F.floor(F.col("played_at") / F.lit(S.DAY)).alias("day"))
+    return d.groupBy("day").agg(F.countDistinct("song_id").alias("songs"), F.count(F.lit(1)).alias("listens"))
+
+
+@query
+def artist_spread(spark, sf_dir):
+    return _songs_acts(spark, sf_dir).groupBy("act").agg(F.count(F.lit(1)).alias("songs"))
+
+
+# Windows, ranking, sorting.
+
+
+@query
+def top_neighbours(spark, sf_dir):
+    """Ten nearest of every hundredth track among all."""
+    t = S.tracks(spark, sf_dir)
+    q = t.where(F.col("song_id") % 100 == 0).select(F.col("song_id").alias("query_id"), "vector")
+    return similarity.neighbours(t, q, 10).select("query_id", "song_id", "rank", r6("score").alias("score"))
+
+
+@query
+def last_groups(spark, sf_dir):
+    """The last five songs of each listener, oldest first."""
+    w = Window.partitionBy("listener").orderBy(F.desc("played_at"), F.desc("id"))
+    top = _listens(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 5")
+    seq = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("r")).alias("o"), "song_id"))), lambda s: s["song_id"].cast("string"))
+    return top.groupBy("listener").agg(F.array_join(seq, ",").alias("songs"))
+
+
+@query
+def variance_cut(spark, sf_dir):
+    """The fewest leading shares that reach 60 %, within 4 to 12."""
+    s = S.tracks(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy(F.desc("n"), "label")
+    run = s.select(F.row_number().over(w).alias("k"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.sum("n").over(Window.partitionBy()).alias("t"))
+    return run.agg(F.greatest(F.lit(4), F.least(F.lit(12), F.coalesce(F.min(F.when(F.col("s") >= 0.6 * F.col("t"), F.col("k"))), F.max("k")))).alias("k"))
+
+
+@query
+def windows_apart(spark, sf_dir):
+    w = Window.partitionBy("listener").orderBy("played_at", "id")
+    p = _listens(spark, sf_dir).select(F.col("listener").alias("wave"), F.row_number().over(w).alias("position"), F.col("song_id").cast("string").alias("grp"))
+    return wave.windows_apart(p).groupBy("wave").agg(F.count_if("apart").alias("apart"), F.count(F.lit(1)).alias("picks"))
+
+
+@query
+def listen_gaps(spark, sf_dir):
+    w = Window.partitionBy("listener").orderBy("played_at", "id")
+    return _listens(spark, sf_dir).select("id", (F.col("played_at") - F.lag("played_at").over(w)).alias("gap"))
+
+
+@query
+def listening_sessions(spark, sf_dir):
+    l = _listens(spark, sf_dir).select("listener", F.timestamp_millis("played_at").alias("ts"), "played_ms")
+    s = streamed.sessions(l)
+    return s.select("listener", F.unix_millis("start").alias("start"), "listens", "played_ms")
+
+
+@query
+def vector_search(spark, sf_dir):
+    """Search: the best fifty above the cut, with the score as shown."""
+    t = S.tracks(spark, sf_dir)
+    q = _labels(spark, sf_dir).where(F.col("label_idx") == 3)
+    return similarity.search_by_vector(t, q).select("song_id", r6("score").alias("score"), r6("shown").alias("shown"))
+
+
+@query
+def similar_tracks(spark, sf_dir):
+    s = similarity.similar_to(S.tracks(spark, sf_dir), 0)
+    return s.join(S.songs(spark, sf_dir), "song_id").select("song_id", "title", "artist", r6("score").alias("score")).orderBy(F.desc("score"), "song_id")
+
+
+@query
+def smart_shuffle(spark, sf_dir):
+    t = S.tracks(spark, sf_dir)
+    q = t.where(F.col("song_id") % 3 == 0).select((F.col("song_id") % 2).alias("queue_id"), "song_id")
+    q = q.withColumn("position", F.row_number().over(Window.partitionBy("queue_id").orderBy(F.md5(F.col("song_id").cast("string").cast("binary")))).cast("long") - 1)
+    return similarity.smart_shuffle(q, t.where(F.col("song_id") % 5 != 0).unionByName(t.where(F.col("song_id") == 30)), 30)
+
+
+# Sets and lists.
+
+
+@query
+def all_folder_first(spark, sf_dir):
+    s = S.songs(spark, sf_dir)
+    return sets.with_all_folder(s.groupBy("folder").agg(F.count(F.lit(1)).alias("songs")), s)
+
+
+@query
+def playlist_append(spark, sf_dir):
+    t = S.tracks(spark, sf_dir)
+    name = F.concat(F.lit("p"), (F.col("song_id") % 3).cast("string")).alias("name")
+    have = t.where(F.col("song_id") < 60).select(name, F.floor(F.col("song_id") / 3).cast("long").alias("position"), "song_id")
+    more = t.where((F.col("song_id") >= 30) & (F.col("song_id") < 120)).select(name, (-F.col("song_id")).alias("place"), "song_id")
+    return sets.appended(have, more)
+
+
+@query
+def remembered_union(spark, sf_dir):
+    days = S.tracks(spark, sf_dir).groupBy(F.col("label").alias("day")).agg(F.collect_list("song_id").alias("ids"))
+    return days.where(F.col("day") < 4).select(F.explode("ids").alias("song_id")).distinct()
+
+
+@query
+def neighbour_overlap(spark, sf_dir):
+    l = _listens(spark, sf_dir).groupBy("listener").agg(F.collect_set("song_id").alias("s"))
+    pair = l.where(F.col("listener").isin(1, 2, 3, 4, 5, 6))
+    return pair.alias("x").join(pair.alias("y"), F.col("x.listener") < F.col("y.listener")).select(F.col("x.listener").alias("a"), F.col("y.listener").alias("b"), F.size(F.array_intersect("x.s", "y.s")).alias("shared"))
+
+
+@query
+def favourites_toggled(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "error", "dislike").when(F.col("event_type") == "click", "toggle").otherwise("none")
+    a = S.play_events(spark, sf_dir).where(F.col("listener") < 20).select("song_id", F.col("id").alias("at"), kind.alias("kind"))
+    return sets.toggled(a)
+
+
+@query
+def playlist_replaced(spark, sf_dir):
+    p = S.tracks(spark, sf_dir).select(F.concat(F.lit("list "), F.col("label").cast("string")).alias("name"), F.col("song_id").alias("position"), "song_id")
+    new = S.favourites(spark, sf_dir).select((F.col("song_id") / 17).cast("long").alias("position"), "song_id")
+    return sets.replaced(sets.replaced(p, "list 1", new), "list 2").groupBy("name").agg(F.count(F.lit(1)).alias("songs"), F.max("position").alias("last"))
+
+
+@query
+def queue_edits(spark, sf_dir):
+    ids = F.array_sort(F.collect_list("song_id"))
+    q = S.tracks(spark, sf_dir).groupBy("label").agg(F.slice(ids, 1, 8).alias("q"))
+    s = lambda c: F.array_join(c.cast("array<string>"), ",")
+    q = q.withColumn("first", F.col("q")[2])
+    return q.select("label", s(sets.removed_at(F.col("q"), 2)).alias("removed"), s(sets.moved(F.col("q"), 1, 4)).alias("moved"), s(sets.after_current(F.col("q"), F.col("first"), F.lit(-7).cast("long"))).alias("inserted"), s(F.concat("q", F.array(F.lit(-9).cast("long")))).alias("appended"))
+
+
+@query
+def remembered_days(spark, sf_dir):
+    days = S.tracks(spark, sf_dir).groupBy(F.concat(F.lit("2024-01-1"), F.col("label").cast("string")).alias("day")).agg(F.array_sort(F.collect_list("song_id")).alias("ids"))
+    stored = days.where(F.col("day") == "2024-01-15").select("day", F.slice("ids", 1, 2).alias("ids"))
+    return mix.remembered(days, stored).select("day", F.size("ids").alias("songs"))
+
+
+# Scalar functions.
+
+
+@query
+def act_parsing(spark, sf_dir):
+    return _songs_acts(spark, sf_dir).select("song_id", "act", "song", "display", "duplicate_key")
+
+
+@query
+def day_and_clock(spark, sf_dir):
+    ts = F.timestamp_millis("played_at")
+    left = F.greatest(F.lit(1000), F.unix_millis(F.date_add(F.to_date(ts), 1).cast("timestamp")) - F.col("played_at"))
+    return _listens(spark, sf_dir).select("id", F.date_format(ts, "yyyy-MM-dd").alias("day"), left.cast("long").alias("until_midnight"), X.clock(F.col("played_ms")).alias("clock"))
+
+
+@query
+def cosine_guard(spark, sf_dir):
+    """Cosine and unit length, with zero vectors among the tracks."""
+    t = S.tracks(spark, sf_dir).select("song_id", F.when(F.col("song_id") % 10 == 0, F.transform("vector", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("vector")).alias("vector"))
+    s = similarity.scored(t, t.where(F.col("song_id") == 1))
+    return s.select("song_id", r6("score").alias("score"), r6(V.norm(V.normalized(F.col("vector")))).alias("length"))
+
+
+# The mix of the day.
+
+
+@query
+def mix_anchors(spark, sf_dir):
+    return mix.anchors(_eligible(spark, sf_dir), 20240131).select("song_id", r6("draw").alias("draw"))
+
+
+@query
+def mix_shortlist(spark, sf_dir):
+    pool = _eligible(spark, sf_dir)
+    return mix.shortlist(pool, mix.anchors(pool, 20240131), 100).select("song_id", r6("score").alias("score"))
+
+
+@query
+def daily_mix(spark, sf_dir):
+    t = _mix_tracks(spark, sf_dir)
+    return mix.daily_mix(t, _weights(spark, sf_dir), _offered(spark, sf_dir), S.favourites(spark, sf_dir), S.NOW, 20240131)
+
+
+@query
+def playlist_reuse(spark, sf_dir):
+    stored = S.favourites(spark, sf_dir).agg(F.collect_list("song_id").alias("ids")).select(F.lit("2024-01-31").alias("day"), F.concat("ids", F.array(F.lit(-1).cast("long"))).alias("ids"))
+    return mix.keeps_playlist(stored, S.songs(spark, sf_dir), "2024-01-31")
+
+
+# The wave.
+
+
+def _wave_state(spark, sf_dir):
+    t = S.tracks(spark, sf_dir)
+    seed = t.where(F.col("song_id") == 7)
+    return wave.started(t, seed)
+
+
+@query
+def wave_start(spark, sf_dir):
+    return _wave_state(spark, sf_dir).select(F.posexplode("direction").alias("pos", "x")).select("pos", r6("x").alias("x"))
+
+
+def _wave_scores(spark, sf_dir):
+    t = _mix_tracks(spark, sf_dir).select("song_id", "vector", "last_played")
+    pick = lambda k, name: t.where(F.col("song_id") == k).select(F.col("vector").alias(name))
+    s = _wave_state(spark, sf_dir).crossJoin(F.broadcast(pick(9, "disliked"))).crossJoin(F.broadcast(pick(12, "current")))
+    s = s.select("centre", "direction", V.normalized(V.minus(F.col("disliked"), F.col("centre"))).alias("avoid"), F.lit(2.0).alias("rejections"), V.doubles(F.col("current")).alias("current"))
+    return wave.scores(t, s)
+
+
+@query
+def wave_scores(spark, sf_dir):
+    return _wave_scores(spark, sf_dir).select("song_id", r6("score").alias("score"))
+
+
+@query
+def wave_draw(spark, sf_dir):
+    return wave.drawn(_wave_scores(spark, sf_dir), 42).select("song_id", r6("score").alias("score"))
+
+
+@query
+def wave_reaction(spark, sf_dir):
+    """The direction after a finished track and a skip."""
+    t = S.tracks(spark, sf_dir)
+    pick = lambda k, name: t.where(F.col("song_id") == k).select(F.col("vector").alias(name))
+    s = _wave_state(spark, sf_dir).crossJoin(F.broadcast(pick(5, "liked"))).crossJoin(F.broadcast(pick(6, "skipped")))
+    s = s.withColumn("direction", V.normalized(V.plus_times(F.col("direction"), wave.PULL, V.normalized(V.minus(F.col("liked"), F.col("centre"))))))
+    s = s.withColumn("direction", V.normalized(V.plus_times(F.col("direction"), wave.PUSH, V.normalized(V.minus(F.col("skipped"), F.col("centre"))))))
+    return s.select(F.posexplode("direction").alias("pos", "x")).select("pos", r6("x").alias("x"))
+
+
+# Albums.
+
+
+@query
+def density_clusters(spark, sf_dir):
+    t = S.tracks(spark, sf_dir).select("song_id", "vector")
+    return clustering.density_clusters(t, similarity.close_pairs(t, 0.68), 0.68, 3)
+
+
+@query
+def smart_albums(spark, sf_dir):
+    """Albums by density, with centroids' labels and titles without repeats."""
+    t = S.tracks(spark, sf_dir)
+    found = clustering.cluster_tracks(t)
+    whole = V.elementwise(t, "vector", [], F.avg)
+    label = albums.named(albums.centroids(found, t), _labels(spark, sf_dir), whole)
+    size = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    members = found.join(_songs_acts(spark, sf_dir), "song_id").select("cluster", F.col("display").alias("artist"), F.col("song_id").alias("place"))
+    rows = size.join(label, "cluster").join(albums.dominant_artist(members), "cluster", "left").select(F.lit(0).cast("long").alias("library"), "cluster", "size", F.concat(F.lit("Sound "), F.col("label_idx").cast("string")).alias("title"), "artist")
+    return albums.titled(rows).join(size, "cluster").select("cluster", "size", "title")
+
+
+@query
+def fidelity_report(spark, sf_dir):
+    """What a coarse quantisation does to each track's vector, and to the products of tracks with the first."""
+    t = S.tracks(spark, sf_dir).select("song_id", V.doubles(F.col("vector")).alias("vector"))
+    c = t.withColumn("coarse", F.transform("vector", lambda x: F.round(x * 8) / 8))
+    return c.agg(r6(F.min(V.cosine(F.col("vector"), F.col("coarse")))).alias("worst"), r6(F.avg(V.cosine(F.col("vector"), F.col("coarse")))).alias("mean"))
+
+
+@query
+def alignment_report(spark, sf_dir):
+    """For each label's vector the peak, mean and deviation of its scores."""
+    t = S.tracks(spark, sf_dir)
+    labels = _labels(spark, sf_dir).select("label_idx", F.col("vector").alias("q"))
+    s = t.crossJoin(F.broadcast(labels)).select("label_idx", V.cosine(F.col("vector"), F.col("q")).alias("score"))
+    return s.groupBy("label_idx").agg(r6(F.max("score")).alias("peak"), r6(F.avg("score")).alias("mean"), r6(F.stddev_pop("score")).alias("deviation"))
+
+
+# Streams, by their batch twins.
+
+
+def _player_events(spark, sf_dir):
+    e = S.play_events(spark, sf_dir).where(F.col("listener") < 50)
+    ts = F.timestamp_millis("played_at")
+    row = lambda kind, at, pos: F.struct(F.lit(kind).alias("kind"), at.alias("ts"), pos.cast("bigint").alias("position_ms"))
+    half = F.floor(F.col("played_ms") / 2)
+    rows = F.array(row("started", ts, F.lit(0)), row("progress", F.timestamp_millis(F.col("played_at") + 1), half), row("finished", F.timestamp_millis(F.col("played_at") + 2), F.col("played_ms")))
+    return e.select("listener", "song_id", "duration_ms", F.explode(rows).alias("r")).select("listener", "r.ts", "r.kind", "song_id", "r.position_ms", "duration_ms")
+
+
+@query
+def tracked_departures(spark, sf_dir):
+    d = streamed.departures(_player_events(spark, sf_dir))
+    return d.groupBy("listener").agg(F.count(F.lit(1)).alias("departures"), F.sum("played_ms").alias("played_ms"), F.sum("duration_ms").alias("duration_ms"))
