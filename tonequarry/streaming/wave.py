@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -27,14 +26,14 @@ class WaveProcessor(StatefulProcessor):
     are filled up; a skip or a dislike replaces them all. A session ends after its time to live.
     """
 
-    def __init__(self, library: Broadcast, seed: str = "wave", novelty: float = W.NOVELTY) -> None:
+    def __init__(self, library: W.Library, seed: str = "wave", novelty: float = W.NOVELTY) -> None:
         self.library, self.seed, self.novelty = library, seed, novelty
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("wave", _STATE, ttlDurationMs=W.TTL_MS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        library: W.Library = self.library.value
+        library = self.library
         state, queue = None, []
         if self.state.exists():
             session, queue = self.state.get()
@@ -74,6 +73,5 @@ class WaveProcessor(StatefulProcessor):
 
 
 def steered(events: DataFrame, library: W.Library, seed: str = "wave", novelty: float = W.NOVELTY) -> DataFrame:
-    """Picks of a stream of events. The library, some thousand vectors, is sent to each worker once."""
-    shared = events.sparkSession.sparkContext.broadcast(library)
-    return events.groupBy("listener").transformWithState(WaveProcessor(shared, seed, novelty), PICK, "Append", "ProcessingTime")
+    """Picks of a stream of events. The library, some thousand vectors, travels with the processor: broadcasts don't reach its first run."""
+    return events.groupBy("listener").transformWithState(WaveProcessor(library, seed, novelty), PICK, "Append", "ProcessingTime")
