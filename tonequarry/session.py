@@ -52,13 +52,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a frame that written() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    base = work_dir(spark)
-    for path in {str(Path(f).parent).replace("file:/", "file:///", 1) if f.startswith("file:/") else f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "tonequarry-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    del base
+def narrow(df: DataFrame, by: int = 16) -> DataFrame:
+    """df in a sixteenth of the shuffle's partitions, 8 at least: for tables of a few numbers a row, whose tasks would be tiny."""
+    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // by))
