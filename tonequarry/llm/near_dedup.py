@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components
+from ..session import narrow
 from .common import arrow_map, texts
 
 #: Coordinates in BANDS bands of ROWS. At similarity 0.85 all bands differ with probability (1 - 0.85**6)**32 = 3e-7.
 ROWS, BANDS = 6, 32
 T = ROWS * BANDS
+#: A shingle is rare if at most so many of the documents that are still compared hold it.
+RARE = 8
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
 
@@ -124,6 +127,40 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
+def _possible(n: Column, common: Column, m: Column, other: Column, shared: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles can reach the similarity if they share no more than shared besides their common ones."""
+    most = F.least(common, other) + shared
+    return F.lit(100) * most >= F.lit(percent) * (n + m - most)
+
+
+def unresolved_pairs(labelled: DataFrame, sets: DataFrame, percent: int, written) -> DataFrame:
+    """(a, b): every pair of different components in one bucket that can be similar.
+
+    labelled: key, band, id, n, bands, component. Near copies of one text that are not quite near enough to
+    each other would meet in squares. Two bounds, both exact, leave few of them. Shingles that at most RARE
+    of these documents hold are listed with their holders: pairs that share some are counted from that
+    list, of at most RARE rows to a shingle. All other pairs share no rare shingle, so they can only share
+    what is left of the smaller set without its rare ones. A pair counts in its first common band alone.
+    """
+    ids = labelled.select("id", "n", "component").distinct()
+    shingles = sets.join(ids, "id").select("id", F.explode("set").alias("shingle"))
+    seldom = written(narrow(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE), 4), "rare")
+    rare = written(narrow(shingles.join(seldom, "shingle").select("id", "shingle", "df"), 4), "holders")
+    common = ids.join(rare.groupBy("id").agg(F.count(F.lit(1)).alias("r")), "id", "left").select("id", "n", "component", (F.col("n") - F.coalesce("r", F.lit(0))).alias("common"))
+    common = written(narrow(common), "common")
+    x, y = (labelled.join(common.select("id", "common"), "id").alias(name) for name in "xy")
+    first = F.expr("array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1")
+    nothing = F.lit(0)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _alike(F.col("x.n"), F.col("y.n"), percent) & _possible(F.col("x.n"), F.col("x.common"), F.col("y.n"), F.col("y.common"), nothing, percent) & first)
+    apart = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    held = rare.where(F.col("df") > 1).join(common, "id")
+    v, w = held.alias("v"), held.alias("w")
+    both = v.join(w, (F.col("v.shingle") == F.col("w.shingle")) & (F.col("v.component") < F.col("w.component")) & _alike(F.col("v.n"), F.col("w.n"), percent))
+    counted = both.groupBy(F.col("v.id").alias("p"), F.col("w.id").alias("q")).agg(F.count(F.lit(1)).alias("shared"), *(F.first(f"{k}.{c}").alias(f"{k}_{c}") for k in "vw" for c in ("n", "common")))
+    near = counted.where(_possible(F.col("v_n"), F.col("v_common"), F.col("w_n"), F.col("w_common"), F.col("shared"), percent)).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    return apart.unionByName(near).distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets share at least percent of their union."""
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
@@ -141,31 +178,37 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
     1. Documents of equal sets are a class, represented by its smallest id; only representatives go on.
     2. Representatives meet in the buckets of 32 bands. A bucket with many members does not emit its
-       pairs: each representative is verified against one leader, the smallest id of its buckets, and
-       components of those links are taken.
-    3. Pairs that share a bucket and are still in different components, and of sizes that allow a link, are
-       verified too, so no link between components that a band sees is lost.
+       pairs: each representative is verified against one leader, the most central member of its buckets,
+       and components of those links are taken.
+    3. Pairs that share a bucket and are still in different components are verified too, unless sizes or
+       rare shingles rule a link out, so no link between components that a band sees is lost.
     """
     signs = written(signed(docs, words, id_col, text_col), "signs")
     real = signs.where((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = written(real.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
-    reps = real.join(classes.select("digest", "rep"), "digest").where(F.col("id") == F.col("rep")).select("id", "n", "bands")
-    banded = written(reps, "reps").select("id", "n", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where(F.col("leader") < F.col("last"))
-    members = written(banded.join(written(buckets.select("key", "leader"), "buckets"), "key").select("key", "leader", "id", "n"), "members")
+    classes = written(narrow(real.groupBy("digest").agg(F.min("id").alias("rep"))), "classes")
+    reps = written(narrow(real.join(classes, "digest").where(F.col("id") == F.col("rep")).select("id", "n", "bands"), 4), "reps")
+    banded = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") < F.col("high"))
+    members = written(narrow(banded.join(written(narrow(buckets.select("key", "size"), 4), "buckets"), "key"), 4), "members")
+    # A document is central if it shares many bands with many others, as the common source of near copies does.
+    central = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    ranked = members.select("key", "id").join(central, "id").select("key", "id", F.struct("weight", (-F.col("id")).alias("low")).alias("place"))
+    tops = written(narrow(ranked.groupBy("key").agg(F.max("place").alias("top"))), "tops")
+    led = ranked.join(tops, "key").where(F.col("place") != F.col("top")).groupBy(F.col("id").alias("b")).agg(F.max("top").alias("top")).select((-F.col("top.low")).alias("a"), "b")
     sets = written(set_table(docs, members.select("id").distinct(), words, id_col, text_col), "sets")
-    leaders = members.where(F.col("id") != F.col("leader")).groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a"))
-    first = written(confirmed(leaders, sets, percent), "links")
-    part = connected_components(first)
-    labelled = members.select("key", "id", "n").join(part.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    first = written(narrow(confirmed(led, sets, percent), 4), "links")
+    part = written(narrow(connected_components(first)), "part")
+    labelled = members.select("key", "band", "id", "n").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = written(narrow(labelled, 4), "parts")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("key")
-    labelled = written(labelled.join(mixed, "key", "left_semi"), "labelled")
-    x, y = labelled.alias("x"), labelled.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _alike(F.col("x.n"), F.col("y.n"), percent))
-    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    second = confirmed(pairs, sets, percent)
-    whole = connected_components(first.unionByName(second))
-    classes = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    labelled = labelled.join(mixed, "key", "left_semi").join(reps.select("id", "bands"), "id")
+    second = confirmed(unresolved_pairs(written(narrow(labelled, 4), "labelled"), sets, percent, written), sets, percent)
+    # The later links join whole components: few, and a graph of their own.
+    of = lambda name: part.select(F.col("node").alias(name), F.col("component").alias(f"{name}_part"))
+    between = second.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    later = connected_components(between)
+    rep_of = classes.join(part.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("near"))
+    classes = rep_of.join(later.withColumnRenamed("node", "near"), "near", "left").select("digest", F.coalesce("component", "near").alias("component"))
     named = signs.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
     component = F.coalesce("component", "id")
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
