@@ -16,7 +16,7 @@ SPACES = " \t\n\x0b\x0c\r"
 #: One word, as a Java regular expression.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text that a Python worker takes up at a time.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

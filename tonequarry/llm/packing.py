@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 #: Words that a worker remembers the ids of, at most; then it starts anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 3 << 17
+#: Bytes of text that are tokenized at a time; a word that comes again in them is looked up once.
+PIECE = 2 << 20
 
 
 class WordIds:
@@ -56,12 +58,12 @@ class WordIds:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, bytes] = {}
         self.lengths, self.n_rows = np.zeros(1024, dtype=np.int64), 0
         self.flat, self.n_flat = np.zeros(4096, dtype=np.uint32), 0
 
     @staticmethod
-    def _grown(array: np.ndarray, used: int, more: list[int]) -> tuple[np.ndarray, int]:
+    def _grown(array: np.ndarray, used: int, more: np.ndarray | list[int]) -> tuple[np.ndarray, int]:
         need = used + len(more)
         if need > len(array):
             array = np.concatenate((array[:used], np.zeros(max(need, 2 * len(array)) - used, dtype=array.dtype)))
@@ -90,21 +92,14 @@ class WordIds:
             some = words[at : at + 4096]
             e = self.bare.encode(some, is_pretokenized=True, add_special_tokens=False)
             ends = np.cumsum(np.bincount(np.asarray(e.word_ids, dtype=np.int64), minlength=len(some))).tolist()
-            ids, start = e.ids, 0
+            ids, start = np.asarray(e.ids, dtype="<u4").tobytes(), 0
             for w, end in zip(some, ends, strict=True):
-                parts[w] = ids[start:end]
+                parts[w] = ids[4 * start : 4 * end]
                 start = end
         whole = iter(self.whole.encode_batch(rest, add_special_tokens=False)) if rest else iter(())
-        flat: list[int] = []
-        lengths: list[int] = []
-        for own in split:
-            before = len(flat)
-            if own is None:
-                flat += next(whole).ids
-            else:
-                for x in own:
-                    flat += parts[x]
-            lengths.append(len(flat) - before)
+        found = [np.asarray(next(whole).ids, dtype="<u4").tobytes() if own is None else parts[own[0]] if len(own) == 1 else b"".join([parts[x] for x in own]) for own in split]
+        lengths = [len(x) >> 2 for x in found]
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
         self.known.update(zip(pieces, range(self.n_rows, self.n_rows + len(pieces)), strict=True))
         self.lengths, self.n_rows = self._grown(self.lengths, self.n_rows, lengths)
         self.flat, self.n_flat = self._grown(self.flat, self.n_flat, flat)
@@ -164,7 +159,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, room: in
 
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_map(narrow, pieces, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return arrow_map(narrow, pieces, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", limit=PIECE)
 
 
 def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
