@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents or more share stay in the one of the largest id alone."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, written=written)
     size = F.when(F.col("__n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return out.select(*[size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

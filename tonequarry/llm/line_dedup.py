@@ -19,13 +19,14 @@ def _without(lines: Column, gone: Column) -> Column:
     return F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
 
 
-def shared_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shared_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", written=lambda df, what: df) -> DataFrame:
     """(id, gone): for each document the ascending positions of the lines that it loses.
 
     Lines are told apart by 128 bits of hash. A line is counted once for each distinct id that holds
     it: rows are pre-aggregated on (hash, id) before they are shuffled, so a line of every document
-    costs each task one row per document that it has read. The join below has the many rows on its
-    splittable side, whatever share of them one line holds.
+    costs each task one row per document that it has read. written(df, name) cuts the lineage of the
+    counts, so that both sides of the join below are exchanges and Spark can split the rows of one line,
+    whatever share of them it holds.
     """
     key = F.trim(F.col("__line"), F.lit(SPACES))
     exploded = docs.select(F.col(id_col).alias("__id"), F.posexplode(_lines(F.col(text_col))).alias("__pos", "__line"))
@@ -35,11 +36,12 @@ def shared_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col
     hashed = exploded.select("__id", "__pos", F.xxhash64("__line").alias("__h"), F.xxhash64(F.lit(7), F.col("__line")).alias("__g"))
     pairs = hashed.groupBy("__h", "__g", "__id").agg(F.lit(1).alias("__one"))
     often = pairs.groupBy("__h", "__g").agg(F.count(F.lit(1)).alias("__n"), F.max("__id").alias("__last")).where(F.col("__n") >= min_docs)
-    hit = hashed.join(often.select("__h", "__g", "__last"), ["__h", "__g"]).where(F.col("__id") != F.col("__last"))
+    often = written(often.select("__h", "__g", "__last"), "often")
+    hit = hashed.join(often, ["__h", "__g"]).where(F.col("__id") != F.col("__last"))
     return hit.groupBy("__id").agg(F.array_sort(F.collect_set("__pos")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", written=lambda df, what: df) -> DataFrame:
     """docs with text_col rewritten, and the columns __n_lines and __n_dropped before it was.
 
     A key is a line stripped of white space at both ends with A-Z lower-cased. Keys of min_chars code
@@ -49,7 +51,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     null id lose nothing and count for nothing. An empty table gives an empty one. Other columns pass.
     """
     known = docs.where(F.col(id_col).isNotNull())
-    gone = shared_lines(known, min_docs, min_chars, id_col, text_col).withColumnRenamed("__id", "__gone_id").withColumnRenamed("gone", "__gone")
+    gone = shared_lines(known, min_docs, min_chars, id_col, text_col, written).withColumnRenamed("__id", "__gone_id").withColumnRenamed("gone", "__gone")
     joined = docs.join(gone, docs[id_col] == F.col("__gone_id"), "left")
     lines = _lines(F.col(text_col))
     # transform() over a one-element array binds the lines once for the lambda.

@@ -59,7 +59,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select(
+    return line_dedup.dedup_lines(docs, written=written).select(
         "doc_id",
         F.col("__n_lines").alias("n_lines"),
         F.col("__n_dropped").alias("n_dropped"),
