@@ -148,8 +148,8 @@ def phrases(symbols: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndar
     lengths = (ends - starts)[order]
     at = starts[order].copy()
     state = np.zeros(len(order), dtype=np.int64)
-    count = np.ones(len(order), dtype=np.int32)
-    count[lengths == 0] = 0
+    # The start state counts a phrase with the first symbol.
+    count = np.zeros(len(order), dtype=np.int32)
     # alive[t]: pieces longer than t.
     longest = int(lengths[0]) if len(lengths) else 0
     alive = np.searchsorted(-lengths, -np.arange(longest), side="left")
