@@ -55,3 +55,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def narrow(df: DataFrame, by: int = 16) -> DataFrame:
     """df in a sixteenth of the shuffle's partitions, 8 at least: for tables of a few numbers a row, whose tasks would be tiny."""
     return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // by))
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared work folder, once no frame reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
