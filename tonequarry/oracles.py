@@ -130,12 +130,12 @@ SELECT listener, song_id, played_at FROM l WHERE 1706659200000 - played_at <= 17
  p AS (SELECT cluster, label_idx, list_dot_product(v, vector) - 0.5::DOUBLE * list_dot_product(vector, c) AS score FROM a, labelv, centre)
 SELECT cluster, label_idx, round(score, 6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY score DESC, label_idx) = 1""",
     "rank_agreement": """, c AS (SELECT song_id, vector, list_transform(vector, lambda x: round(x * 8) / 8) AS coarse FROM tracks),
- a AS (SELECT q.song_id AS query_id, t.song_id FROM c t, c q WHERE q.song_id % 25 = 0 AND t.song_id <> q.song_id QUALIFY row_number() OVER (PARTITION BY q.song_id ORDER BY list_dot_product(t.vector, q.vector) DESC, t.song_id) <= 10),
- b AS (SELECT q.song_id AS query_id, t.song_id FROM c t, c q WHERE q.song_id % 25 = 0 AND t.song_id <> q.song_id QUALIFY row_number() OVER (PARTITION BY q.song_id ORDER BY list_dot_product(t.coarse, q.coarse) DESC, t.song_id) <= 10)
-SELECT t.song_id AS query_id, (SELECT count(*) FROM a JOIN b USING (query_id, song_id) WHERE a.query_id = t.song_id) AS shared FROM tracks t WHERE t.song_id % 25 = 0""",
+ a AS (SELECT q.song_id AS query_id, t.song_id FROM c t, c q WHERE q.song_id % 100 = 0 AND t.song_id <> q.song_id QUALIFY row_number() OVER (PARTITION BY q.song_id ORDER BY list_dot_product(t.vector, q.vector) DESC, t.song_id) <= 10),
+ b AS (SELECT q.song_id AS query_id, t.song_id FROM c t, c q WHERE q.song_id % 100 = 0 AND t.song_id <> q.song_id QUALIFY row_number() OVER (PARTITION BY q.song_id ORDER BY list_dot_product(t.coarse, q.coarse) DESC, t.song_id) <= 10)
+SELECT t.song_id AS query_id, (SELECT count(*) FROM a JOIN b USING (query_id, song_id) WHERE a.query_id = t.song_id) AS shared FROM tracks t WHERE t.song_id % 100 = 0""",
     "rank_of_first": """, c AS (SELECT song_id, vector, list_transform(vector, lambda x: round(x * 8) / 8) AS coarse FROM tracks),
- a AS (SELECT q.song_id AS query_id, t.song_id FROM c t, c q WHERE q.song_id % 50 = 0 AND t.song_id <> q.song_id QUALIFY row_number() OVER (PARTITION BY q.song_id ORDER BY list_dot_product(t.vector, q.vector) DESC, t.song_id) = 1),
- b AS (SELECT q.song_id AS query_id, t.song_id, row_number() OVER (PARTITION BY q.song_id ORDER BY list_dot_product(t.coarse, q.coarse) DESC, t.song_id) AS r FROM c t, c q WHERE q.song_id % 50 = 0 AND t.song_id <> q.song_id)
+ a AS (SELECT q.song_id AS query_id, t.song_id FROM c t, c q WHERE q.song_id % 100 = 0 AND t.song_id <> q.song_id QUALIFY row_number() OVER (PARTITION BY q.song_id ORDER BY list_dot_product(t.vector, q.vector) DESC, t.song_id) = 1),
+ b AS (SELECT q.song_id AS query_id, t.song_id, row_number() OVER (PARTITION BY q.song_id ORDER BY list_dot_product(t.coarse, q.coarse) DESC, t.song_id) AS r FROM c t, c q WHERE q.song_id % 100 = 0 AND t.song_id <> q.song_id)
 SELECT query_id, song_id, r::INTEGER AS rank FROM a JOIN b USING (query_id, song_id) WHERE r <= 100""",
     "duplicate_groups": "SELECT duplicate_key, count(*) AS copies, min(song_id) AS first FROM keyed GROUP BY duplicate_key HAVING count(*) > 1",
     "songs_by_folder": "SELECT folder, count(*) AS songs, string_agg(song_id::VARCHAR, ',' ORDER BY title, song_id) AS ids FROM songs GROUP BY folder",
@@ -150,7 +150,7 @@ SELECT folder, count(song_id) AS analysed, count(*) AS songs FROM r GROUP BY fol
 SELECT label AS cluster, pos::INTEGER AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM s""",
     "score_statistics": f"SELECT round(avg({_COS}), 6) AS mean, round(stddev_pop({_COS}), 6) AS deviation FROM tracks t, tracks q WHERE q.song_id = 0",
     "covariance": """, m AS (SELECT pos, avg(x) AS m FROM flat GROUP BY pos), c AS (SELECT song_id, pos, x - m AS x FROM flat JOIN m USING (pos))
-SELECT p.pos::INTEGER AS i, q.pos::INTEGER AS j, round(sum(p.x * q.x), 4) AS g FROM c p JOIN c q USING (song_id) WHERE p.pos < 8 AND q.pos < 8 GROUP BY ALL
+SELECT p.pos::INTEGER AS i, q.pos::INTEGER AS j, round(sum(p.x * q.x), 4) AS g FROM c p JOIN c q ON p.song_id = q.song_id AND p.pos <= q.pos GROUP BY ALL
 UNION ALL SELECT -1, -1, round(sum(x * x), 4) FROM c""",
     "cluster_sizes": "SELECT label AS cluster, count(*) AS size, min(song_id) AS first FROM tracks GROUP BY label",
     "cluster_coverage": """, s AS (SELECT song_id % 37 % 11 - 1 AS cluster, count(*) AS size FROM tracks GROUP BY 1)
@@ -188,25 +188,24 @@ SELECT listener, min(played_at) AS start, count(*) AS listens, sum(played_ms)::B
 SELECT song_id, round(score, 6) AS score, round(CASE WHEN score >= 0.45 THEN 0.99::DOUBLE WHEN score <= 0.15 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (score - 0.15::DOUBLE) / (0.45::DOUBLE - 0.15::DOUBLE))) END, 6) AS shown FROM k""",
     "similar_tracks": f""", k AS (SELECT t.song_id, {_COS} AS score FROM tracks t, tracks q WHERE q.song_id = 0 AND t.song_id <> 0 ORDER BY score DESC, t.song_id LIMIT 30)
 SELECT song_id, title, artist, round(score, 6) AS score FROM k JOIN songs USING (song_id) ORDER BY score DESC, song_id""",
-    "smart_shuffle": f""", q0 AS (SELECT song_id % 2 AS queue_id, song_id, row_number() OVER (PARTITION BY song_id % 2 ORDER BY md5(song_id::VARCHAR)) - 1 AS position FROM tracks WHERE song_id % 3 = 0),
+    "smart_shuffle": f""", q0 AS (SELECT song_id % 2 AS queue_id, song_id, row_number() OVER (PARTITION BY song_id % 2 ORDER BY md5(song_id::VARCHAR)) - 1 AS position FROM tracks),
  n AS (SELECT queue_id, min(position) AS now FROM q0 WHERE song_id = 30 GROUP BY queue_id),
  s AS (SELECT q0.*, now, position > now AS up, CASE WHEN t.song_id IS NULL THEN -1.0::DOUBLE ELSE {_COS} END AS score
        FROM q0 JOIN n USING (queue_id) LEFT JOIN (SELECT * FROM tracks WHERE song_id % 5 <> 0 OR song_id = 30) t ON t.song_id = q0.song_id, (SELECT vector FROM tracks WHERE song_id = 30) q),
  r AS (SELECT *, row_number() OVER (PARTITION BY queue_id, up ORDER BY score DESC, position) AS r FROM s)
 SELECT queue_id, row_number() OVER (PARTITION BY queue_id ORDER BY CASE WHEN NOT up THEN 0 WHEN r <= 5 THEN 1 ELSE 2 END, CASE WHEN up AND r <= 5 THEN r ELSE position END) - 1 AS position, song_id FROM r""",
     "all_folder_first": "SELECT 0 AS ordinal, 'All tracks' AS folder, count(*) AS songs FROM songs UNION ALL SELECT 1, folder, count(*) FROM songs GROUP BY folder",
-    "playlist_append": """, h AS (SELECT 'p' || (song_id % 3) AS name, song_id // 3 AS position, song_id FROM tracks WHERE song_id < 60),
+    "playlist_append": """, h AS (SELECT 'p' || (song_id % 3) AS name, song_id // 6 AS position, song_id FROM tracks WHERE song_id % 2 = 0),
  e AS (SELECT name, max(position) + 1 AS e FROM h GROUP BY name),
- m AS (SELECT 'p' || (song_id % 3) AS name, song_id FROM tracks WHERE song_id >= 60 AND song_id < 120)
+ m AS (SELECT 'p' || (song_id % 3) AS name, song_id FROM tracks WHERE song_id % 2 <> 0)
 SELECT name, position, song_id FROM h UNION ALL SELECT m.name, coalesce(e, 0) + row_number() OVER (PARTITION BY m.name ORDER BY song_id DESC) - 1, song_id FROM m LEFT JOIN e USING (name)""",
-    "remembered_union": "SELECT DISTINCT song_id FROM tracks WHERE label < 4",
-    "neighbour_overlap": """, l AS (SELECT listener, list_distinct(list(song_id)) AS s FROM listens WHERE listener BETWEEN 1 AND 6 GROUP BY listener)
-SELECT x.listener AS a, y.listener AS b, len(list_intersect(x.s, y.s))::INTEGER AS shared FROM l x JOIN l y ON x.listener < y.listener""",
-    "favourites_toggled": """, a AS (SELECT song_id, id, event_type FROM plays WHERE listener < 20), d AS (SELECT song_id, max(id) AS since FROM a WHERE event_type = 'error' GROUP BY song_id)
+    "remembered_union": "SELECT DISTINCT song_id FROM tracks",
+    "favourites_heard": "SELECT listener, count(DISTINCT song_id) FILTER (WHERE song_id IN (SELECT song_id FROM favs))::INTEGER AS shared FROM listens GROUP BY listener",
+    "favourites_toggled": """, a AS (SELECT song_id, id, event_type FROM plays), d AS (SELECT song_id, max(id) AS since FROM a WHERE event_type = 'error' GROUP BY song_id)
 SELECT song_id FROM a LEFT JOIN d USING (song_id) WHERE event_type = 'click' AND (since IS NULL OR id > since) GROUP BY song_id HAVING count(*) % 2 = 1""",
     "playlist_replaced": """, p AS (SELECT 'list ' || label AS name, song_id AS position FROM tracks WHERE label NOT IN (1, 2) UNION ALL SELECT 'list 1', song_id // 17 FROM favs)
 SELECT name, count(*) AS songs, max(position) AS last FROM p GROUP BY name""",
-    "queue_edits": """, q AS (SELECT label, list(song_id ORDER BY song_id)[1:8] AS q FROM tracks GROUP BY label)
+    "queue_edits": """, q AS (SELECT label, list(song_id ORDER BY song_id) AS q FROM tracks GROUP BY label)
 SELECT label, array_to_string(q[1:2] || q[4:], ',') AS removed, array_to_string([q[1]] || q[3:5] || [q[2]] || q[6:], ',') AS moved,
  array_to_string(q[1:3] || [-7] || q[4:], ',') AS inserted, array_to_string(q || [-9], ',') AS appended FROM q""",
     "remembered_days": """, d AS (SELECT '2024-01-1' || label AS day, count(*) AS n FROM tracks GROUP BY label)
@@ -233,7 +232,7 @@ SELECT unnest(range(len(v)))::INTEGER AS pos, round(unnest(v), 6) AS x FROM b1""
  s AS (SELECT CASE WHEN list_dot_product(coarse, coarse) > 0 THEN list_cosine_similarity(vector, coarse) ELSE 0.0::DOUBLE END AS s FROM c)
 SELECT round(min(s), 6) AS worst, round(avg(s), 6) AS mean FROM s""",
     "alignment_report": f"SELECT label_idx, round(max({_COS}), 6) AS peak, round(avg({_COS}), 6) AS mean, round(stddev_pop({_COS}), 6) AS deviation FROM tracks t, labelv q GROUP BY label_idx",
-    "tracked_departures": "SELECT listener, count(*) AS departures, sum(played_ms)::BIGINT AS played_ms, sum(duration_ms)::BIGINT AS duration_ms FROM plays WHERE listener < 50 GROUP BY listener",
+    "tracked_departures": "SELECT listener, count(*) AS departures, sum(played_ms)::BIGINT AS played_ms, sum(duration_ms)::BIGINT AS duration_ms FROM plays GROUP BY listener",
 }
 
 #: Density clusters by a recursive query: labels spread over links of cores until nothing changes.

@@ -319,7 +319,7 @@ def rank_agreement(spark, sf_dir):
     """How many of each query's ten nearest stay under a coarse quantisation of the vectors."""
     t = S.tracks(spark, sf_dir).select("song_id", V.doubles(F.col("vector")).alias("vector"))
     coarse = t.select("song_id", F.transform("vector", lambda x: F.round(x * 8) / 8).alias("vector"))
-    ask = lambda df: df.where(F.col("song_id") % 25 == 0).select(F.col("song_id").alias("query_id"), "vector")
+    ask = lambda df: df.where(F.col("song_id") % 100 == 0).select(F.col("song_id").alias("query_id"), "vector")
     a, b = similarity.neighbours(t, ask(t), 10), similarity.neighbours(coarse, ask(coarse), 10)
     both = a.select("query_id", "song_id").join(b.select("query_id", "song_id"), ["query_id", "song_id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("shared"))
     return ask(t).select("query_id").join(both, "query_id", "left").select("query_id", F.coalesce("shared", F.lit(0)).alias("shared"))
@@ -330,7 +330,7 @@ def rank_of_first(spark, sf_dir):
     """The rank that coarse vectors give to each query's nearest by exact ones."""
     t = S.tracks(spark, sf_dir).select("song_id", V.doubles(F.col("vector")).alias("vector"))
     coarse = t.select("song_id", F.transform("vector", lambda x: F.round(x * 8) / 8).alias("vector"))
-    ask = lambda df: df.where(F.col("song_id") % 50 == 0).select(F.col("song_id").alias("query_id"), "vector")
+    ask = lambda df: df.where(F.col("song_id") % 100 == 0).select(F.col("song_id").alias("query_id"), "vector")
     first = similarity.neighbours(t, ask(t), 1).select("query_id", "song_id")
     return similarity.neighbours(coarse, ask(coarse), 100).join(first, ["query_id", "song_id"]).select("query_id", "song_id", "rank")
 
@@ -403,12 +403,12 @@ def score_statistics(spark, sf_dir):
 
 @query
 def covariance(spark, sf_dir):
-    """The unscaled Gram matrix of the centred vectors: its trace and its leading corner."""
+    """The unscaled Gram matrix of the centred vectors (upper triangle), and its trace at (-1, -1)."""
     t = S.tracks(spark, sf_dir).select("song_id", F.posexplode("vector").alias("pos", "x"))
     means = t.groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
     c = t.join(F.broadcast(means), "pos").select("song_id", "pos", (F.col("x").cast("double") - F.col("mean")).alias("x"))
-    corner = c.where(F.col("pos") < 8)
-    gram = corner.alias("p").join(corner.alias("q"), "song_id").groupBy(F.col("p.pos").alias("i"), F.col("q.pos").alias("j")).agg(F.round(F.sum(F.col("p.x") * F.col("q.x")), 4).alias("g"))
+    p, q = c.alias("p"), c.alias("q")
+    gram = p.join(q, (F.col("p.song_id") == F.col("q.song_id")) & (F.col("p.pos") <= F.col("q.pos"))).groupBy(F.col("p.pos").alias("i"), F.col("q.pos").alias("j")).agg(F.round(F.sum(F.col("p.x") * F.col("q.x")), 4).alias("g"))
     trace = c.agg(F.round(F.sum(F.col("x") * F.col("x")), 4).alias("g")).select(F.lit(-1).alias("i"), F.lit(-1).alias("j"), "g")
     return gram.unionByName(trace)
 
@@ -539,7 +539,7 @@ def similar_tracks(spark, sf_dir):
 @query
 def smart_shuffle(spark, sf_dir):
     t = S.tracks(spark, sf_dir)
-    q = t.where(F.col("song_id") % 3 == 0).select((F.col("song_id") % 2).alias("queue_id"), "song_id")
+    q = t.select((F.col("song_id") % 2).alias("queue_id"), "song_id")
     q = q.withColumn("position", F.row_number().over(Window.partitionBy("queue_id").orderBy(F.md5(F.col("song_id").cast("string").cast("binary")))).cast("long") - 1)
     return similarity.smart_shuffle(q, t.where(F.col("song_id") % 5 != 0).unionByName(t.where(F.col("song_id") == 30)), 30)
 
@@ -557,28 +557,29 @@ def all_folder_first(spark, sf_dir):
 def playlist_append(spark, sf_dir):
     t = S.tracks(spark, sf_dir)
     name = F.concat(F.lit("p"), (F.col("song_id") % 3).cast("string")).alias("name")
-    have = t.where(F.col("song_id") < 60).select(name, F.floor(F.col("song_id") / 3).cast("long").alias("position"), "song_id")
-    more = t.where((F.col("song_id") >= 30) & (F.col("song_id") < 120)).select(name, (-F.col("song_id")).alias("place"), "song_id")
+    have = t.where(F.col("song_id") % 2 == 0).select(name, F.floor(F.col("song_id") / 6).cast("long").alias("position"), "song_id")
+    more = t.select(name, (-F.col("song_id")).alias("place"), "song_id")
     return sets.appended(have, more)
 
 
 @query
 def remembered_union(spark, sf_dir):
     days = S.tracks(spark, sf_dir).groupBy(F.col("label").alias("day")).agg(F.collect_list("song_id").alias("ids"))
-    return days.where(F.col("day") < 4).select(F.explode("ids").alias("song_id")).distinct()
+    return days.select(F.explode("ids").alias("song_id")).distinct()
 
 
 @query
-def neighbour_overlap(spark, sf_dir):
-    l = _listens(spark, sf_dir).groupBy("listener").agg(F.collect_set("song_id").alias("s"))
-    pair = l.where(F.col("listener").isin(1, 2, 3, 4, 5, 6))
-    return pair.alias("x").join(pair.alias("y"), F.col("x.listener") < F.col("y.listener")).select(F.col("x.listener").alias("a"), F.col("y.listener").alias("b"), F.size(F.array_intersect("x.s", "y.s")).alias("shared"))
+def favourites_heard(spark, sf_dir):
+    """How many of the favourites each listener has heard: the size of an intersection."""
+    fav = S.favourites(spark, sf_dir).agg(F.collect_set("song_id").alias("f"))
+    heard = _listens(spark, sf_dir).groupBy("listener").agg(F.collect_set("song_id").alias("s"))
+    return heard.crossJoin(F.broadcast(fav)).select("listener", F.size(F.array_intersect("s", "f")).alias("shared"))
 
 
 @query
 def favourites_toggled(spark, sf_dir):
     kind = F.when(F.col("event_type") == "error", "dislike").when(F.col("event_type") == "click", "toggle").otherwise("none")
-    a = S.play_events(spark, sf_dir).where(F.col("listener") < 20).select("song_id", F.col("id").alias("at"), kind.alias("kind"))
+    a = S.play_events(spark, sf_dir).select("song_id", F.col("id").alias("at"), kind.alias("kind"))
     return sets.toggled(a)
 
 
@@ -592,7 +593,7 @@ def playlist_replaced(spark, sf_dir):
 @query
 def queue_edits(spark, sf_dir):
     ids = F.array_sort(F.collect_list("song_id"))
-    q = S.tracks(spark, sf_dir).groupBy("label").agg(F.slice(ids, 1, 8).alias("q"))
+    q = S.tracks(spark, sf_dir).groupBy("label").agg(ids.alias("q"))
     s = lambda c: F.array_join(c.cast("array<string>"), ",")
     q = q.withColumn("first", F.col("q")[2])
     return q.select("label", s(sets.removed_at(F.col("q"), 2)).alias("removed"), s(sets.moved(F.col("q"), 1, 4)).alias("moved"), s(sets.after_current(F.col("q"), F.col("first"), F.lit(-7).cast("long"))).alias("inserted"), s(F.concat("q", F.array(F.lit(-9).cast("long")))).alias("appended"))
@@ -740,7 +741,7 @@ def alignment_report(spark, sf_dir):
 
 
 def _player_events(spark, sf_dir):
-    e = S.play_events(spark, sf_dir).where(F.col("listener") < 50)
+    e = S.play_events(spark, sf_dir)
     ts = F.timestamp_millis("played_at")
     row = lambda kind, at, pos: F.struct(F.lit(kind).alias("kind"), at.alias("ts"), pos.cast("bigint").alias("position_ms"))
     half = F.floor(F.col("played_ms") / 2)
