@@ -71,8 +71,11 @@ def clock(ms: Column) -> Column:
 
 def size_text(b: Column) -> Column:
     """A number of bytes in GB, MB or KB."""
-    f = lambda unit, name: F.concat(F.format_number(F.round(b / F.lit(unit), 1), "0.0"), F.lit(name))
-    return F.when(b >= 1 << 30, f(float(1 << 30), " GB")).when(b >= 1 << 20, f(float(1 << 20), " MB")).otherwise(f(1024.0, " KB"))
+
+    def written(unit: int, name: str) -> Column:
+        return F.format_string(f"%.1f {name}", b / F.lit(float(unit)))
+
+    return F.when(b >= 1 << 30, written(1 << 30, "GB")).when(b >= 1 << 20, written(1 << 20, "MB")).otherwise(written(1 << 10, "KB"))
 
 
 def hash_uniform(seed: Column | str | int, key: Column) -> Column:
