@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 #: Words that a worker remembers the ids of, at most; then it starts anew.
-REMEMBERED = 3 << 17
+REMEMBERED = 3 << 18
 #: Bytes of text that are tokenized at a time; a word that comes again in them is looked up once.
 PIECE = 2 << 20
 
