@@ -79,3 +79,23 @@ def test_curriculum(spark):
     assert places == sorted(places) and 0 <= places[0] and places[-1] <= 1
     t = spark.range(11).select((F.col("id") / 10).alias("d")).select("d", mixing.time_of(F.col("d"), F.lit(1.5), F.lit(0.5)).alias("t")).collect()
     assert all(abs(1.5 * r["t"] - 0.5 * r["t"] ** 2 - r["d"]) < 1e-9 for r in t)
+
+
+def test_mix_query_is_in_the_order_of_training(spark, sf):
+    got = QUERIES["op2_curriculum_mix"](spark, sf).collect()
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    rank = {r["doc_id"]: r["__rank"] for r in mixing.with_places(table.select("doc_id", "source", "text")).select("doc_id", "__rank").collect()}
+    before = {r["doc_id"]: r["__before"] for r in mixing.with_places(table.select("doc_id", "source", "text")).select("doc_id", "__before").collect()}
+    times = []
+    for r in got:
+        stop = min(before[r["doc_id"]] + r["size"], r["target"])
+        d = (before[r["doc_id"]] + stop) / 2 / r["target"]
+        a, b = (1.5, 0.5) if rank[r["doc_id"]] % 2 == 0 else (0.5, 1.5)
+        times.append(2.0 if d >= 1 else ((a * a + 2 * (b - a) * d) ** 0.5 - a) / (b - a))
+        assert d < 1 or r["taken"] == 0
+    assert all(x <= y + 1e-9 for x, y in zip(times, times[1:])) and times[0] < 0.1 and 0.9 < max(t for t in times if t < 2)
+    # Whole copies, as the curriculum reads them first, come in the same order but for the document over the target.
+    first = list(dict.fromkeys(r["doc_id"] for r in mixing.curriculum(table).select("doc_id").collect()))
+    have = [r["doc_id"] for r in got]
+    cut = {r["doc_id"] for r in got if before[r["doc_id"]] < r["target"] < before[r["doc_id"]] + r["size"]}
+    assert [i for i in first if i not in cut] == [i for i in have if i in set(first) - cut]

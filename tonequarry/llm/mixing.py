@@ -99,6 +99,21 @@ def time_of(demand: Column, start: Column, end: Column) -> Column:
     return F.when(slope == 0, demand / start).otherwise((root - start) / slope)
 
 
+def position(middle: Column) -> Column:
+    """The training time at which the mix reads what lies at this word of the stream of a row of with_places; null beyond the target."""
+    start, end = times(F.col("__rank"))
+    return F.when(middle < F.col("__target"), time_of(middle / F.col("__target"), start, end))
+
+
+def in_order(placed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of with_places and __position, where training first reads them; range-sorted by it, those it never reads last.
+
+    A document over the target, of which the mix counts the words before it, stands where those words do.
+    """
+    stop = F.least(F.col("__before") + F.col("__size"), F.col("__target"))
+    return placed.withColumn("__position", position((F.col("__before") + stop) / 2)).orderBy(F.col("__position").asc_nulls_last(), id_col)
+
+
 def curriculum(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **targets) -> DataFrame:
     """The mix itself: docs' columns and __position, a row for each copy that training reads, range-sorted by position.
 
@@ -110,7 +125,5 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     passes = placed.withColumn("__pass", F.explode(F.array(F.lit(0), F.lit(1))))
     middle = F.col("__before") + F.col("__pass") * F.col("__source_size") + F.col("__size") / 2
     chosen = passes.withColumn("__middle", middle).where((F.col("__middle") < F.col("__target")) & ((F.col("__pass") == 0) | (F.col("__size") > 0)))
-    start, end = times(F.col("__rank"))
-    position = time_of(F.col("__middle") / F.col("__target"), start, end)
-    out = chosen.select(*docs.columns, position.alias("__position"))
+    out = chosen.select(*docs.columns, position(F.col("__middle")).alias("__position"))
     return out.orderBy("__position", id_col)

@@ -15,7 +15,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "source", "text")
-    placed = mixing.with_places(docs)
+    # A row per document and these columns are what the SQL fixes; the schedule decides the order of the rows.
+    placed = mixing.in_order(mixing.with_places(docs))
     return placed.select(
         "doc_id",
         F.col("__size").alias("size"),
