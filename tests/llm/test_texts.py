@@ -230,3 +230,20 @@ def test_chunks_are_bounded():
     batch = pa.RecordBatch.from_pydict({"id": list(range(100)), "text": [None if k % 7 == 0 else "x" * (k * 10) for k in range(100)]})
     parts = list(chunks(iter([batch]), "text", 3000))
     assert sum(p.num_rows for p in parts) == 100 and all(p.num_rows == 1 or p.column(1).nbytes < 6000 for p in parts)
+
+
+def test_scores_hold_every_context(spark, table):
+    rows = [(r["doc_id"], r["text"], None) for r in table[:60]]
+    own = [x.encode().translate(lm_score._LOWER) for _, x, _ in rows]
+    g = lm_score.grams([x for x, r in zip(own, rows, strict=True) if not held(r[0], 7, 2)])
+    # So large that contexts seen once were below the share of the corpus that a node once needed.
+    assert len(g) > 2 << 16
+    levels = []
+    for d in range(lm_score.DEPTH + 1):
+        context, at = np.unique(g >> (8 * (lm_score.DEPTH - d + 1)), return_inverse=True)
+        counts = np.zeros((len(context), 256), dtype=np.int64)
+        np.add.at(counts, (at, g & 255), 1)
+        levels.append((context, counts))
+    want = lm_score.log_probabilities(own, lm_score.weighted(levels))
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs(spark, rows)).collect()}
+    assert all(abs(got[r[0]] - w) < 1e-4 * abs(w) for r, w in zip(rows, want, strict=True))
