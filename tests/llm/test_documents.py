@@ -197,3 +197,15 @@ def test_pipeline(spark, sf):
     assert ids[3] == {i for i, (_, comp) in want.items() if i == comp}
     assert seen[5].columns[-2:] == ["sequence_id", "offset"]
     assert seen[5].where("start = 0").count() == seen[4].count()
+
+
+@pytest.mark.parametrize("length", [64, 512])
+def test_likeness_does_not_hang_on_length(length):
+    words = [f"w{k:03d}" for k in range(200)]
+    long = " ".join(words)[: length + 10]
+    short = long[: length - 10]
+    a, b = (set(fingerprint.digests(t).tolist()) for t in (long, short))
+    assert len(a & b) / len(a | b) > 0.6
+    # The order of words counts, and so do repetitions and line ends.
+    sets = [frozenset(fingerprint.digests(t).tolist()) for t in ("a b c", "c b a", "a b c a b c", "a b\nc", "a")]
+    assert len(set(sets)) == 5 and sets[4] < sets[0] < sets[2]

@@ -25,9 +25,7 @@ from .common import chunks
 PARTS = 3
 #: Cells to a part of the table that is published, and the factor by which a failed size grows.
 CELLS, GROWTH = 8, 6
-#: A paragraph (line) is cut to runs of this many words; texts of fewer code points than these have units of a word, or of three characters.
-RUN, WORDS_BELOW, GRAMS_BELOW = 8, 512, 64
-#: In lines of longer words than this on average, words are cut to pieces of as many bytes.
+#: Words of more bytes than this are cut to pieces of as many.
 LONG = 32
 _U = np.uint64
 
@@ -39,29 +37,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def digests(text: str) -> np.ndarray:
-    """The ascending distinct 64-bit digests of a text's paragraphs: each line's words, in runs of RUN from its start.
+    """The ascending distinct 64-bit digests of a text's paragraphs: each word of a line with the word before it, whatever the text's length.
 
-    A run that comes again has another digest each time, so repetitions count.
+    The first word of a line has none before it. A pair that comes again has another digest each time, so
+    repetitions count.
     """
     hashed = xxhash.xxh3_64_intdigest
-    n = len(text)
-    if n < GRAMS_BELOW:
-        units = [text[k : k + 3].encode("utf-8", "replace") for k in range(max(1, n - 2))] if n else []
-    else:
-        run = RUN if n >= WORDS_BELOW else 1
-        units = []
-        for line in text.encode("utf-8", "replace").split(b"\n"):
-            words = line.split()
-            if len(line) > LONG * len(words) and words:
-                words = [w[k : k + LONG] for w in words for k in range(0, len(w), LONG)]
-            units += [b" ".join(words[k : k + run]) for k in range(0, len(words), run)]
-    seen: dict[bytes, int] = {}
-    found = []
-    for u in units:
-        times = seen.get(u, 0)
-        seen[u] = times + 1
-        found.append(hashed(u, times))
-    return np.unique(np.asarray(found, dtype=np.uint64))
+    found, firsts = [], []
+    for line in text.encode("utf-8", "replace").split(b"\n"):
+        words = line.split()
+        if len(line) > LONG and words and max(map(len, words)) > LONG:
+            words = [w[k : k + LONG] for w in words for k in range(0, len(w), LONG)]
+        if words:
+            firsts.append(len(found))
+            found += map(hashed, words)
+    own = np.asarray(found, dtype=np.uint64)
+    before = np.zeros_like(own)
+    before[1:] = own[:-1]
+    before[firsts] = 0
+    pair = np.sort(_mixed(own + _mixed(before + _U(0x9E3779B97F4A7C15))))
+    new = np.ones(len(pair), dtype=bool)
+    new[1:] = pair[1:] != pair[:-1]
+    first = np.flatnonzero(new)
+    times = np.arange(len(pair)) - np.repeat(first, np.diff(np.append(first, len(pair))))
+    return np.unique(_mixed(pair + times.astype(np.uint64) * _U(0xD1342543DE82EF95)))
 
 
 def cells_of(x: np.ndarray, part: int, cells: int, seed: int) -> np.ndarray:
