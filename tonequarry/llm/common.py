@@ -54,6 +54,20 @@ def chunks(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = C
             start = stop
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow in batches of bounded size."""
+    bounded(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most 2000 rows and 8 MB, where the session still has Spark's own sizes."""
+    for name, usual, own in (("maxRecordsPerBatch", ("10000",), "2000"), ("maxBytesPerBatch", ("-1", "64MB", "67108864", "67108864b", "256MB", "268435456", None), str(8 << 20))):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, None) in usual:
+            spark.conf.set(key, own)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", limit: int = CHUNK) -> DataFrame:
     """fn over df in pieces of bounded size, in Arrow batches."""
 
@@ -63,4 +77,4 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             if out is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)

@@ -5,14 +5,14 @@ one to DEPTH bytes before it. A node holds its Krichevsky-Trofimov estimate and
 the product of its children, one byte further back. Every context of the training texts is a node, so the
 model grows with the corpus and is never in one place: each block of texts asks once for its different
 (context, next byte), with their training counts; these are dealt by the three bytes before, so that whole
-subtrees meet in a task, which sums the counts and weighs its nodes. The nodes of up to TOP bytes are weighed on
-the driver (256**TOP contexts at most) from the sums of those tasks; then each task answers its blocks.
+subtrees meet in a task, which sums the counts and weighs its nodes, the trees of one bit of a byte after the
+other. The nodes of up to TOP bytes are weighed on the driver (256**TOP contexts at most) from the sums of
+those tasks; then each task answers its blocks.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, chunks, remainder, texts
+from . import blocks as B
+from .common import ascii_lower, in_arrow, remainder, texts
 
 DEPTH = 5
 #: Contexts of at most so many bytes are weighed on the driver, longer ones where their first TOP + 1 bytes are dealt to.
 TOP = 2
-#: Bytes of text for each task of longer contexts; (context, byte) that a task holds before it passes them on.
-DEAL, HELD = 1 << 25, 1 << 21
+#: Bytes of text for each task of longer contexts.
+DEAL = 1 << 25
 #: Nodes whose decisions are worked out at a time.
 ROWS = 1024
 #: Words whose counts are broadcast; the others' counts are joined.
@@ -176,9 +177,7 @@ class Decisions:
     left: np.ndarray | float = 1.0
 
 
-def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(key, return_inverse=True)
-    return key, np.bincount(at, weights=n, minlength=len(key))
+Levels = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def _shorter(key: np.ndarray) -> np.ndarray:
@@ -190,174 +189,126 @@ def _heap(gram: np.ndarray, b: int) -> np.ndarray:
     return (gram & ~255) | (1 << b) | ((gram & 255) >> (8 - b))
 
 
-def decisions(gram: np.ndarray, n: np.ndarray, top: int, bottom: int) -> dict[int, list[Decisions]]:
-    """By depth, the decisions by bit of ascending (context of bottom bytes << 8 | byte) and their counts."""
+def levels(gram: np.ndarray, n: np.ndarray, top: int, bottom: int) -> Levels:
+    """By depth, the ascending (context << 8 | byte) and their counts, from those with contexts of bottom bytes."""
+    out = {bottom: (gram, n)}
+    for d in range(bottom - 1, top - 1, -1):
+        out[d] = B.summed(_shorter(out[d + 1][0]), out[d + 1][1])
+    return out
+
+
+def decisions(by: Levels, b: int) -> dict[int, Decisions]:
+    """By depth, the decisions on bit b."""
     out = {}
-    for d in range(bottom, top - 1, -1):
-        if d < bottom:
-            gram, n = _summed(_shorter(gram), n)
-        out[d] = []
-        for b in range(8):
-            key, every = _summed(_heap(gram, b), n)
-            one = np.bincount(np.searchsorted(key, _heap(gram, b)), weights=n * ((gram >> (7 - b)) & 1), minlength=len(key))
-            out[d].append(Decisions(key, every - one, one))
+    for d, (gram, n) in by.items():
+        # The keys ascend as the grams do.
+        key = _heap(gram, b)
+        starts = B.runs(key)
+        total = lambda x, s=starts: np.add.reduceat(x, s) if len(s) else np.empty(0)
+        one = total(n * ((gram >> (7 - b)) & 1))
+        out[d] = Decisions(key[starts], total(n) - one, one)
     return out
 
 
-def upwards(trees: dict[int, list[Decisions]], below: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sets the shares, given each bit's keys and log weighted probabilities below the deepest; returns those for the depth above."""
+def upwards(trees: dict[int, Decisions], below: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sets the shares, given the keys and log weighted probabilities below the deepest; returns those for the depth above."""
     for d in sorted(trees, reverse=True):
-        above = []
-        for b, t in enumerate(trees[d]):
-            value = _log_kt(t.zero, t.one)
-            if below is not None:
-                key, v = below[b]
-                both = np.logaddexp(value, np.bincount(np.searchsorted(t.key, key), weights=v, minlength=len(t.key)))
-                t.share, value = np.exp(value - both), both - math.log(2)
-            above.append(_summed(_shorter(t.key), value) if d else (t.key, value))
-        below = above
+        t = trees[d]
+        value = _log_kt(t.zero, t.one)
+        if below is not None:
+            key, v = below
+            both = np.logaddexp(value, np.bincount(np.searchsorted(t.key, key), weights=v, minlength=len(t.key)))
+            t.share, value = np.exp(value - both), both - math.log(2)
+        below = B.summed(_shorter(t.key), value) if d else (t.key, value)
     return below
 
 
-def downwards(trees: dict[int, list[Decisions]], above: list[Decisions] | None = None) -> None:
+def downwards(trees: dict[int, Decisions], above: Decisions | None = None) -> None:
     """Sets the mixture over depths, and what is left for those below."""
     for d in sorted(trees):
-        for b, t in enumerate(trees[d]):
-            mixed, left = np.zeros(len(t.key)), np.ones(len(t.key))
-            if above is not None:
-                at = np.searchsorted(above[b].key, _shorter(t.key))
-                mixed, left = above[b].mixed[at], above[b].left[at]
-            t.mixed, t.left = mixed + left * t.share * ((t.one + 0.5) / (t.zero + t.one + 1)), left * (1 - t.share)
-        above = trees[d]
-
-
-def gram_logs(gram: np.ndarray, trees: dict[int, list[Decisions]]) -> np.ndarray:
-    """log10 of the probability of each byte after its context; where no deeper node has the decision, those left say a half."""
-    logs = np.zeros(len(gram))
-    for b in range(8):
-        p = np.full(len(gram), 0.5)
-        open_ = np.arange(len(gram))
-        for d in range(DEPTH, -1, -1):
-            t = trees[d][b]
-            if not len(t.key) or not len(open_):
-                continue
-            g = gram[open_]
-            key = _heap(((g >> (8 * (DEPTH - d + 1))) << 8) | (g & 255), b)
-            at = np.minimum(np.searchsorted(t.key, key), len(t.key) - 1)
-            have = t.key[at] == key
-            p[open_[have]] = t.mixed[at[have]] + 0.5 * t.left[at[have]]
-            open_ = open_[~have]
-        logs += np.log10(np.where((gram >> (7 - b)) & 1, p, 1 - p))
-    return logs
-
-
-def _packed(ascending: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(ascending, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel())
+        t = trees[d]
+        mixed, left = np.zeros(len(t.key)), np.ones(len(t.key))
+        if above is not None:
+            at = np.searchsorted(above.key, _shorter(t.key))
+            mixed, left = above.mixed[at], above.left[at]
+        t.mixed, t.left = mixed + left * t.share * ((t.one + 0.5) / (t.zero + t.one + 1)), left * (1 - t.share)
+        above = t
+
+
+def bit_logs(gram: np.ndarray, trees: dict[int, Decisions], b: int) -> np.ndarray:
+    """log10 of the probability of bit b of each byte after its context; where no deeper node has the decision, those left say a half."""
+    p = np.full(len(gram), 0.5)
+    open_ = np.arange(len(gram))
+    for d in range(DEPTH, -1, -1):
+        t = trees[d]
+        if not len(t.key) or not len(open_):
+            continue
+        g = gram[open_]
+        key = _heap(((g >> (8 * (DEPTH - d + 1))) << 8) | (g & 255), b)
+        at = np.minimum(np.searchsorted(t.key, key), len(t.key) - 1)
+        have = t.key[at] == key
+        p[open_[have]] = t.mixed[at[have]] + 0.5 * t.left[at[have]]
+        open_ = open_[~have]
+    return np.log10(np.where((gram >> (7 - b)) & 1, p, 1 - p))
 
 
 def asked(blocks: DataFrame, deals: int) -> DataFrame:
-    """(block, deal, gram, n): the different grams of each block of (__block, __held, __text_of), and their training counts, packed."""
+    """The different grams of each block of (__held, __text_of), and their training counts."""
 
-    def rows(block: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        gram, n = _summed(np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held]))
+    def of(piece: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+        own, out, found = _folded(piece.column("__text_of")), np.asarray(piece.column("__held").to_pylist(), dtype=bool), []
+        for trained in (True, False):
+            g, n = np.unique(grams([own[k] for k in np.flatnonzero(out != trained).tolist()]), return_counts=True)
+            found.append((g, n * float(trained)))
+        return found
+
+    def deal(gram: np.ndarray) -> np.ndarray:
         prefix = (gram >> (8 * (DEPTH - TOP))).astype(np.uint64)
-        deal = ((prefix * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % deals
-        order = np.argsort(deal, kind="stable")
-        found, first = np.unique(deal[order], return_index=True)
-        parts = np.split(order, first[1:])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([block] * len(found), pa.int32()), pa.array(found.astype(np.int32)), pa.array([_packed(gram[k]) for k in parts], pa.binary()), pa.array([zlib.compress(n[k].astype("<u4").tobytes(), 1) for k in parts], pa.binary())],
-            ["block", "deal", "gram", "n"],
-        )
+        return ((prefix * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % deals
 
-    def run(batches):
-        at, held = None, []
-        for batch in chunks(batches, "__text_of"):
-            own, block, out = _folded(batch.column(2)), np.asarray(batch.column(0)), np.asarray(batch.column(1).to_pylist(), dtype=bool)
-            for one in np.unique(block).tolist():
-                if held and (one != at or sum(len(g) for g, _ in held) > HELD and len(held) == 1):
-                    yield rows(at, held)
-                    held = []
-                at = one
-                for trained in (True, False):
-                    g = grams([own[k] for k in np.flatnonzero((block == one) & (out != trained)).tolist()])
-                    if len(g):
-                        g, n = np.unique(g, return_counts=True)
-                        held.append((g, n * float(trained)))
-                if sum(len(g) for g, _ in held) > HELD:
-                    held = [_summed(np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held]))]
-        if held:
-            yield rows(at, held)
-
-    return blocks.select("__block", "__held", "__text_of").mapInArrow(run, "block int, deal int, gram binary, n binary")
-
-
-def _gathered(batches) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
-    """(block, grams) of all rows; their different grams; the training counts of these."""
-    held, gram, n = [], np.empty(0, np.int64), np.empty(0)
-    for batch in batches:
-        new, counts = [gram], [n]
-        for block, g, c in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-            held.append((block, g))
-            new.append(_unpacked(g))
-            counts.append(np.frombuffer(zlib.decompress(c), dtype="<u4").astype(np.float64))
-        gram, n = _summed(np.concatenate(new), np.concatenate(counts))
-    return held, gram, n
+    return in_arrow(blocks, lambda batches: B.asked(B.unfolded_blocks(batches), of, deal), B.ASKED)
 
 
 def answered(wanted: DataFrame, deals: int) -> DataFrame:
-    """(block, gram, logs), packed, from the rows of asked."""
+    """The log10 probabilities of the grams of the rows of asked."""
 
-    def lower(gram, n):
+    def lower(gram: np.ndarray, n: np.ndarray) -> Levels:
         seen = n > 0
-        trees = decisions(gram[seen], n[seen], TOP + 1, DEPTH)
-        return trees, upwards(trees)
+        return levels(gram[seen], n[seen], TOP + 1, DEPTH)
 
     def sums(batches):
-        _, gram, n = _gathered(batches)
+        _, gram, n = B.gathered(batches)
         if (n > 0).any():
-            _, values = lower(gram, n)
-            cells = _summed(((gram >> (8 * (DEPTH - TOP + 1))) << 8) | (gram & 255), n)
-            for kind, (key, v) in enumerate((*values, cells)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(v)], ["kind", "key", "v"])
+            by = lower(gram, n)
+            rows = lambda kind, key, v: pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(v)], ["kind", "key", "v"])
+            for b in range(8):
+                yield rows(b, *upwards(decisions(by, b)))
+            yield rows(8, *B.summed(((gram >> (8 * (DEPTH - TOP + 1))) << 8) | (gram & 255), n))
 
     dealt = wanted.repartition(deals, "deal")
-    got = dealt.mapInArrow(sums, "kind int, key bigint, v double").groupBy("kind", "key").agg(F.sum("v").alias("v")).orderBy("kind", "key").toArrow()
+    got = in_arrow(dealt, sums, "kind int, key bigint, v double").groupBy("kind", "key").agg(F.sum("v").alias("v")).orderBy("kind", "key").toArrow()
     kind, key, v = (got[c].to_numpy() for c in ("kind", "key", "v"))
-    of = lambda k: (key[kind == k], v[kind == k])
-    cells = of(8)
-    seen = cells[1] > 0
-    top = decisions(cells[0][seen], cells[1][seen], 0, TOP)
-    upwards(top, [of(b) for b in range(8)])
-    downwards(top)
+    seen = (kind == 8) & (v > 0)
+    upper = levels(key[seen], v[seen], 0, TOP)
+    top = [decisions(upper, b) for b in range(8)]
+    for b, t in enumerate(top):
+        upwards(t, (key[kind == b], v[kind == b]))
+        downwards(t)
     shared = wanted.sparkSession.sparkContext.broadcast(top)
 
     def run(batches):
-        held, gram, n = _gathered(batches)
+        held, gram, n = B.gathered(batches)
         if not held:
             return
-        trees, _ = lower(gram, n)
-        downwards(trees, shared.value[TOP])
-        logs = gram_logs(gram, shared.value | trees).astype("<f4")
-        for block, raw in held:
-            own = logs[np.searchsorted(gram, _unpacked(raw))].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([raw], pa.binary()), pa.array([own], pa.binary())], ["block", "gram", "logs"])
-
-    return dealt.mapInArrow(run, "block int, gram binary, logs binary")
-
+        by, logs = lower(gram, n), np.zeros(len(gram))
+        for b, t in enumerate(shared.value):
+            trees = decisions(by, b)
+            upwards(trees)
+            downwards(trees, t[TOP])
+            logs += bit_logs(gram, t | trees, b)
+        yield from B.answers(held, gram, logs)
 
-def looked_up(own: list[bytes], gram: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each text and its end, from the logs of ascending grams, which hold all of theirs."""
-    found, at = np.unique(grams(own), return_inverse=True)
-    place = np.minimum(np.searchsorted(gram, found), len(gram) - 1)
-    if (gram[place] != found).any():
-        raise ValueError("a block of texts has changed since it asked for its contexts")
-    sums = np.concatenate(([0.0], np.cumsum(logs[place][at], dtype=np.float64)))
-    return np.diff(sums[np.concatenate(([0], np.cumsum([len(x) + 1 for x in own])))])
+    return in_arrow(dealt, run, B.ANSWERED)
 
 
 def _tokens(docs: DataFrame, text_col: str, *keep) -> DataFrame:
@@ -390,8 +341,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     end_log, unit = math.log10(ends + 1), math.log10(n + 1 * (v + 1))
 
     def rows_of(batch: pa.RecordBatch, gram: np.ndarray, by_gram: np.ndarray) -> pa.RecordBatch:
-        own = _folded(batch.column(1))
-        logs = looked_up(own, gram, by_gram)
+        own = _folded(batch.column("__text_of"))
+        by_byte = B.looked_up(grams(own), gram, by_gram)
+        bounds = np.concatenate(([0], np.cumsum([len(x) + 1 for x in own])))
+        logs = np.diff(np.concatenate(([0.0], np.cumsum(by_byte, dtype=np.float64)))[bounds])
         tokens, hits, base = [], [], []
         get = known.value.get
         for x in own:
@@ -402,39 +355,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             base.append(math.fsum(found) + end_log)
         size = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) + 1
         long = lambda x: pa.array(x, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), long([1] * len(own)), long(tokens), long(hits), pa.array(base, pa.float64()), pa.array(logs), long(size)], names)
+        return pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__text"), long([1] * len(own)), long(tokens), long(hits), pa.array(base, pa.float64()), pa.array(logs), long(size)], names)
 
     names = [id_col, "__text", "__rows", "n_tokens", "n_known", "__base", "score", "__bytes"]
     kind = docs.schema[id_col].dataType.simpleString()
-    # The blocks are the tasks of one reading, so they are written before they are asked about.
-    blocks = written(docs.select(F.spark_partition_id().alias("__block"), held.alias("__held"), F.col(text_col).alias("__text_of"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text")), "blocks")
+    # Written, so that those who ask are those who are answered.
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text_of"), held.alias("__held"), F.xxhash64(text_col).alias("__text"), F.spark_partition_id().alias("__part"))
+    blocks = written(B.folded(own, "__text_of"), "blocks")
     answers = answered(written(asked(blocks, deals), "asked"), deals)
-    mixed = answers.select(F.col("block").alias("__block"), F.lit(None).cast(kind).alias("__id"), F.lit(None).cast("string").alias("__text_of"), F.lit(None).cast("bigint").alias("__text"), "gram", "logs").unionByName(
-        blocks.select("__block", "__id", "__text_of", "__text"), allowMissingColumns=True
-    )
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), deals)
-    met = mixed.repartition(parts, "__block").sortWithinPartitions("__block", F.col("gram").isNull())
-
-    def run(batches):
-        at, held_, table = None, [], None
-        for batch in chunks(batches, "__text_of"):
-            block, answer = np.asarray(batch.column(0)), np.asarray(batch.column(4).is_valid())
-            cuts = np.flatnonzero((block[1:] != block[:-1]) | (answer[1:] != answer[:-1])) + 1
-            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
-                part = batch.slice(start, stop - start)
-                if block[start] != at:
-                    at, held_, table = block[start], [], None
-                if answer[start]:
-                    held_ += zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)
-                    continue
-                if table is None:
-                    gram, by_gram = np.concatenate([_unpacked(g) for g, _ in held_]), np.concatenate([np.frombuffer(x, dtype="<f4") for _, x in held_])
-                    # A block that two tasks asked about has some answers twice.
-                    gram, first = np.unique(gram, return_index=True)
-                    table, held_ = (gram, by_gram[first]), []
-                yield rows_of(pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3)], [id_col, text_col, "__text"]), *table)
-
-    scored = met.mapInArrow(run, f"`{id_col}` {kind}, __text bigint, __rows bigint, n_tokens bigint, n_known bigint, __base double, score double, __bytes bigint")
+    scored = B.met(blocks, answers, rows_of, f"`{id_col}` {kind}, __text bigint, __rows bigint, n_tokens bigint, n_known bigint, __base double, score double, __bytes bigint", parts)
     # The other words: the frequent ones are left out before the shuffle, so no word is a large share of it.
     rare = _tokens(docs, text_col, id_col, F.xxhash64(text_col).alias("__text")).join(F.broadcast(often.select("__word")), "__word", "left_anti")
     rest = rare.join(counts, "__word").groupBy(id_col, "__text").agg(F.count(F.lit(1)).alias("n_known"), F.sum(F.log10(F.col("__c") + 1)).alias("__base"))
