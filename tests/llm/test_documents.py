@@ -51,11 +51,25 @@ def test_peeling_recovers_and_retries():
     sets = [np.unique(rng.integers(1, 2**63, n).astype(np.uint64)) for n in (0, 1, 12, 600)]
     sets.append(np.unique(np.concatenate((sets[3][:590], sets[2]))))
     pairs = np.array([(a, b) for a in range(5) for b in range(5)])
-    first = fingerprint.Tables(*fingerprint._flat(sets, np.arange(5)), 5, fingerprint.CELLS, 0)
+    first = fingerprint.published(sets)
     got = fingerprint.likenesses(sets, first, pairs)
-    for (a, b), v in zip(pairs, got, strict=True):
+    pair, digest, sign = fingerprint.differences(sets, fingerprint.published(sets), pairs)
+    for k, ((a, b), v) in enumerate(zip(pairs, got, strict=True)):
         x, y = set(sets[a].tolist()), set(sets[b].tolist())
         assert abs(v - (len(x & y) / len(x | y) if x | y else 1.0)) < 1e-12
+        own = pair == k
+        assert set(digest[own & (sign > 0)].tolist()) == x - y and set(digest[own & (sign < 0)].tolist()) == y - x
+
+
+@pytest.mark.parametrize("n", [60, 120, 500, 4000])
+def test_versions_of_any_length(n):
+    rng = np.random.default_rng(n)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n)]
+    text = " ".join(words)
+    for version in (" ".join(["new", *words]), " ".join([*words[: n // 2], "new", *words[n // 2 :]]), " ".join(words[1:]), text + " end"):
+        a, b = (set(fingerprint.digests(t).tolist()) for t in (text, version))
+        assert fingerprint.changed(text, version) == (a - b, b - a)
+        assert len(a & b) / len(a | b) >= 0.8
 
 
 ODD = ["", None, "ΑΣ Σ. İstanbul ﬁne é 3½ ²", "<|startoftext|> hi<|endoftext|>a", "don't I'LL we're\x1c x\x85y 日本語 <b>x</b>", "\t\n", "word " * 9000]
@@ -83,6 +97,9 @@ def test_packing(spark, sf):
         assert at <= 2048
     assert sum(r["length"] for r in got) / (2048 * len(by)) > 0.97
     assert packing.pack_documents(docs(spark, []), PATH).count() == 0
+    # Equal rows are dealt over the groups.
+    same = packing.pack(packing.token_pieces(docs(spark, [(None, "")] * 400), PATH), rows_per_group=50).collect()
+    assert len(same) == 400 and len({r["sequence_id"] for r in same}) == 8
 
 
 def test_first_fit_is_first_fit():
@@ -161,6 +178,9 @@ def test_near_duplicates(spark, words, percent):
 
 def test_near_duplicates_of_odd_tables(spark):
     assert near_dedup.components(docs(spark, [])).count() == 0
+    twice = [(5, "a b c d e f g"), (5, "q r s t u v w"), (6, "a b c d e f g h"), (7, "q r s t u v w x y z a b c d e f g h i j k"), (8, "q r s t u v w x y z a b c d e f g h i j k l")]
+    got = near_dedup.components(docs(spark, twice), 3, 80).collect()
+    assert len(got) == 5 and {r["component_id"] for r in got if r["doc_id"] == 8} == {7}
     got = near_dedup.components(docs(spark, [(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None)])).collect()
     assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in got) == [("2", 2, True), ("2", 2, True), ("3", 3, True), ("None", None, True)]
 

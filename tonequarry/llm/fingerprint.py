@@ -1,9 +1,10 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests.
 
 Each digest of a document is added to one cell in each of three parts of a table: the cell counts it and
-keeps the exclusive or of digests and of their checks. Two tables of a size subtract cell by cell; what both
+keeps the sums of digests and of their checks, modulo 2**64. Two tables of a size subtract cell by cell; what both
 hold cancels, and cells that hold one digest alone start the peeling that lists all that differ. If peeling
-stalls, the difference was too large for the table, and larger ones are made of both texts until it succeeds.
+stalls, the difference was too large for the table, and larger ones, of a size that both texts' digests would
+fit, are made until it succeeds.
 The difference and the counts give the Jaccard likeness of the two sets of digests.
 """
 
@@ -20,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import chunks
+from .common import chunks, in_arrow
 
 PARTS = 3
-#: Cells to a part of the table that is published, and the factor by which a failed size grows.
-CELLS, GROWTH = 8, 6
+#: Cells to a part of the table that is published.
+CELLS = 8
 #: Words of more bytes than this are cut to pieces of as many.
 LONG = 32
 _U = np.uint64
@@ -60,12 +61,15 @@ def digests(text: str) -> np.ndarray:
     new[1:] = pair[1:] != pair[:-1]
     first = np.flatnonzero(new)
     times = np.arange(len(pair)) - np.repeat(first, np.diff(np.append(first, len(pair))))
-    return np.unique(_mixed(pair + times.astype(np.uint64) * _U(0xD1342543DE82EF95)))
+    found = np.sort(_mixed(pair + times.astype(np.uint64) * _U(0xD1342543DE82EF95)))
+    return found[_runs(found)]
 
 
-def cells_of(x: np.ndarray, part: int, cells: int, seed: int) -> np.ndarray:
-    h = _mixed(x ^ _U((0x9E3779B97F4A7C15 * (PARTS * seed + part + 1)) & 0xFFFFFFFFFFFFFFFF))
-    return ((h >> _U(32)) * _U(cells) >> _U(32)).astype(np.int64) + part * cells
+def _runs(ascending: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    new = np.ones(len(ascending), dtype=bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    return np.flatnonzero(new)
 
 
 def _checks(x: np.ndarray) -> np.ndarray:
@@ -73,62 +77,82 @@ def _checks(x: np.ndarray) -> np.ndarray:
 
 
 class Tables:
-    """The tables of many sets: rows of PARTS * cells of count, key and check."""
-
-    def __init__(self, x: np.ndarray, row: np.ndarray, rows: int, cells: int, seed: int) -> None:
-        width = PARTS * cells
-        self.cells, self.seed = cells, seed
-        self.count = np.zeros(rows * width, dtype=np.int32)
-        self.key, self.check = np.zeros(rows * width, dtype=np.uint64), np.zeros(rows * width, dtype=np.uint64)
+    """The tables of many sets, one after the other: PARTS * cells of count, key and check for each row, whose number of cells is its own."""
+
+    def __init__(self, x: np.ndarray, row: np.ndarray, cells: np.ndarray, seed: int) -> None:
+        self.cells, self.seed = cells.astype(np.int64), seed
+        self.ends = np.cumsum(PARTS * self.cells)
+        n = int(self.ends[-1]) if len(cells) else 0
+        self.count = np.zeros(n, dtype=np.int32)
+        self.key, self.check = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+        self.add(x, row, 1)
+
+    def add(self, x: np.ndarray, row: np.ndarray, sign: int | np.ndarray) -> list[np.ndarray]:
+        """Adds digests to their rows, or takes them out; returns the cells."""
+        cells, touched = self.cells[row], []
+        first = self.ends[row] - PARTS * cells
+        wide = cells.astype(np.uint64)
+        times = np.broadcast_to(np.asarray(sign, dtype=np.int32), x.shape)
+        unsigned = times.astype(np.int64).view(np.uint64)
+        key, check = x * unsigned, _checks(x) * unsigned
         for part in range(PARTS):
-            at = row * width + cells_of(x, part, cells, seed)
-            np.add.at(self.count, at, 1)
-            np.bitwise_xor.at(self.key, at, x)
-            np.bitwise_xor.at(self.check, at, _checks(x))
+            h = _mixed(x ^ _U((0x9E3779B97F4A7C15 * (PARTS * self.seed + part + 1)) & 0xFFFFFFFFFFFFFFFF))
+            at = first + part * cells + ((h >> _U(32)) * wide >> _U(32)).astype(np.int64)
+            np.add.at(self.count, at, times)
+            np.add.at(self.key, at, key)
+            np.add.at(self.check, at, check)
+            touched.append(at)
+        return touched
+
+    def minus(self, other: Tables) -> Tables:
+        """The difference of two of the same sizes, cell by cell."""
+        out = object.__new__(Tables)
+        out.cells, out.seed, out.ends = self.cells, self.seed, self.ends
+        out.count, out.key, out.check = self.count - other.count, self.key - other.key, self.check - other.check
+        return out
 
-    def minus(self, other: Tables, mine: np.ndarray, theirs: np.ndarray) -> Tables:
-        """The difference of rows of this and rows of another."""
+    def rows(self, chosen: np.ndarray) -> Tables:
+        """Some rows of tables that are all of one size."""
         out = object.__new__(Tables)
-        width = PARTS * self.cells
-        out.cells, out.seed = self.cells, self.seed
-        rows = lambda x, k: x.reshape(-1, width)[k]
-        out.count = (rows(self.count, mine) - rows(other.count, theirs)).ravel()
-        out.key = (rows(self.key, mine) ^ rows(other.key, theirs)).ravel()
-        out.check = (rows(self.check, mine) ^ rows(other.check, theirs)).ravel()
+        width = PARTS * int(self.cells[0]) if len(self.cells) else PARTS
+        out.cells, out.seed = self.cells[chosen], self.seed
+        out.ends = np.cumsum(PARTS * out.cells)
+        out.count, out.key, out.check = (x.reshape(-1, width)[chosen].ravel() for x in (self.count, self.key, self.check))
         return out
 
-    def peeled(self) -> tuple[np.ndarray, np.ndarray]:
-        """By row: how many digests differ, and whether peeling has listed them all. Uses the tables up."""
-        width = PARTS * self.cells
-        rows = len(self.count) // width
-        differ = np.zeros(rows, dtype=np.int64)
-        live = np.arange(len(self.count))
-        for _ in range(4 * width + 8):
-            pure = live[(np.abs(self.count[live]) == 1) & (self.check[live] == _checks(self.key[live]))]
+    def peeled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The digests that differ, as (row, digest, sign: 1 held by the first, -1 by the second), and by row whether these are all. Uses the tables up."""
+        of = np.repeat(np.arange(len(self.cells)), PARTS * self.cells)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        live = np.arange(len(of))
+        # Each round takes a digest at least; a table that seems to go on forever has met a false one.
+        for _ in range(64 + len(of)):
+            pure = live[np.abs(self.count[live]) == 1]
+            sign = self.count[pure]
+            back = sign.astype(np.int64).view(np.uint64)
+            key = self.key[pure] * back
+            true = self.check[pure] * back == _checks(key)
+            pure, key, sign = pure[true], key[true], sign[true]
             if not len(pure):
                 break
-            row, key, sign = pure // width, self.key[pure], self.count[pure]
-            # A digest that is alone in more than one cell is taken once.
-            first = np.lexsort((key, row))
-            row, key, sign = row[first], key[first], sign[first]
+            # A digest that is alone in more than one cell is taken once; cells ascend, and so do rows.
+            order = np.argsort(key, kind="stable")
+            row, key, sign = of[pure[order]], key[order], sign[order]
             new = np.ones(len(row), dtype=bool)
             new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
             row, key, sign = row[new], key[new], sign[new]
-            np.add.at(differ, row, 1)
-            touched = []
-            for part in range(PARTS):
-                at = row * width + cells_of(key, part, self.cells, self.seed)
-                np.subtract.at(self.count, at, sign)
-                np.bitwise_xor.at(self.key, at, key)
-                np.bitwise_xor.at(self.check, at, _checks(key))
-                touched.append(at)
-            live = np.unique(np.concatenate(touched))
+            found.append((row, key, sign))
+            touched = np.sort(np.concatenate(self.add(key, row, -sign)))
+            live = touched[_runs(touched)]
         left = (self.count != 0) | (self.key != 0) | (self.check != 0)
-        return differ, ~left.reshape(rows, width).any(1)
+        whole = np.ones(len(self.cells), dtype=bool)
+        whole[of[left]] = False
+        row, key, sign = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int32))
+        return row, key, sign, whole
 
     def strings(self) -> list[str]:
         """Each row's cells: counts, keys and checks in Base64. Long sets have counts beyond a byte, so four are written."""
-        width = PARTS * self.cells
+        width = PARTS * CELLS
         count, key, check = (x.reshape(-1, width) for x in (self.count.astype("<i4"), self.key.astype("<u8"), self.check.astype("<u4")))
         return [base64.b64encode(a.tobytes() + b.tobytes() + c.tobytes()).decode() for a, b, c in zip(count, key, check, strict=True)]
 
@@ -139,30 +163,53 @@ def _flat(sets: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(own) if own else np.empty(0, np.uint64)), np.repeat(np.arange(len(own)), sizes)
 
 
-def likenesses(sets: list[np.ndarray], tables: Tables, pairs: np.ndarray) -> np.ndarray:
-    """The likeness of pairs of rows: from the published tables where they suffice, else from larger ones."""
+def published(sets: list[np.ndarray]) -> Tables:
+    """The tables that fingerprints are made of."""
+    return Tables(*_flat(sets, np.arange(len(sets))), np.full(len(sets), CELLS), 0)
+
+
+def differences(sets: list[np.ndarray], tables: Tables, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, digest, sign) of all digests that one of a pair of rows holds alone: 1 the first, -1 the second.
+
+    Peeled from the published tables where they suffice, else from larger ones.
+    """
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    differ = np.zeros(len(pairs), dtype=np.int64)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     open_ = np.arange(len(pairs))
-    cells, seed = tables.cells, tables.seed
+    seed, room = 0, 1.4
     while len(open_):
         a, b = pairs[open_, 0], pairs[open_, 1]
         if seed:
-            rows, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-            tables = Tables(*_flat(sets, rows), len(rows), cells, seed)
-            a, b = at[: len(a)], at[len(a) :]
-        found, whole = tables.minus(tables, a, b).peeled()
-        differ[open_[whole]] = found[whole]
+            # Sets differ by all they hold at most, which so many cells can tell with high probability.
+            cells = ((sizes[a] + sizes[b]) * room / PARTS).astype(np.int64) + CELLS
+            mine, theirs = (Tables(*_flat(sets, x), cells, seed) for x in (a, b))
+            room *= 1.5
+        else:
+            mine, theirs = tables.rows(a), tables.rows(b)
+        row, key, sign, whole = mine.minus(theirs).peeled()
+        done = whole[row]
+        out.append((open_[row[done]], key[done], sign[done]))
         open_ = open_[~whole]
-        # Sets differ by all they hold at most; beyond twice that, only the seed changes.
         seed += 1
-        most = int((sizes[pairs[open_, 0]] + sizes[pairs[open_, 1]]).max()) if len(open_) else 0
-        cells = min(cells * GROWTH, max(cells, most + 8))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int32))
+
+
+def likenesses(sets: list[np.ndarray], tables: Tables, pairs: np.ndarray) -> np.ndarray:
+    """The likeness of pairs of rows: their common digests over all of theirs."""
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    differ = np.bincount(differences(sets, tables, pairs)[0], minlength=len(pairs))
     both = (sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - differ) / 2
     union = both + differ
     return np.where(union > 0, both / np.maximum(union, 1), 1.0)
 
 
+def changed(text: str, version: str) -> tuple[set[int], set[int]]:
+    """The digests that text holds alone, and those that its other version does, recovered by peeling."""
+    sets = [digests(text), digests(version)]
+    _, key, sign = differences(sets, published(sets), np.array([[0, 1]]))
+    return set(key[sign > 0].tolist()), set(key[sign < 0].tolist())
+
+
 def edited(text: str, following: str) -> str:
     """text with its last quarter replaced by the first as many code points, or all, of the following text."""
     k = len(text) // 4
@@ -177,7 +224,7 @@ def _rows(table: list[tuple], end: str | None) -> Iterator[tuple]:
     n = len(changed)
     sets = [digests(t) for t in (*own, *([] if end is None else [end]), *changed)]
     split = len(sets) - n
-    first = Tables(*_flat(sets, np.arange(len(sets))), len(sets), CELLS, 0)
+    first = published(sets)
     names = first.strings()
     k = np.arange(n)
     near_edited = likenesses(sets, first, np.stack((k, k + split), axis=1))
@@ -246,4 +293,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
 
-    return placed.mapInArrow(run, f"`{id_col}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_arrow(placed, run, f"`{id_col}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
