@@ -1,4 +1,8 @@
+import hashlib
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,9 +24,10 @@ def test_oracle(spark, sf, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     df = QUERIES[name](spark, sf)
-    ours = sorted(map(tuple, df.select(sorted(df.columns)).collect()))
-    theirs = con.execute(ORACLE_SQL[name]).df()
-    assert ours == sorted(tuple(r) for r in theirs[sorted(theirs.columns)].itertuples(index=False, name=None))
+    ours = list(map(tuple, df.select(sorted(df.columns)).collect()))
+    key = lambda r: [(x is None, x) for x in r]
+    theirs = con.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(ours, key=key) == sorted(theirs, key=key)
 
 
 def test_lines(spark):
@@ -44,8 +49,8 @@ def test_lines_edge(spark):
 
 
 def taken(spark, rows):
-    p = mixing.with_places(docs(spark, rows), rows_per_bucket=3)
-    return p.select("doc_id", "source", "__size", "__source_size", "__target", mixing.words_taken(F.col("__before"), F.col("__size"), F.col("__source_size"), F.col("__target")).alias("taken")).collect()
+    p = mixing.mix(mixing.sized(docs(spark, rows), "doc_id", "source"), rows_per_bucket=3)
+    return p.select("doc_id", "source", "__size", "__source_size", "__target", F.aggregate("__reads", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("taken")).collect()
 
 
 def test_mix(spark):
@@ -61,6 +66,8 @@ def test_mix(spark):
     assert sorted(map(str, got)) == sorted(map(str, taken(spark, rows)))
     assert taken(spark, []) == []
     assert {r["taken"] for r in taken(spark, [(1, None, None), (1, None, None)])} == {0}
+    long = [(k, "w " * (200_000 if k == 3 else 5), "a") for k in range(9)] + [(3, "w " * 200_000, "a")]
+    assert abs(sum(r["taken"] for r in taken(spark, long)) - 1.5 * (400_000 + 40)) <= 1
 
 
 def test_waterfill(spark):
@@ -70,32 +77,69 @@ def test_waterfill(spark):
     assert got["1a"] == 20 and abs(got["1b"] - 2995 / 3) < 1e-5 and abs(got["1c"] - 2 * 2995 / 3) < 1e-5
 
 
+def plain_positions(rows):
+    """(id, source) to (words, position) of each time it is read, with sums over steps of time in place of integrals."""
+    names = sorted({s for _, _, s in rows})
+    size = {i: len(t.split()) for i, t, _ in rows}
+    total = {s: sum(size[i] for i, _, x in rows if x == s) for s in names}
+    left, share = set(names), {}
+    while True:
+        rest = 1.5 * sum(total.values()) - sum(2 * total[s] for s in names if s not in left)
+        share = {s: rest * (3, 1, 2)[names.index(s) % 3] / sum((3, 1, 2)[names.index(x) % 3] for x in left) for s in left}
+        over = {s for s in left if share[s] > 2 * total[s]}
+        if not over:
+            break
+        left -= over
+    target = {s: share.get(s, 2 * total[s]) for s in names}
+    line = lambda s, t: 1.5 - t if names.index(s) % 2 == 0 else 0.5 + t
+    steps = 200_000
+    clock = (np.arange(steps) + 0.5) / steps
+    demand = {s: np.cumsum(line(s, clock)) / steps * target[s] for s in names}
+    everything = sum(demand.values())
+    out = {}
+    for s in names:
+        at = 0
+        for turn in range(2):
+            for i in sorted((i for i, _, x in rows if x == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+                words = min(size[i], round(target[s]) - at)
+                if words > 0:
+                    out.setdefault((i, s), []).append((words, everything[min(steps - 1, np.searchsorted(demand[s], at + words / 2))]))
+                at += size[i]
+    return out
+
+
+def test_positions_invert_the_demand(spark):
+    rows = [(k, "w " * (3 + k * 7 % 23), "abcd"[k % 4]) for k in range(160)]
+    want = plain_positions(rows)
+    got = mixing.mix(mixing.sized(docs(spark, rows), "doc_id", "source"), rows_per_bucket=16).collect()
+    total = 1.5 * sum(len(t.split()) for _, t, _ in rows)
+    for r in got:
+        ours, theirs = r["__reads"], want.get((r["doc_id"], r["source"]), [])
+        assert [x["words"] for x in ours] == [w for w, _ in theirs]
+        assert all(abs(x["position"] - p) < 1e-4 * total for x, (_, p) in zip(ours, theirs, strict=True))
+    first = [r["__reads"][0]["position"] if r["__reads"] else float("inf") for r in got]
+    assert first == sorted(first) and 0 < first[0] and max(x for x in first if x < float("inf")) < total
+
+
 def test_curriculum(spark):
     rows = [(k, "w " * 10, "ab"[k % 2]) for k in range(100)]
     out = mixing.curriculum(docs(spark, rows)).collect()
-    n = lambda s: sum(r["source"] == s for r in out)
-    assert n("a") == 100 and n("b") == 50 or abs(n("a") * 10 - 1000) <= 10
+    # a: 3 parts of 4, at most twice its 500 words; b the rest of 1500.
+    assert Counter(r["source"] for r in out) == {"a": 100, "b": 50}
     places = [r["__position"] for r in out]
-    assert places == sorted(places) and 0 <= places[0] and places[-1] <= 1
+    assert places == sorted(places) and 0 <= places[0] and places[-1] <= 1500
     t = spark.range(11).select((F.col("id") / 10).alias("d")).select("d", mixing.time_of(F.col("d"), F.lit(1.5), F.lit(0.5)).alias("t")).collect()
     assert all(abs(1.5 * r["t"] - 0.5 * r["t"] ** 2 - r["d"]) < 1e-9 for r in t)
+    assert mixing.curriculum(docs(spark, [])).count() == 0
 
 
 def test_mix_query_is_in_the_order_of_training(spark, sf):
     got = QUERIES["op2_curriculum_mix"](spark, sf).collect()
+    first = [r["position"] if r["position"] is not None else float("inf") for r in got]
+    assert first == sorted(first)
+    assert all((r["position"] is None) <= (r["taken"] == 0) and (r["position_again"] is None or r["taken"] > r["size"]) for r in got)
+    # Whole copies come in the same order.
     table = spark.read.parquet(f"{sf}/documents.parquet")
-    rank = {r["doc_id"]: r["__rank"] for r in mixing.with_places(table.select("doc_id", "source", "text")).select("doc_id", "__rank").collect()}
-    before = {r["doc_id"]: r["__before"] for r in mixing.with_places(table.select("doc_id", "source", "text")).select("doc_id", "__before").collect()}
-    times = []
-    for r in got:
-        stop = min(before[r["doc_id"]] + r["size"], r["target"])
-        d = (before[r["doc_id"]] + stop) / 2 / r["target"]
-        a, b = (1.5, 0.5) if rank[r["doc_id"]] % 2 == 0 else (0.5, 1.5)
-        times.append(2.0 if d >= 1 else ((a * a + 2 * (b - a) * d) ** 0.5 - a) / (b - a))
-        assert d < 1 or r["taken"] == 0
-    assert all(x <= y + 1e-9 for x, y in zip(times, times[1:])) and times[0] < 0.1 and 0.9 < max(t for t in times if t < 2)
-    # Whole copies, as the curriculum reads them first, come in the same order but for the document over the target.
-    first = list(dict.fromkeys(r["doc_id"] for r in mixing.curriculum(table).select("doc_id").collect()))
-    have = [r["doc_id"] for r in got]
-    cut = {r["doc_id"] for r in got if before[r["doc_id"]] < r["target"] < before[r["doc_id"]] + r["size"]}
-    assert [i for i in first if i not in cut] == [i for i in have if i in set(first) - cut]
+    copies = list(dict.fromkeys(r["doc_id"] for r in mixing.curriculum(table).select("doc_id").collect()))
+    have = [r["doc_id"] for r in got if r["doc_id"] in set(copies)]
+    assert copies == have

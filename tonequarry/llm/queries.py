@@ -15,14 +15,17 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "source", "text")
-    # A row per document and these columns are what the SQL fixes; the schedule decides the order of the rows.
-    placed = mixing.in_order(mixing.with_places(docs))
-    return placed.select(
+    # Words are counted once; the rows that all else reads are narrow.
+    mixed = mixing.mix(written(mixing.sized(docs, "doc_id"), "sizes"))
+    at = lambda k: F.get("__reads", F.lit(k))["position"]
+    return mixed.select(
         "doc_id",
         F.col("__size").alias("size"),
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),
-        mixing.words_taken(F.col("__before"), F.col("__size"), F.col("__source_size"), F.col("__target")).alias("taken"),
+        F.aggregate("__reads", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("taken"),
+        at(0).alias("position"),
+        at(1).alias("position_again"),
     )
 
 
@@ -102,13 +105,29 @@ f AS (SELECT (SELECT lvl FROM l WHERE lvl <= ratio ORDER BY ratio, rnk LIMIT 1)
 t AS (
   SELECT l.skey, l.total, round(CASE WHEN f.lvl IS NULL OR l.cap <= l.wt * f.lvl THEN l.cap ELSE l.wt * f.lvl END, 6) AS target
   FROM l, f),
+e AS (
+  SELECT coalesce(sum(round(t.target * 1000000)::BIGINT) FILTER (WHERE k.rnk % 2 = 0), 0)::BIGINT / 1000000.0::DOUBLE AS even,
+         coalesce(sum(round(t.target * 1000000)::BIGINT) FILTER (WHERE k.rnk % 2 = 1), 0)::BIGINT / 1000000.0::DOUBLE AS odd
+  FROM t JOIN k USING (skey)),
 p AS (
-  SELECT d.doc_id, d.size, t.total AS source_size, t.target, round(t.target)::BIGINT AS stop,
+  SELECT d.doc_id, d.size, t.total AS source_size, t.target, round(t.target)::BIGINT AS stop, k.rnk % 2 = 0 AS falls,
          coalesce(sum(d.size) OVER (PARTITION BY d.skey ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bef
-  FROM d JOIN t USING (skey))
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, stop - bef)) + greatest(0, least(size, stop - bef - source_size)))::BIGINT AS taken
-FROM p""",
+  FROM d JOIN t USING (skey) JOIN k USING (skey)),
+q AS (
+  SELECT *, least(size, stop - bef) AS w0, least(size, stop - bef - source_size) AS w1,
+         CASE WHEN falls THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END AS a, CASE WHEN falls THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS m
+  FROM p),
+r2 AS (SELECT *, bef + w0 / 2.0::DOUBLE AS m0, bef + source_size + w1 / 2.0::DOUBLE AS m1 FROM q),
+u AS (
+  SELECT *, CASE WHEN target > 0 THEN (sqrt(greatest(0.0::DOUBLE, a * a + 2.0::DOUBLE * m * (m0 / target))) - a) / m END AS t0,
+         CASE WHEN target > 0 THEN (sqrt(greatest(0.0::DOUBLE, a * a + 2.0::DOUBLE * m * (m1 / target))) - a) / m END AS t1
+  FROM r2)
+SELECT doc_id, size, source_size, target, (greatest(0, w0) + greatest(0, w1))::BIGINT AS taken,
+       CASE WHEN (w0 > 0 OR (w0 = 0 AND size = 0 AND bef < stop)) AND m0 < target
+            THEN round((1.5::DOUBLE * even + 0.5::DOUBLE * odd) * t0 + 0.5::DOUBLE * (odd - even) * t0 * t0, 3) END AS position,
+       CASE WHEN w1 > 0 AND m1 < target
+            THEN round((1.5::DOUBLE * even + 0.5::DOUBLE * odd) * t1 + 0.5::DOUBLE * (odd - even) * t1 * t1, 3) END AS position_again
+FROM u, e""",
     "op10_line_dedup": r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
