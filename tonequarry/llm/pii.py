@@ -1,15 +1,17 @@
 """Personal data by weak supervision.
 
-Candidates are the strict matches of four kinds and looser shapes of the same kinds. Four labelers vote on
-each: the strict expression, the shape's arithmetic, a gazetteer and the context before it. Candidates with
-the same votes and features are one pattern, so the corpus reduces to a small table of counts; on it,
-expectation-maximisation estimates how reliable each labeler is, and its posteriors train the logistic
-classifier that decides on the looser candidates. Strict matches always stay.
+Candidates are the strict matches of four kinds, those that fail a strict rule (a card's checksum, a part of
+an address beyond 255, a number of digits), and looser shapes of the same kinds. Four labelers vote on each:
+the strict expression, the shape's arithmetic, a gazetteer and the context before it. Candidates with the
+same votes are one pattern, so expectation-maximisation estimates from a small table of counts how reliable
+each labeler is. Its posteriors label a bounded sample of candidates, which trains a logistic classifier on
+votes, shapes of characters and words around; that decides on all that is not strict. Strict matches stay.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import arrow_map, texts
+from .common import arrow_map, in_arrow, texts
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -47,7 +49,11 @@ _FOR = (re.compile(r"mail|contact|write|reach|escri|schreib", re.I), re.compile(
 _AGAINST = re.compile(r"version|isbn|order|invoice|serial|sku|part no|ticket|build|release", re.I)
 #: Code points of context before a candidate.
 CONTEXT = 40
-LABELERS, VOTES, FEATURES = 4, 3, 4
+LABELERS, VOTES = 4, 3
+#: Hashed features of a candidate; candidates of each kind that the classifier learns from, at most.
+FEATURES, SAMPLE = 1 << 10, 2048
+_SHAPE = str.maketrans({**dict.fromkeys(map(chr, range(48, 58)), "0"), **dict.fromkeys(map(chr, range(65, 91)), "A"), **dict.fromkeys(map(chr, range(97, 123)), "a")})
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -61,9 +67,16 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
-def base_spans(text: str) -> list[S.Span]:
-    """The strict matches, leftmost and not overlapping within a kind; failing ones are dropped, not retried."""
+def _short(digits: str) -> bool:
+    """Whether a run of digits of any length is at most 255."""
+    plain = digits.lstrip("0")
+    return len(plain) <= 3 and int(plain or "0") <= 255
+
+
+def strict_spans(text: str) -> tuple[list[S.Span], list[S.Span]]:
+    """The strict matches, leftmost and not overlapping within a kind; and those that fail a rule, which are not retried."""
     out: list[S.Span] = []
+    failed: list[S.Span] = []
     done, at = 0, text.find("@")
     while at >= 0:
         m = _DOMAIN.match(text, at)
@@ -78,59 +91,75 @@ def base_spans(text: str) -> list[S.Span]:
         else:
             at = text.find("@", at + 1)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
-            out.append((m.start(), IP, m.end()))
+        into = out if all(map(_short, m.group().split("."))) else failed
+        if into is out or m.end() - m.start() <= 15:
+            into.append((m.start(), IP, m.end()))
     for m in _CARD.finditer(text):
         if 12 <= m.end() - m.start() < 64:
             d = _digits(m.group())
-            if 12 <= len(d) <= 19 and luhn(d):
-                out.append((m.start(), CARD, m.end()))
+            if 12 <= len(d) <= 19:
+                (out if luhn(d) else failed).append((m.start(), CARD, m.end()))
     for m in _PHONE.finditer(text):
-        if 9 <= len(_digits(m.group())) <= 15:
+        n = len(_digits(m.group()))
+        if 9 <= n <= 15:
             out.append((m.start(), PHONE, m.end()))
-    return out
+        elif 7 <= n < 9:
+            failed.append((m.start(), PHONE, m.end()))
+    return out, failed
 
 
-def loose_spans(text: str, base: list[S.Span]) -> list[S.Span]:
-    """The looser candidates that touch no strict match and not each other."""
+def loose_spans(text: str, base: list[S.Span], failed: list[S.Span]) -> list[S.Span]:
+    """The other candidates that touch no strict match and not each other: looser shapes first, then what failed."""
     found: list[S.Span] = []
-    low = text if " dot " in text or "dot)" in text or "dot]" in text else text.lower() if "DOT" in text or "Dot" in text else ""
-    if "dot" in low.lower():
+    low = text.lower()
+    if " dot " in low or "dot)" in low or "dot]" in low:
         found += [(m.start(), EMAIL, m.end()) for m in _HIDDEN.finditer(text)]
     if text.count(":") >= 7:
         found += [(m.start(), IP, m.end()) for m in _IP6.finditer(text)]
     found += [(m.start(), CARD, m.end()) for m in _DOTTED_CARD.finditer(text)]
     found += [(m.start(), PHONE, m.end()) for m in _NATIONAL.finditer(text)]
-    taken = sorted((a, b) for a, _, b in base)
-    out, k, end = [], 0, 0
-    for s in sorted(found):
-        while k < len(taken) and taken[k][1] <= s[0]:
-            k += 1
-        if s[0] >= end and (k == len(taken) or taken[k][0] >= s[2]):
-            out.append(s)
-            end = s[2]
-    return out
-
-
-def votes(text: str, span: S.Span, strict: bool) -> tuple[int, int]:
-    """The labelers' votes as a number in base 3 (0 abstains, 1 for, 2 against), and a length feature."""
+    out: list[S.Span] = []
+    for more in (found, failed):
+        taken = sorted((a, b) for a, _, b in [*base, *out])
+        k, end = 0, 0
+        for s in sorted(more):
+            while k < len(taken) and taken[k][1] <= s[0]:
+                k += 1
+            if s[0] >= end and (k == len(taken) or taken[k][0] >= s[2]):
+                out.append(s)
+                end = s[2]
+    return sorted(out)
+
+
+def votes(text: str, span: S.Span, strict: bool) -> list[int]:
+    """The labelers' votes: 0 abstains, 1 for, 2 against."""
     start, kind, end = span
     own = text[start:end]
     before = text[max(0, start - CONTEXT) : start]
     digits = _digits(own)
-    expression = 1 if strict else 0
     if kind == EMAIL:
         tail = re.split(r"[^A-Za-z]+", own.rstrip(")] "))[-1].lower()
         shape, gazetteer = (1 if 2 <= len(tail) <= 6 else 2), (1 if tail in _TLDS else 2)
     elif kind == IP:
-        shape = 1 if ":" in own or own.count(".") == 3 else 2
+        shape = 1 if ":" in own or all(map(_short, own.split("."))) else 2
         gazetteer = 2 if own.startswith(("0.", "0:0:0:0:")) else 1
     elif kind == CARD:
         shape, gazetteer = (1 if luhn(digits) else 2), (1 if _ISSUERS.match(digits) else 2)
     else:
         shape, gazetteer = (1 if 9 <= len(digits) <= 15 else 2), (1 if _CODES.match(own) else 2)
     context = 2 if _AGAINST.search(before) else 1 if _FOR[kind].search(before) else 0
-    return expression + 3 * shape + 9 * gazetteer + 27 * context, min(FEATURES - 1, (end - start) // 8)
+    return [1 if strict else 0, shape, gazetteer, context]
+
+
+def features(text: str, span: S.Span, ballot: list[int]) -> list[int]:
+    """Hashed: the kind, the votes but the strict expression's, three-character shapes, and the words around."""
+    start, kind, end = span
+    own = f"^{text[start:end].translate(_SHAPE)}$"
+    before = _LETTERS.findall(text[max(0, start - CONTEXT) : start].lower())[-2:]
+    after = _LETTERS.findall(text[end : end + CONTEXT].lower())[:1]
+    names = {f"kind {kind}", *(f"vote {kind} {k} {v}" for k, v in enumerate(ballot[1:])), *(f"shape {kind} {own[k : k + 3]}" for k in range(len(own) - 2))}
+    names |= {f"before {kind} {w}" for w in before} | {f"after {kind} {w}" for w in after}
+    return sorted({zlib.crc32(x.encode("utf-8", "replace")) % FEATURES for x in names})
 
 
 def expectation_maximisation(ballots: np.ndarray, counts: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -152,87 +181,95 @@ def expectation_maximisation(ballots: np.ndarray, counts: np.ndarray, rounds: in
     return p
 
 
-def _design(kind: np.ndarray, ballots: np.ndarray, feature: np.ndarray) -> np.ndarray:
-    one = lambda x, n: np.eye(n)[x]
-    return np.hstack([np.ones((len(kind), 1)), one(kind, len(KINDS)), one(feature, FEATURES), *(one(ballots[:, k], VOTES) for k in range(ballots.shape[1]))])
-
-
-def train(kind: np.ndarray, ballots: np.ndarray, feature: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The classifier's probability of each pattern: logistic regression on the posteriors, by Newton steps."""
-    target = np.zeros(len(kind))
-    for k in range(len(KINDS)):
-        own = kind == k
-        if own.any():
-            target[own] = expectation_maximisation(ballots[own], counts[own])
-    x = _design(kind, ballots, feature)
-    w = np.zeros(x.shape[1])
-    weight = np.minimum(counts, 1e6)
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (target - p)) - w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(len(w))
-        w += np.linalg.solve(hess, grad)
-    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+def train(rows: list[list[int]], target: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Weights of a logistic regression of the targets on sets of features, by scaled gradient steps."""
+    w, squares = np.zeros(FEATURES), np.full(FEATURES, 1e-8)
+    if not rows:
+        return w
+    sizes = np.asarray([len(r) for r in rows])
+    flat, row = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows]), np.repeat(np.arange(len(rows)), sizes)
+    for _ in range(rounds):
+        z = np.bincount(row, weights=w[flat], minlength=len(rows))
+        off = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
+        grad = np.bincount(flat, weights=off[row], minlength=FEATURES) + 0.01 * w
+        squares += grad * grad
+        w -= 0.5 * grad / np.sqrt(squares)
+    return w
 
 
-def _unpack(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    kind, rest = code % 4, code // 4
-    feature, rest = rest % FEATURES, rest // FEATURES
-    return kind, np.stack([rest // 3**k % 3 for k in range(LABELERS)], axis=1), feature
+def probability(w: np.ndarray, own: list[int]) -> float:
+    return float(1 / (1 + np.exp(-np.clip(w[own].sum(), -30, 30))))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, strict and loose candidates: (start, kind, end, pattern) in flat arrays of four by four."""
+    """id_col, strict and loose spans (start, kind, end in flat arrays), and seen: for each, strict first, (kind and votes as a number, features)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: tuple[list, list] = ([], [])
+        strict, loose, seen = [], [], []
         for text in texts(batch.column(1)):
-            base = base_spans(text)
-            for into, found, strict in ((out[0], base, True), (out[1], loose_spans(text, base), False)):
-                row: list[int] = []
-                for s in sorted(found):
-                    v, f = votes(text, s, strict)
-                    row += (*s, s[1] + 4 * (f + FEATURES * v))
-                into.append(row)
+            base, failed = strict_spans(text)
+            base.sort()
+            more = loose_spans(text, base, failed)
+            strict.append([x for s in base for x in s])
+            loose.append([x for s in more for x in s])
+            own = []
+            for s, is_strict in [*((s, True) for s in base), *((s, False) for s in more)]:
+                ballot = votes(text, s, is_strict)
+                own.append({"code": s[1] + 4 * sum(v * VOTES**k for k, v in enumerate(ballot)), "features": features(text, s, ballot)})
+            seen.append(own)
         kind = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], kind), pa.array(out[1], kind)], [id_col, "strict", "loose"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(strict, kind), pa.array(loose, kind), pa.array(seen, pa.list_(pa.struct([("code", pa.int32()), ("features", pa.list_(pa.int32()))])))], [id_col, "strict", "loose", "seen"]
+        )
 
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, strict array<bigint>, loose array<bigint>"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, strict array<bigint>, loose array<bigint>, seen array<struct<code:int,features:array<int>>>"
     return arrow_map(docs.select(id_col, text_col), run, schema, text_col)
 
 
-def accepted_patterns(found: DataFrame, threshold: float = 0.5) -> set[int]:
-    """Patterns that the classifier takes. There are at most 4 * 4 * 3**4 patterns whatever the corpus."""
-    every_fourth = lambda c: F.transform(F.filter(F.transform(F.col(c), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["i"] % 4 == 3), lambda s: s["x"])
-    rows = found.select(F.explode(F.concat(every_fourth("strict"), every_fourth("loose"))).alias("p")).groupBy("p").count().collect()
+def classifier(found: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> np.ndarray:
+    """The weights learned from all votes and from at most sample candidates of each kind, one of the least hash in as many buckets.
+
+    The votes are counted over all candidates: at most 4 * 3**4 patterns reach the driver.
+    """
+    each = found.select(F.col(id_col).alias("__id"), F.posexplode("seen").alias("__at", "__seen")).select("__id", "__at", "__seen.code", "__seen.features")
+    rows = each.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy("code").collect()
     if not rows:
-        return set()
-    code = np.asarray([r["p"] for r in rows])
-    counts = np.asarray([r["count"] for r in rows], dtype=float)
-    order = np.argsort(code)
-    p = train(*_unpack(code[order]), counts[order])
-    return set(code[order][p >= threshold].tolist())
+        return np.zeros(FEATURES)
+    code = np.asarray([r["code"] for r in rows])
+    counts = np.asarray([r["n"] for r in rows], dtype=float)
+    ballots = np.stack([code // 4 // VOTES**k % VOTES for k in range(LABELERS)], axis=1)
+    posterior = np.zeros(len(code))
+    for kind in range(len(KINDS)):
+        own = code % 4 == kind
+        if own.any():
+            posterior[own] = expectation_maximisation(ballots[own], counts[own])
+    h = F.xxhash64("__id", "__at", "code")
+    chosen = each.groupBy(F.col("code") % 4, F.pmod(h, F.lit(sample))).agg(F.min(F.struct(h.alias("h"), "code", "features")).alias("one")).select("one.*").orderBy("h", "code", "features").collect()
+    of = dict(zip(code.tolist(), posterior.tolist(), strict=True))
+    return train([r["features"] for r in chosen], np.asarray([of[r["code"]] for r in chosen]))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, written=lambda df, what: df) -> DataFrame:
-    """id_col, n_<kind> and base_sha256 of the strict spans, spans of those and of the accepted looser ones.
+    """id_col, n_<kind> and base_sha256 of the strict spans, spans of those and of the accepted others, and n_added of these.
 
-    Null text is empty; a text without personal data has an empty list and its digest. Looser spans touch
-    no strict one. Repeated rows count as rows. written(df, name) cuts the lineage after the texts are read,
-    so that they are read once.
+    Null text is empty; a text without personal data has an empty list and its digest, and so do all of a
+    table without candidates; an empty table gives none. Very long texts and runs of digits are read whole.
+    Added spans touch no strict one. Repeated rows count as rows. written(df, name) cuts the lineage after
+    the texts are read, so that they are read once.
     """
     found = written(candidates(docs, id_col, text_col), "candidates")
-    taken = accepted_patterns(found, threshold)
+    w = classifier(found, id_col)
 
     def run(batches):
         for batch in batches:
-            strict, loose = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            base = [[tuple(r[i : i + 3]) for i in range(0, len(r), 4)] for r in strict]
-            more = [[tuple(r[i : i + 3]) for i in range(0, len(r), 4) if r[i + 3] in taken] for r in loose]
+            strict, loose, seen = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            triples = lambda r: [tuple(r[i : i + 3]) for i in range(0, len(r), 3)]
+            base = [triples(r) for r in strict]
+            more = [[s for s, x in zip(triples(r), own[len(b) :], strict=True) if probability(w, x["features"]) >= threshold] for r, b, own in zip(loose, base, seen, strict=True)]
             counts = [pa.array([sum(s[1] == k for s in r) for r in base], pa.int64()) for k in range(len(KINDS))]
             digests = pa.array([S.digest(S.line(r, KINDS)) for r in base], pa.string())
             joined = pa.array([S.line(a + b, KINDS) for a, b in zip(base, more, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, joined], [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, joined, pa.array([len(x) for x in more], pa.int64())], [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + "".join(f"n_{k} bigint, " for k in KINDS) + "base_sha256 string, spans string"
-    return found.mapInArrow(run, schema)
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, " + "".join(f"n_{k} bigint, " for k in KINDS) + "base_sha256 string, spans string, n_added bigint"
+    return in_arrow(found, run, schema)
