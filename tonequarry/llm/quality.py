@@ -1,144 +1,137 @@
 """Rules of quality: word statistics, and n-gram perplexity within bands of the document's language.
 
-The model is of characters in 32 classes (white space, a to z without accents and case, other letters,
-digits, punctuation, other symbols) and of order four, with modified Kneser-Ney smoothing. Spark counts
-the n-grams of every document by language; a model is at most 32**4 counts, so its size has a bound
-whatever the corpus. It is stored as a sorted array of n-gram hashes with their log probabilities and
-back-off weights; a worker spreads that once over all 32**4 codes.
+The model of a language is of bytes of UTF-8, so every script, case and mark counts as it stands, and of order
+five, with modified Kneser-Ney smoothing. Its n-grams grow with the corpus and are dealt over tasks by the two
+bytes before the last, so that each task has all that a context of two bytes or more needs, in sorted arrays
+of n-gram hashes (here: the codes themselves, which 64 bits hold) with their counts and probabilities. Shorter
+contexts, 65 536 pairs of bytes a language at most, and the discounts are worked out on the driver.
+Bits are counted by letter, so that marks and markup, however regular, never make a text look likelier.
 """
 
 from __future__ import annotations
 
-import string
-import unicodedata
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts
+from . import blocks as B
+from .common import in_arrow, texts
 
-BITS, ORDER = 5, 4
-CLASSES = 1 << BITS
-SPACE, OTHER_LETTER, DIGIT, PUNCTUATION, SYMBOL = 0, 27, 28, 29, 30
+ORDER = 5
 #: Fixed by the contract.
 SYMBOLS = b"#*$%&|<>"
 #: How many spreads below and above its language's median a document's bits may lie.
-LOWER, UPPER = 6.0, 5.0
-#: Characters that are scored by one language's model: passages in another language cost little.
-WINDOW = 32
-
-
-@lru_cache(maxsize=1)
-def classes() -> np.ndarray:
-    """The class of each code point."""
-    out = np.full(0x110000, SYMBOL, dtype=np.uint8)
-    for point in range(0x30000):
-        c = chr(point)
-        kind = unicodedata.category(c)
-        if c.isspace() or kind[0] in "ZC":
-            out[point] = SPACE
-        elif kind[0] == "L":
-            plain = unicodedata.normalize("NFD", c)[0].lower()
-            out[point] = ord(plain) - 96 if "a" <= plain <= "z" else OTHER_LETTER
-        elif kind[0] == "M":
-            out[point] = OTHER_LETTER
-        elif kind == "Nd":
-            out[point] = DIGIT
-        elif c in string.punctuation and bytes(c, "ascii") not in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">") or kind[0] == "P" and point > 127:
-            out[point] = PUNCTUATION
-    return out
-
+LOWER, UPPER = 12.0, 8.0
+#: Bytes of text for each task of the model.
+DEAL = 1 << 26
+_U = np.uint64
+#: All bytes but the first ones of letters, which are A-Z, a-z and what is beyond ASCII.
+_NO_LETTERS = bytes(k for k in range(256) if not (65 <= k <= 90 or 97 <= k <= 122 or k >= 0xC2))
 
-def codes(own: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram code of every character, after ORDER - 1 spaces, text after text; and where each text ends."""
-    pad = " " * (ORDER - 1)
-    raw = "".join(pad + x for x in own).encode("utf-32-le", "replace")
-    symbols = classes()[np.frombuffer(raw, dtype=np.uint32)].astype(np.int32)
-    code = symbols.copy()
-    for k in range(1, ORDER):
-        code[k:] |= symbols[:-k] << (BITS * k)
-    lengths = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-    keep = np.ones(len(code), dtype=bool)
-    starts = np.cumsum(lengths + ORDER - 1) - lengths - (ORDER - 1)
-    for k in range(ORDER - 1):
-        keep[starts + k] = False
-    return code[keep], np.cumsum(lengths)
 
+def grams(own: list[str], lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """language << 40 | context << 8 | byte for each byte of the texts, and where each text ends.
 
-@dataclass(frozen=True)
-class Model:
-    """Sorted hashes of n-grams of all orders, and for each its log2 probability and log2 back-off weight."""
-
-    hashes: np.ndarray
-    logp: np.ndarray
-    backoff: np.ndarray
+    The context's most significant byte is the one just before; line ends stand before a text.
+    """
+    parts = [x.encode("utf-8", "replace") for x in own]
+    pad = ORDER - 1
+    raw = np.frombuffer(b"".join(b"\n" * pad + x for x in parts), dtype=np.uint8)
+    lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    code = raw.astype(np.int64)
+    for k in range(1, ORDER):
+        code[k:] |= raw[:-k].astype(np.int64) << (8 * (ORDER - k))
+    ends = np.cumsum(lengths)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(pad * np.arange(1, len(own) + 1), lengths)
+    return code[at] | np.repeat(lang.astype(np.int64) << (8 * ORDER), lengths), ends
 
 
-def hashed(code: np.ndarray, order: int) -> np.ndarray:
-    """A bijection of 64 bits over (order, code)."""
-    x = code.astype(np.uint64) | np.uint64(order << 56)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def shorter(code: np.ndarray) -> np.ndarray:
+    """The n-gram without the byte furthest back."""
+    return ((code >> 16) << 8) | (code & 255)
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more; where counts are too few, halves."""
-    n = [0, *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more, from how many n-grams have the counts 1 to 4; halves where there are too few."""
+    n = [0.0, *counts.tolist()]
     if not all(n[1:4]):
         return np.array([0, 0.5, 0.5, 0.5])
     y = n[1] / (n[1] + 2 * n[2])
     return np.clip([0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]], 0, [0, 1, 2, 3])
 
 
-def kneser_ney(code: np.ndarray, count: np.ndarray) -> Model:
-    """The model of the highest-order counts; lower orders count the different symbols seen before them."""
-    full = np.zeros(CLASSES**ORDER, dtype=np.int64)
-    full[code] = count
-    levels = [full]
-    while len(levels[0]) > CLASSES:
-        levels.insert(0, (levels[0].reshape(CLASSES, -1) > 0).sum(0) if len(levels) > 0 else full)
-    lower = np.full(CLASSES, 1.0 / CLASSES)
-    grams, weights = [], []
-    for level in levels:
-        counts = level.reshape(-1, CLASSES)
-        off = _discounts(level)[np.minimum(counts, 3)]
-        total = counts.sum(1, keepdims=True)
-        gamma = np.where(total > 0, off.sum(1, keepdims=True) / np.maximum(total, 1), 1.0)
-        back = np.tile(lower.reshape(-1, CLASSES), (max(1, len(level) // CLASSES // max(1, len(lower) // CLASSES)), 1))
-        lower = (np.where(total > 0, (counts - off) / np.maximum(total, 1), 0) + gamma * back).ravel()
-        grams.append(lower)
-        weights.append(gamma.ravel())
-    # Order 0 has the back-off weight of the empty context; a gram is stored if it was seen or is a context of one.
-    parts = [(hashed(np.zeros(1, dtype=np.int64), 0), np.zeros(1), weights[0])]
-    for k, (level, p) in enumerate(zip(levels, grams, strict=True), 1):
-        after = weights[k] if k < ORDER else np.ones(len(p))
-        stored = np.flatnonzero((level > 0) | (after != 1))
-        parts.append((hashed(stored, k), p[stored], after[stored]))
-    hashes, p, backoff = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(hashes)
-    with np.errstate(divide="ignore"):
-        return Model(hashes[order], np.log2(p[order]).astype(np.float32), np.log2(np.maximum(backoff[order], 1e-12)).astype(np.float32))
-
-
-def spread(model: Model) -> np.ndarray:
-    """-log2 of the probability of each of the 32**4 codes, from the hash arrays alone."""
-    lower = np.full(CLASSES, -float(BITS))
-    context = np.zeros(1)
-    for order in range(ORDER + 1):
-        code = np.arange(CLASSES**order)
-        h = hashed(code, order)
-        at = np.minimum(np.searchsorted(model.hashes, h), len(model.hashes) - 1)
-        have = model.hashes[at] == h
-        if order:
-            lower = np.where(have, model.logp[at], np.repeat(context, CLASSES) + lower[code % len(lower)])
-        context = np.where(have, model.backoff[at], 0.0)
-    return (-lower).astype(np.float32)
+def probabilities(code: np.ndarray, count: np.ndarray, off: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Of ascending n-grams of one order, from their counts, the discounts of each one's language (rows of off) and the probability one order below."""
+    if not len(code):
+        return np.empty(0)
+    starts = B.runs(code >> 8)
+    of = np.cumsum(np.bincount(starts, minlength=len(code))) - 1
+    taken = off[np.arange(len(code)), np.minimum(count, 3).astype(np.int64)]
+    total = np.add.reduceat(count, starts)[of]
+    return (count - taken + np.add.reduceat(taken, starts)[of] * lower) / total
+
+
+@dataclass(frozen=True)
+class Top:
+    """Discounts by order and language; ascending (language << 16 | byte << 8 | byte) with their probabilities."""
+
+    off: dict[int, np.ndarray]
+    pair: np.ndarray
+    p: np.ndarray
+
+
+def top_of(pair: np.ndarray, count: np.ndarray, seen: dict[int, np.ndarray], languages: int) -> Top:
+    """From the different bytes before each pair of bytes, and by order from 3 how many n-grams of each language have the counts 1 to 4."""
+    off = {k: np.stack([discounts(x) for x in seen[k]]) for k in seen}
+    one, ones = np.unique(((pair >> 16) << 8) | (pair & 255), return_counts=True)
+    tally = lambda code, n, bits: np.stack([np.bincount(n[(code >> bits) == k].astype(np.int64), minlength=5)[1:5] for k in range(languages)])
+    own = lambda t, code, bits: np.stack([discounts(x) for x in t])[code >> bits] if len(code) else np.empty((0, 4))
+    p1 = probabilities(one, ones.astype(float), own(tally(one, ones, 8), one, 8), np.full(len(one), 1 / 256))
+    before = p1[np.searchsorted(one, ((pair >> 16) << 8) | (pair & 255))]
+    return Top(off, pair, probabilities(pair, count, own(tally(pair, count, 16), pair, 16), before))
+
+
+def orders(code: np.ndarray, count: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams, counts) of orders 5, 4 and 3: the highest as they are, then the different bytes before each."""
+    out = [(code, count)]
+    for _ in range(2):
+        short, n = np.unique(shorter(out[-1][0]), return_counts=True)
+        out.append((short, n.astype(float)))
+    return out
+
+
+def low_sums(code: np.ndarray, count: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, key, n): kind 2: the different bytes before each pair of bytes; 3 to 5: by language * 4 + c - 1 the n-grams with count c up to 4."""
+    found = orders(code, count)
+    out = [(2, *(x.astype(np.int64) for x in np.unique(shorter(found[2][0]), return_counts=True)))]
+    for k, (own, n) in enumerate(found):
+        few = n <= 4
+        key = (own[few] >> (8 * (ORDER - k))) * 4 + n[few].astype(np.int64) - 1
+        out.append((ORDER - k, *(x.astype(np.int64) for x in np.unique(key, return_counts=True))))
+    return out
+
+
+def log2_of(code: np.ndarray, count: np.ndarray, top: Top) -> np.ndarray:
+    """log2 of the probability of each n-gram of a task's part of the model, which ascend."""
+    found = orders(code, count)
+    short = shorter(found[2][0])
+    p = top.p[np.searchsorted(top.pair, short)]
+    for k in (2, 1, 0):
+        own, n = found[k]
+        if k < 2:
+            p = p[np.searchsorted(found[k + 1][0], shorter(own))]
+        p = probabilities(own, n, top.off[ORDER - k][own >> (8 * (ORDER - k))], p)
+    return np.log2(p)
+
+
+def deal_of(code: np.ndarray, deals: int) -> np.ndarray:
+    """By language and the two bytes before the last."""
+    prefix = (code >> (8 * (ORDER - 2))).astype(_U)
+    return ((prefix * _U(0x9E3779B97F4A7C15)) >> _U(33)).astype(np.int64) % deals
 
 
 def statistics(text: str) -> tuple[int, int, int, int, int]:
@@ -163,98 +156,79 @@ def statistics(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - spaces, symbols, repeated_lines, repeats
 
 
-def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, code, n): each task sums its own documents first."""
-
-    def run(batches):
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            own, lang = texts(batch.column(0)), batch.column(1).to_pylist()
-            by: dict[str, list[str]] = {}
-            for x, name in zip(own, lang, strict=True):
-                by.setdefault("" if name is None else name, []).append(x)
-            for name, group in by.items():
-                if name not in sums:
-                    sums[name] = np.zeros(CLASSES**ORDER, dtype=np.int64)
-                at, size = 0, 0
-                for k, x in enumerate(group):
-                    size += len(x)
-                    if size > 1 << 20 or k == len(group) - 1:
-                        code = codes(group[at : k + 1])[0]
-                        one, n = np.unique(code, return_counts=True)
-                        sums[name][one] += n
-                        at, size = k + 1, 0
-        for name, table in sums.items():
-            code = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code, pa.int64()), pa.array(table[code], pa.int64())], ["lang", "code", "n"])
-
-    from .common import chunks
-
-    narrow = docs.select(text_col, F.col(lang_col).cast("string").alias("__lang"))
-    partial = narrow.mapInArrow(lambda it: run(chunks(it, text_col)), "lang string, code bigint, n bigint")
-    return partial.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, Model]:
-    """A model by language ("": null), learned from all documents; at most 32**4 counts each reach the driver."""
-    got = count_grams(docs, text_col, lang_col).toPandas()
-    return {lang: kneser_ney(own["code"].to_numpy(), own["n"].to_numpy()) for lang, own in got.groupby("lang", sort=True)}
-
-
-def scored(docs: DataFrame, found: dict[str, Model], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, the word statistics, lang (whose model gives the text the least code length), n_chars and bits a character.
-
-    The bits are the least of any language in each window, so that neither a wrong language label nor a
-    quotation in another language makes a document look odd.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(found)
-    tables: dict[str, np.ndarray] = {}
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", written=lambda df, what: df) -> DataFrame:
+    """id_col, the word statistics, lang ("": null), n_letters and bits a letter under the model of the document's language, learned from all documents.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not tables:
-            tables.update((name, spread(m)) for name, m in sorted(shared.value.items()))
-        own = texts(batch.column(1))
+    docs are read twice and must give the same rows in the same tasks both times, as files do. Languages are
+    the different values of lang_col, whose list is on the driver.
+    """
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("__lang"), F.spark_partition_id().alias("__part"))
+    found = own.groupBy("__lang").agg(F.sum(F.octet_length("__text")).alias("n")).orderBy("__lang").collect()
+    names = {r["__lang"]: k for k, r in enumerate(found)}
+    deals = max(8, -(-sum(r["n"] or 0 for r in found) // DEAL))
+    spark = docs.sparkSession
+
+    def codes(piece: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
+        own = texts(piece.column("__text"))
+        lang = np.asarray([names[x] for x in piece.column("__lang").to_pylist()], dtype=np.int64)
+        return own, *grams(own, lang)
+
+    def ask(batches):
+        return B.asked(B.numbered(batches, "__text"), lambda piece: [np.unique(codes(piece)[1], return_counts=True)], lambda code: deal_of(code, deals))
+
+    wanted = written(in_arrow(own, ask, B.ASKED), "grams")
+    dealt = wanted.repartition(deals, "deal")
+
+    def sums(batches):
+        _, code, n = B.gathered(batches)
+        if len(code):
+            for kind, key, v in low_sums(code, n):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(v)], ["kind", "key", "v"])
+
+    got = in_arrow(dealt, sums, "kind int, key bigint, v bigint").groupBy("kind", "key").agg(F.sum("v").alias("v")).orderBy("kind", "key").toArrow()
+    kind, key, v = (got[c].to_numpy() for c in ("kind", "key", "v"))
+    seen = {k: np.zeros((max(1, len(names)), 4)) for k in (3, 4, 5)}
+    for k, table in seen.items():
+        table.reshape(-1)[key[kind == k]] = v[kind == k]
+    shared = spark.sparkContext.broadcast(top_of(key[kind == 2], v[kind == 2].astype(float), seen, max(1, len(names))))
+
+    def answer(batches):
+        held, code, n = B.gathered(batches)
+        if held:
+            yield from B.answers(held, code, log2_of(code, n, shared.value))
+
+    def rows_of(piece: pa.RecordBatch, gram: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        own, code, ends = codes(piece)
         rows = [statistics(x) for x in own]
-        code, ends = codes(own)
-        bounds = np.concatenate(([0], ends))
-        n = np.diff(bounds)
-        windows = -(-n // WINDOW)
-        firsts = np.concatenate(([0], np.cumsum(windows)))
-        of = np.repeat(np.arange(len(n)), windows)
-        starts = bounds[of] + (np.arange(len(of)) - firsts[of]) * WINDOW
-        by_window = np.stack([np.add.reduceat(t[code].astype(np.float64), starts) if len(starts) else np.zeros(0) for t in tables.values()])
-        sums = lambda x: np.diff(np.concatenate(([0.0], np.cumsum(x)))[firsts])
-        best = np.stack([sums(x) for x in by_window]).argmin(0)
-        bits = sums(by_window.min(0)) / np.maximum(n, 1)
-        names = list(tables)
+        sums_ = np.concatenate(([0.0], np.cumsum(B.looked_up(code, gram, values), dtype=np.float64)))
+        n = np.fromiter((len(x.encode("utf-8", "replace").translate(None, _NO_LETTERS)) for x in own), dtype=np.int64, count=len(own))
+        bits = -np.diff(sums_[np.concatenate(([0], ends))]) / np.maximum(n, 1)
         columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), *columns, pa.array([names[k] for k in best], pa.string()), pa.array(n), pa.array(bits)],
-            [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lang", "n_chars", "bits"],
-        )
+        return pa.RecordBatch.from_arrays([piece.column("__id"), *columns, piece.column("__lang"), pa.array(n), pa.array(bits)], [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lang", "n_letters", "bits"])
 
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lang string, n_chars bigint, bits double"
-    return arrow_map(docs.select(id_col, text_col), run, schema, text_col)
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lang string, n_letters bigint, bits double"
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), deals)
+    return B.met(B.folded(own, "__text"), in_arrow(dealt, answer, B.ANSWERED), rows_of, schema, parts)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lower: float = LOWER, upper: float = UPPER, min_words: int = 50, written=lambda df, what: df) -> DataFrame:
-    """id_col, the statistics, base_failed, perplexity, and kept.
+    """id_col, the statistics, base_failed, perplexity (of a letter), and kept.
 
     A document fails the base rules with under min_words words or with over half of its words in repeated
-    three-word windows. The bits a character of the others have a median in each language and a spread: the
-    median absolute deviation, or one over the root of the document's length if that is more, for short
-    texts vary more. A document is rejected more than lower spreads below the median or upper ones above it. Null text has
-    no words and fails; null languages are a language of their own; repeated rows count as rows.
-    written(df, name) cuts the lineage after scoring, so that texts are read twice in all.
+    three-word windows. The bits a letter of the others have a median in each language and a spread: the
+    median absolute deviation, or one over the root of the document's letters if that is more, for short
+    texts vary more. A document is rejected more than lower spreads below the median or upper ones above it.
+    Null text has no words and fails; null languages are a language of their own; repeated rows count as
+    rows; very long texts are scored whole; an empty table gives none. written(df, name) cuts the lineage.
     """
-    rows = written(scored(docs, models(docs, text_col, lang_col), id_col, text_col), "scored")
+    rows = written(scored(docs, id_col, text_col, lang_col, written), "scored")
     rows = rows.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     usual = rows.where(~F.col("base_failed"))
     middle = usual.groupBy("lang").agg(F.percentile_approx("bits", 0.5, 10000).alias("middle"))
-    # A row per language that has a model; the models themselves are broadcast already.
+    # A row per language, whose list is on the driver already.
     off = usual.join(F.broadcast(middle), "lang").groupBy("lang").agg(F.percentile_approx(F.abs(F.col("bits") - F.col("middle")), 0.5, 10000).alias("off"), F.first("middle").alias("middle"))
     judged = rows.join(F.broadcast(off.withColumnRenamed("lang", "__of")), rows["lang"] == F.col("__of"), "left")
-    spread_ = F.greatest(F.col("off"), F.lit(1.0) / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1))))
+    spread_ = F.greatest(F.col("off"), F.lit(1.0) / F.sqrt(F.greatest(F.col("n_letters"), F.lit(1))))
     within = F.col("bits").between(F.col("middle") - F.lit(lower) * spread_, F.col("middle") + F.lit(upper) * spread_)
     kept = ~F.col("base_failed") & F.coalesce(within, F.lit(True))
     return judged.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.pow(F.lit(2.0), "bits").alias("perplexity"), kept.alias("kept"))
