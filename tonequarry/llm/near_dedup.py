@@ -109,8 +109,8 @@ def signed(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
     return arrow_map(docs.select(id_col, text_col), run, f"id {kind}, digest binary, n bigint, bands array<bigint>", text_col)
 
 
-def set_table(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingle hashes) of the documents in ids."""
+def set_table(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str, repeated: DataFrame | None = None) -> DataFrame:
+    """(id, shingle hashes) of the documents in ids, a row for each; of the rows with an id in repeated, the least set."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [s.view(np.int64) for s in shingle_sets(texts(batch.column(1)), words)]
@@ -119,7 +119,11 @@ def set_table(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return arrow_map(wanted, run, f"id {kind}, set array<bigint>", "text").dropDuplicates(["id"])
+    of = lambda rows: arrow_map(rows, run, f"id {kind}, set array<bigint>", "text")
+    if repeated is None:
+        return of(wanted)
+    once = of(wanted.join(repeated, "id", "left_anti"))
+    return once.unionByName(of(wanted.join(repeated, "id", "left_semi")).groupBy("id").agg(F.min("set").alias("set")))
 
 
 def _alike(n: Column, m: Column, percent: int) -> Column:
@@ -195,7 +199,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     ranked = members.select("key", "id").join(central, "id").select("key", "id", F.struct("weight", (-F.col("id")).alias("low")).alias("place"))
     tops = written(narrow(ranked.groupBy("key").agg(F.max("place").alias("top"))), "tops")
     led = ranked.join(tops, "key").where(F.col("place") != F.col("top")).groupBy(F.col("id").alias("b")).agg(F.max("top").alias("top")).select((-F.col("top.low")).alias("a"), "b")
-    sets = written(set_table(docs, members.select("id").distinct(), words, id_col, text_col), "sets")
+    # Ids repeat in no proper table; where they do, those rows alone are grouped.
+    twice = written(narrow(members.select("id").distinct().join(real.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1), "id").select("id")), "twice")
+    sets = written(set_table(docs, members.select("id").distinct(), words, id_col, text_col, None if twice.isEmpty() else twice), "sets")
     first = written(narrow(confirmed(led, sets, percent), 4), "links")
     part = written(narrow(connected_components(first)), "part")
     labelled = members.select("key", "band", "id", "n").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -217,4 +223,4 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the documents that another one of their component stands for."""
     gone = components(docs, id_col=id_col, **options).where(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

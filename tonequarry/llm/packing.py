@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 #: Words that a worker remembers the ids of, at most; then it starts anew.
-REMEMBERED = 3 << 18
+REMEMBERED = 3 << 17
 #: Bytes of text that are tokenized at a time; a word that comes again in them is looked up once.
 PIECE = 2 << 20
 
@@ -137,7 +137,7 @@ def _ids(path: str) -> WordIds:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, room: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and an end id, cut every room ids."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, __salt): each document's ids and an end id, cut every room ids; a number that tells equal rows apart."""
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, counts = _ids(tokenizer_path).encode(batch.column(1))
@@ -155,11 +155,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, room: in
                 sums.append(zlib.crc32(own[4 * start : 4 * (start + length)]))
                 totals.append(n + 1)
         long = lambda x: pa.array(x, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0).take(long(rows)), long(starts), long(lengths), long(sums), long(totals)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(long(rows)), long(starts), long(lengths), long(sums), long(totals), long(rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "__salt"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_map(narrow, pieces, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", limit=PIECE)
+    return arrow_map(narrow, pieces, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, __salt bigint", limit=PIECE)
 
 
 def first_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,14 +189,14 @@ def pack(pieces: DataFrame, room: int = 2048, rows_per_group: int = 8192) -> Dat
     """pieces with sequence_id and offset.
 
     Pieces of exactly room ids are sequences as they are and take part in the grouping only by their
-    number. A piece's group is a hash of all its columns, so groups are random, of about
-    rows_per_group rows at any size of the input, and the same in a task that is run again. Repeated
-    rows are pieces of their own.
+    number. A piece's group is a hash of all its columns, with a salt where equal rows are many, so groups
+    are random, of about rows_per_group rows at any size of the input, and the same in a task that is run
+    again. Repeated rows are pieces of their own.
     """
     n = pieces.select(F.count(F.lit(1))).first()[0]
     groups = max(1, -(-n // rows_per_group))
-    names = pieces.columns
-    keyed = pieces.withColumn("__group", F.pmod(F.xxhash64(*names), F.lit(groups)))
+    names = [c for c in pieces.columns if c != "__salt"]
+    keyed = pieces.select(*names, F.pmod(F.xxhash64(*pieces.columns), F.lit(groups)).alias("__group"))
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("doc_tokens", "ascending")])
@@ -206,7 +206,7 @@ def pack(pieces: DataFrame, room: int = 2048, rows_per_group: int = 8192) -> Dat
         ids = (group << 24) + bins
         return table.select(names).append_column("sequence_id", pa.array(ids, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in names)
     return keyed.groupBy("__group").applyInArrow(one, f"{fields}, sequence_id bigint, offset bigint")
 
 
