@@ -52,13 +52,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     """
     known = docs.where(F.col(id_col).isNotNull())
     gone = shared_lines(known, min_docs, min_chars, id_col, text_col, written).withColumnRenamed("__id", "__gone_id").withColumnRenamed("gone", "__gone")
-    joined = docs.join(gone, docs[id_col] == F.col("__gone_id"), "left")
-    lines = _lines(F.col(text_col))
+    joined = docs.join(gone, docs[id_col] == gone["__gone_id"], "left")
+    lines, lost = _lines(docs[text_col]), gone["__gone"]
     # transform() over a one-element array binds the lines once for the lambda.
-    rest = F.transform(F.array(lines), lambda x: _without(x, F.col("__gone")))[0]
-    out = F.when(F.col("__gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(rest, "\n"))
+    rest = F.transform(F.array(lines), lambda x: _without(x, lost))[0]
+    out = F.when(lost.isNull(), F.coalesce(docs[text_col], F.lit(""))).otherwise(F.array_join(rest, "\n"))
     return joined.select(
-        *[out.alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[out.alias(c) if c == text_col else docs[c] for c in docs.columns],
         F.size(lines).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_dropped"),
+        F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("__n_dropped"),
     )
