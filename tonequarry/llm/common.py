@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import string
 from collections.abc import Callable, Iterator
 
@@ -55,9 +58,22 @@ def chunks(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = C
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow in batches of bounded size."""
+    """df.mapInArrow in batches of bounded size; a worker that has done its task keeps no more memory than it needs."""
     bounded(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(whole, schema)
+
+
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers, which wait beside the JVM's own tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def bounded(spark: SparkSession) -> None:

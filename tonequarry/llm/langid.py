@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, bounded, remainder, texts
+from .common import CHUNK, bounded, release, remainder, texts
 
 #: Bounds of the training sample: per language, documents and code points of each; and bytes in all, taken evenly from these.
 SAMPLE_DOCS, DOC_CHARS, SYMBOLS = 96, 400, 16384
@@ -212,6 +212,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 scores.append(score)
                 start, size = k + 1, 0
         score = pa.array(np.concatenate(scores) if scores else np.zeros(0))
+        release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), score], ["lang", "score"])
 
     # Not deterministic by declaration only: a filter on an answer must not be answered a second time.

@@ -27,7 +27,7 @@ DEPTH = 5
 #: Contexts of at most so many bytes are weighed on the driver, longer ones where their first TOP + 1 bytes are dealt to.
 TOP = 2
 #: Bytes of text for each task of longer contexts.
-DEAL = 1 << 25
+DEAL = 1 << 24
 #: Nodes whose decisions are worked out at a time.
 ROWS = 1024
 #: Words whose counts are broadcast; the others' counts are joined.
