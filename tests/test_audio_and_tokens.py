@@ -13,6 +13,7 @@ def tone(n=480_000):
     return 0.4 * np.sin(2 * np.pi * 440 * t) + 0.2 * np.sin(2 * np.pi * 3150 * t) + 0.05 * np.sin(2 * np.pi * 11000 * t)
 
 
+#: The log-mel levels that an analysis must reproduce.
 GOLDEN = {0: 7.2610, 64: -35.5696, 1000: -58.0551, 5000: 2.1827, 20000: -70.9417, 32032: -72.9799, 45000: 2.1827, 60000: -69.5069, 64063: -35.8436}
 
 

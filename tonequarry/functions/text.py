@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPACE = r"[\s\p{Z}]"
-#: A dash between artist and song: white space on one side at least.
+#: Fixed values, as they decide what counts as an act: a dash between artist and song, with white space on one side
+#: at least; and a guest, a word that white space follows.
 DASH = r"\s+[-–—]\s+|\s+[-–—]|[-–—]\s+"
+GUEST = r"(?i)\s+(feat\.?|ft\.?|featuring|with)\s.*$"
 UNKNOWN = "<unknown>"
 #: Bounds of an artist found in a title, and of one to display.
 HEAD_MOST, ACT_LEAST, ARTIST_MOST = 60, 2, 40
@@ -23,22 +25,26 @@ def contains(c: Column, query: str | Column) -> Column:
     return F.contains(F.lower(c), F.lower(q))
 
 
+def _parts(title: Column) -> Column:
+    return F.split(trimmed(title), DASH, 2)
+
+
 def _head(title: Column) -> Column:
-    return F.regexp_replace(F.split(title, DASH, 2)[0], r"^[_. ]+|[_. ]+$", "")
+    return F.regexp_replace(trimmed(_parts(title)[0]), r"^[_. ]+|[_. ]+$", "")
 
 
 def artist_in_title(title: Column) -> Column:
     """The act before the first dash of a title, lower-cased and without guests; null if none."""
-    parts = F.split(title, DASH, 2)
+    parts = _parts(title)
     head = _head(title)
-    lead = F.regexp_replace(head, r"(?i)\s+(feat|ft|featuring|with)\b.*$", "")
+    lead = F.regexp_replace(head, GUEST, "")
     act = F.lower(trimmed(lead))
     good = (F.size(parts) == 2) & (trimmed(F.get(parts, F.lit(1))) != "") & F.length(head).between(ACT_LEAST, HEAD_MOST) & head.rlike(r"\p{L}") & (F.length(act) >= ACT_LEAST)
     return F.when(good, act)
 
 
 def song_in_title(title: Column) -> Column:
-    return F.when(artist_in_title(title).isNotNull(), trimmed(F.get(F.split(title, DASH, 2), F.lit(1)))).otherwise(trimmed(title))
+    return F.when(artist_in_title(title).isNotNull(), trimmed(F.get(_parts(title), F.lit(1)))).otherwise(trimmed(title))
 
 
 def act_of(artist: Column, title: Column, folder: Column) -> Column:
@@ -69,6 +75,28 @@ def clock(ms: Column) -> Column:
     return F.concat(F.lpad(F.floor(s / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
 
 
+def day_of(ms: Column) -> Column:
+    """The calendar date, in the session's time zone."""
+    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd")
+
+
+def until_next_day(ms: Column) -> Column:
+    """Milliseconds to the next midnight of the session's time zone, when a day's playlist is built anew; a second at least."""
+    midnight = F.date_add(F.to_date(F.timestamp_millis(ms)), 1).cast("timestamp")
+    return F.greatest(F.lit(1000), F.unix_millis(midnight) - ms).cast("long")
+
+
+def seconds_left(done: Column, total: Column, elapsed_ms: Column) -> Column:
+    """What is left of a scan at its mean pace so far, in whole milliseconds a track; 0 before the first."""
+    pace = F.when(done > 0, F.floor(elapsed_ms / done)).otherwise(F.lit(0))
+    return F.floor((total - done) * pace / 1000).cast("long")
+
+
+def art_uri(album_id: Column) -> Column:
+    """Where Android keeps an album's picture; null without an album."""
+    return F.concat(F.lit("content://media/external/audio/albumart/"), album_id.cast("string"))
+
+
 def size_text(b: Column) -> Column:
     """A number of bytes in GB, MB or KB."""
 
