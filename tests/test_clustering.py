@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tonequarry.operators import albums, clustering as C
 from tonequarry.operators.similarity import close_pairs
@@ -90,3 +91,46 @@ def test_components(spark):
     got = {r[0]: r[1] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_gram_and_places(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0.3, 1, (50, 5))
+    got = {(r["i"], r["j"]): r["g"] for r in C.gram(frame(spark, x).repartition(3)).collect()}
+    c = x - x.mean(0)
+    want = c.T @ c
+    assert len(got) == 16 and abs(got[(-1, -1)] - np.trace(want)) < 1e-9 and all(abs(got[(i, j)] - want[i, j]) < 1e-9 for i in range(5) for j in range(i, 5))
+    assert C.gram(frame(spark, x).limit(0)).where("j >= 0").count() == 0
+    v = [3.0, 1.0, 2.0, 2.0, 9.0, 5.0, 4.0, 8.0, 7.0, 6.0]
+    df = spark.createDataFrame([(a,) for a in v], "v double")
+    assert [r["place"] for r in C.in_places(df, "v").orderBy("place").collect()] == list(range(10))
+    assert tuple(C.summary(df, "v").first()) == (1.0, 2.0, 5.0, 9.0, 9.0, 10)
+
+
+def test_neighbours_of_many_queries(spark):
+    from tonequarry.operators.similarity import neighbours
+
+    rng = np.random.default_rng(9)
+    pts = frame(spark, unit(rng.normal(0, 1, (60, 8))))
+    queries = pts.withColumnRenamed("song_id", "query_id")
+    rows = lambda most: sorted(map(tuple, neighbours(pts, queries, 3, most).select("query_id", "song_id", "rank").collect()))
+    assert rows(1000) == rows(17) and len(rows(17)) == 180
+
+
+def test_album_names_and_store(spark, tmp_path):
+    from tonequarry.sources import cache
+
+    rows = spark.createDataFrame([(1, 5, 3), (1, 2, 9), (1, 7, 9), (2, 1, 4)], "library long, cluster long, size long")
+    assert sorted(map(tuple, albums.untitled(rows).collect())) == [(1, 2, "Mix 1"), (1, 5, "Mix 3"), (1, 7, "Mix 2"), (2, 1, "Mix 1")]
+    sign = lambda ids, *more: rows.limit(1).select(albums.signature(F.array(*map(F.lit, ids)), *more)).first()[0]
+    assert sign([3, 1], "a", "v", 1.0) == sign([1, 3], "a", "v", 1.0)
+    keys = {sign([1, 3], "a", "v", 1.0), sign([1, 4], "a", "v", 1.0), sign([1, 3], "b", "v", 1.0), sign([1, 3], "a", "w", 1.0), sign([1, 3], "a", "v", 1.2)}
+    assert len(keys) == 5
+    made = []
+
+    def build(n):
+        made.append(n)
+        return spark.range(n)
+
+    get = lambda key, n: cache.stored(spark, str(tmp_path), key, lambda: build(n)).count()
+    assert [get("k1", 3), get("k1", 4), get("k2", 5), get("k1", 6)] == [3, 3, 5, 3] and made == [3, 5]

@@ -74,3 +74,24 @@ def test_daily_mix(spark):
     assert mix.eligible(few, weights, few.select("song_id"), none, NOW).count() == 10
     assert mix.seed_of("2024-01-31", 3, 1) == mix.seed_of("2024-01-31", 3) + 1
     assert tracks.select(F.max("song_id")).first()[0] is not None
+
+
+def test_playlist_policy(spark):
+    songs = spark.createDataFrame([(k,) for k in range(20)], "song_id long")
+    stored = lambda *rows: spark.createDataFrame(list(rows), "day string, attempt int, ids array<bigint>, recent array<struct<day:string,ids:array<bigint>>>")
+    calls = []
+
+    def build(offered, attempt):
+        calls.append((sorted(r[0] for r in offered.collect()), attempt))
+        return spark.createDataFrame([(1, 7), (0, 9)], "position long, song_id long")
+
+    today = ("d3", 1, [1, 2, 3, 99, 98], [("d2", [4, 5]), ("d1", [6])])
+    assert mix.playlist(stored(today), songs, "d3", build).first()["ids"] == [1, 2, 3, 99, 98] and not calls
+    # Three songs gone, a rebuild, another day, nothing stored.
+    few = ("d3", 1, [1, 97, 98, 99], [])
+    assert mix.playlist(stored(few), songs, "d3", build).first()["attempt"] == 2 and calls.pop() == ([1, 97, 98, 99], 2)
+    got = mix.playlist(stored(today), songs, "d3", build, rebuild=True).first()
+    assert got["ids"] == [9, 7] and [r["day"] for r in got["recent"]] == ["d3", "d2", "d1"] and calls.pop()[1] == 2
+    got = mix.playlist(stored(today), songs, "d4", build).first()
+    assert (got["day"], got["attempt"]) == ("d4", 0) and calls.pop() == ([1, 2, 3, 4, 5, 6, 98, 99], 0)
+    assert mix.playlist(stored(), songs, "d4", build).first()["recent"] == [] and calls.pop() == ([], 0)

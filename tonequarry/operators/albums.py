@@ -74,6 +74,18 @@ def titled(albums: DataFrame) -> DataFrame:
     return albums.groupBy("library").applyInPandas(run, "library bigint, cluster bigint, title string")
 
 
+def untitled(albums: DataFrame) -> DataFrame:
+    """(library, cluster, title) where there are no labels to name albums by: Mix 1, Mix 2 and so on, the largest first. albums: library, cluster, size."""
+    w = Window.partitionBy("library").orderBy(F.desc("size"), "cluster")
+    return albums.select("library", "cluster", F.concat(F.lit("Mix "), F.row_number().over(w).cast("string")).alias("title"))
+
+
+def by_size(clusters: DataFrame) -> DataFrame:
+    """(cluster, size, place): the largest first, then the one with the smallest song. clusters: song_id, cluster; the window is over a row per cluster."""
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("song_id").alias("first"))
+    return sizes.select("cluster", "size", F.row_number().over(Window.orderBy(F.desc("size"), "first")).alias("place"))
+
+
 def set_id(ids: Column) -> Column:
     """A hash of a set of ids, in whatever order they come."""
     return F.sha2(F.array_join(F.array_sort(ids).cast("array<string>"), ",").cast("binary"), 256)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -64,7 +65,7 @@ def distance_quantiles(points: DataFrame, n: int = COARSE, sample: int = SAMPLE_
         pairs = close_pairs(points, 4.0, rows=rows).select("distance")
     else:
         # Draws with replacement of two different places of the rows in id order.
-        placed = points.withColumn("place", F.row_number().over(Window.orderBy("song_id")) - 1).select("place", "vector")
+        placed = in_places(points.select("song_id", "vector"), "song_id").select("place", "vector")
         draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(rows))
         drawn = points.sparkSession.range(sample).select("id", draw(1).alias("i"), F.pmod(draw(1) + 1 + F.pmod(F.xxhash64(F.lit(seed), F.lit(2), "id"), F.lit(rows - 1)), F.lit(rows)).alias("j"))
         side = lambda name, v: placed.select(F.col("place").alias(name), F.col("vector").alias(v))
@@ -75,21 +76,62 @@ def distance_quantiles(points: DataFrame, n: int = COARSE, sample: int = SAMPLE_
 def order_statistics(rows: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
     """(step, q, eps): for each quantile the element at trunc(q * (m - 1)) of the sorted values, without interpolation.
 
-    A range-sorted running count in two levels: ranks come from the counts of ranges, so no task sorts all.
     """
     spark = rows.sparkSession
     asked = spark.createDataFrame([(k, float(q)) for k, q in enumerate(quantiles)], "step int, q double")
-    values = rows.select(F.col(value).alias("v"))
-    sorted_ = values.repartitionByRange("v").select("v", F.spark_partition_id().alias("p"))
-    sorted_ = written(sorted_, "sorted")
-    counts = sorted_.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("p", before.alias("before"))
-    total = counts.agg(F.sum("n").alias("m"))
-    wanted = asked.crossJoin(F.broadcast(total)).select("step", "q", F.floor(F.col("q") * (F.col("m") - 1)).alias("rank"))
-    own = F.row_number().over(Window.partitionBy("p").orderBy("v")) - 1
-    ranked = sorted_.join(F.broadcast(offsets), "p").select("v", (own + F.col("before")).alias("rank"))
-    return ranked.join(F.broadcast(wanted), "rank").select("step", "q", F.col("v").alias("eps"))
+    ranked = in_places(rows.select(F.col(value).alias("v")), "v")
+    total = ranked.agg(F.count(F.lit(1)).alias("m"))
+    wanted = asked.crossJoin(F.broadcast(total)).select("step", "q", F.floor(F.col("q") * (F.col("m") - 1)).alias("place"))
+    return ranked.join(F.broadcast(wanted), "place").select("step", "q", F.col("v").alias("eps"))
+
+
+def in_places(rows: DataFrame, by: str) -> DataFrame:
+    """rows and place, from 0 in the order of a column.
+
+    A range-sorted running count in two levels: places come from the counts of ranges, so no task sorts all.
+    """
+    ranged = written(rows.repartitionByRange(by).select("*", F.spark_partition_id().alias("__p")), "sorted")
+    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(by)) - 1
+    return ranged.join(F.broadcast(counts.select("__p", before.alias("__before"))), "__p").withColumn("place", own + F.col("__before")).drop("__p", "__before")
+
+
+def summary(rows: DataFrame, value: str) -> DataFrame:
+    """(least, p10, median, p90, most, n): elements of the sorted values at n // 10, n // 2 and n * 9 // 10, without interpolation."""
+    ranked = in_places(rows.select(F.col(value).alias("v")), "v")
+    n = ranked.agg(F.count(F.lit(1)).alias("n"))
+    at = lambda num, den: F.max(F.when(F.col("place") == F.floor(F.col("n") * num / den), F.col("v")))
+    return ranked.crossJoin(F.broadcast(n)).agg(F.min("v").alias("least"), at(1, 10).alias("p10"), at(1, 2).alias("median"), at(9, 10).alias("p90"), F.max("v").alias("most"), F.count("v").alias("n"))
+
+
+def gram(points: DataFrame) -> DataFrame:
+    """(i, j, g) with i <= j: the Gram matrix of the centred vectors, unscaled, and its trace at (-1, -1).
+
+    Each task multiplies its own rows and passes on the sums alone: as many numbers as the matrix has, whatever
+    the number of rows. The means are taken out of the sums at the end.
+    """
+
+    def run(batches):
+        total, sums, n = None, None, 0
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+                total, sums, n = (x.T @ x, x.sum(0), len(x)) if total is None else (total + x.T @ x, sums + x.sum(0), n + len(x))
+        if total is not None:
+            i, j = np.triu_indices(len(sums))
+            k = np.arange(len(sums))
+            columns = np.concatenate((i, k, [-1])), np.concatenate((j, k * 0 - 1, [-1])), np.concatenate((total[i, j], sums, [float(n)]))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2])], ["i", "j", "g"])
+
+    found = points.select(F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+    # As many rows as a vector has numbers.
+    means = found.where((F.col("j") < 0) & (F.col("i") >= 0)).select("i", "g")
+    count = found.where(F.col("i") < 0).select(F.col("g").alias("n"))
+    side = lambda c: F.broadcast(means.select(F.col("i").alias(c), F.col("g").alias(f"s{c}")))
+    centred = found.where(F.col("j") >= 0).join(side("i"), "i").join(side("j"), "j").crossJoin(F.broadcast(count)).select("i", "j", (F.col("g") - F.col("si") * F.col("sj") / F.col("n")).alias("g"))
+    trace = centred.where(F.col("i") == F.col("j")).agg(F.sum("g").alias("g")).select(F.lit(-1).alias("i"), F.lit(-1).alias("j"), "g")
+    return centred.unionByName(trace)
 
 
 def density_clusters(points: DataFrame, pairs: DataFrame, eps: float, least: int) -> DataFrame:

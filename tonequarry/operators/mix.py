@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -158,3 +159,23 @@ def remembered(days: DataFrame, stored: DataFrame, n: int = REMEMBERED_DAYS) ->
     """(day, ids): the stored day first, then the others of before, the latest n."""
     before = days.join(stored.select("day"), "day", "left_anti")
     return stored.select("day", "ids").unionByName(before.select("day", "ids")).orderBy(F.desc("day")).limit(n)
+
+
+def playlist(stored: DataFrame, songs: DataFrame, today: str, build: Callable[[DataFrame, int], DataFrame], rebuild: bool = False) -> DataFrame:
+    """(day, attempt, ids, recent): the stored playlist where it still holds, else a new one.
+
+    stored has these columns and a row at most. A playlist of today stays if keeps_playlist() and no rebuild is
+    asked for. A new one is build(offered, attempt), position and song_id, where offered (song_id) are those
+    of the days remembered: the stored one first, then the others. attempt grows with each build of a day.
+    """
+    kept = keeps_playlist(stored, songs, today).first()["keep"]
+    if kept and not rebuild:
+        return stored
+    last = stored.select("day", "attempt").first()
+    attempt = last["attempt"] + 1 if last is not None and last["day"] == today else 0
+    days = remembered(stored.select(F.explode("recent").alias("d")).select("d.day", "d.ids"), stored)
+    built = build(days.select(F.explode("ids").alias("song_id")).distinct(), attempt)
+    # A playlist and a few days of them: some tens of ids each.
+    ids = built.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "song_id"))), lambda x: x["song_id"]).alias("ids"))
+    recent = days.agg(F.reverse(F.array_sort(F.collect_list(F.struct("day", "ids")))).alias("recent"))
+    return ids.crossJoin(recent).select(F.lit(today).alias("day"), F.lit(attempt).alias("attempt"), "ids", "recent")

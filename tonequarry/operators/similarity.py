@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..session import written
 
 #: Scores at and below the floor display as 0, at and above the strong one as 0.99.
 FLOOR, STRONG, SHOWN = 0.15, 0.45, 0.99
@@ -75,15 +77,23 @@ def top_k(pairs: DataFrame, k: int, query: str = "query_id") -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def neighbours(tracks: DataFrame, queries: DataFrame, k: int, most: int = 100_000) -> DataFrame:
+def neighbours(tracks: DataFrame, queries: DataFrame, k: int, most: int = 16_384) -> DataFrame:
     """(query_id, song_id, score, rank): k nearest of each query by product, itself left out, in blocks of matrix products.
 
-    queries (query_id, vector) is a stated set, broadcast as a matrix; more than most rows are refused.
-    Every task keeps its own best k of each query, and those are merged.
+    queries (query_id, vector) is a stated set. Blocks of about most of them, dealt by a hash, are broadcast as a
+    matrix, one after the other, each for a pass over the tracks. Every task keeps its own best k of each
+    query, and those are merged.
     """
-    rows = queries.select("query_id", "vector").orderBy("query_id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} queries")
+    blocks = max(1, -(-queries.count() // most))
+    if blocks == 1:
+        return _nearest(tracks, queries, k)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [written(_nearest(tracks, queries.where(block == b), k), "nearest") for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _nearest(tracks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    rows = queries.select("query_id", "vector").orderBy("query_id").collect()
     ids = np.asarray([r["query_id"] for r in rows], dtype=np.int64)
     matrix = np.asarray([r["vector"] for r in rows], dtype=np.float64)
     shared = tracks.sparkSession.sparkContext.broadcast((ids, matrix))

@@ -32,12 +32,12 @@ tastes AS (
   FROM fractions WHERE played_at >= 1706659200000 - 90 * 86400000::BIGINT),
 weights AS (SELECT song_id, sum(w) AS weight FROM (SELECT song_id, w FROM tastes UNION ALL SELECT song_id, 2.0::DOUBLE FROM favs) GROUP BY song_id),
 heads AS (
-  SELECT *, regexp_matches(title, '(?s)^.*?(?:\s+[-–—]\s+|\s+[-–—]|[-–—]\s+).*$') AS parted,
-         regexp_replace(regexp_extract(title, '(?s)^(.*?)(?:\s+[-–—]\s+|\s+[-–—]|[-–—]\s+)(.*)$', 1), '^[_. ]+|[_. ]+$', '', 'g') AS head,
-         regexp_replace(regexp_extract(title, '(?s)^(.*?)(?:\s+[-–—]\s+|\s+[-–—]|[-–—]\s+)(.*)$', 2), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS tail
-  FROM songs),
+  SELECT *, regexp_matches(own, '(?s)^.*?(?:\s+[-–—]\s+|\s+[-–—]|[-–—]\s+).*$') AS parted,
+         regexp_replace(regexp_replace(regexp_extract(own, '(?s)^(.*?)(?:\s+[-–—]\s+|\s+[-–—]|[-–—]\s+)(.*)$', 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '^[_. ]+|[_. ]+$', '', 'g') AS head,
+         regexp_replace(regexp_extract(own, '(?s)^(.*?)(?:\s+[-–—]\s+|\s+[-–—]|[-–—]\s+)(.*)$', 2), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS tail
+  FROM (SELECT *, regexp_replace(title, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS own FROM songs)),
 leads AS (
-  SELECT *, lower(regexp_replace(regexp_replace(head, '(?i)\s+(feat|ft|featuring|with)\b.*$', ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS lead
+  SELECT *, lower(regexp_replace(regexp_replace(head, '(?i)\s+(?:feat\.?|ft\.?|featuring|with)\s.*$', ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS lead
   FROM heads),
 intitle AS (
   SELECT *, CASE WHEN parted AND tail <> '' AND length(head) BETWEEN 2 AND 60 AND regexp_matches(head, '\p{L}') AND length(lead) >= 2 THEN lead END AS title_act,
@@ -152,6 +152,13 @@ SELECT label AS cluster, pos::INTEGER AS pos, round(x / sqrt(sum(x * x) OVER (PA
     "covariance": """, m AS (SELECT pos, avg(x) AS m FROM flat GROUP BY pos), c AS (SELECT song_id, pos, x - m AS x FROM flat JOIN m USING (pos))
 SELECT p.pos::INTEGER AS i, q.pos::INTEGER AS j, round(sum(p.x * q.x), 4) AS g FROM c p JOIN c q ON p.song_id = q.song_id AND p.pos <= q.pos GROUP BY ALL
 UNION ALL SELECT -1, -1, round(sum(x * x), 4) FROM c""",
+    "clusters_by_size": "SELECT label AS cluster, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, min(song_id)) AS place FROM tracks GROUP BY label",
+    "score_summary": f""", d AS (SELECT {_COS} AS s FROM tracks t, tracks q WHERE q.song_id = 0), o AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS r, count(*) OVER () AS n FROM d)
+SELECT round(min(s), 6) AS least, round(max(s) FILTER (WHERE r = n // 10), 6) AS p10, round(max(s) FILTER (WHERE r = n // 2), 6) AS median, round(max(s) FILTER (WHERE r = n * 9 // 10), 6) AS p90, round(max(s), 6) AS most, max(n) AS n FROM o""",
+    "art_uris": "SELECT song_id, 'content://media/external/audio/albumart/' || label AS art FROM tracks",
+    "scan_progress": "SELECT label, song_id, row_number() OVER w AS done, ((count(*) OVER (PARTITION BY label) - row_number() OVER w) * (row_number() OVER w * 1230 // row_number() OVER w) // 1000)::BIGINT AS seconds_left FROM tracks WINDOW w AS (PARTITION BY label ORDER BY song_id)",
+    "tsv_files": "SELECT title, artist, folder, len(vector)::INTEGER AS dims, round(vector[2], 6) AS second FROM songs JOIN tracks USING (song_id)",
+    "document_files": "SELECT '2024-01-30' AS day, 2 AS attempt, song_id FROM favs",
     "cluster_sizes": "SELECT label AS cluster, count(*) AS size, min(song_id) AS first FROM tracks GROUP BY label",
     "cluster_coverage": """, s AS (SELECT song_id % 37 % 11 - 1 AS cluster, count(*) AS size FROM tracks GROUP BY 1)
 SELECT coalesce(sum(size) FILTER (WHERE size BETWEEN 4 AND 50), 0)::BIGINT AS covered, max(size) AS largest FROM s WHERE cluster >= 0""",

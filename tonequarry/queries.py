@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from .functions import text as X
 from .functions import vectors as V
 from .operators import albums, audio, clustering, history, mix, sets, similarity, wave
 from .oracles import ORACLE_SQL, PRELUDE
-from .sources import export
+from .session import work_dir
+from .sources import cache, export
 from .sources import tables as S
 from .streaming import listens as streamed
 
@@ -155,6 +157,26 @@ def tsv_round_trip(spark, sf_dir):
     return back.select("song_id", "title", "artist", "folder", F.size("vector").alias("dims"), r6(F.col("vector")[1].cast("double")).alias("second"))
 
 
+@query
+def tsv_files(spark, sf_dir):
+    """The library written as files of tab-separated lines, and read from there."""
+    path = f"{work_dir(spark)}/library-{uuid.uuid4().hex}"
+    export.write_tsv(export.library_lines(S.songs(spark, sf_dir), S.tracks(spark, sf_dir)), path)
+    return export.read_tsv(spark, path).select("title", "artist", "folder", F.size("vector").alias("dims"), r6(F.col("vector")[1].cast("double")).alias("second"))
+
+
+@query
+def document_files(spark, sf_dir):
+    """The playlist document stored as a file under its key, and found there again; a document under another key is not."""
+    ids = F.array_sort(F.collect_list("song_id"))
+    day = S.favourites(spark, sf_dir).agg(ids.alias("ids")).select(F.lit("2024-01-30").alias("day"), F.lit(2).alias("attempt"), "ids", F.array().cast("array<struct<day:string,ids:array<bigint>>>").alias("recent"))
+    store = f"{work_dir(spark)}/documents-{uuid.uuid4().hex}"
+    cache.stored(spark, store, "other", lambda: export.daily_document(day.withColumn("day", F.lit("2024-01-29"))))
+    cache.stored(spark, store, "daily", lambda: export.daily_document(day))
+    back = export.daily_from(cache.stored(spark, store, "daily", lambda: export.daily_document(day.limit(0))))
+    return back.select("day", "attempt", F.explode("ids").alias("song_id"))
+
+
 @query
 def media_deleted(spark, sf_dir):
     return export.deleted(S.songs(spark, sf_dir), S.favourites(spark, sf_dir)).select("song_id", "title")
@@ -404,13 +426,33 @@ def score_statistics(spark, sf_dir):
 @query
 def covariance(spark, sf_dir):
     """The unscaled Gram matrix of the centred vectors (upper triangle), and its trace at (-1, -1)."""
-    t = S.tracks(spark, sf_dir).select("song_id", F.posexplode("vector").alias("pos", "x"))
-    means = t.groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
-    c = t.join(F.broadcast(means), "pos").select("song_id", "pos", (F.col("x").cast("double") - F.col("mean")).alias("x"))
-    p, q = c.alias("p"), c.alias("q")
-    gram = p.join(q, (F.col("p.song_id") == F.col("q.song_id")) & (F.col("p.pos") <= F.col("q.pos"))).groupBy(F.col("p.pos").alias("i"), F.col("q.pos").alias("j")).agg(F.round(F.sum(F.col("p.x") * F.col("q.x")), 4).alias("g"))
-    trace = c.agg(F.round(F.sum(F.col("x") * F.col("x")), 4).alias("g")).select(F.lit(-1).alias("i"), F.lit(-1).alias("j"), "g")
-    return gram.unionByName(trace)
+    return clustering.gram(S.tracks(spark, sf_dir)).select("i", "j", F.round("g", 4).alias("g"))
+
+
+@query
+def clusters_by_size(spark, sf_dir):
+    return albums.by_size(S.tracks(spark, sf_dir).select("song_id", F.col("label").alias("cluster")))
+
+
+@query
+def score_summary(spark, sf_dir):
+    t = S.tracks(spark, sf_dir)
+    s = clustering.summary(similarity.scored(t, t.where(F.col("song_id") == 0)), "score")
+    return s.select(*(r6(c).alias(c) for c in ("least", "p10", "median", "p90", "most")), "n")
+
+
+@query
+def art_uris(spark, sf_dir):
+    return S.tracks(spark, sf_dir).select("song_id", X.art_uri(F.col("label")).alias("art"))
+
+
+@query
+def scan_progress(spark, sf_dir):
+    """How far each label's scan is after each of its tracks, at 1230 ms a track."""
+    w = Window.partitionBy("label")
+    done = F.row_number().over(w.orderBy("song_id"))
+    rows = S.tracks(spark, sf_dir).select("label", "song_id", done.alias("done"), F.count(F.lit(1)).over(w).alias("total"))
+    return rows.select("label", "song_id", "done", X.seconds_left(F.col("done"), F.col("total"), F.col("done") * 1230).alias("seconds_left"))
 
 
 @query
@@ -616,9 +658,8 @@ def act_parsing(spark, sf_dir):
 
 @query
 def day_and_clock(spark, sf_dir):
-    ts = F.timestamp_millis("played_at")
-    left = F.greatest(F.lit(1000), F.unix_millis(F.date_add(F.to_date(ts), 1).cast("timestamp")) - F.col("played_at"))
-    return _listens(spark, sf_dir).select("id", F.date_format(ts, "yyyy-MM-dd").alias("day"), left.cast("long").alias("until_midnight"), X.clock(F.col("played_ms")).alias("clock"))
+    at = F.col("played_at")
+    return _listens(spark, sf_dir).select("id", X.day_of(at).alias("day"), X.until_next_day(at).alias("until_midnight"), X.clock(F.col("played_ms")).alias("clock"))
 
 
 @query
