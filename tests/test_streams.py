@@ -6,6 +6,7 @@ import numpy as np
 from tonequarry.operators import wave as W
 from tonequarry.sources.tables import PLAYER_EVENTS
 from tonequarry.streaming import listens as L
+from tonequarry.streaming import player as P
 from tonequarry.streaming import wave as SW
 
 
@@ -55,17 +56,24 @@ def test_wave_stream(spark, tmp_path):
     L.use_rocksdb(spark)
     schema = "listener long, ts long, kind string, song_id long, played_ms long, duration_ms long"
     spark.createDataFrame([(1, 1000, "start", 5, 0, 0), (1, 2000, "departed", 5, 1_000, 100_000), (1, 2500, "departed", 999, 1, 1), (2, 3000, "departed", 3, 1, 1)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    # Listener 4 goes on to the first pick: one more is needed to keep the queue full, and nothing is replaced.
+    first = W.following(lib, W.start(lib, lib.tracks[5].vector, 5), 1000, "wave:4", W.AHEAD, frozenset(), 5, W.NOVELTY)[0][0]
+    moves = [(4, 1000, "start", 5, 0, 0), (4, 2000, "changed", first, 0, 0), (3, 2000, "changed", 7, 0, 0)]
+    spark.createDataFrame(moves, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     picks = SW.steered(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lib)
     # A stateful query with a time to live looks at its timers again and again, so it is stopped, not awaited.
     q = picks.writeStream.format("memory").queryName("picks").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
     try:
         until = time.time() + 60
-        while time.time() < until and q.exception() is None and spark.table("picks").count() < 8:
+        while time.time() < until and q.exception() is None and spark.table("picks").count() < 13:
             time.sleep(1)
         assert q.exception() is None
         got = spark.table("picks").toPandas()
     finally:
         q.stop()
+    moved = got[got["listener"] == 4]
+    assert len(moved) == 5 and moved["replaces"].sum() == 4 and moved["song_id"].is_unique and sorted(moved["position"]) == [0, 1, 2, 3, 3]
+    got = got[got["listener"] != 4]
     assert set(got["listener"]) == {1} and len(got) == 8 and got["replaces"].all() and got["song_id"].is_unique and 5 not in set(got["song_id"])
 
 
@@ -73,3 +81,42 @@ def test_sessions(spark):
     at = lambda m: dt.datetime(2024, 1, 1, 0, 0) + dt.timedelta(minutes=m)
     df = spark.createDataFrame([(1, at(0), 5), (1, at(20), 5), (1, at(90), 5)], "listener long, ts timestamp, played_ms long")
     assert sorted(r["listens"] for r in L.sessions(df).collect()) == [1, 2]
+
+
+def test_pace_of_streams(spark, tmp_path):
+    at = lambda ms: dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=ms)
+    schema = "listener long, ts timestamp, text string"
+    rows = spark.createDataFrame([(1, at(0), "a"), (1, at(200), "ab"), (1, at(450), "abc"), (1, at(900), "x"), (2, at(100), "q")], schema)
+    take = lambda df: sorted(r["text"] for r in df.collect())
+    assert take(P.debounced(rows, ["listener"], ["text"])) == ["abc", "q", "x"]
+    assert take(P.throttled(rows, ["listener"], ["text"])) == ["ab", "abc", "q", "x"]
+    assert [r["day"] for r in P.days_begun(rows, ["listener"]).collect()] == ["2024-01-01"] * 2
+    assert take(P.debounced(rows.limit(0), ["listener"], ["text"])) == []
+    # The same rows as a stream; a far later one lets the windows close.
+    rows.unionByName(spark.createDataFrame([(9, at(60_000), "z")], schema)).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = P.debounced(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["listener"], ["text"])
+    q = stream.writeStream.format("memory").queryName("settled").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert take(spark.table("settled")) == ["abc", "q", "x"]
+
+
+def test_live_folders(spark, tmp_path):
+    songs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "song_id long, folder string")
+    spark.createDataFrame([(1,), (1,), (2,), (3,), (4,)], "song_id long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = P.analysed_by_folder(spark.readStream.schema("song_id long").parquet(str(tmp_path / "in")), songs)
+    q = live.writeStream.format("memory").outputMode("update").queryName("folders").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {tuple(r) for r in spark.table("folders").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_callbacks(spark):
+    at = lambda s: dt.datetime(2024, 1, 1, 12, 0, s)
+    rows = [
+        (1, at(0), "transition", 5, None, None), (1, at(1), "ready", 5, 0, 9_000), (1, at(2), "ended", 5, 1, 9_000), (1, at(3), "transition", 6, 0, -1),
+        (1, at(4), "jump", 6, 4_000, -5), (1, at(5), "transition", None, 0, 0), (1, at(6), "transition", 7, 0, 8_000), (1, at(7), "closed", 7, 3_000, 8_000),
+        (1, at(8), "volume", 7, 1, 1), (2, None, "pause", None, None, None),
+    ]
+    told = P.normalised(spark.createDataFrame(rows, "listener long, ts timestamp, callback string, song_id long, position_ms long, duration_ms long"))
+    assert told.columns == PLAYER_EVENTS.names
+    left = L.departures(told).select("song_id", "played_ms", "duration_ms").collect()
+    assert {tuple(r) for r in left} == {(5, 9_000, 9_000), (6, 4_000, 0), (7, 3_000, 8_000)}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..sources.tables import DAY
+from .history import taste_vector
 
 PULL, PUSH, DISLIKE = 0.15, -0.10, -0.30
 FINISHED, SKIPPED = 0.8, 0.3
@@ -39,6 +40,20 @@ def started(tracks: DataFrame, seed: DataFrame) -> DataFrame:
     return centre.crossJoin(F.broadcast(seed.select(F.col("vector").alias("__seed")).limit(1))).select("centre", V.normalized(V.minus(F.col("__seed"), F.col("centre"))).alias("direction"))
 
 
+def seed_vector(tracks: DataFrame, mode: str, current: int | None = None, text: DataFrame | None = None, weights: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """(vector), one row or none: what a wave sets off from.
+
+    'similar' takes the current track's vector, 'taste' the sum of liked vectors by weight, and both a random track
+    where there is none; 'description' takes the encoded text, and nothing without one.
+    """
+    if mode == "description":
+        return tracks.select(V.doubles(F.col("vector")).alias("vector")).limit(0) if text is None else text.select(V.doubles(F.col("vector")).alias("vector")).limit(1)
+    wanted = tracks.where(F.col("song_id") == F.lit(current)) if mode == "similar" else taste_vector(weights, tracks)
+    chance = tracks.orderBy(X.hash_uniform(seed, F.col("song_id")), "song_id").limit(1)
+    rows = wanted.select(F.lit(0).alias("__turn"), V.doubles(F.col("vector")).alias("vector")).unionByName(chance.select(F.lit(1).alias("__turn"), V.doubles(F.col("vector")).alias("vector")))
+    return rows.where(F.size("vector") > 0).orderBy("__turn").limit(1).select("vector")
+
+
 def relaxed(candidates: DataFrame, now: int, novelty: float) -> DataFrame:
     """The candidates of the strictest level that has any.
 

@@ -241,6 +241,26 @@ SELECT round(min(s), 6) AS worst, round(avg(s), 6) AS mean FROM s""",
     "alignment_report": f"SELECT label_idx, round(max({_COS}), 6) AS peak, round(avg({_COS}), 6) AS mean, round(stddev_pop({_COS}), 6) AS deviation FROM tracks t, labelv q GROUP BY label_idx",
     "tracked_departures": "SELECT listener, count(*) AS departures, sum(played_ms)::BIGINT AS played_ms, sum(duration_ms)::BIGINT AS duration_ms FROM plays GROUP BY listener",
 }
+_BODIES |= {
+    "wave_seeds": """, likes AS (SELECT pos, sum(weight * x) AS x FROM weights JOIN flat USING (song_id) WHERE weight > 0 GROUP BY pos)
+SELECT 'similar' AS mode, pos::INTEGER AS pos, round(x, 6) AS x FROM flat WHERE song_id = 7
+UNION ALL SELECT 'random', pos::INTEGER, round(x, 6) FROM flat WHERE song_id = (SELECT song_id FROM tracks ORDER BY ('0x' || substr(md5('42:' || song_id), 1, 8))::UBIGINT, song_id LIMIT 1)
+UNION ALL SELECT 'taste', (pos)::INTEGER, round(x, 6) FROM likes""",
+    "preferences_import": """, p AS (
+ SELECT 'favourites' AS kind, NULL AS name, label, song_id FROM tracks WHERE song_id % 17 = 0
+ UNION ALL SELECT 'dislikes', NULL, label, song_id FROM tracks WHERE song_id % 19 = 0
+ UNION ALL SELECT 'playlists', 'list ' || label, label, song_id FROM tracks WHERE song_id % 23 = 0)
+SELECT kind, name, (row_number() OVER (PARTITION BY kind, label ORDER BY song_id) - 1)::INTEGER AS position, song_id FROM p WHERE label <> 1
+UNION ALL SELECT 'queue', NULL, position, song_id FROM (SELECT DISTINCT label FROM tracks WHERE label <> 1), (VALUES (0, 3), (1, 1), (2, 3)) q(position, song_id)""",
+    "player_departures": """, d AS (SELECT listener, CASE WHEN id % 4 = 0 THEN id * 1000 + 3 ELSE lead(id) OVER (PARTITION BY listener ORDER BY id) * 1000 END AS left_at, song_id,
+ greatest(0, played_ms, CASE WHEN id % 4 = 0 THEN duration_ms ELSE 0 END) AS played_ms, duration_ms FROM plays)
+SELECT listener, left_at, song_id, played_ms, duration_ms FROM d WHERE left_at IS NOT NULL""",
+    "plays_debounced": """, n AS (SELECT *, lead(played_at) OVER (PARTITION BY listener ORDER BY played_at, id) AS after FROM plays)
+SELECT listener, id, song_id FROM n WHERE after IS NULL OR after - played_at >= 3600000""",
+    "plays_throttled": "SELECT listener, id, song_id FROM plays QUALIFY row_number() OVER (PARTITION BY listener, played_at // 21600000 ORDER BY played_at DESC, id DESC) = 1",
+    "playlist_days": "SELECT listener, strftime(make_timestamp(played_at * 1000), '%Y-%m-%d') AS day, min(played_at) AS at FROM plays GROUP BY ALL",
+    "live_folders": "SELECT folder, count(*) AS analysed FROM songs JOIN tracks USING (song_id) WHERE song_id % 3 <> 0 GROUP BY folder",
+}
 
 #: Density clusters by a recursive query: labels spread over links of cores until nothing changes.
 _BODIES["density_clusters"] = """, pr AS MATERIALIZED (SELECT t.song_id AS a, q.song_id AS b FROM tracks t JOIN tracks q ON t.song_id <> q.song_id AND 1 - list_dot_product(t.vector, q.vector) <= 0.68),

@@ -16,6 +16,7 @@ from .session import work_dir
 from .sources import cache, export
 from .sources import tables as S
 from .streaming import listens as streamed
+from .streaming import player
 
 __all__ = ["ORACLE_SQL", "PRELUDE", "QUERIES"]
 
@@ -177,6 +178,18 @@ def document_files(spark, sf_dir):
     return back.select("day", "attempt", F.explode("ids").alias("song_id"))
 
 
+@query
+def preferences_import(spark, sf_dir):
+    """Favourites, dislikes, queue and playlists out of their stored documents, a damaged one among them."""
+    t = S.tracks(spark, sf_dir).select("label", "song_id")
+    ids = lambda keep: F.array_sort(F.collect_list(F.when(keep, F.col("song_id"))))
+    song = F.col("song_id")
+    fields = [ids(song % 17 == 0).alias("favourites"), ids(song % 19 == 0).alias("dislikes"), F.array(F.lit(3), F.lit(1), F.lit(3)).cast("array<bigint>").alias("queue")]
+    lists = F.array(F.struct(F.concat(F.lit("list "), F.col("label").cast("string")).alias("name"), ids(song % 23 == 0).alias("ids"))).alias("playlists")
+    docs = t.groupBy("label").agg(*fields, lists).select(F.when(F.col("label") == 1, F.lit("{")).otherwise(F.to_json(F.struct("favourites", "dislikes", "queue", "playlists"))).alias("doc"))
+    return export.preferences_from(docs).select("kind", "name", "position", "song_id")
+
+
 @query
 def media_deleted(spark, sf_dir):
     return export.deleted(S.songs(spark, sf_dir), S.favourites(spark, sf_dir)).select("song_id", "title")
@@ -710,6 +723,15 @@ def wave_start(spark, sf_dir):
     return _wave_state(spark, sf_dir).select(F.posexplode("direction").alias("pos", "x")).select("pos", r6("x").alias("x"))
 
 
+@query
+def wave_seeds(spark, sf_dir):
+    """What a wave sets off from: a track, a random one in place of a missing track, and the listener's taste."""
+    t = S.tracks(spark, sf_dir).select("song_id", "vector")
+    seeds = [("similar", wave.seed_vector(t, "similar", 7)), ("random", wave.seed_vector(t, "similar", -1, seed=42)), ("taste", wave.seed_vector(t, "taste", weights=_weights(spark, sf_dir)))]
+    rows = [s.select(F.lit(mode).alias("mode"), F.posexplode("vector").alias("pos", "x")) for mode, s in seeds]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("mode", "pos", r6("x").alias("x"))
+
+
 def _wave_scores(spark, sf_dir):
     t = _mix_tracks(spark, sf_dir).select("song_id", "vector", "last_played")
     pick = lambda k, name: t.where(F.col("song_id") == k).select(F.col("vector").alias(name))
@@ -794,3 +816,49 @@ def _player_events(spark, sf_dir):
 def tracked_departures(spark, sf_dir):
     d = streamed.departures(_player_events(spark, sf_dir))
     return d.groupBy("listener").agg(F.count(F.lit(1)).alias("departures"), F.sum("played_ms").alias("played_ms"), F.sum("duration_ms").alias("duration_ms"))
+
+
+def _callbacks(spark, sf_dir):
+    """A player's callbacks for each departure, a second apart; every fourth track ends, the others go on to the next."""
+    at = lambda ms: F.timestamp_millis(F.col("id") * 1000 + ms)
+    row = lambda name, ms, pos, length: F.struct(F.lit(name).alias("callback"), at(ms).alias("ts"), pos.cast("bigint").alias("position_ms"), length.cast("bigint").alias("duration_ms"))
+    unset, length = F.lit(-1), F.col("duration_ms")
+    ended = F.when(F.col("id") % 4 == 0, F.array(row("ended", 3, F.lit(0), length))).otherwise(F.array(row("volume", 3, F.lit(0), unset)))
+    told = F.concat(F.array(row("transition", 0, F.lit(0), unset), row("ready", 1, F.floor(F.col("played_ms") / 2), length), row("jump", 2, F.col("played_ms"), unset)), ended)
+    return S.play_events(spark, sf_dir).select("listener", "song_id", F.explode(told).alias("c")).select("listener", "song_id", "c.*")
+
+
+@query
+def player_departures(spark, sf_dir):
+    """Departures out of a player's callbacks: a track ends by itself or by the start of the next."""
+    d = streamed.departures(player.normalised(_callbacks(spark, sf_dir)))
+    return d.select("listener", F.unix_millis("ts").alias("left_at"), "song_id", "played_ms", "duration_ms")
+
+
+def _timed(spark, sf_dir):
+    return S.play_events(spark, sf_dir).select("listener", F.timestamp_millis("played_at").alias("ts"), "id", "song_id")
+
+
+@query
+def plays_debounced(spark, sf_dir):
+    """Plays that no other of the listener follows within the hour."""
+    return player.debounced(_timed(spark, sf_dir), ["listener"], ["id", "song_id"], "1 hour").select("listener", "id", "song_id")
+
+
+@query
+def plays_throttled(spark, sf_dir):
+    """A listener's newest play of each six hours."""
+    return player.throttled(_timed(spark, sf_dir), ["listener"], ["id", "song_id"], "6 hours").select("listener", "id", "song_id")
+
+
+@query
+def playlist_days(spark, sf_dir):
+    """When each listener's playlist of the day is to be rebuilt."""
+    return player.days_begun(_timed(spark, sf_dir), ["listener"]).select("listener", "day", F.unix_millis("ts").alias("at"))
+
+
+@query
+def live_folders(spark, sf_dir):
+    """Analysed tracks of each folder, some of them told twice."""
+    told = S.tracks(spark, sf_dir).select("song_id").where(F.col("song_id") % 3 != 0)
+    return player.analysed_by_folder(told.unionByName(told.where(F.col("song_id") % 2 == 0)), S.songs(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .tables import ALBUMS_DOCUMENT, DAILY_DOCUMENT
+from .tables import ALBUMS_DOCUMENT, DAILY_DOCUMENT, PREFERENCES
 
 
 def _clean(c):
@@ -53,3 +53,12 @@ def albums_from(docs: DataFrame, signature: str) -> DataFrame:
 
 def deleted(songs: DataFrame, tombstones: DataFrame) -> DataFrame:
     return songs.join(tombstones.select("song_id"), "song_id", "left_anti")
+
+
+def preferences_from(docs: DataFrame, column: str = "doc") -> DataFrame:
+    """(kind, name, position, song_id) of stored preferences; name is a playlist's. Null and unreadable ones hold nothing."""
+    read = docs.select(F.from_json(column, PREFERENCES).alias("p"))
+    plain = lambda kind: F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("name"), F.col(f"p.{kind}").alias("ids"))
+    lists = F.transform(F.coalesce("p.playlists", F.array().cast("array<struct<name:string,ids:array<bigint>>>")), lambda x: F.struct(F.lit("playlists").alias("kind"), x["name"].alias("name"), x["ids"].alias("ids")))
+    kinds = read.select(F.explode(F.concat(F.array(*(plain(k) for k in ("favourites", "dislikes", "queue"))), lists)).alias("k")).select("k.*")
+    return kinds.select("kind", "name", F.posexplode("ids").alias("position", "song_id")).where(F.col("song_id").isNotNull())

@@ -35,6 +35,7 @@ PLAYER_EVENTS = T.StructType(
     ]
 )
 DAILY_DOCUMENT = "struct<day:string,attempt:int,ids:array<bigint>,recent:array<struct<day:string,ids:array<bigint>>>>"
+PREFERENCES = "struct<favourites:array<bigint>,dislikes:array<bigint>,queue:array<bigint>,playlists:array<struct<name:string,ids:array<bigint>>>>"
 ALBUMS_DOCUMENT = "struct<signature:string,named:boolean,albums:array<struct<label:int,songIds:array<bigint>>>>"
 
 

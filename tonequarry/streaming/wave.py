@@ -19,11 +19,11 @@ def heard(played: int, duration: int) -> float:
 
 
 class WaveProcessor(StatefulProcessor):
-    """Events: listener, ts (ms), kind (start, departed, dislike), song_id, played_ms, duration_ms.
+    """Events: listener, ts (ms), kind (start, departed, dislike, changed), song_id, played_ms, duration_ms.
 
     A start seeds the wave with its song. A departure of a song that the wave never played is ignored; a
     dislike and the departure of the same play react once, by the dislike. Fewer than AHEAD songs ahead
-    are filled up; a skip or a dislike replaces them all. A session ends after its time to live.
+    are filled up; a skip or a dislike replaces them all. A change of track, to whichever song, only fills up. A session ends after its time to live.
     """
 
     def __init__(self, library: W.Library, seed: str = "wave", novelty: float = W.NOVELTY) -> None:
@@ -49,8 +49,10 @@ class WaveProcessor(StatefulProcessor):
             replaces = False
             if r["kind"] == "start":
                 state, queue, replaces = W.start(library, track.vector, song), [], True
-            elif state is None or song not in state.played:
+            elif state is None or (song not in state.played and r["kind"] != "changed"):
                 continue
+            elif r["kind"] == "changed":
+                pass
             elif r["kind"] == "dislike":
                 disliked.add(song)
                 state, replaces = W.react(state, track, 0.0, True), True
