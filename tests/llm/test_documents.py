@@ -185,6 +185,15 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in got) == [("2", 2, True), ("2", 2, True), ("3", 3, True), ("None", None, True)]
 
 
+def test_a_bucket_of_several_components_loses_no_pair(spark):
+    component = {i: 0 if i < 7 else 7 if i < 10 else 10 for i in range(12)}
+    rows = [(band, band, i, 10, [0, 1], component[i], component[i] == 0) for band in (0, 1) for i in component]
+    labelled = spark.createDataFrame(rows, "key bigint, band int, id bigint, n bigint, bands array<bigint>, component bigint, main boolean")
+    sets = spark.createDataFrame([(i, list(range(10))) for i in component], "id bigint, set array<bigint>")
+    got = near_dedup.unresolved_pairs(labelled, sets, 80, lambda df, what: df)
+    assert sorted(map(tuple, got.collect())) == [(a, b) for a in component for b in component if a < b and component[a] != component[b]]
+
+
 def test_sketches_fill_and_agree():
     rng = np.random.default_rng(2)
     base = rng.integers(1, 2**63, 900).astype(np.uint64)

@@ -140,8 +140,10 @@ def _possible(n: Column, common: Column, m: Column, other: Column, shared: Colum
 def unresolved_pairs(labelled: DataFrame, sets: DataFrame, percent: int, written) -> DataFrame:
     """(a, b): every pair of different components in one bucket that can be similar.
 
-    labelled: key, band, id, n, bands, component. Near copies of one text that are not quite near enough to
-    each other would meet in squares. Two bounds, both exact, leave few of them. Shingles that at most RARE
+    labelled: key, band, id, n, bands, component, main: whether the component is the one with the most rows in
+    the bucket. Rows of the main component are compared with those outside it alone, so a bucket costs the
+    rows outside times all of its rows. Near copies of one text that are not quite near enough to each other
+    would still meet in squares. Two bounds, both exact, leave few of them. Shingles that at most RARE
     of these documents hold are listed with their holders: pairs that share some are counted from that
     list, of at most RARE rows to a shingle. All other pairs share no rare shingle, so they can only share
     what is left of the smaller set without its rare ones. A pair counts in its first common band alone.
@@ -152,10 +154,12 @@ def unresolved_pairs(labelled: DataFrame, sets: DataFrame, percent: int, written
     rare = written(narrow(shingles.join(seldom, "shingle").select("id", "shingle", "df"), 4), "holders")
     common = ids.join(rare.groupBy("id").agg(F.count(F.lit(1)).alias("r")), "id", "left").select("id", "n", "component", (F.col("n") - F.coalesce("r", F.lit(0))).alias("common"))
     common = written(narrow(common), "common")
-    x, y = (labelled.join(common.select("id", "common"), "id").alias(name) for name in "xy")
+    known = labelled.join(common.select("id", "common"), "id")
+    x, y = known.where(~F.col("main")).alias("x"), known.alias("y")
+    other = F.col("y.main") | (F.col("x.component") < F.col("y.component"))
     first = F.expr("array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) = x.band + 1")
     nothing = F.lit(0)
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _alike(F.col("x.n"), F.col("y.n"), percent) & _possible(F.col("x.n"), F.col("x.common"), F.col("y.n"), F.col("y.common"), nothing, percent) & first)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & other & _alike(F.col("x.n"), F.col("y.n"), percent) & _possible(F.col("x.n"), F.col("x.common"), F.col("y.n"), F.col("y.common"), nothing, percent) & first)
     apart = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     held = rare.where(F.col("df") > 1).join(common, "id")
     v, w = held.alias("v"), held.alias("w")
@@ -206,8 +210,10 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     part = written(narrow(connected_components(first)), "part")
     labelled = members.select("key", "band", "id", "n").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = written(narrow(labelled, 4), "parts")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high")).select("key")
-    labelled = labelled.join(mixed, "key", "left_semi").join(reps.select("id", "bands"), "id")
+    shares = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
+    mixed = shares.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("rows", "component")).alias("most")).where(F.col("parts") > 1)
+    labelled = labelled.join(mixed.select("key", F.col("most.component").alias("largest")), "key").join(reps.select("id", "bands"), "id")
+    labelled = labelled.select("key", "band", "id", "n", "bands", "component", (F.col("component") == F.col("largest")).alias("main"))
     second = confirmed(unresolved_pairs(written(narrow(labelled, 4), "labelled"), sets, percent, written), sets, percent)
     # The later links join whole components: few, and a graph of their own.
     of = lambda name: part.select(F.col("node").alias(name), F.col("component").alias(f"{name}_part"))
