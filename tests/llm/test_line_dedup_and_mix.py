@@ -22,7 +22,8 @@ LONG = "This very line is shared by many"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracle(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     ours = list(map(tuple, df.select(sorted(df.columns)).collect()))
     key = lambda r: [(x is None, x) for x in r]

@@ -1,4 +1,4 @@
-"""The thin queries of the ten operators, and their DuckDB SQL where SQL can express them."""
+"""The thin queries of the operators, and their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import common, fingerprint, langid, line_dedup, lm_score, mixing, near_dedup, packing, pii, quality, secret_scan
+from . import best_fit, common, fingerprint, langid, line_dedup, lm_score, manifest, mixing, near_dedup, packing, pii, prefix_trie, quality, secret_scan
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return best_fit.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), written=written)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "source", "lang", "n_chars", "text")
+    others = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = manifest.leaf(*others, common.ascii_lower(F.col("text")))
+    claimed = F.when(common.remainder(3) == 0, tampered).otherwise(manifest.leaf(*others, F.col("text")))
+    return manifest.manifest(docs, claimed, written=written)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return prefix_trie.prefix_trie(turns, written=written)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_curriculum_mix": op2_curriculum_mix,
@@ -82,8 +102,23 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op11_pack_best_fit": op11_pack_best_fit,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
+
+
+def _crc32(text: str) -> str:
+    """crc32 of a text expression of ASCII characters, bit by bit; 3988292384 is the fixed polynomial."""
+    byte = "list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(r, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT), lambda r, b: {byte}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _said(*columns: str) -> str:
+    return " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in columns)
+
+
 ORACLE_SQL = {
     "op2_curriculum_mix": r"""
 WITH d AS (
@@ -142,4 +177,65 @@ m AS (SELECT k.*, (c.key IS NOT NULL AND k.doc_id <> c.last) AS gone FROM k LEFT
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op12_merkle_manifest": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place,
+         count(*) OVER (PARTITION BY lang) AS n, sha256({_said("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+         CASE WHEN {_crc32("coalesce(doc_id::VARCHAR, '')")} % 3 = 0
+              THEN sha256({_said("doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS tampered
+  FROM documents),
+u AS (
+  SELECT tree, 0 AS lvl, place, n, leaf AS h FROM d
+  UNION ALL
+  SELECT tree, lvl + 1, place // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY place)) FROM u WHERE n > 1 GROUP BY tree, lvl, place // 8),
+w AS (
+  SELECT 0 AS lvl, tree AS place, count(*) OVER () AS n, h FROM u WHERE n = 1
+  UNION ALL
+  SELECT lvl + 1, place // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY place)) FROM w WHERE n > 1 GROUP BY lvl, place // 8),
+su AS (
+  SELECT tree, lvl, place, coalesce(string_agg(h, '') OVER (PARTITION BY tree, lvl, place // 8 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (PARTITION BY tree, lvl, place // 8 ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM u WHERE n > 1),
+sw AS (
+  SELECT lvl, place, coalesce(string_agg(h, '') OVER (PARTITION BY lvl, place // 8 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (PARTITION BY lvl, place // 8 ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM w WHERE n > 1),
+f AS (
+  SELECT doc_id, tree, 0 AS lvl, place, coalesce(tampered, leaf) AS h, '' AS proof FROM d
+  UNION ALL
+  SELECT f.doc_id, f.tree, f.lvl + 1, f.place // 8, sha256(su.l || f.h || su.r), f.proof || su.l || su.r
+  FROM f JOIN su ON su.tree = f.tree AND su.lvl = f.lvl AND su.place = f.place),
+g AS (
+  SELECT f.doc_id, f.tree, 0 AS lvl, f.tree AS place, f.h, f.proof FROM f JOIN u ON u.n = 1 AND u.tree = f.tree AND u.lvl = f.lvl
+  UNION ALL
+  SELECT g.doc_id, g.tree, g.lvl + 1, g.place // 8, sha256(sw.l || g.h || sw.r), g.proof || sw.l || sw.r
+  FROM g JOIN sw ON sw.lvl = g.lvl AND sw.place = g.place)
+SELECT d.doc_id, d.leaf, u.h AS subroot, w.h AS root, sha256(g.proof) AS proof_sha256, g.h AS folded_root, g.h = w.h AS verified
+FROM g JOIN w ON w.n = 1 AND w.lvl = g.lvl JOIN d ON d.doc_id = g.doc_id JOIN u ON u.n = 1 AND u.tree = d.tree""",
+    "op13_prefix_trie": rf"""
+WITH t AS (
+  SELECT conv_id, strlen(coalesce(text, '')) AS size, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS h,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, max(place) AS length, conv_id - conv_id % 5 AS base, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM t GROUP BY conv_id),
+k AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.length, 0)) AS lent FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (
+  SELECT conv_id, 0 AS place, 0 AS size, '' AS h FROM k
+  UNION ALL SELECT k.conv_id, t.place, t.size, t.h FROM k JOIN t ON t.conv_id = k.base AND t.place <= k.lent
+  UNION ALL SELECT k.conv_id, t.place - k.h + k.lent, t.size, t.h FROM k JOIN t ON t.conv_id = k.conv_id AND t.place > k.h),
+p AS (
+  SELECT conv_id, place, size, md5(string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY place)) AS id,
+         place = max(place) OVER (PARTITION BY conv_id) AS last
+  FROM r),
+v AS (
+  SELECT id, place, min(conv_id) AS least, count(*) AS n, max(size) AS size, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends
+  FROM p GROUP BY id, place),
+e AS (SELECT v.*, up.id AS above FROM v LEFT JOIN p up ON up.conv_id = v.least AND up.place = v.place - 1),
+x AS (SELECT above, count(*) AS children FROM e WHERE above IS NOT NULL GROUP BY above),
+s AS (
+  SELECT p.id, sum((e.n - 1) * e.size)::BIGINT AS saved, (count(*) FILTER (WHERE x.children IS NULL))::BIGINT AS leaves
+  FROM e LEFT JOIN x ON x.above = e.id JOIN p ON p.conv_id = e.least AND p.place <= e.place GROUP BY p.id)
+SELECT e.least AS conv_id, e.place::BIGINT AS depth, up.least AS parent_conv_id, e.n::BIGINT AS n_convs, coalesce(x.children, 0)::BIGINT AS n_children,
+       s.leaves AS n_leaves, s.saved AS saved_tokens, e.ends AS ends_sha256
+FROM e LEFT JOIN v up ON up.id = e.above LEFT JOIN x ON x.above = e.id JOIN s ON s.id = e.id""",
 }
