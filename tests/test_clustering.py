@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tonequarry.operators import albums, clustering as C
 from tonequarry.operators.similarity import close_pairs
+from tonequarry.plans import forest
 
 
 def frame(spark, x):
@@ -33,16 +34,140 @@ def test_bridge_joins_one_group(spark):
     assert [got[k] for k in range(11)] == [0] * 5 + [5] * 5 + [0]
 
 
-def test_swept_is_the_distributed_clustering(spark):
+def scanned(ids, d, eps, least):
+    """Clusters by the definition: points in ascending order take up all that their cores reach."""
+    near = {p: [q for q in ids if d[p, q] <= eps] for p in ids}
+    label = dict.fromkeys(ids, -1)
+    for p in ids:
+        if label[p] != -1 or len(near[p]) < least:
+            continue
+        label[p], todo = p, [p]
+        while todo:
+            for q in near[todo.pop()]:
+                if label[q] == -1:
+                    label[q] = p
+                    if len(near[q]) >= least:
+                        todo.append(q)
+    return label
+
+
+def grouped(spark, sets):
+    """(grp, node, vector, most, n) of several sets of points, nodes numbered through."""
+    rows, first = [], 0
+    for g, x in enumerate(sets):
+        rows += [(g * 7, first + k, [float(a) for a in v], 0.9, len(x)) for k, v in enumerate(x)]
+        first += len(x)
+    return spark.createDataFrame(rows, "grp long, node long, vector array<double>, most double, n long").repartition(5)
+
+
+@pytest.mark.parametrize("least, most", [(1, None), (3, None), (4, 0)])
+def test_sweep_is_the_scan(spark, monkeypatch, least, most):
+    if most is not None:
+        # Rounds over the cluster, and all steps' components at once.
+        monkeypatch.setattr(forest, "MOST", most)
     rng = np.random.default_rng(3)
-    x = unit(np.concatenate([rng.normal(c, 0.25, (12, 6)) for c in rng.normal(0, 1, (4, 6))] + [rng.normal(0, 1, (8, 6))]))
-    pts = frame(spark, x)
-    d = 1 - x @ x.T
-    a, b = np.triu_indices(len(x), 1)
-    for eps in (0.02, 0.1, 0.2):
-        lab = C.swept(np.arange(len(x)), a, b, d[a, b], [eps], 4)[0]
-        got = {r[0]: r[1] for r in C.density_clusters(pts, close_pairs(pts, 0.5), eps, 4).collect()}
-        assert [got[k] for k in range(len(x))] == lab.tolist()
+    sets = [unit(np.concatenate([rng.normal(c, 0.3, (9, 5)) for c in rng.normal(0, 1, (3, 5))] + [rng.normal(0, 1, (8, 5))])), unit(rng.normal(0, 1, (14, 3))), np.repeat(unit(rng.normal(0, 1, (2, 3))), 4, 0)]
+    points = grouped(spark, sets)
+    radii = {0: [0.01, 0.05, 0.1, 0.2, 0.4], 7: [0.0, 0.1, 0.3], 14: [0.0, 0.9]}
+    grid = spark.createDataFrame([(g, k, e) for g, es in radii.items() for k, e in enumerate(es)], "grp long, step int, eps double")
+    pairs = C.block_products(points, 16)
+    got = {(r["grp"], r["step"], r["node"]): r["cluster"] for r in C.Sweep(points, C.written(pairs, "pairs"), least).at(grid).collect()}
+    want, first = {}, 0
+    for g, x in enumerate(sets):
+        d = 1 - x @ x.T
+        np.fill_diagonal(d, 0)
+        ids = range(len(x))
+        measured = {(min(r["a"], r["b"]) - first, max(r["a"], r["b"]) - first): r["distance"] for r in pairs.where(F.col("grp") == g * 7).collect()}
+        for (p, q), v in measured.items():
+            d[p, q] = d[q, p] = v
+        for k, e in enumerate(radii[g * 7]):
+            want |= {(g * 7, k, first + p): first + c for p, c in scanned(ids, d, e, least).items() if c != -1}
+        first += len(x)
+    assert got == want
+
+
+def test_forest(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 60, 400), rng.integers(60, 110, 400)
+    rows = list({(int(x), int(y)): (int(x), int(y), float(w)) for x, y, w in zip(a, b, rng.integers(0, 9, 400), strict=True)}.values()) + [(200, 201, 1.0), (201, 202, 1.0), (200, 202, 1.0)]
+    root = list(range(300))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    want = set()
+    for w, x, y in sorted((w, x, y) for x, y, w in rows):
+        if find(x) != find(y):
+            root[find(x)] = find(y)
+            want.add((x, y, w))
+    edges = spark.createDataFrame(rows, "a long, b long, w double").repartition(6)
+    assert {tuple(r) for r in forest.spanning_forest(edges).collect()} == want
+    monkeypatch.setattr(forest, "MOST", 0)
+    out = forest.spanning_forest(edges).collect()
+    assert {tuple(r) for r in out} == want and len(out) == len(want)
+    assert forest.spanning_forest(edges.limit(0)).count() == 0
+
+
+def clumps(seed):
+    """Clumps of clumps of clumps: 48 points."""
+    r = np.random.default_rng(seed)
+    return np.concatenate([unit(c + s2 + 0.02 * r.normal(0, 1, (6, 3))) for c in unit(r.normal(0, 1, (2, 3))) for s1 in 0.5 * r.normal(0, 1, (2, 3)) for s2 in s1 + 0.1 * r.normal(0, 1, (2, 3))])
+
+
+def test_groups_are_clustered_as_if_alone(spark):
+    """Two groups at once, and the library whose cluster of twelve is split at the next level."""
+    sets = [clumps(3), clumps(0)]
+    rows = spark.createDataFrame([(g, 100 * g + k, [float(a) for a in v]) for g, x in enumerate(sets) for k, v in enumerate(x)], "grp long, song_id long, vector array<double>")
+    both = {r["song_id"]: r["cluster"] for r in C.cluster_groups(rows, 3, 7).collect()}
+    alone = {r["song_id"]: r["cluster"] for r in C.cluster_groups(rows.where("grp = 1"), 3, 7).collect()}
+    assert {k: v for k, v in both.items() if k >= 100} == alone and len(alone) > 30
+    assert max(pd.Series(both).value_counts()) == 12
+    sizes = C.cluster_tracks(frame(spark, sets[0]), least=3, cap=7, depth=1).groupBy("cluster").count().toPandas()["count"]
+    assert sizes.between(3, 7).all() and sizes.sum() == 41
+
+
+def test_levels(spark, monkeypatch):
+    """Each level takes all oversize clusters at once, two levels down; what is still larger goes."""
+    seen = []
+
+    def halves(rows, least, cap, scale=1.0):
+        found = rows.toPandas()
+        seen.append((scale, sorted(found.groupby("grp")["song_id"].apply(lambda x: tuple(sorted(x))))))
+        # Groups halve, but for that of songs from 48 on.
+        out = [(int(k), int(own["song_id"].min()), len(own)) for _, g in found.groupby("grp") for _, own in g.groupby((g["song_id"].min() < 48) * (g["song_id"].rank() > len(g) / 2)) for k in own["song_id"]]
+        return spark.createDataFrame([x for x in out if x[2] >= least], "song_id long, cluster long, size long")
+
+    monkeypatch.setattr(C, "cluster_groups", halves)
+    x = np.ones((64, 2))
+    got = C.cluster_tracks(frame(spark, x), least=3, cap=8, scale=1.2).toPandas()
+    assert [(k, len(g)) for k, g in seen] == [(1.2, 1), (1.0, 2), (1.0, 4)]
+    assert [sorted(map(len, g)) for _, g in seen] == [[64], [32, 32], [16] * 4]
+    assert sorted(got["song_id"]) == list(range(48)) and set(got.groupby("cluster").size()) == {8}
+    seen.clear()
+    assert C.cluster_tracks(frame(spark, x * 0), least=3, cap=8).count() == 0
+
+
+def test_scale_widens(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([unit(c + 0.4 * unit(rng.normal(0, 1, (10, 16)))) for c in unit(rng.normal(0, 1, (4, 16)))])
+    covered = [C.cluster_tracks(frame(spark, x), least=4, cap=40, scale=k, depth=0).count() for k in (0.5, 1.5)]
+    assert covered[0] < covered[1]
+
+
+def test_quantiles_by_group(spark):
+    rng = np.random.default_rng(6)
+    sets = [unit(rng.normal(0, 1, (30, 4))), unit(rng.normal(0, 1, (90, 4)))]
+    points = grouped(spark, sets).drop("most", "n")
+    sizes = points.groupBy("grp").agg(F.min("node").alias("first"), F.count("*").alias("n"))
+    got = {(r["grp"], r["step"]): r["eps"] for r in C.distance_quantiles(points, sizes, 5, sample=500).collect()}
+    for g, x in enumerate(sets):
+        d = np.sort((1 - x @ x.T)[np.triu_indices(len(x), 1)])
+        for k in range(5):
+            q = 0.001 + 0.149 * k / 4
+            # All pairs of the small set; a sample of the large one, whose ranks lie near.
+            assert abs(got[(g * 7, k)] - d[int(q * (len(d) - 1))]) < 1e-12 if not g else abs((d <= got[(7, k)]).mean() - q) < 0.05
 
 
 def test_planted_albums(spark):

@@ -6,15 +6,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA, Normalizer, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..plans.forest import cut_components, spanning_forest
 from ..plans.graph import connected_components
 from ..session import written
-from .similarity import close_pairs
+from .similarity import block_products
 
 MOST_DIMENSIONS, LEAST_DIMENSIONS, VARIANCE = 12, 4, 0.6
 LEAST_QUANTILE, MOST_QUANTILE, COARSE, FINE = 0.001, 0.150, 40, 24
@@ -41,42 +40,90 @@ def dimensions(eigenvalues: list[float], total: float) -> int:
     return min(max(k, LEAST_DIMENSIONS), len(eigenvalues))
 
 
-def reduced(tracks: DataFrame) -> DataFrame:
-    """(song_id, vector): centred, projected to the leading components, of unit length. Zero vectors are left out."""
-    rows = tracks.where(~V.is_zero(F.col("vector"))).select("song_id", array_to_vector(V.doubles(F.col("vector"))).alias("raw"))
-    first = rows.select("raw").first()
-    if first is None:
-        return tracks.sparkSession.createDataFrame([], "song_id bigint, vector array<double>")
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="centred").fit(rows).transform(rows)
-    most = min(MOST_DIMENSIONS, len(first["raw"]))
-    model = PCA(k=most, inputCol="centred", outputCol="projected").fit(centred)
-    shares = [float(v) for v in model.explainedVariance]
-    k = dimensions(shares, 1.0)
-    out = model.transform(centred).select("song_id", F.slice(vector_to_array("projected"), 1, k).alias("cut"))
-    unit = Normalizer(inputCol="v", outputCol="u").transform(out.select("song_id", array_to_vector("cut").alias("v")))
-    return unit.select("song_id", vector_to_array("u").alias("vector"))
-
-
-def distance_quantiles(points: DataFrame, n: int = COARSE, sample: int = SAMPLE_PAIRS, seed: int = 7) -> DataFrame:
-    """(step, q, eps): elements of the sorted pair distances, at the truncated place; all pairs, or a hashed sample of that many."""
-    rows = points.count()
-    all_pairs = rows * (rows - 1) // 2
-    if all_pairs <= sample:
-        pairs = close_pairs(points, 4.0, rows=rows).select("distance")
-    else:
-        # Draws with replacement of two different places of the rows in id order.
-        placed = in_places(points.select("song_id", "vector"), "song_id").select("place", "vector")
-        draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(rows))
-        drawn = points.sparkSession.range(sample).select("id", draw(1).alias("i"), F.pmod(draw(1) + 1 + F.pmod(F.xxhash64(F.lit(seed), F.lit(2), "id"), F.lit(rows - 1)), F.lit(rows)).alias("j"))
-        side = lambda name, v: placed.select(F.col("place").alias(name), F.col("vector").alias(v))
-        pairs = drawn.join(side("i", "a"), "i").join(side("j", "b"), "j").select((1 - V.dot(F.col("a"), F.col("b"))).alias("distance"))
-    return order_statistics(pairs, "distance", [LEAST_QUANTILE + (MOST_QUANTILE - LEAST_QUANTILE) * k / (n - 1) for k in range(n)])
+#: Groups whose sums a task holds before it passes them on.
+GROUPS_HELD = 64
 
 
-def order_statistics(rows: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
-    """(step, q, eps): for each quantile the element at trunc(q * (m - 1)) of the sorted values, without interpolation.
+def _axes(rows: DataFrame) -> DataFrame:
+    """(grp, mean, axes): of each group's vectors the mean and the leading components, from sums that tasks pass on by group."""
+
+    def sums(batches):
+        held: dict[int, list] = {}
 
+        def out():
+            for g, (total, own, n) in held.items():
+                i, j = np.triu_indices(len(own))
+                k = np.arange(len(own))
+                columns = np.concatenate((i, k, [-1])), np.concatenate((j, k * 0 - 1, [-1])), np.concatenate((total[i, j], own, [float(n)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), g)), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2])], ["grp", "i", "j", "g"])
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grp = np.asarray(batch.column(0))
+            x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+            for g in np.unique(grp).tolist():
+                own = x[grp == g]
+                total = held.get(g, [0.0, 0.0, 0])
+                held[g] = [total[0] + own.T @ own, total[1] + own.sum(0), total[2] + len(own)]
+                if len(held) > GROUPS_HELD:
+                    yield from out()
+        yield from out()
+
+    def solved(table: pa.Table) -> pa.Table:
+        i, j, g = (table[c].to_numpy() for c in ("i", "j", "g"))
+        d = int(i.max()) + 1
+        n = g[i < 0][0]
+        mean = np.zeros(d)
+        mean[i[(j < 0) & (i >= 0)]] = g[(j < 0) & (i >= 0)] / n
+        gram = np.zeros((d, d))
+        up = j >= 0
+        gram[i[up], j[up]] = g[up]
+        gram = np.triu(gram) + np.triu(gram, 1).T - n * np.outer(mean, mean)
+        values, vectors = np.linalg.eigh(gram)
+        values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
+        k = dimensions(values[:MOST_DIMENSIONS].tolist(), float(values.sum()))
+        return pa.table({"grp": table["grp"].slice(0, 1), "mean": pa.array([mean.tolist()]), "axes": pa.array([vectors[:, :k].T.tolist()])})
+
+    told = rows.select("grp", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(sums, "grp bigint, i int, j int, g double")
+    # As many rows a group as a matrix of one row's length has numbers.
+    return told.groupBy("grp", "i", "j").agg(F.sum("g").alias("g")).groupBy("grp").applyInArrow(solved, "grp bigint, mean array<double>, axes array<array<double>>")
+
+
+def reduced(rows: DataFrame) -> DataFrame:
+    """(grp, node, vector) of rows (grp, node, vector): by group centred, projected to the leading components, of unit length."""
+    joined = rows.join(_axes(rows), "grp").select("grp", "node", "axes", V.minus(F.col("vector"), F.col("mean")).alias("x"))
+    cut = joined.select("grp", "node", F.transform("axes", lambda axis: V.dot(axis, F.col("x"))).alias("cut"))
+    return cut.select("grp", "node", V.normalized(F.col("cut")).alias("vector"))
+
+
+def distance_quantiles(points: DataFrame, sizes: DataFrame, n: int = COARSE, sample: int = SAMPLE_PAIRS, seed: int = 7) -> DataFrame:
+    """(grp, step, eps): elements of each group's sorted pair distances, at the truncated place; all pairs, or a hashed sample of that many.
+
+    points (grp, node, vector), where a group's nodes are first, first + 1 and so on; sizes (grp, first, n). What a task
+    sorts is the sample of a group at most.
     """
+    pairs = F.col("n") * (F.col("n") - 1)
+    few = sizes.where((pairs <= 2 * sample) & (F.col("n") > 1)).select("grp", F.lit(math.inf).alias("most"), "n")
+    all_pairs = block_products(points.join(few, "grp")).select("grp", "distance")
+    # Draws with replacement of two different places.
+    many = sizes.where(pairs > 2 * sample).select("grp", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sample - 1).cast("long"))).alias("id"))
+    draw = lambda salt, below: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), below)
+    drawn = many.select("grp", (F.col("first") + draw(1, F.col("n"))).alias("i"), (F.col("first") + F.pmod(draw(1, F.col("n")) + 1 + draw(2, F.col("n") - 1), F.col("n"))).alias("j"))
+    side = lambda name, v: points.select(F.col("node").alias(name), F.col("vector").alias(v))
+    sampled = drawn.join(side("i", "a"), "i").join(side("j", "b"), "j").select("grp", (1 - V.dot(F.col("a"), F.col("b"))).alias("distance"))
+    quantiles = np.asarray([LEAST_QUANTILE + (MOST_QUANTILE - LEAST_QUANTILE) * k / (n - 1) for k in range(n)])
+
+    def run(table: pa.Table) -> pa.Table:
+        d = np.sort(table["distance"].to_numpy())
+        return pa.table({"grp": np.full(n, table["grp"][0].as_py()), "step": pa.array(np.arange(n), pa.int32()), "eps": d[np.floor(quantiles * (len(d) - 1)).astype(np.int64)]})
+
+    return all_pairs.unionByName(sampled).groupBy("grp").applyInArrow(run, "grp bigint, step int, eps double")
+
+
+def order_statistics(rows: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
+    """(step, q, eps): for each quantile the element at trunc(q * (m - 1)) of the sorted values, without interpolation."""
     spark = rows.sparkSession
     asked = spark.createDataFrame([(k, float(q)) for k, q in enumerate(quantiles)], "step int, q double")
     ranked = in_places(rows.select(F.col(value).alias("v")), "v")
@@ -85,16 +132,17 @@ def order_statistics(rows: DataFrame, value: str, quantiles: list[float]) -> Dat
     return ranked.join(F.broadcast(wanted), "place").select("step", "q", F.col("v").alias("eps"))
 
 
-def in_places(rows: DataFrame, by: str) -> DataFrame:
-    """rows and place, from 0 in the order of a column.
+def in_places(rows: DataFrame, *by: str) -> DataFrame:
+    """rows and place, from 0 in the order of columns.
 
-    A range-sorted running count in two levels: places come from the counts of ranges, so no task sorts all.
+    A sort by ranges numbers rows within its partitions; places come from a row for each partition, so no task
+    sorts all, and rows are shuffled once.
     """
-    ranged = written(rows.repartitionByRange(by).select("*", F.spark_partition_id().alias("__p")), "sorted")
-    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__nth", F.monotonically_increasing_id())
+    ranged = written(ranged.withColumn("__p", F.shiftright("__nth", 33)), "sorted")
+    counts = ranged.groupBy("__p").agg(F.min("__nth").alias("__first"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(by)) - 1
-    return ranged.join(F.broadcast(counts.select("__p", before.alias("__before"))), "__p").withColumn("place", own + F.col("__before")).drop("__p", "__before")
+    return ranged.join(F.broadcast(counts.select("__p", (before - F.col("__first")).alias("__shift"))), "__p").withColumn("place", F.col("__nth") + F.col("__shift")).drop("__p", "__nth", "__shift")
 
 
 def summary(rows: DataFrame, value: str) -> DataFrame:
@@ -159,108 +207,136 @@ def coverage(clusters: DataFrame, least: int, cap: int, *keys: str) -> DataFrame
     return sizes.groupBy(*keys).agg(F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0)).alias("covered"), F.max("size").alias("largest"))
 
 
-def swept(ids: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray, eps: list[float], least: int) -> list[np.ndarray]:
-    """Labels (index of the smallest core, or -1) at each eps for points 0..n-1 of one bounded set.
+def core_distances(pairs: DataFrame, least: int) -> DataFrame:
+    """(node, core): the distance from which on a point has least points about it, itself included. pairs (a, b, distance) hold each pair once."""
+    both = pairs.select(F.col("a").alias("node"), "distance").unionByName(pairs.select(F.col("b").alias("node"), "distance"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("distance"))
+    # Tasks keep the nearest of each point before they pass them on.
+    near = both.withColumn("__rank", rank).where(F.col("__rank") <= max(1, least - 1))
+    found = near.groupBy("node").agg(F.max("distance").alias("core"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least - 1)
+    return found.select("node", F.col("core") if least > 1 else F.lit(0.0).alias("core"))
 
-    Edges come by distance, so each eps extends the union-find of the one before.
-    """
-    n = len(ids)
-    order = np.argsort(distance, kind="stable")
-    a, b, distance = a[order], b[order], distance[order]
-    out = []
-    for e in eps:
-        m = int(np.searchsorted(distance, e, side="right"))
-        degree = np.bincount(a[:m], minlength=n) + np.bincount(b[:m], minlength=n) + 1
-        core = degree >= least
-        label = np.where(core, np.arange(n), n)
-        x, y = a[:m], b[:m]
-        cc = core[x] & core[y]
-        while True:
-            new = label.copy()
-            np.minimum.at(new, x[cc], label[y[cc]])
-            np.minimum.at(new, y[cc], label[x[cc]])
-            new = np.where(core, new[np.minimum(new, n - 1)], n)
-            if (new == label).all():
-                break
-            label = new
-        border = np.full(n, n)
-        for p, q in ((x, y), (y, x)):
-            k = core[p] & ~core[q]
-            np.minimum.at(border, q[k], label[p[k]])
-        label = np.where(core, label, border)
-        out.append(np.where(label == n, -1, label))
-    return out
-
-
-#: Points that one sweep takes; a larger set is swept at each eps as a distributed clustering.
-SWEEP_MOST = 20_000
-
-
-def _labels(points: DataFrame, pairs: DataFrame, eps: list[float], least: int, n: int) -> list[tuple[int, int]]:
-    """(covered-by-cap is the caller's) sizes of clusters at each eps: a list of (step, size)."""
-    if n <= SWEEP_MOST:
-        rows = pairs.where(F.col("distance") <= max(eps)).toPandas()
-        ids = np.sort(points.select("song_id").toPandas()["song_id"].to_numpy())
-        at = lambda c: np.searchsorted(ids, rows[c].to_numpy())
-        labels = swept(ids, at("a"), at("b"), rows["distance"].to_numpy(), eps, least)
-        return [(k, int(s)) for k, lab in enumerate(labels) for s in np.unique(lab[lab >= 0], return_counts=True)[1]]
-    out = []
-    for k, e in enumerate(eps):
-        sizes = density_clusters(points, pairs, e, least).where(F.col("cluster") >= 0).groupBy("cluster").count()
-        out += [(k, r["count"]) for r in sizes.collect()]
-    return out
 
+class Sweep:
+    """Density clusters of groups of points at any radius, from one spanning forest.
 
-def best_eps(points: DataFrame, pairs: DataFrame, eps: list[float], least: int, cap: int, n: int) -> float | None:
-    """The eps of the grid that covers most, the smallest of those; refined between its neighbours.
-
-    Steps after the first whose largest cluster takes over the library do not count.
+    Two cores are in one cluster at a radius if a path of edges joins them that are no longer than it and join points
+    that are cores at it: an edge counts from the largest of its length and both its ends' core distances on. So the
+    minimum spanning forest by that weight, cut at the radius, is the clusters' cores. A border point joins the
+    cluster of the smallest core among its cores' clusters.
     """
 
-    def tried(grid: list[float]) -> list[tuple[int, int]]:
-        sizes = _labels(points, pairs, grid, least, n)
-        return [(sum(s for k, s in sizes if k == step and least <= s <= cap), max((s for k, s in sizes if k == step), default=0)) for step in range(len(grid))]
-
-    coarse = tried(eps)
-    stop = next((k for k, (_, largest) in enumerate(coarse) if largest >= TAKE_OVER * n), len(eps) - 1)
-    best = max(range(stop + 1), key=lambda k: (coarse[k][0], -k))
-    if not coarse[best][0]:
-        return None
-    low, high = eps[max(0, best - 1)], eps[min(len(eps) - 1, best + 1)]
-    grid = [low + (high - low) * k / FINE for k in range(1, FINE)]
-    fine = tried(grid)
-    k = max(range(len(grid)), key=lambda j: (fine[j][0], -j))
-    return grid[k] if fine[k][0] > coarse[best][0] else eps[best]
+    def __init__(self, points: DataFrame, pairs: DataFrame, least: int) -> None:
+        """points (grp, node) and pairs (grp, a, b, distance) up to the largest radius; nodes are from 0 to 2**57."""
+        self.points = points.select("grp", "node")
+        known = written(core_distances(pairs, least), "cores")
+        # With least of 1 every point is a core, also one that is close to none.
+        self.cores = self.points.join(known, "node", "left" if least <= 1 else "inner").select("grp", "node", F.coalesce("core", F.lit(0.0)).alias("core"))
+        side = lambda c: known.select(F.col("node").alias(c), F.col("core").alias(f"core_{c}"))
+        links = pairs.select("grp", "a", "b", "distance").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.col("core_a").isNotNull() | F.col("core_b").isNotNull())
+        self.links = written(links, "links")
+        both = self.links.where(F.col("core_a").isNotNull() & F.col("core_b").isNotNull())
+        forest = spanning_forest(both.select("a", "b", F.greatest("distance", "core_a", "core_b").alias("w")))
+        self.forest = written(forest.join(self.points.withColumnRenamed("node", "a"), "a").select("grp", "a", "b", "w"), "forest")
+
+    def at(self, grid: DataFrame) -> DataFrame:
+        """(grp, step, node, cluster) at each radius of grid (grp, step, eps), whose steps are 0, 1 and so on by ascending radius; points in no cluster are left out."""
+        radii = written(grid.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "eps"))), lambda x: x["eps"]).alias("radii")), "radii")
+
+        def first(w: Column) -> Column:
+            """The first step whose radius reaches w."""
+            return F.size(F.filter("radii", lambda e: e < w))
+
+        last = F.size("radii")
+        parts = written(cut_components(self.forest.join(radii, "grp").select("grp", "a", "b", first(F.col("w")).alias("low"), last.alias("high")), ["grp"]), "parts")
+        own = self.cores.join(radii, "grp").select("grp", "node", first(F.col("core")).alias("low"), last.alias("high")).where("low < high")
+        own = own.select("grp", "node", F.explode(F.sequence("low", F.col("high") - 1)).alias("step"))
+        named = written(own.join(parts.drop("grp"), ["step", "node"], "left").select("grp", "step", "node", F.coalesce("component", "node").alias("cluster")), "cores")
+        ways = [self.links.select("grp", F.col(p).alias("node"), F.col(q).alias("of"), F.greatest("distance", f"core_{q}").alias("r"), F.col(f"core_{p}").alias("until")).where(F.col(f"core_{q}").isNotNull()) for p, q in ("ab", "ba")]
+        border = ways[0].unionByName(ways[1]).where(F.col("until").isNull() | (F.col("r") < F.col("until"))).join(radii, "grp")
+        border = border.select("node", "of", first(F.col("r")).alias("low"), F.when(F.col("until").isNull(), last).otherwise(first(F.col("until"))).alias("high")).where("low < high")
+        border = border.select("node", "of", F.explode(F.sequence("low", F.col("high") - 1)).alias("step"))
+        joined = border.join(named.withColumnRenamed("node", "of"), ["step", "of"]).groupBy("grp", "step", "node").agg(F.min("cluster").alias("cluster"))
+        return named.unionByName(joined)
+
+
+def _tried(sweep: Sweep, grid: DataFrame, least: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    """The clusters at each step of a grid, and the grid with covered and largest."""
+    found = written(sweep.at(grid), "swept")
+    of = coverage(found, least, cap, "grp", "step")
+    return found, written(grid.join(of, ["grp", "step"], "left").na.fill(0, ["covered", "largest"]), "covered")
+
+
+def best_eps(sweep: Sweep, grid: DataFrame, sizes: DataFrame, least: int, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(grp, eps, step, fine) of each group that any step covers; and the clusters at the steps of the grid and of the finer one.
+
+    The eps that covers most, the smallest of those, refined between its neighbours on the grid. Steps after the
+    first whose largest cluster takes over the group do not count.
+    """
+    best = lambda what: F.max(F.struct("covered", (-F.col("step")).alias("back"), "eps")).alias(what)
+    clusters, coarse = _tried(sweep, grid, least, cap)
+    over = coarse.join(sizes, "grp").where(F.col("largest") >= TAKE_OVER * F.col("n")).groupBy("grp").agg(F.min("step").alias("stop"))
+    counted = coarse.join(over, "grp", "left").where(F.col("stop").isNull() | (F.col("step") <= F.col("stop")))
+    top = counted.groupBy("grp").agg(best("top")).where(F.col("top.covered") > 0).select("grp", F.col("top.covered").alias("covered"), (-F.col("top.back")).alias("at"), F.col("top.eps").alias("own"))
+    top = written(top, "top")
+    span = coarse.join(top, "grp").where(F.abs(F.col("step") - F.col("at")) <= 1).groupBy("grp").agg(F.min("eps").alias("low"), F.max("eps").alias("high"))
+    k = F.explode(F.sequence(F.lit(1), F.lit(FINE - 1))).alias("k")
+    fine_grid = span.select("grp", "low", "high", k).select("grp", (F.col("k") - 1).alias("step"), (F.col("low") + (F.col("high") - F.col("low")) * F.col("k") / FINE).alias("eps"))
+    fine_clusters, fine = _tried(sweep, written(fine_grid, "fine"), least, cap)
+    better = fine.groupBy("grp").agg(best("fine"))
+    finer = F.col("fine.covered") > F.col("covered")
+    chosen = top.join(better, "grp").select("grp", F.when(finer, F.col("fine.eps")).otherwise(F.col("own")).alias("eps"), F.when(finer, -F.col("fine.back")).otherwise(F.col("at")).alias("step"), finer.alias("finer"))
+    return written(chosen, "chosen"), clusters, fine_clusters
+
+
+def cluster_groups(rows: DataFrame, least: int, cap: int, scale: float = 1.0) -> DataFrame:
+    """(song_id, cluster, size): density clusters of least points or more within each group of rows (grp, song_id, vector), all groups at once.
+
+    Each group has its own components, distances and radius, the one that covers most in clusters of least to cap
+    points, times scale. Groups of fewer than twice least points have none. cluster is the song of its smallest core.
+    """
+    n = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2 * least)
+    placed = in_places(rows.join(n.select("grp"), "grp").select("grp", "song_id", "vector"), "grp", "song_id").withColumnRenamed("place", "node")
+    placed = written(placed, "placed")
+    sizes = written(placed.groupBy("grp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "sizes")
+    points = written(reduced(placed), "reduced")
+    grid = written(distance_quantiles(points, sizes), "grid")
+    most = grid.groupBy("grp").agg((F.max("eps") * MOST_SCALE).alias("most")).join(sizes.select("grp", "n"), "grp")
+    pairs = written(block_products(points.join(most, "grp")), "pairs")
+    sweep = Sweep(points, pairs, least)
+    chosen, clusters, finer = best_eps(sweep, grid, sizes, least, cap)
+    if scale == 1.0:
+        own = chosen.select("grp", "step", "finer")
+        found = clusters.join(own.where(~F.col("finer")), ["grp", "step"]).unionByName(finer.join(own.where("finer"), ["grp", "step"]))
+    else:
+        factor = min(MOST_SCALE, max(LEAST_SCALE, scale))
+        asked = chosen.join(most, "grp").select("grp", F.lit(0).alias("step"), F.least("most", F.col("eps") * factor).alias("eps"))
+        found = sweep.at(written(asked, "asked"))
+    counts = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
+    songs = placed.select("node", "song_id")
+    out = found.select("node", "cluster").join(counts, "cluster").join(songs, "node").select("song_id", "cluster", "size")
+    return out.join(songs.select(F.col("node").alias("cluster"), F.col("song_id").alias("__core")), "cluster").select("song_id", F.col("__core").alias("cluster"), "size")
 
 
-def cluster_tracks(tracks: DataFrame, least: int | None = None, scale: float = 1.0, cap: int | None = None, depth: int = 0) -> DataFrame:
-    """(song_id, cluster): albums of least to cap tracks. Larger clusters are clustered anew on their own, two levels down; what is still larger is dropped.
+def cluster_tracks(tracks: DataFrame, least: int | None = None, scale: float = 1.0, cap: int | None = None, depth: int = DEPTH) -> DataFrame:
+    """(song_id, cluster): albums of least to cap tracks. Larger clusters are clustered anew on their own, depth levels down; what is still larger is dropped.
 
-    scale multiplies the chosen eps at the top level only.
+    A level takes all its oversize clusters at once, each a group of its own. scale multiplies the chosen eps at the top level
+    only. Zero vectors are in no album.
     """
-    spark = tracks.sparkSession
-    rows = written(tracks.where(~V.is_zero(F.col("vector"))).select("song_id", "vector"), "rows")
+    rows = written(tracks.where(~V.is_zero(F.col("vector"))).select(F.lit(0).cast("long").alias("grp"), "song_id", "vector"), "rows")
     n = rows.count()
     least = least or min_points(n)
     cap = cap or album_cap(n)
-    empty = spark.createDataFrame([], "song_id bigint, cluster bigint")
-    if n < 2 * least:
-        return empty
-    points = written(reduced(rows), "reduced")
-    grid = [r["eps"] for r in distance_quantiles(points).orderBy("step").collect()]
-    most = grid[-1] * MOST_SCALE
-    pairs = written(close_pairs(points, most, rows=n), "pairs")
-    eps = best_eps(points, pairs, grid, least, cap, n)
-    if eps is None:
-        return empty
-    if depth == 0:
-        eps = min(most, eps * min(MOST_SCALE, max(LEAST_SCALE, scale)))
-    found = written(density_clusters(points, pairs, eps, least).where(F.col("cluster") >= 0), "clusters")
-    sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
-    out = found.join(sizes.where(F.col("size") <= cap).select("cluster"), "cluster", "left_semi").select("song_id", "cluster")
-    if depth < DEPTH:
-        # Oversize clusters are few: each holds more than cap tracks, and together at most all.
-        for r in sizes.where(F.col("size") > cap).orderBy("cluster").collect():
-            own = rows.join(found.where(F.col("cluster") == r["cluster"]).select("song_id"), "song_id", "left_semi")
-            out = out.unionByName(cluster_tracks(own, least, 1.0, cap, depth + 1))
-    return out
+    out = []
+    for level in range(depth + 1):
+        found = written(cluster_groups(rows, least, cap, scale if level == 0 else 1.0), "clusters")
+        out.append(found.where(F.col("size") <= cap).select("song_id", "cluster"))
+        large = found.where(F.col("size") > cap).select(F.col("cluster").alias("grp"), "song_id")
+        if level == depth or not large.limit(1).count():
+            break
+        rows = written(large.join(rows.drop("grp"), "song_id").select("grp", "song_id", "vector"), "rows")
+    albums = out[0]
+    for more in out[1:]:
+        albums = albums.unionByName(more)
+    return albums

@@ -118,28 +118,37 @@ def _nearest(tracks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def close_pairs(tracks: DataFrame, most: float, rows_per_block: int = 2048, rows: int | None = None) -> DataFrame:
-    """(a, b, distance) with a < b and 1 - product at most most: a theta self-join as products of blocks.
+    """(a, b, distance) with a < b and 1 - product at most most: a theta self-join as products of blocks."""
+    n = tracks.count() if rows is None else rows
+    one = tracks.select(F.lit(0).cast("long").alias("grp"), F.col("song_id").alias("node"), "vector", F.lit(float(most)).alias("most"), F.lit(n).cast("long").alias("n"))
+    return block_products(one, rows_per_block).select("a", "b", "distance")
+
 
-    Rows are dealt to blocks by a hash; a task multiplies two blocks of bounded size and passes on the
+def block_products(points: DataFrame, rows_per_block: int = 2048) -> DataFrame:
+    """(grp, a, b, distance) with a < b and 1 - product at most most, within groups of points (grp, node, vector, most, n); n: the group's size.
+
+    A group's rows are dealt to blocks by a hash; a task multiplies two blocks of bounded size and passes on the
     close pairs alone.
     """
-    n = tracks.count() if rows is None else rows
-    blocks = max(1, -(-n // rows_per_block))
-    block = F.pmod(F.xxhash64("song_id"), F.lit(blocks)).cast("int")
-    dealt = tracks.select("song_id", F.col("vector").cast("array<double>").alias("vector"), block.alias("own"))
-    other = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = dealt.withColumn("other", F.explode(other)).select("song_id", "vector", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_block)).cast("int")
+    dealt = points.select("grp", "node", F.col("vector").cast("array<double>").alias("vector"), "most", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", "node", "vector", "most", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(table: pa.Table) -> pa.Table:
-        ids, own = table["song_id"].to_numpy(), table["own"].to_numpy()
-        x = np.stack(table["vector"].to_numpy(zero_copy_only=False)) if len(ids) else np.zeros((0, 1))
+        ids, own, most = table["node"].to_numpy(), table["own"].to_numpy(), table["most"][0].as_py()
+        x = np.stack(table["vector"].to_numpy(zero_copy_only=False))
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        distance = 1.0 - x[left] @ x[right].T
-        p, q = np.nonzero(distance <= most)
-        a, b, d = ids[left[p]], ids[right[q]], distance[p, q]
-        keep = a < b if i == j else a != b
-        a, b, d = a[keep], b[keep], d[keep]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d})
-
-    return dealt.groupBy("i", "j").applyInArrow(run, "a bigint, b bigint, distance double")
+        a, b, d = _close(ids, x, np.flatnonzero(own == i), np.flatnonzero(own == j), most, i == j)
+        return pa.table({"grp": np.full(len(a), table["grp"][0].as_py(), dtype=np.int64), "a": a, "b": b, "distance": d})
+
+    return dealt.groupBy("grp", "i", "j").applyInArrow(run, "grp bigint, a bigint, b bigint, distance double")
+
+
+def _close(ids: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray, most: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The close pairs of rows left and right of x, the smaller id first; same: left and right are the same rows."""
+    distance = 1.0 - x[left] @ x[right].T
+    p, q = np.nonzero(distance <= most)
+    a, b, d = ids[left[p]], ids[right[q]], distance[p, q]
+    keep = a < b if same else a != b
+    a, b, d = a[keep], b[keep], d[keep]
+    return np.minimum(a, b), np.maximum(a, b), d

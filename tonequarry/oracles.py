@@ -271,9 +271,22 @@ _BODIES["density_clusters"] = """, pr AS MATERIALIZED (SELECT t.song_id AS a, q.
  brd AS (SELECT pr.a AS id, min(c) AS c FROM pr JOIN comp ON comp.id = pr.b WHERE pr.a NOT IN (SELECT id FROM core) GROUP BY pr.a)
 SELECT song_id, coalesce(comp.c, brd.c, -1) AS cluster FROM tracks LEFT JOIN comp ON comp.id = song_id LEFT JOIN brd ON brd.id = song_id"""
 
+_SWEPT = """, radii(step, eps) AS (VALUES (0, 0.55::DOUBLE), (1, 0.6::DOUBLE), (2, 0.63::DOUBLE), (3, 0.66::DOUBLE), (4, 0.68::DOUBLE), (5, 0.7::DOUBLE)),
+ pr AS MATERIALIZED (SELECT step, t.song_id AS a, q.song_id AS b FROM tracks t JOIN tracks q ON t.song_id <> q.song_id JOIN radii ON 1 - list_dot_product(t.vector, q.vector) <= eps),
+ core AS MATERIALIZED (SELECT step, a AS id FROM pr GROUP BY step, a HAVING count(*) + 1 >= 3),
+ cc AS MATERIALIZED (SELECT pr.step, pr.a, pr.b FROM pr JOIN core x ON x.step = pr.step AND x.id = pr.a JOIN core y ON y.step = pr.step AND y.id = pr.b),
+ reach(step, id, root) AS (SELECT step, id, id FROM core UNION SELECT r.step, cc.b, r.root FROM reach r JOIN cc ON cc.step = r.step AND cc.a = r.id WHERE r.root < cc.b),
+ comp AS (SELECT step, id, min(root) AS c FROM reach GROUP BY step, id),
+ brd AS (SELECT pr.step, pr.a AS id, min(c) AS c FROM pr JOIN comp ON comp.step = pr.step AND comp.id = pr.b LEFT JOIN core ON core.step = pr.step AND core.id = pr.a WHERE core.id IS NULL GROUP BY pr.step, pr.a),
+ swept AS (SELECT step, id AS song_id, c AS cluster FROM comp UNION ALL SELECT step, id, c FROM brd)
+"""
+_BODIES["density_sweep"] = _SWEPT + "SELECT step, song_id, cluster FROM swept"
+_BODIES["sweep_coverage"] = _SWEPT + """SELECT step, coalesce(sum(n) FILTER (WHERE n BETWEEN 3 AND 60), 0)::BIGINT AS covered, max(n) AS largest
+FROM (SELECT step, cluster, count(*) AS n FROM swept GROUP BY step, cluster) GROUP BY step"""
+
 
 def _whole(body: str) -> str:
-    prelude = PRELUDE.replace("WITH raw", "WITH RECURSIVE raw", 1) if "reach(id, root)" in body else PRELUDE
+    prelude = PRELUDE.replace("WITH raw", "WITH RECURSIVE raw", 1) if " reach(" in body else PRELUDE
     return prelude.rstrip() + ("" if body.startswith(",") else "\n") + body
 
 

@@ -12,7 +12,7 @@ from .functions import text as X
 from .functions import vectors as V
 from .operators import albums, audio, clustering, history, mix, sets, similarity, wave
 from .oracles import ORACLE_SQL, PRELUDE
-from .session import work_dir
+from .session import work_dir, written
 from .sources import cache, export
 from .sources import tables as S
 from .streaming import listens as streamed
@@ -24,6 +24,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+SWEEP_RADII = (0.55, 0.6, 0.63, 0.66, 0.68, 0.7)
+
+
 def query(f: Query) -> Query:
     QUERIES[f.__name__] = f
     return f
@@ -770,6 +773,23 @@ def density_clusters(spark, sf_dir):
     return clustering.density_clusters(t, similarity.close_pairs(t, 0.68), 0.68, 3)
 
 
+@query
+def density_sweep(spark, sf_dir):
+    """Density clusters at several radii from one spanning forest."""
+    t = S.tracks(spark, sf_dir).select(F.lit(0).cast("long").alias("grp"), F.col("song_id").alias("node"), "vector")
+    n = t.agg(F.count(F.lit(1)).alias("n"))
+    pairs = written(similarity.block_products(t.crossJoin(F.broadcast(n)).withColumn("most", F.lit(0.7))), "pairs")
+    grid = spark.createDataFrame([(0, k, e) for k, e in enumerate(SWEEP_RADII)], "grp bigint, step int, eps double")
+    return clustering.Sweep(t, pairs, 3).at(grid).select("step", F.col("node").alias("song_id"), "cluster")
+
+
+@query
+def sweep_coverage(spark, sf_dir):
+    """What each radius puts into clusters of a size worth an album, and its largest cluster."""
+    found = density_sweep(spark, sf_dir).withColumnRenamed("song_id", "node")
+    return clustering.coverage(found, 3, 60, "step").select("step", "covered", "largest")
+
+
 @query
 def smart_albums(spark, sf_dir):
     """Albums by density, with centroids' labels and titles without repeats."""
