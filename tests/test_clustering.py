@@ -259,3 +259,42 @@ def test_album_names_and_store(spark, tmp_path):
 
     get = lambda key, n: cache.stored(spark, str(tmp_path), key, lambda: build(n)).count()
     assert [get("k1", 3), get("k1", 4), get("k2", 5), get("k1", 6)] == [3, 3, 5, 3] and made == [3, 5]
+
+
+def brute_pairs(x, most):
+    d = 1 - x @ x.T
+    return {(i, j): d[i, j] for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= most}
+
+
+def same_pairs(df, want):
+    rows = [tuple(r) for r in df.collect()]
+    got = {(a, b): d for a, b, d in rows}
+    return len(rows) == len(got) and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_pivot_index_finds_the_same_pairs(spark):
+    from tonequarry.operators.similarity import PivotIndex, block_pairs
+
+    rng = np.random.default_rng(21)
+    tight = unit(np.repeat(rng.normal(0, 1, (12, 10)), 25, 0) + 0.05 * rng.normal(0, 1, (300, 10)))
+    index = PivotIndex(frame(spark, tight), 0.1, 300, 20)
+    assert same_pairs(index.pairs(), brute_pairs(tight, 0.1)) and index.closed > 80 and index.copies <= 5 * 300
+    # One direction holds a third of the rows, lengths differ, some are zero, and thresholds leave many cells open.
+    mixed = np.concatenate([np.repeat(unit(rng.normal(0, 1, (1, 6))), 70, 0), rng.normal(0, 1, (130, 6)) * rng.uniform(0.1, 2, (130, 1)), np.zeros((4, 6))])
+    for most in (-1.0, 0.0, 0.4, 0.95):
+        pts = frame(spark, mixed).repartition(3)
+        assert same_pairs(PivotIndex(pts, most, 204, 16).pairs(), brute_pairs(mixed, most))
+        assert same_pairs(close_pairs(pts, most, 16), brute_pairs(mixed, most)) and same_pairs(block_pairs(pts, most, 204, 16), brute_pairs(mixed, most))
+
+
+def test_pivot_index_gives_way(spark):
+    from tonequarry.operators.similarity import PivotIndex
+
+    rng = np.random.default_rng(22)
+    even = unit(rng.normal(0, 1, (200, 40)))
+    pts = frame(spark, even)
+    bad = PivotIndex(pts, 0.9, 200, 16)
+    assert bad.copies > 200 * 13 and same_pairs(close_pairs(pts, 0.9, 16), brute_pairs(even, 0.9))
+    assert PivotIndex(pts, 1.0, 200, 16).copies == float("inf") and PivotIndex(pts, 0.5, 20, 16).copies == float("inf")
+    assert same_pairs(close_pairs(pts, 1.2, 16), brute_pairs(even, 1.2))
+    assert close_pairs(pts.limit(0), 0.5).count() == 0 and close_pairs(frame(spark, np.zeros((50, 3))), 0.5, 16).count() == 0

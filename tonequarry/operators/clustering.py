@@ -254,9 +254,11 @@ class Sweep:
         named = written(own.join(parts.drop("grp"), ["step", "node"], "left").select("grp", "step", "node", F.coalesce("component", "node").alias("cluster")), "cores")
         ways = [self.links.select("grp", F.col(p).alias("node"), F.col(q).alias("of"), F.greatest("distance", f"core_{q}").alias("r"), F.col(f"core_{p}").alias("until")).where(F.col(f"core_{q}").isNotNull()) for p, q in ("ab", "ba")]
         border = ways[0].unionByName(ways[1]).where(F.col("until").isNull() | (F.col("r") < F.col("until"))).join(radii, "grp")
-        border = border.select("node", "of", first(F.col("r")).alias("low"), F.when(F.col("until").isNull(), last).otherwise(first(F.col("until"))).alias("high")).where("low < high")
-        border = border.select("node", "of", F.explode(F.sequence("low", F.col("high") - 1)).alias("step"))
-        joined = border.join(named.withColumnRenamed("node", "of"), ["step", "of"]).groupBy("grp", "step", "node").agg(F.min("cluster").alias("cluster"))
+        border = border.select("node", "of", first(F.col("r")).alias("step"), F.when(F.col("until").isNull(), last).otherwise(first(F.col("until"))).alias("high")).where("step < high")
+        # Cores of one cluster stay in one, so a border point needs each cluster once, from the step at which it first reaches it; the cluster's least core stands for it.
+        seen = border.join(named.withColumnRenamed("node", "of"), ["step", "of"]).groupBy("node", F.col("cluster").alias("of")).agg(F.min("step").alias("low"), F.max("high").alias("high"))
+        seen = seen.select("node", "of", F.explode(F.sequence("low", F.col("high") - 1)).alias("step"))
+        joined = seen.join(named.withColumnRenamed("node", "of"), ["step", "of"]).groupBy("grp", "step", "node").agg(F.min("cluster").alias("cluster"))
         return named.unionByName(joined)
 
 

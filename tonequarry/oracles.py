@@ -123,6 +123,7 @@ SELECT listener, song_id, played_at FROM l WHERE 1706659200000 - played_at <= 17
     "ordered_lookup": "SELECT row_number() OVER (ORDER BY song_id DESC) - 1 AS position, song_id, title FROM songs WHERE song_id IN (SELECT song_id FROM favs)",
     "weights_with_default": "SELECT song_id, round(coalesce(weight, 0.0::DOUBLE), 6) AS weight FROM tracks LEFT JOIN weights USING (song_id)",
     "close_pairs": "SELECT t.song_id AS a, q.song_id AS b, round(1 - list_dot_product(t.vector, q.vector), 6) AS distance FROM tracks t JOIN tracks q ON t.song_id < q.song_id AND 1 - list_dot_product(t.vector, q.vector) <= 0.65",
+    "pivot_pairs": "SELECT t.song_id AS a, q.song_id AS b, round(1 - list_dot_product(t.vector, q.vector), 6) AS distance FROM tracks t JOIN tracks q ON t.song_id < q.song_id AND 1 - list_dot_product(t.vector, q.vector) <= 0.7",
     "anchor_closeness": "SELECT t.song_id, round(max(list_dot_product(t.vector, q.vector)), 6) AS closeness FROM tracks t, tracks q WHERE q.song_id IN (1, 2, 3, 4) GROUP BY t.song_id",
     "album_labels": """, s AS (SELECT song_id % 12 AS cluster, pos, sum(x) AS x FROM flat GROUP BY ALL),
  a0 AS (SELECT cluster, list(x ORDER BY pos) AS v FROM s GROUP BY cluster),

@@ -334,6 +334,13 @@ def close_pairs(spark, sf_dir):
     return similarity.close_pairs(unit, 0.65).select("a", "b", r6("distance").alias("distance"))
 
 
+@query
+def pivot_pairs(spark, sf_dir):
+    """Pairs of tracks within a distance, by the pivot index."""
+    unit = S.tracks(spark, sf_dir).select("song_id", "vector")
+    return similarity.PivotIndex(unit, 0.7, unit.count(), 64).pairs().select("a", "b", r6("distance").alias("distance"))
+
+
 @query
 def anchor_closeness(spark, sf_dir):
     """For each track the best product with any of four anchors."""
