@@ -1,12 +1,16 @@
 import datetime as dt
+import os
 import time
+import wave
 
 import numpy as np
+import pytest
 
 from tonequarry.operators import wave as W
 from tonequarry.sources.tables import PLAYER_EVENTS
 from tonequarry.streaming import listens as L
 from tonequarry.streaming import player as P
+from tonequarry.streaming import scan as Sc
 from tonequarry.streaming import wave as SW
 
 
@@ -120,3 +124,72 @@ def test_callbacks(spark):
     assert told.columns == PLAYER_EVENTS.names
     left = L.departures(told).select("song_id", "played_ms", "duration_ms").collect()
     assert {tuple(r) for r in left} == {(5, 9_000, 9_000), (6, 4_000, 0), (7, 3_000, 8_000)}
+
+
+def tone(path, pitch, seconds=0.3):
+    with wave.open(str(path), "wb") as f:
+        f.setnchannels(1)
+        f.setsampwidth(2)
+        f.setframerate(48_000)
+        f.writeframes((8000 * np.sin(2 * np.pi * pitch * np.arange(int(48_000 * seconds)) / 48_000)).astype("<i2").tobytes())
+
+
+def test_scan_stops_resumes_and_replaces(spark, tmp_path):
+    media = tmp_path / "media"
+    media.mkdir()
+    for k in range(7):
+        tone(media / f"{k}.wav", 200 + 100 * k)
+        os.utime(media / f"{k}.wav", (1000 + k, 1000 + k))
+    (media / "7.wav").write_bytes(b"no sound")
+    os.utime(media / "7.wav", (1007, 1007))
+    tone(media / "99.wav", 50)  # not in the library
+    os.utime(media / "99.wav", (999, 999))
+    library = spark.createDataFrame([(k, f"file://{media}/{k}.wav") for k in range(8)], "song_id long, path string")
+    store = Sc.vector_store(str(tmp_path / "store"))
+    parts = lambda b: sorted(p.name for p in (tmp_path / "store").glob(f"stream=*/batch={b}/*.parquet"))
+
+    def dies(number):
+        if number == 1:
+            raise RuntimeError("stopped in the middle")
+
+    progress = Sc.Progress(9)
+    spark.streams.addListener(progress)
+    try:
+        with pytest.raises(Exception, match="stopped in the middle"):
+            Sc.scan(str(media), library, store, str(tmp_path / "cp"), per_batch=3, then=dies).awaitTermination()
+        # Batch 1 was stored, but its stream did not get to say so.
+        first, second = parts(0), parts(1)
+        assert first and second and store.count(spark) == 5
+        Sc.scan(str(media), library, store, str(tmp_path / "cp"), per_batch=3).awaitTermination()
+        until = time.time() + 30
+        while time.time() < until and progress.ended < 2:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(progress)
+    assert parts(0) == first and parts(1) != second and len(parts(2)) > 0
+    rows = {r["song_id"]: r for r in store.latest(spark).collect()}
+    assert sorted(rows) == list(range(8)) and spark.read.parquet(str(tmp_path / "store")).count() == 8
+    assert not any(rows[7]["vector"]) and all(any(rows[k]["vector"]) for k in range(7))
+    assert progress.done == 9 and progress.batches == 3 and progress.pace > 0 and progress.left == 0
+    # Another scan of the same folder finds nothing to do but the file that has changed since.
+    tone(media / "2.wav", 5000)
+    os.utime(media / "2.wav", (5000, 5000))
+    Sc.scan(str(media), library, store, str(tmp_path / "cp2")).awaitTermination()
+    after = {r["song_id"]: r for r in store.latest(spark).collect()}
+    assert after[2]["vector"] != rows[2]["vector"] and {k for k in rows if after[k] != rows[k]} == {2}
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 9
+    # A newer analysis takes all again.
+    Sc.scan(str(media), library, store, str(tmp_path / "cp3"), version=3).awaitTermination()
+    assert {r["version"] for r in store.latest(spark).collect()} == {3}
+    store.clear(spark)
+    assert store.count(spark) == 0
+
+
+def test_upserts_keep_the_newest(spark, tmp_path):
+    schema = "k long, at long, text string"
+    for k, rows in enumerate([[(1, 5, "b"), (1, 3, "a"), (2, 1, "x")], [(1, 4, "late"), (2, 2, "y"), (2, 2, "z")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        store = Sc.Store(str(tmp_path / "store"), schema, ["k"], ["at"])
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        Sc.upserts(stream, store, str(tmp_path / "cp")).awaitTermination()
+        assert sorted(map(tuple, store.latest(spark).collect())) == [[(1, 5, "b"), (2, 1, "x")], [(1, 5, "b"), (2, 2, "z")]][k]

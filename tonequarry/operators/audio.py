@@ -84,7 +84,7 @@ def wav_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def analysed(files: DataFrame, encode: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """(path, vector): an encoder's unit vector of each file's features, zeros where decoding or encoding fails.
+    """(path, vector): an encoder's unit vector of each file's features, zeros where decoding or encoding fails. files: path, content, and columns that pass.
 
     Without an encoder, the mean and deviation of each band stand in, and are no learned embedding.
     """
@@ -102,9 +102,11 @@ def analysed(files: DataFrame, encode: Callable[[np.ndarray], np.ndarray] | None
                 v = np.zeros(size) if pcm is None else np.asarray((encode or plain)(log_mel(pcm)), dtype=float)
                 n = np.sqrt(v @ v)
                 out.append((v / n if n > 0 and np.isfinite(n) else np.zeros(len(v))).astype(np.float32).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float32()))], ["path", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float32())), *batch.columns[2:]], ["path", "vector", *others])
 
-    return files.mapInArrow(run, "path string, vector array<float>")
+    others = [c for c in files.columns if c not in ("path", "content")]
+    passed = "".join(f", `{c}` {files.schema[c].dataType.simpleString()}" for c in others)
+    return files.select("path", "content", *others).mapInArrow(run, f"path string, vector array<float>{passed}")
 
 
 def encoded(vectors: DataFrame, vector: str = "vector") -> DataFrame:

@@ -86,6 +86,10 @@ _BODIES: dict[str, str] = {
     "embedding_ids": "SELECT song_id FROM tracks",
     "embedding_count": "SELECT count(*) AS n FROM tracks",
     "upsert_latest": "SELECT song_id, id, played_at FROM plays QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY played_at DESC, id DESC) = 1",
+    "streamed_upsert": "SELECT song_id, id, played_at FROM plays QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY played_at DESC, id DESC) = 1",
+    "scan_backlog": """, f AS (SELECT song_id, max(played_at) AS modified FROM plays GROUP BY song_id),
+ st AS (SELECT song_id, max(played_at) AS modified FROM plays WHERE event_type <> 'error' GROUP BY song_id)
+SELECT f.song_id, f.modified FROM f JOIN songs USING (song_id) LEFT JOIN st ON st.song_id = f.song_id AND f.song_id % 3 = 2 AND st.modified >= f.modified WHERE st.song_id IS NULL""",
     "listens_recorded": "SELECT id, listener, song_id, played_at, played_ms, duration_ms FROM listens",
     "listens_recent": "SELECT id, song_id, played_at FROM listens WHERE played_at >= 1706659200000 - 14 * 86400000::BIGINT",
     "listens_pruned": "SELECT count(*) AS kept, min(played_at) AS oldest FROM listens WHERE played_at >= 1706659200000 - 21 * 86400000::BIGINT",

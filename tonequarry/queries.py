@@ -16,7 +16,7 @@ from .session import work_dir, written
 from .sources import cache, export
 from .sources import tables as S
 from .streaming import listens as streamed
-from .streaming import player
+from .streaming import player, scan
 
 __all__ = ["ORACLE_SQL", "PRELUDE", "QUERIES"]
 
@@ -100,6 +100,26 @@ def upsert_latest(spark, sf_dir):
     return S.upserted(p, ["song_id"], [F.desc("played_at"), F.desc("id")]).select("song_id", "id", "played_at")
 
 
+@query
+def streamed_upsert(spark, sf_dir):
+    """The last departure of each song, by a stream of events into a store of the newest rows."""
+    work = f"{work_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    store = scan.Store(f"{work}/store", "song_id bigint, played_at bigint, id bigint", ["song_id"], ["played_at", "id"])
+    raw = spark.readStream.schema(S.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream takes folders and patterns
+    scan.upserts(S.plays_of(raw).select("song_id", "played_at", "id"), store, f"{work}/checkpoint").awaitTermination()
+    return store.latest(spark)
+
+
+@query
+def scan_backlog(spark, sf_dir):
+    """Tracks whose file is newer than what is stored of it, or analysed by an older version, or not at all."""
+    p = S.play_events(spark, sf_dir)
+    files = p.groupBy("song_id").agg(F.timestamp_millis(F.max("played_at")).alias("modified")).select(F.col("song_id").cast("string").alias("path"), "modified")
+    stored = p.where(F.col("event_type") != "error").groupBy("song_id").agg(F.timestamp_millis(F.max("played_at")).alias("modified")).withColumn("version", (F.col("song_id") % 3).cast("int"))
+    library = S.songs(spark, sf_dir).select("song_id", F.col("song_id").cast("string").alias("path"))
+    return scan.to_scan(files, library, stored).select("song_id", F.unix_millis("modified").alias("modified"))
+
+
 @query
 def listens_recorded(spark, sf_dir):
     return _listens(spark, sf_dir).select("id", "listener", "song_id", "played_at", "played_ms", "duration_ms")

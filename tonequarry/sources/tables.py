@@ -76,8 +76,13 @@ def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def play_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, listener, song_id, played_at, played_ms, duration_ms), all departures however short."""
+    return plays_of(table(spark, sf_dir, "events"))
+
+
+def plays_of(events: DataFrame) -> DataFrame:
+    """play_events() of rows of the events table, a stream of them as well."""
     song = F.get_json_object("props", "$.k").cast("bigint")
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", song.alias("song_id"))
+    e = events.select("event_id", "ts", "user_id", "event_type", "value", song.alias("song_id"))
     return e.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("listener"),
