@@ -75,6 +75,7 @@ def test_wave_stream(spark, tmp_path):
         got = spark.table("picks").toPandas()
     finally:
         q.stop()
+    assert set(got["kind"]) == {"pick"}
     moved = got[got["listener"] == 4]
     assert len(moved) == 5 and moved["replaces"].sum() == 4 and moved["song_id"].is_unique and sorted(moved["position"]) == [0, 1, 2, 3, 3]
     got = got[got["listener"] != 4]
@@ -193,3 +194,140 @@ def test_upserts_keep_the_newest(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         Sc.upserts(stream, store, str(tmp_path / "cp")).awaitTermination()
         assert sorted(map(tuple, store.latest(spark).collect())) == [[(1, 5, "b"), (2, 1, "x")], [(1, 5, "b"), (2, 2, "z")]][k]
+
+
+def files_in_turn(spark, path, schema, batches):
+    """A stream that takes each batch's rows as a file of its own."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_days_as_a_stream(spark, tmp_path):
+    L.use_rocksdb(spark)
+    at = lambda d, h, m=0: dt.datetime(2024, 3, d, h, m)
+    batches = [
+        [(1, "a", at(1, 9)), (1, "a", at(1, 8)), (2, "a", at(1, 23, 50))],
+        [(1, "a", at(1, 23, 59)), (2, "a", at(2, 0, 0))],
+        [(1, "a", at(2, 0, 5)), (2, "a", at(1, 23, 55))],  # a late row of a day that has begun already
+        [(1, "a", at(3, 7)), (1, "b", at(3, 7, 30))],
+        [(2, "a", at(1, 22)), (1, "a", at(3, 8))],  # its day is over for good
+        [(9, "z", at(5, 0))],
+    ]
+    stream = P.days_begun(files_in_turn(spark, str(tmp_path / "in"), "listener long, device string, ts timestamp", batches), ["listener", "device"])
+    q = stream.writeStream.format("memory").outputMode("append").queryName("days").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r["listener"], r["device"], r["day"], r["ts"]) for r in spark.table("days").collect())
+    assert got == [
+        (1, "a", "2024-03-01", at(1, 8)), (1, "a", "2024-03-02", at(2, 0, 5)), (1, "a", "2024-03-03", at(3, 7)), (1, "b", "2024-03-03", at(3, 7, 30)),
+        (2, "a", "2024-03-01", at(1, 23, 50)), (2, "a", "2024-03-02", at(2, 0, 0)), (9, "z", "2024-03-05", at(5, 0)),
+    ]
+    # All days but the last have been forgotten.
+    held = spark.read.format("statestore").option("stateVarName", "days").load(str(tmp_path / "cp")).collect()
+    assert len(held) == 1
+
+
+def library(n=60):
+    x = np.random.default_rng(0).normal(0, 1, (n, 8))
+    return W.Library([W.Track(k, v / np.linalg.norm(v), f"g{k % 20}") for k, v in enumerate(x)])
+
+
+class Held:
+    """A processor's state in memory."""
+
+    def __init__(self):
+        self.value, self.rows = None, {}
+
+    def getValueState(self, *a, **k):  # noqa: N802
+        return self
+
+    def getMapState(self, *a, **k):  # noqa: N802
+        held = Held()
+        held.iterator, held.updateValue = (lambda: iter(held.rows.items())), held.rows.__setitem__
+        return held
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def event(ts, kind, song, played=0, length=100_000):
+    return dict(listener=1, ts=ts, kind=kind, song_id=song, played_ms=played, duration_ms=length)
+
+
+def turned(batches, first=None):
+    p, held = SW.WaveProcessor(library()), Held()
+    p.init(held)
+    if first is not None:
+        p.handleInitialState((1,), {"session": first}, None)
+    out = [list(p.handleInputRows((1,), rows, None)) for rows in batches]
+    return out, None if held.value is None else W.decoded(bytes(held.value[0]))[0], p
+
+
+def test_a_dislike_counts_once_across_batches():
+    rows = [event(1000, "start", 5), event(2000, "dislike", 5), event(2500, "departed", 5, 1_000)]
+    together, one, _ = turned([rows])
+    apart, other, p = turned([[r] for r in rows])
+    assert one.steps == other.steps == 1 and one.rejections == other.rejections == 1 and np.allclose(one.direction, other.direction)
+    for got in (sum(together, []), sum(apart, [])):
+        undone = [r for r in got if r["kind"] == "unfavourite"]
+        assert [(r["song_id"], r["position"]) for r in undone] == [(5, None)]
+    # Played again and left again, it counts; it is never picked.
+    later = list(p.handleInputRows((1,), [event(9000, "departed", 5, 90_000)], None))
+    assert W.decoded(bytes(p.state.get()[0]))[0].steps == 2 and 5 not in {r["song_id"] for r in later}
+    # Outside a wave, or of a song that the library lacks, only the favourite is undone.
+    alone, state, _ = turned([[event(1, "dislike", 7), event(2, "dislike", 999)]])
+    assert [(r["kind"], r["song_id"]) for r in alone[0]] == [("unfavourite", 7), ("unfavourite", 999)] and state is None
+    after, _, _ = turned([[event(1, "dislike", 7)], *[[event(10 + k, "start", k)] for k in range(6)]])
+    assert 7 not in {r["song_id"] for batch in after for r in batch if r["kind"] == "pick"}
+
+
+HOUR = 3_600_000
+
+
+@pytest.mark.parametrize("hours, song, goes_on", [(11, 5, True), (13, 5, False), (1, 6, False)])
+def test_sessions_resume(hours, song, goes_on):
+    lib = library()
+    left = W.react(W.start(lib, lib.tracks[5].vector, 5), lib.tracks[5], 1.0)
+    out, state, _ = turned([[event(hours * HOUR, "changed", song)]], W.encoded(left, "taste", 0, None))
+    assert (state is not None) == goes_on and (len(out[0]) == W.AHEAD) == goes_on
+    if goes_on:
+        assert state.steps == 1 and np.allclose(state.direction, left.direction, atol=1e-6)
+    assert turned([[event(1, "changed", 5)]], b"damaged")[1] is None
+
+
+def test_wave_stream_from_stored_sessions(spark, tmp_path):
+    lib = library()
+    L.use_rocksdb(spark)
+    left = W.encoded(W.react(W.start(lib, lib.tracks[5].vector, 5), lib.tracks[5], 1.0), "similar", 0)
+    sessions = spark.createDataFrame([(1, bytearray(left)), (2, bytearray(left)), (3, bytearray(left))], "listener long, session binary")
+    schema = "listener long, ts long, kind string, song_id long, played_ms long, duration_ms long"
+    batches = [[(1, 11 * HOUR, "changed", 5, 0, 0), (2, 13 * HOUR, "changed", 5, 0, 0)], [(1, 11 * HOUR + 1, "dislike", 5, 0, 0)], [(1, 11 * HOUR + 2, "departed", 5, 1_000, 100_000), (3, 1, "changed", 5, 0, 0)]]
+    picks = SW.steered(files_in_turn(spark, str(tmp_path / "in"), schema, batches), lib, sessions=sessions)
+    q = picks.writeStream.format("memory").queryName("resumed").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and q.exception() is None and spark.table("resumed").where("listener = 3").count() < W.AHEAD:
+            time.sleep(1)
+        assert q.exception() is None
+        got = spark.table("resumed").toPandas()
+    finally:
+        q.stop()
+    # The first fill, the fill after the dislike, and nothing for the departure of the same play.
+    assert got[got["kind"] == "pick"].groupby("listener").size().to_dict() == {1: 2 * W.AHEAD, 3: W.AHEAD}
+    assert got[got["kind"] == "unfavourite"][["listener", "song_id"]].values.tolist() == [[1, 5]]
+
+
+def test_a_library_too_large_is_refused(monkeypatch):
+    monkeypatch.setattr(SW, "MOST_BYTES", 100)
+    with pytest.raises(ValueError):
+        SW.steered(None, library())

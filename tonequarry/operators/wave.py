@@ -129,6 +129,16 @@ class Library:
         self.by_id = {t.song_id: k for k, t in enumerate(tracks)}
         self.x = np.stack([np.asarray(t.vector, dtype=float) for t in tracks]) if tracks else np.zeros((0, 1))
         self.centre = self.x.mean(0) if len(tracks) else np.zeros(1)
+        self.ids = np.array([t.song_id for t in tracks], dtype=np.int64)
+        self.last = np.array([np.nan if t.last_played is None else t.last_played for t in tracks], dtype=float)
+        self.groups = {g: k for k, g in enumerate(dict.fromkeys(t.group for t in tracks))}
+        self.group = np.array([self.groups[t.group] for t in tracks], dtype=np.int64)
+
+    def among(self, songs) -> np.ndarray:
+        """Which tracks are of these songs."""
+        hit = np.zeros(len(self.ids), dtype=bool)
+        hit[[self.by_id[k] for k in songs if k in self.by_id]] = True
+        return hit
 
     def own(self, centre: np.ndarray) -> np.ndarray:
         d = self.x - centre
@@ -170,12 +180,12 @@ def uniform(seed: str, song_id: int) -> float:
 def following(library: Library, state: State, now: int, seed: str, count: int = 1, excluded: frozenset[int] = frozenset(), current: int | None = None, novelty: float = NOVELTY) -> tuple[list[int], State]:
     """count picks and the state that knows them; each becomes the current track of the next."""
     own = library.own(state.centre)
-    last = np.array([np.nan if t.last_played is None else t.last_played for t in library.tracks])
+    last, barred, played = library.last, library.among(excluded), library.among(state.played)
     held = (now - last) < (LEAST_DAYS + MORE_DAYS * min(1.0, max(0.0, novelty))) * DAY
     out: list[int] = []
     for k in range(count):
-        level = np.array([9 if t.song_id in excluded else 3 if t.song_id in state.played else 1 if t.group in state.recent else 0 for t in library.tracks])
-        level = np.where((level < 2) & held, 2, level)
+        cooling = np.isin(library.group, [library.groups[g] for g in state.recent if g in library.groups])
+        level = np.select([barred, played, held, cooling], [9, 3, 2, 1], 0)
         least = level.min(initial=9)
         if least == 9:
             break
@@ -185,10 +195,11 @@ def following(library: Library, state: State, now: int, seed: str, count: int =
         score = DIRECTION * towards + CONTINUITY * on + np.where(np.isnan(last[pool]), BONUS * novelty, 0.0)
         if state.avoid is not None:
             score = score - AVOID * state.rejections / (state.rejections + AVOID_HALF) * (own[pool] @ state.avoid)
-        best = sorted(range(len(pool)), key=lambda j: (-score[j], library.tracks[pool[j]].song_id))[:SHORTLIST]
-        draw = max(best, key=lambda j: score[j] / TEMPERATURE - np.log(-np.log(uniform(f"{seed}:{state.steps}:{k}", library.tracks[pool[j]].song_id))))
+        best = np.lexsort((library.ids[pool], -score))[:SHORTLIST].tolist()
+        draw = max(best, key=lambda j: score[j] / TEMPERATURE - np.log(-np.log(uniform(f"{seed}:{state.steps}:{k}", int(library.ids[pool[j]])))))
         track = library.tracks[pool[draw]]
         out.append(track.song_id)
+        played[pool[draw]] = True
         state = replace(state, played=state.played | {track.song_id}, recent=(*state.recent, track.group)[-COOLDOWN:])
         current = track.song_id
     return out, state

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def normalised(callbacks: DataFrame) -> DataFrame:
@@ -47,10 +51,49 @@ def throttled(rows: DataFrame, keys: list[str], values: list[str], every: str =
     return _newest(_late(rows, late), F.window("ts", every), keys, values)
 
 
+class DayProcessor(StatefulProcessor):
+    """The first row of each day of a key. A day is remembered until the watermark passes the midnight after it: a timer forgets it then."""
+
+    def __init__(self, keys: list[str]) -> None:
+        self.keys = keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.days = handle.getMapState("days", T.StructType([T.StructField("day", T.StringType())]), T.StructType([T.StructField("until", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        for r in sorted(rows, key=lambda r: r["__at"]):
+            if r["__until"] <= timerValues.getCurrentWatermarkInMs() or self.days.containsKey((r["__day"],)):
+                continue
+            self.days.updateValue((r["__day"],), (r["__until"],))
+            self.handle.registerTimer(r["__until"])
+            yield Row(**dict(zip(self.keys, key, strict=True)), day=r["__day"], at=r["__at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        midnight = expiredTimerInfo.getExpiryTimeInMs()
+        for day, until in list(self.days.iterator()):
+            if until[0] <= midnight:
+                self.days.removeKey(day)
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
 def days_begun(rows: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """(keys, day, ts): a key's first row after each midnight of the session's time zone, when its playlist is to be rebuilt."""
-    days = _late(rows, late).groupBy(*keys, F.date_format("ts", "yyyy-MM-dd").alias("day"))
-    return days.agg(F.min("ts").alias("ts"))
+    """(keys, day, ts): a key's first row after each midnight of the session's time zone, when its playlist is to be rebuilt.
+
+    As a stream it comes out when the row does, in append mode; of rows that overtake each other, the first to come counts. What
+    comes after the watermark has passed the end of its day is left out. Needs the state store of listens.use_rocksdb.
+    """
+    day = F.date_format("ts", "yyyy-MM-dd")
+    if not rows.isStreaming:
+        return rows.groupBy(*keys, day.alias("day")).agg(F.min("ts").alias("ts"))
+    midnight = F.date_add(F.to_date("ts"), 1).cast("timestamp")
+    told = rows.withWatermark("ts", late).select(*keys, "ts", day.alias("__day"), F.unix_millis("ts").alias("__at"), F.unix_millis(midnight).alias("__until"))
+    fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    found = told.groupBy(*keys).transformWithState(DayProcessor(keys), f"{fields}, day string, at bigint", "Append", "EventTime")
+    return found.select(*keys, "day", F.timestamp_millis("at").alias("ts"))
 
 
 def analysed_by_folder(analysed: DataFrame, songs: DataFrame) -> DataFrame:
