@@ -289,9 +289,45 @@ _BODIES["density_sweep"] = _SWEPT + "SELECT step, song_id, cluster FROM swept"
 _BODIES["sweep_coverage"] = _SWEPT + """SELECT step, coalesce(sum(n) FILTER (WHERE n BETWEEN 3 AND 60), 0)::BIGINT AS covered, max(n) AS largest
 FROM (SELECT step, cluster, count(*) AS n FROM swept GROUP BY step, cluster) GROUP BY step"""
 
+#: The greedy choice, a pick or a raised quota each round, and then the tour, as recursions over the shortlist.
+_BODIES["daily_mix"] = """, anchored AS (SELECT p.song_id, max(list_dot_product(p.vector, a.vector)) + 0.15::DOUBLE * least(1.0::DOUBLE, greatest(-1.0::DOUBLE, any_value(p.weight))) AS score FROM pool p, anchors a GROUP BY p.song_id),
+ short AS (
+  SELECT p.song_id, p.vector, s.score, coalesce(p.grp, '') AS grp, coalesce(p.duplicate_key, '') AS dkey,
+         p.last_played IS NULL OR 1706659200000 - p.last_played > 30 * 86400000::BIGINT AS fresh, row_number() OVER (ORDER BY s.score DESC, p.song_id) AS rk
+  FROM anchored s JOIN pool p USING (song_id) QUALIFY rk <= 300),
+ greedy(turn, song_id, vector, score, grp, dkey, fresh, rk, nearest, picked, quota) AS (
+  SELECT 0, song_id, vector, score, grp, dkey, fresh, rk, NULL::DOUBLE, NULL::BIGINT, (SELECT greatest(2, ceil(28.0::DOUBLE / count(DISTINCT grp))::BIGINT) FROM short) FROM short
+  UNION ALL
+  SELECT turn + 1, song_id, vector, score, grp, dkey, fresh, rk,
+         CASE WHEN can THEN greatest(coalesce(nearest, -2.0::DOUBLE), list_dot_product(vector, best)) ELSE nearest END,
+         CASE WHEN can AND place = 1 THEN done ELSE picked END, CASE WHEN can THEN quota ELSE quota + 1 END
+  FROM (
+   SELECT *, bool_or(within) OVER () AS can, row_number() OVER (ORDER BY within DESC, worth DESC, rk) AS place, first_value(vector) OVER (ORDER BY within DESC, worth DESC, rk) AS best
+   FROM (
+    SELECT *, free AND used < quota AS within, bool_or(free) OVER () AS any_free
+    FROM (
+     SELECT *, picked IS NULL AND coalesce(nearest, -2.0::DOUBLE) <= 0.99 AND (dkey = '' OR same = 0) AND (fresh OR 28 - done > 11 - done_fresh) AS free, 0.75::DOUBLE * score - 0.25::DOUBLE * coalesce(nearest, 0.0::DOUBLE) AS worth
+     FROM (
+      SELECT *, count(picked) OVER () AS done, count(picked) FILTER (WHERE fresh) OVER () AS done_fresh, count(picked) OVER (PARTITION BY grp) AS used, count(picked) OVER (PARTITION BY dkey) AS same
+      FROM greedy)))
+   WHERE done < 28 AND any_free)),
+ chosen AS (SELECT song_id, vector, picked FROM greedy WHERE turn = (SELECT max(turn) FROM greedy) AND picked IS NOT NULL),
+ typical AS (SELECT a.song_id, a.picked, sum(list_dot_product(a.vector, b.vector)) AS total FROM chosen a, chosen b GROUP BY a.song_id, a.picked),
+ first AS (SELECT CASE WHEN (SELECT count(*) FROM chosen) <= 2 THEN (SELECT song_id FROM chosen WHERE picked = 0) ELSE (SELECT song_id FROM typical ORDER BY total, picked LIMIT 1) END AS song_id),
+ walk(turn, song_id, vector, picked, stop, here) AS (
+  SELECT 0, c.song_id, c.vector, c.picked, CASE WHEN c.song_id = f.song_id THEN 0 END, v.vector FROM chosen c, first f, chosen v WHERE v.song_id = f.song_id
+  UNION ALL
+  SELECT turn + 1, song_id, vector, picked, CASE WHEN stop IS NULL AND place = 1 THEN turn + 1 ELSE stop END, there
+  FROM (
+   SELECT *, row_number() OVER (ORDER BY stop IS NOT NULL, list_dot_product(vector, here) DESC, picked) AS place,
+          first_value(vector) OVER (ORDER BY stop IS NOT NULL, list_dot_product(vector, here) DESC, picked) AS there, bool_or(stop IS NULL) OVER () AS left_over
+   FROM walk)
+  WHERE left_over)
+SELECT stop::BIGINT AS position, song_id FROM walk WHERE turn = (SELECT max(turn) FROM walk)"""
+
 
 def _whole(body: str) -> str:
-    prelude = PRELUDE.replace("WITH raw", "WITH RECURSIVE raw", 1) if " reach(" in body else PRELUDE
+    prelude = PRELUDE.replace("WITH raw", "WITH RECURSIVE raw", 1) if " reach(" in body or " greedy(" in body else PRELUDE
     return prelude.rstrip() + ("" if body.startswith(",") else "\n") + body
 
 
