@@ -298,3 +298,50 @@ def test_pivot_index_gives_way(spark):
     assert PivotIndex(pts, 1.0, 200, 16).copies == float("inf") and PivotIndex(pts, 0.5, 20, 16).copies == float("inf")
     assert same_pairs(close_pairs(pts, 1.2, 16), brute_pairs(even, 1.2))
     assert close_pairs(pts.limit(0), 0.5).count() == 0 and close_pairs(frame(spark, np.zeros((50, 3))), 0.5, 16).count() == 0
+
+
+def test_build_reuses_what_holds(spark, tmp_path, monkeypatch):
+    from tonequarry.operators import album_build as B
+
+    made, asked = [], []
+
+    def clusters(tracks, scale=1.0):
+        made.append(scale)
+        return tracks.select("song_id", F.when(F.col("song_id") < 12, 3).otherwise(12).cast("long").alias("cluster"))
+
+    monkeypatch.setattr(B.clustering, "cluster_tracks", clusters)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([unit(np.array([[1.0, 0.1, 0.0]]) + 0.05 * rng.normal(0, 1, (12, 3))), unit(np.array([[0.1, 1.0, 0.0]]) + 0.05 * rng.normal(0, 1, (10, 3)))])
+    tracks = frame(spark, x)
+    songs = spark.createDataFrame([(k, f"t{k}", "X" if k < 9 else "Y") for k in range(22)], "song_id long, title string, artist string")
+
+    def encode(prompt):
+        asked.append(prompt)
+        return {"one": [1.0, 0.0, 0.0], "two": [0.0, 1.0, 0.0], "bad": None}[prompt]
+
+    build = lambda rows=tracks, **how: [(r["place"], r["title"], r["subtitle"], r["size"]) for r in B.build_albums(rows, songs, str(tmp_path), "full", ["one", "two"], ["First", "Second"], **how).orderBy("place").collect()]
+    plain = [(1, "Mix 1", "X, Y", 12), (2, "Mix 2", "Y", 10)]
+    assert build() == plain and build() == plain and made == [1.0]
+    # The text encoder comes: unnamed albums hold no more; named ones do, without it as well.
+    named = [(1, "First", "X, Y", 12), (2, "Second", "Y", 10)]
+    assert build(encode=encode) == named and build(encode=encode) == named and build() == named
+    assert made == [1.0] * 2 and asked == ["one", "two"]
+    # Another scale, another library, a rebuild; the labels stay.
+    assert build(scale=1.2) == named and made[-1] == 1.2 and build(tracks.where("song_id < 20"))[1][3] == 8 and len(made) == 4
+    build(tracks.where("song_id < 20"), rebuild=True)
+    assert len(made) == 5 and asked == ["one", "two"]
+    # A song that went since is left out; small libraries have no albums.
+    assert B.presented(spark.createDataFrame([(1, 0, 5), (1, 0, 999)], "cluster long, label int, song_id long"), songs, ["A"]).first()["size"] == 1
+    assert build(tracks.where("song_id < 15")) == []
+    files = B.Files(spark, str(tmp_path))
+    assert B.label_vectors(files, ["one"], None) is None and B.label_vectors(files, ["one", "bad"], encode) is None
+    assert [r["label_idx"] for r in B.label_vectors(files, ["two"], encode).collect()] == [0] and B.label_vectors(files, ["two"], None) is not None
+
+
+def test_signature_is_of_the_set(spark):
+    from tonequarry.operators.album_build import signature
+
+    rows = lambda ids: spark.createDataFrame([(k,) for k in ids], "song_id long").repartition(3)
+    base = signature(rows([1, 2, 3]), "full", "v", 1.0)
+    assert base == signature(rows([3, 1, 2, 2]), "full", "v", 1.0)
+    assert len({base, signature(rows([1, 2]), "full", "v", 1.0), signature(rows([1, 2, 3]), "lite", "v", 1.0), signature(rows([1, 2, 3]), "full", "w", 1.0), signature(rows([1, 2, 3]), "full", "v", 1.05), signature(rows([]), "full", "v", 1.0)}) == 6

@@ -288,6 +288,25 @@ _SWEPT = """, radii(step, eps) AS (VALUES (0, 0.55::DOUBLE), (1, 0.6::DOUBLE), (
 _BODIES["density_sweep"] = _SWEPT + "SELECT step, song_id, cluster FROM swept"
 _BODIES["sweep_coverage"] = _SWEPT + """SELECT step, coalesce(sum(n) FILTER (WHERE n BETWEEN 3 AND 60), 0)::BIGINT AS covered, max(n) AS largest
 FROM (SELECT step, cluster, count(*) AS n FROM swept GROUP BY step, cluster) GROUP BY step"""
+_BODIES["presented_albums"] = """, m AS (SELECT song_id, display, min(song_id) OVER (PARTITION BY coalesce(display, '?')) AS cluster FROM acts),
+ al AS (
+  SELECT cluster, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, cluster) AS place, sha256(string_agg(song_id::VARCHAR, ',' ORDER BY song_id)) AS album_id
+  FROM m GROUP BY cluster),
+ per AS (SELECT cluster, display AS artist, count(*) AS n, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, min(song_id)) AS rnk FROM m WHERE display IS NOT NULL GROUP BY cluster, display),
+ lead AS (SELECT cluster, string_agg(artist, ', ' ORDER BY rnk) FILTER (WHERE rnk <= 3) AS subtitle FROM per GROUP BY cluster),
+ base AS (
+  SELECT al.*, CASE al.cluster % 3 WHEN 0 THEN 'Calm' WHEN 1 THEN 'Loud' ELSE 'Mix ' || place END AS title, per.artist, lead.subtitle
+  FROM al LEFT JOIN per ON per.cluster = al.cluster AND rnk = 1 AND 2 * n >= size LEFT JOIN lead ON lead.cluster = al.cluster),
+ greedy(place, name, used) AS (
+  SELECT 0::BIGINT, ''::VARCHAR, []::VARCHAR[]
+  UNION ALL
+  SELECT place, name, list_append(used, name) FROM (
+   SELECT b.place, r.used,
+          CASE WHEN NOT list_contains(used, title) THEN title
+               WHEN artist IS NOT NULL AND NOT list_contains(used, title || ' · ' || artist) THEN title || ' · ' || artist
+               ELSE title || ' ' || list_filter(range(2, len(used) + 3), lambda n: NOT list_contains(used, title || ' ' || n))[1] END AS name
+   FROM greedy r JOIN base b ON b.place = r.place + 1))
+SELECT b.place::INTEGER AS place, b.album_id, r.name AS title, coalesce(b.subtitle, '') AS subtitle, b.size FROM base b JOIN greedy r USING (place)"""
 
 #: The greedy choice, a pick or a raised quota each round, and then the tour, as recursions over the shortlist.
 _BODIES["daily_mix"] = """, anchored AS (SELECT p.song_id, max(list_dot_product(p.vector, a.vector)) + 0.15::DOUBLE * least(1.0::DOUBLE, greatest(-1.0::DOUBLE, any_value(p.weight))) AS score FROM pool p, anchors a GROUP BY p.song_id),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import vectors as V
-from .operators import albums, audio, clustering, history, mix, sets, similarity, wave
+from .operators import album_build, albums, audio, clustering, history, mix, sets, similarity, wave
 from .oracles import ORACLE_SQL, PRELUDE
 from .session import work_dir, written
 from .sources import cache, export
@@ -819,15 +819,21 @@ def sweep_coverage(spark, sf_dir):
 
 @query
 def smart_albums(spark, sf_dir):
-    """Albums by density, with centroids' labels and titles without repeats."""
-    t = S.tracks(spark, sf_dir)
-    found = clustering.cluster_tracks(t)
-    whole = V.elementwise(t, "vector", [], F.avg)
-    label = albums.named(albums.centroids(found, t), _labels(spark, sf_dir), whole)
-    size = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    members = found.join(_songs_acts(spark, sf_dir), "song_id").select("cluster", F.col("display").alias("artist"), F.col("song_id").alias("place"))
-    rows = size.join(label, "cluster").join(albums.dominant_artist(members), "cluster", "left").select(F.lit(0).cast("long").alias("library"), "cluster", "size", F.concat(F.lit("Sound "), F.col("label_idx").cast("string")).alias("title"), "artist")
-    return albums.titled(rows).join(size, "cluster").select("cluster", "size", "title")
+    """Albums by density, built, named by labels' centroids, stored, and presented."""
+    vectors = {r["label_idx"]: r["vector"] for r in _labels(spark, sf_dir).collect()}  # a handful of labels
+    names = [f"Sound {k}" for k in sorted(vectors)]
+    store = f"{work_dir(spark)}/albums-{uuid.uuid4().hex}"
+    return album_build.build_albums(S.tracks(spark, sf_dir), S.songs(spark, sf_dir), store, "full", names, names, lambda p: vectors[int(p.split()[1])]).select("place", "album_id", "title", "subtitle", "size")
+
+
+@query
+def presented_albums(spark, sf_dir):
+    """Albums of the songs of an artist, or of none, named by two labels: the largest first, titles without repeats."""
+    songs = S.songs(spark, sf_dir)
+    act = songs.select("song_id", F.coalesce(X.artist_of(F.col("artist"), F.col("title")), F.lit("?")).alias("act"))
+    first = act.groupBy("act").agg(F.min("song_id").alias("cluster"))
+    members = act.join(first, "act").select("cluster", (F.col("cluster") % 3).cast("int").alias("label"), "song_id")
+    return album_build.presented(members, songs, ["Calm", "Loud"]).select("place", "album_id", "title", "subtitle", "size")
 
 
 @query
