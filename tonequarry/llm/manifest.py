@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Children of a node.
 FAN = 8
-#: Nodes of a partition of a superstep, about.
-PER_TASK = 50_000
+#: Nodes of a partition of a superstep, about; the last hands a path to each of their children.
+PER_TASK = 4_000
 #: Bytes of a digest.
 WIDE = 32
 VERTEX = "tree bigint, place bigint, n bigint, digest binary, children array<binary>, notes array<binary>"
