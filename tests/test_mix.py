@@ -95,3 +95,58 @@ def test_playlist_policy(spark):
     got = mix.playlist(stored(today), songs, "d4", build).first()
     assert (got["day"], got["attempt"]) == ("d4", 0) and calls.pop() == ([1, 2, 3, 4, 5, 6, 98, 99], 0)
     assert mix.playlist(stored(), songs, "d4", build).first()["recent"] == [] and calls.pop() == ([], 0)
+
+
+def sittings_of(rows, gap):
+    """Sittings of (listener, played_at, id, song_id), by plain Python."""
+    out, last = {}, {}
+    for who, at, _, song in sorted(rows, key=lambda r: r[:3]):
+        number, before = last.get(who, (0, None))
+        if before is None or at - before > gap:
+            number += 1
+        last[who] = (number, at)
+        out.setdefault((who, number), []).append((at, song))
+    return out
+
+
+def test_sittings_dealt_anew(spark, sf):
+    from tonequarry.operators import history, rhythm
+    from tonequarry.sources import tables as S
+
+    listens = history.recorded(S.play_events(spark, sf))
+    tracks = {r["song_id"]: np.asarray(r["vector"], dtype=float) for r in S.tracks(spark, sf).collect()}
+    part = lambda at: "night" if (h := at // 3_600_000 % 24) < 5 else "morning" if h < 12 else "day" if h < 18 else "evening"
+    found = sittings_of([(r["listener"], r["played_at"], r["id"], r["song_id"]) for r in listens.collect()], 30 * 60_000)
+    kept = {k: (part(v[0][0]), np.sum([np.concatenate(([1.0], tracks[s])) for _, s in v if s in tracks], axis=0)) for k, v in found.items() if any(s in tracks for _, s in v)}
+    keys = sorted(k for k, (p, _) in kept.items() if p in ("day", "evening"))
+    first = np.array([kept[k][0] == "day" for k in keys])
+    x = np.stack([kept[k][1] for k in keys])
+    apart = lambda d: np.linalg.norm(x[d][:, 1:].sum(0) / x[d][:, 0].sum() - x[~d][:, 1:].sum(0) / x[~d][:, 0].sum())
+    deals = np.stack([rhythm.draws(7, *k, 199) for k in keys]) < first.mean()
+    far = sum(apart(deals[:, k]) >= apart(first) - 1e-12 for k in range(199))
+    got = rhythm.permuted(rhythm.sittings(listens, S.tracks(spark, sf)).repartition(5), "day", "evening", 199).first()
+    assert got["sittings"] == len(keys) and abs(got["distance"] - apart(first)) < 1e-9 and got["as_far"] == far and got["p"] == (far + 1) / 200
+    assert rhythm.permuted(rhythm.sittings(listens, S.tracks(spark, sf)), "day", "none", 9).count() == 0
+
+
+def test_planted_difference_is_found(spark):
+    from tonequarry.operators import rhythm
+
+    rng = np.random.default_rng(0)
+    hour = 3_600_000
+    rows, tracks = [], []
+    for k in range(60):
+        evening = k % 2
+        for j in range(3):
+            song = 3 * k + j
+            rows.append((song, 1, song, k * 24 * hour + (20 if evening else 14) * hour + j * 60_000))
+            tracks.append((song, (rng.normal(0, 0.3, 4) + np.array([1.0, evening, 0, 0])).tolist()))
+    listens = spark.createDataFrame(rows, "id long, listener long, song_id long, played_at long")
+    vectors = spark.createDataFrame(tracks, "song_id long, vector array<double>")
+    sittings = rhythm.sittings(listens, vectors)
+    assert sittings.count() == 60 and rhythm.permuted(sittings, "day", "evening", 99).first()["p"] == 0.01
+    told = {r["slot"]: r for r in rhythm.left_out(listens, vectors).collect()}
+    assert set(told) == {"day", "evening"} and all(r["same"] > r["any"] and r["wins"] > 0.7 and r["n"] == 90 for r in told.values())
+    # The same music at any hour: the hour tells nothing.
+    flat = spark.createDataFrame([(k, rng.normal(0, 1, 4).tolist()) for k in range(180)], "song_id long, vector array<double>")
+    assert rhythm.permuted(rhythm.sittings(listens, flat), "day", "evening", 99).first()["p"] > 0.05

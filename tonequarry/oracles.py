@@ -288,6 +288,26 @@ _SWEPT = """, radii(step, eps) AS (VALUES (0, 0.55::DOUBLE), (1, 0.6::DOUBLE), (
 _BODIES["density_sweep"] = _SWEPT + "SELECT step, song_id, cluster FROM swept"
 _BODIES["sweep_coverage"] = _SWEPT + """SELECT step, coalesce(sum(n) FILTER (WHERE n BETWEEN 3 AND 60), 0)::BIGINT AS covered, max(n) AS largest
 FROM (SELECT step, cluster, count(*) AS n FROM swept GROUP BY step, cluster) GROUP BY step"""
+_SLOT = "CASE WHEN hour(epoch_ms({0})) < 5 THEN 'night' WHEN hour(epoch_ms({0})) < 12 THEN 'morning' WHEN hour(epoch_ms({0})) < 18 THEN 'day' ELSE 'evening' END"
+_BODIES["days_foretell"] = f""", l AS (SELECT l.id, l.listener, {_SLOT.format("l.played_at")} AS slot, epoch_ms(l.played_at)::DATE AS day, t.vector FROM listens l JOIN tracks t USING (song_id)),
+ fl AS (SELECT listener, slot, day, unnest(vector) AS x, unnest(range(len(vector))) AS pos FROM l),
+ sd AS (SELECT listener, slot, day, pos, sum(x) AS x, count(*) AS n FROM fl GROUP BY ALL),
+ pr AS (
+  SELECT listener, slot, day, pos, sum(x) OVER (PARTITION BY listener, slot, pos) - x AS own, sum(n) OVER (PARTITION BY listener, slot, pos) - n AS more,
+         sum(x) OVER (PARTITION BY listener, pos) - sum(x) OVER (PARTITION BY listener, day, pos) AS every
+  FROM sd),
+ pv AS (SELECT listener, slot, day, list(own ORDER BY pos) AS own, list(every ORDER BY pos) AS every FROM pr WHERE more > 0 GROUP BY listener, slot, day),
+ c AS (SELECT slot, list_cosine_similarity(vector, own) AS same, list_cosine_similarity(vector, every) AS every FROM l JOIN pv USING (listener, slot, day))
+SELECT slot, count(*) AS n, round(avg(same), 6) AS same, round(avg(every), 6) AS any_slot, round(avg(CASE WHEN same > every + 1e-12 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS wins FROM c GROUP BY slot"""
+_BODIES["sitting_slots"] = f""", g AS (SELECT *, coalesce(played_at - lag(played_at) OVER (PARTITION BY listener ORDER BY played_at, id) > 1800000, true) AS apart FROM listens),
+ n AS (SELECT *, sum(apart::INTEGER) OVER (PARTITION BY listener ORDER BY played_at, id ROWS UNBOUNDED PRECEDING) AS sitting FROM g),
+ s AS (SELECT listener, sitting, min(played_at) AS begun, count(*) FILTER (WHERE song_id IN (SELECT song_id FROM tracks)) AS heard FROM n GROUP BY listener, sitting)
+SELECT {_SLOT.format("begun")} AS slot, count(*) AS sittings, sum(heard)::BIGINT AS listens FROM s WHERE heard > 0 GROUP BY ALL"""
+_BODIES["pair_quantiles"] = """, d AS (
+  SELECT t.label::BIGINT AS grp, 1 - list_dot_product(t.vector, q.vector) AS eps, row_number() OVER (PARTITION BY t.label ORDER BY 1 - list_dot_product(t.vector, q.vector)) - 1 AS place, count(*) OVER (PARTITION BY t.label) AS m
+  FROM tracks t JOIN tracks q ON t.label = q.label AND t.song_id < q.song_id),
+ k AS (SELECT range::INTEGER AS step, 0.001::DOUBLE + 0.149::DOUBLE * range / 8 AS q FROM range(9))
+SELECT grp, step, round(eps, 6) AS eps FROM d JOIN k ON place = floor(q * (m - 1))"""
 _BODIES["presented_albums"] = """, m AS (SELECT song_id, display, min(song_id) OVER (PARTITION BY coalesce(display, '?')) AS cluster FROM acts),
  al AS (
   SELECT cluster, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, cluster) AS place, sha256(string_agg(song_id::VARCHAR, ',' ORDER BY song_id)) AS album_id

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import vectors as V
-from .operators import album_build, albums, audio, clustering, history, mix, sets, similarity, wave
+from .operators import album_build, albums, audio, clustering, history, mix, rhythm, sets, similarity, wave
 from .oracles import ORACLE_SQL, PRELUDE
 from .session import work_dir, written
 from .sources import cache, export
@@ -739,6 +739,38 @@ def playlist_reuse(spark, sf_dir):
     return mix.keeps_playlist(stored, S.songs(spark, sf_dir), "2024-01-31")
 
 
+# Whether the hour matters.
+
+
+@query
+def days_foretell(spark, sf_dir):
+    """How well other days foretell a listen: those of the same part of the day, and all."""
+    found = rhythm.left_out(_listens(spark, sf_dir), S.tracks(spark, sf_dir))
+    return found.select("slot", "n", r6("same").alias("same"), r6("any").alias("any_slot"), r6("wins").alias("wins"))
+
+
+@query
+def sitting_slots(spark, sf_dir):
+    """Sittings and listens of each part of the day."""
+    return rhythm.sittings(_listens(spark, sf_dir), S.tracks(spark, sf_dir)).groupBy("slot").agg(F.count(F.lit(1)).alias("sittings"), F.sum("n").alias("listens"))
+
+
+@query
+def slots_apart(spark, sf_dir):
+    """Whether day and evening sound apart, against random deals of whole sittings."""
+    rows = rhythm.sittings(_listens(spark, sf_dir), S.tracks(spark, sf_dir))
+    return rhythm.permuted(rows, "day", "evening").select("sittings", r6("distance").alias("distance"), "as_far", "rounds", "p")
+
+
+@query
+def pair_quantiles(spark, sf_dir):
+    """Order statistics of the distances of all pairs of each label's tracks."""
+    t = S.tracks(spark, sf_dir).where(F.col("label").isNotNull()).select(F.col("label").cast("long").alias("grp"), F.col("song_id"), "vector")
+    points = clustering.in_places(t, "grp", "song_id").withColumnRenamed("place", "node")
+    sizes = points.groupBy("grp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
+    return clustering.distance_quantiles(points, sizes, n=9).select("grp", "step", r6("eps").alias("eps"))
+
+
 # The wave.
 
 
