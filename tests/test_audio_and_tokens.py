@@ -69,3 +69,57 @@ def test_word_pieces(tmp_path, spark):
     assert t.encode("drums and\tbass,") == [2, 4, 6, 5, 7, 8, 3]
     assert t.encode("  ") == [2, 3] and t.encode("xyz 你") == [2, 1, 9, 3]
     assert t.encode("a" * 101) == [2, 1, 3] and len(t.encode("drum " * 99, 12)) == 12
+
+
+def test_texts_are_routed_and_failures_are_null(spark):
+    from tonequarry.operators import encode as E
+
+    def counts(letter, fails=()):
+        def load():
+            def predict(batch):
+                if any(t in fails for t in batch):
+                    raise RuntimeError("model")
+                return [[float(t.count(letter)), 3.0] for t in batch]
+
+            return predict
+
+        return load
+
+    rows = spark.createDataFrame([(1, "aaaa"), (2, "дом"), (3, None), (4, "bad"), (5, "ж aaaa"), (6, ""), (7, "nan")], "id long, text string").repartition(2)
+    got = {r["id"]: r["vector"] for r in E.text_vectors(rows, counts("a", ("bad",)), counts("ж"), 2).collect()}
+    assert np.allclose(got[1], [0.8, 0.6]) and np.allclose(got[2], [0, 1]) and got[3] is None and got[4] is None
+    assert np.allclose(got[5], np.array([1, 3]) / np.sqrt(10)) and np.allclose(got[6], [0, 1]) and np.allclose(got[7], np.array([1, 3]) / np.sqrt(10))
+    # An encoder that is not there, or cannot be loaded.
+    def broken():
+        raise OSError("no weights")
+
+    got = {r["id"]: r["vector"] for r in E.text_vectors(rows, broken, None, 2).collect()}
+    assert len(got) == 7 and not any(got.values())
+    odd = E.guarded(lambda: lambda b: np.array([[1.0, np.inf]] * len(b)), 2)()
+    assert np.isnan(odd(np.array(["a", "b"]))).all()
+    assert E.text_vectors(rows.limit(0), counts("a"), None, 2).count() == 0
+
+
+def test_sounds_in_batches(spark, tmp_path):
+    from tonequarry.operators import encode as E
+
+    def load():
+        def predict(batch):
+            assert batch.shape[1:] == (1, 1001, 64)
+            if (batch.max(axis=(1, 2, 3)) < -99).any():
+                raise ValueError("silence")
+            return np.stack([batch.mean(axis=(1, 2, 3)), np.ones(len(batch))], axis=1)
+
+        return predict
+
+    for name, level in (("loud", 9000), ("soft", 50), ("silent", 0)):
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as f:
+            f.setnchannels(1)
+            f.setsampwidth(2)
+            f.setframerate(48_000)
+            f.writeframes((level * np.sin(np.arange(48_000) / 20)).astype("<i2").tobytes())
+    (tmp_path / "broken.wav").write_bytes(b"RIFF")
+    got = {r["path"].rsplit("/")[-1]: r["vector"] for r in E.sound_vectors(A.wav_files(spark, str(tmp_path)), load, 2).collect()}
+    assert got["broken.wav"] == got["silent.wav"] == [0.0, 0.0]
+    want = A.log_mel(A.excerpt((tmp_path / "loud.wav").read_bytes())).mean()
+    assert np.allclose(got["loud.wav"], np.array([want, 1]) / np.hypot(want, 1), atol=1e-5) and got["soft.wav"] != got["loud.wav"]

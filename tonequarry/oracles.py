@@ -288,6 +288,11 @@ _SWEPT = """, radii(step, eps) AS (VALUES (0, 0.55::DOUBLE), (1, 0.6::DOUBLE), (
 _BODIES["density_sweep"] = _SWEPT + "SELECT step, song_id, cluster FROM swept"
 _BODIES["sweep_coverage"] = _SWEPT + """SELECT step, coalesce(sum(n) FILTER (WHERE n BETWEEN 3 AND 60), 0)::BIGINT AS covered, max(n) AS largest
 FROM (SELECT step, cluster, count(*) AS n FROM swept GROUP BY step, cluster) GROUP BY step"""
+_BODIES["routed_texts"] = """, tx AS (SELECT song_id, lower(CASE WHEN song_id % 7 = 0 THEN title || ' ё' WHEN song_id % 7 <> 1 THEN title END) AS t FROM songs),
+ raw2 AS (SELECT song_id, t IS NULL OR contains(t, 'x') AS lost, CASE WHEN song_id % 7 = 0 THEN [length(o), length(o) - length(replace(o, ' ', '')), 1]::DOUBLE[]
+   ELSE [length(o) - length(replace(o, 'a', '')), length(o) - length(replace(o, 'e', '')), length(o) - length(replace(o, 'o', ''))]::DOUBLE[] END AS v FROM (SELECT *, coalesce(t, '') AS o FROM tx)),
+ un AS (SELECT song_id, lost, v, sqrt(list_dot_product(v, v)) AS n FROM raw2)
+SELECT song_id, round((CASE WHEN lost THEN NULL WHEN n > 0 THEN v[1] / n ELSE v[1] END)::FLOAT::DOUBLE, 5) AS v0, round((CASE WHEN lost THEN NULL WHEN n > 0 THEN v[2] / n ELSE v[2] END)::FLOAT::DOUBLE, 5) AS v1, round((CASE WHEN lost THEN NULL WHEN n > 0 THEN v[3] / n ELSE v[3] END)::FLOAT::DOUBLE, 5) AS v2 FROM un"""
 _SLOT = "CASE WHEN hour(epoch_ms({0})) < 5 THEN 'night' WHEN hour(epoch_ms({0})) < 12 THEN 'morning' WHEN hour(epoch_ms({0})) < 18 THEN 'day' ELSE 'evening' END"
 _BODIES["days_foretell"] = f""", l AS (SELECT l.id, l.listener, {_SLOT.format("l.played_at")} AS slot, epoch_ms(l.played_at)::DATE AS day, t.vector FROM listens l JOIN tracks t USING (song_id)),
  fl AS (SELECT listener, slot, day, unnest(vector) AS x, unnest(range(len(vector))) AS pos FROM l),
