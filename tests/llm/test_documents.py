@@ -46,6 +46,20 @@ def test_fingerprints(spark, sf):
     assert fingerprint.fingerprints(docs(spark, [(None, "a b"), (3, "c")])).count() == 2
 
 
+def test_insertions_into_text_without_spaces_stay_local():
+    rng = np.random.default_rng(2)
+    like = lambda a, b: len(x & y) / len(x | y) if (x := set(fingerprint.digests(a).tolist())) | (y := set(fingerprint.digests(b).tolist())) else 1.0
+    chinese = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 2000)))
+    coded = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 3000))
+    latin = " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400))
+    for text, more in ((chinese, "字"), (coded, "Q"), (latin, "x"), ("ab" * 5000, "ab"), ("z" * 3000, "z")):
+        for at in (0, len(text) // 2, len(text)):
+            assert like(text, text[:at] + more + text[at:]) >= 0.8, (text[:9], at)
+    assert like(chinese, chinese[::-1]) < 0.1 and like(coded, coded[::-1]) < 0.1
+    word = coded[:200].encode()
+    assert b"".join(fingerprint._cut(word)) == word and all(fingerprint._cut(word)) and max(map(len, fingerprint._cut(b"y" * 1000))) <= fingerprint.MOST
+
+
 def test_peeling_recovers_and_retries():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(1, 2**63, n).astype(np.uint64)) for n in (0, 1, 12, 600)]

@@ -26,8 +26,8 @@ from .common import chunks, in_arrow
 PARTS = 3
 #: Cells to a part of the table that is published.
 CELLS = 8
-#: Words of more bytes than this are cut to pieces of as many.
-LONG = 32
+#: Words of more bytes than this are cut where their content says so, and every MOST bytes where it never does.
+LONG, MOST = 32, 256
 _U = np.uint64
 
 
@@ -37,10 +37,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _cut(word: bytes) -> list[bytes]:
+    """A long word in pieces of eight bytes on average, each ending where a hash of its last four bytes says so: an insertion moves no cut but those beside it.
+
+    Text of one repeated pattern has cuts nowhere or everywhere, so pieces without one are cut at a fixed length.
+    """
+    b = np.frombuffer(word, dtype=np.uint8).astype(np.uint64)
+    window = b.copy()
+    for k in (1, 2, 3):
+        window[k:] |= b[:-k] << _U(8 * k)
+    ends = [*(np.flatnonzero((_mixed(window + _U(0x9E3779B97F4A7C15)) & _U(7)) == 0) + 1).tolist(), len(word)]
+    pieces, start = [], 0
+    for end in ends:
+        pieces += [word[k : min(end, k + MOST)] for k in range(start, end, MOST)]
+        start = end
+    return pieces
+
+
 def digests(text: str) -> np.ndarray:
     """The ascending distinct 64-bit digests of a text's paragraphs: each word of a line with the word before it, whatever the text's length.
 
-    The first word of a line has none before it. A pair that comes again has another digest each time, so
+    The first word of a line has none before it. Words of more than LONG bytes, as text without white space is, are cut by their content. A pair that comes again has another digest each time, so
     repetitions count.
     """
     hashed = xxhash.xxh3_64_intdigest
@@ -48,7 +65,7 @@ def digests(text: str) -> np.ndarray:
     for line in text.encode("utf-8", "replace").split(b"\n"):
         words = line.split()
         if len(line) > LONG and words and max(map(len, words)) > LONG:
-            words = [w[k : k + LONG] for w in words for k in range(0, len(w), LONG)]
+            words = [piece for w in words for piece in (_cut(w) if len(w) > LONG else (w,))]
         if words:
             firsts.append(len(found))
             found += map(hashed, words)
