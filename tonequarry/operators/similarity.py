@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -80,16 +79,40 @@ def top_k(pairs: DataFrame, k: int, query: str = "query_id") -> DataFrame:
 def neighbours(tracks: DataFrame, queries: DataFrame, k: int, most: int = 16_384) -> DataFrame:
     """(query_id, song_id, score, rank): k nearest of each query by product, itself left out, in blocks of matrix products.
 
-    queries (query_id, vector) is a stated set. Blocks of about most of them, dealt by a hash, are broadcast as a
-    matrix, one after the other, each for a pass over the tracks. Every task keeps its own best k of each
-    query, and those are merged.
+    queries (query_id, vector) is a stated set. Up to most of them are broadcast as one matrix, and tracks stay where they
+    are. More of them are dealt by a hash to blocks of about most, as tracks are, and each pair of blocks is a
+    task. Either way a task keeps its own best k of each query, and those are merged.
     """
-    blocks = max(1, -(-queries.count() // most))
-    if blocks == 1:
+    n = queries.count()
+    if n <= most:
         return _nearest(tracks, queries, k)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    parts = [written(_nearest(tracks, queries.where(block == b), k), "nearest") for b in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
+    blocks, others = -(-n // most), max(1, -(-tracks.count() // most))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.lit(True).alias("asks"), F.col("query_id").alias("id"), "vector", deal("query_id", blocks).alias("i"), every(others).alias("j"))
+    held = tracks.select(F.lit(False).alias("asks"), F.col("song_id").alias("id"), "vector", every(blocks).alias("i"), deal("song_id", others).alias("j"))
+
+    def run(table: pa.Table) -> pa.Table:
+        asks, ids = table["asks"].to_numpy(), table["id"].to_numpy()
+        x = np.stack(table["vector"].to_numpy(zero_copy_only=False)).astype(np.float64)
+        parts = [*_best(ids[asks], x[asks], ids[~asks], x[~asks], k)] if asks.any() and not asks.all() else []
+        return pa.Table.from_batches(parts, pa.schema([("query_id", pa.int64()), ("song_id", pa.int64()), ("score", pa.float64())]))
+
+    return top_k(asked.unionByName(held).groupBy("i", "j").applyInArrow(run, NEAREST), k)
+
+
+NEAREST = "query_id bigint, song_id bigint, score double"
+
+
+def _best(ids: np.ndarray, matrix: np.ndarray, own: np.ndarray, block: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The best k of a block's tracks for each query; of those that tie at the k-th place all, as the merge goes by id."""
+    for at in range(0, len(ids), 1024):
+        score = matrix[at : at + 1024] @ block.T
+        score[ids[at : at + 1024, None] == own[None, :]] = -np.inf
+        n = min(k, score.shape[1])
+        least = np.partition(score, -n, axis=1)[:, -n][:, None]
+        q, s = np.nonzero((score >= least) & np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at + q]), pa.array(own[s]), pa.array(score[q, s])], ["query_id", "song_id", "score"])
 
 
 def _nearest(tracks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -101,20 +124,10 @@ def _nearest(tracks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            own = np.asarray(batch.column(0))
-            block = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            for at in range(0, len(ids), 1024):
-                score = matrix[at : at + 1024] @ block.T
-                score[ids[at : at + 1024, None] == own[None, :]] = -np.inf
-                n = min(k, score.shape[1])
-                # Ties at the k-th place go to the smaller id, so all that tie stay until the merge.
-                least = np.partition(score, -n, axis=1)[:, -n][:, None]
-                q, s = np.nonzero((score >= least) & np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + q]), pa.array(own[s]), pa.array(score[q, s])], ["query_id", "song_id", "score"])
-
-    return top_k(tracks.select("song_id", "vector").mapInArrow(run, "query_id bigint, song_id bigint, score double"), k)
+            if batch.num_rows and len(ids):
+                yield from _best(ids, matrix, np.asarray(batch.column(0)), np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1), k)
+
+    return top_k(tracks.select("song_id", "vector").mapInArrow(run, NEAREST), k)
 
 
 def close_pairs(tracks: DataFrame, most: float, rows_per_block: int = 2048, rows: int | None = None) -> DataFrame:
