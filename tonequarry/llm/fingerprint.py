@@ -256,7 +256,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows go in ascending id, null first, rows of one id in the order of their texts, and the last is
     followed by the first. Null text is empty. Empty sets are alike to each other and unlike all others.
     A document is compared with its edited text and with the next one. Texts are shuffled once, to ranges
-    of ids; each range also gets a copy of the first row after it.
+    of ids; each range also gets a copy of the first row after it. Ids are integers. Texts of any length are
+    taken whole, one at a time. Columns that are not named play no part. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()

@@ -48,7 +48,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     points or more that min_docs documents or more hold lose their lines everywhere but in the largest
     id. Null or empty text is one empty line. Rows with equal ids count as one document, each row
     keeping or losing its own lines at the positions either row lost, so give unique ids; rows with a
-    null id lose nothing and count for nothing. An empty table gives an empty one. Other columns pass.
+    null id lose nothing and count for nothing. An empty table gives an empty one. Texts of any length are
+    split whole, in one row. Other columns pass, but names that begin with two underscores belong to the operator.
     """
     known = docs.where(F.col(id_col).isNotNull())
     gone = shared_lines(known, min_docs, min_chars, id_col, text_col, written).withColumnRenamed("__id", "__gone_id").withColumnRenamed("gone", "__gone")

@@ -325,6 +325,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     of its words and end under add-one unigram counts, with one more word for the unseen. Null text is
     empty. Repeated rows are texts of their own in learning, and each gets its scores. Counts of the
     frequent words, at most that number whatever the corpus, are broadcast; those of all others are joined.
+    Texts of any length are scored whole, in blocks. An empty table gives an empty one.
     """
     held = remainder(folds, id_col) == fold
     training = docs.where(~held)

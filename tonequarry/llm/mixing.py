@@ -133,7 +133,10 @@ def reads(passes: int = 2) -> Column:
 
 
 def mix(rows: DataFrame, id_col: str = "doc_id", **targets) -> DataFrame:
-    """rows of sized() with __size, __source_size, __target and __reads, range-sorted by the first position; rows never read come last."""
+    """rows of sized() with __size, __source_size, __target and __reads, range-sorted by the first position; rows never read come last.
+
+    Null texts have no words; null sources are a source, the last. Repeated rows are rows each. An empty table gives an empty one.
+    """
     placed = with_places(rows, id_col, **targets).withColumn("__reads", reads())
     return placed.orderBy(F.get("__reads", F.lit(0))["position"].asc_nulls_last(), id_col).drop("__before", "__rank", "__even", "__odd")
 

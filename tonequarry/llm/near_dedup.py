@@ -182,7 +182,9 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     Documents are linked if their sets of shingles share at least percent of their union; component_id is
     the smallest id reachable by links, and the document with that id is kept. Texts without words, null
     included, are linked with nothing. Ids should be unique; rows that repeat one get the component of the
-    id, and a row with a null id is a component of its own with a null component_id, and kept.
+    id, and a row with a null id is a component of its own with a null component_id, and kept. Ids are
+    integers. Texts of any length are taken whole, and an empty table gives an empty one. Columns whose names
+    begin with two underscores belong to the operator.
 
     1. Documents of equal sets are a class, represented by its smallest id; only representatives go on.
     2. Representatives meet in the buckets of 32 bands. A bucket with many members does not emit its
