@@ -65,3 +65,18 @@ def test_trim_and_uniform(spark):
 def test_sizes(spark):
     df = spark.createDataFrame([(2048,), (5 << 20,), (3 << 30,)], "b long")
     assert [r[0] for r in df.select(X.size_text(F.col("b"))).collect()] == ["2.0 KB", "5.0 MB", "3.0 GB"]
+
+
+def test_local_work_folders_are_refused_on_clusters():
+    from types import SimpleNamespace
+
+    from tonequarry.session import work_dir
+
+    def at(master, **conf):
+        keys = {"spark.sql.warehouse.dir": "file:/w", **{k.replace("_", "."): v for k, v in conf.items()}}
+        return work_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, *d: keys.get(k, *d)), sparkContext=SimpleNamespace(master=master, applicationId="a")))
+
+    assert at("local[8]") == "file:/w/_work/tonequarry-a" and at("local-cluster[2,1,900]").startswith("file:")
+    assert at("yarn", spark_checkpoint_dir="hdfs://n/c/") == "hdfs://n/c/tonequarry-a"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        at("spark://m:7077")

@@ -34,11 +34,20 @@ def workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
 
 
+def on_one_machine(master: str) -> bool:
+    return master.split("[")[0] in ("local", "local-cluster")
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one below the warehouse where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one below the warehouse where it is unset.
+
+    On a cluster a warehouse in a local folder is each machine's own, so it is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+        if not on_one_machine(spark.sparkContext.master) and (found.startswith("file:") or ":/" not in found):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the cluster shares; {found} is each machine's own")
     return f"{found.rstrip('/')}/tonequarry-{spark.sparkContext.applicationId}"
 
 
