@@ -2,6 +2,7 @@ import io
 import wave
 
 import numpy as np
+import pytest
 
 from tonequarry.operators import audio as A
 from tonequarry.operators import tokenize as K
@@ -123,3 +124,30 @@ def test_sounds_in_batches(spark, tmp_path):
     assert got["broken.wav"] == got["silent.wav"] == [0.0, 0.0]
     want = A.log_mel(A.excerpt((tmp_path / "loud.wav").read_bytes())).mean()
     assert np.allclose(got["loud.wav"], np.array([want, 1]) / np.hypot(want, 1), atol=1e-5) and got["soft.wav"] != got["loud.wav"]
+
+
+def test_versions(spark, tmp_path):
+    from tonequarry.sources import versions as Ve
+
+    old = spark.createDataFrame([(1, "[1.0, 2.0]"), (2, "oops"), (3, None)], "songId long, vector string")
+    bare = A.encoded(spark.createDataFrame([(4, [3.0])], "songId long, vector array<float>"))
+    events = spark.createDataFrame([(1, 4, 9, 5, 7), (2, 4, 3, 5, 7)], "id long, songId long, playedAt long, playedMs long, durationMs long").coalesce(1)
+    old.write.parquet(str(tmp_path / "a/embeddings"))  # footers that say nothing
+    bare.write.parquet(str(tmp_path / "b/embeddings"))
+    Ve.written_as({"embeddings": old}, str(tmp_path / "c"), 1)
+    for version, name in ((3, "d"), (4, "e")):
+        Ve.written_as({"embeddings": bare, "play_events": events}, str(tmp_path / name), version)
+    assert [Ve.version_of(spark.read.parquet(str(tmp_path / x / "embeddings"))) for x in "abcde"] == [1, 2, 1, 3, 4]
+    for name, vectors, listens in (("a", [(1, [1.0, 2.0])], []), ("b", [(4, [3.0])], []), ("c", [(1, [1.0, 2.0])], []), ("d", [(4, [3.0])], [3, 9]), ("e", [(4, [3.0])], [3, 9])):
+        read = Ve.migrated(spark, str(tmp_path / name))
+        assert [(f.name, f.dataType.simpleString()) for f in read["embeddings"].schema] == [(f.name, f.dataType.simpleString()) for f in S.EMBEDDINGS]
+        assert read["play_events"].columns == S.PLAY_EVENTS.names
+        assert [tuple(r) for r in read["embeddings"].collect()] == vectors and [r["played_at"] for r in read["play_events"].collect()] == listens
+    Ve.written_as({"embeddings": bare}, str(tmp_path / "f"), 5)
+    with pytest.raises(ValueError, match="version 5"):
+        Ve.migrated(spark, str(tmp_path / "f"))
+    name = f"music_{tmp_path.name}".replace("-", "_")
+    Ve.create_tables(spark, name)
+    Ve.create_tables(spark, name)
+    assert spark.table(f"{name}.play_events").columns == S.PLAY_EVENTS.names and spark.table(f"{name}.embeddings").count() == 0
+    spark.sql(f"DROP DATABASE {name} CASCADE")

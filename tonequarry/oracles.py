@@ -288,6 +288,8 @@ _SWEPT = """, radii(step, eps) AS (VALUES (0, 0.55::DOUBLE), (1, 0.6::DOUBLE), (
 _BODIES["density_sweep"] = _SWEPT + "SELECT step, song_id, cluster FROM swept"
 _BODIES["sweep_coverage"] = _SWEPT + """SELECT step, coalesce(sum(n) FILTER (WHERE n BETWEEN 3 AND 60), 0)::BIGINT AS covered, max(n) AS largest
 FROM (SELECT step, cluster, count(*) AS n FROM swept GROUP BY step, cluster) GROUP BY step"""
+_BODIES["migrated_vectors"] = """SELECT song_id, (song_id % 4 + 1)::INTEGER AS version, len(vector)::INTEGER AS dims, round(list_sum(vector), 6) AS total,
+       CASE WHEN song_id % 4 >= 2 THEN (SELECT count(*) FROM plays) ELSE 0 END AS listens FROM tracks"""
 _BODIES["routed_texts"] = """, tx AS (SELECT song_id, lower(CASE WHEN song_id % 7 = 0 THEN title || ' ё' WHEN song_id % 7 <> 1 THEN title END) AS t FROM songs),
  raw2 AS (SELECT song_id, t IS NULL OR contains(t, 'x') AS lost, CASE WHEN song_id % 7 = 0 THEN [length(o), length(o) - length(replace(o, ' ', '')), 1]::DOUBLE[]
    ELSE [length(o) - length(replace(o, 'a', '')), length(o) - length(replace(o, 'e', '')), length(o) - length(replace(o, 'o', ''))]::DOUBLE[] END AS v FROM (SELECT *, coalesce(t, '') AS o FROM tx)),

@@ -13,7 +13,7 @@ from .functions import vectors as V
 from .operators import album_build, albums, audio, clustering, encode, history, mix, rhythm, sets, similarity, wave
 from .oracles import ORACLE_SQL, PRELUDE
 from .session import work_dir, written
-from .sources import cache, export
+from .sources import cache, export, versions
 from .sources import tables as S
 from .streaming import listens as streamed
 from .streaming import player, scan
@@ -151,6 +151,23 @@ def binary_vectors(spark, sf_dir):
     return back.select("song_id", F.size("vector").alias("dims"), r6(V.total(V.doubles(F.col("vector")))).alias("total"))
 
 
+@query
+def migrated_vectors(spark, sf_dir):
+    """Vectors that were stored by four versions of the schema, read as one table."""
+    base = f"{work_dir(spark)}/versions-{uuid.uuid4().hex}"
+    t = S.tracks(spark, sf_dir).select(F.col("song_id").alias("songId"), "vector")
+    events = S.play_events(spark, sf_dir).select("id", F.col("song_id").alias("songId"), F.col("played_at").alias("playedAt"), F.col("played_ms").alias("playedMs"), F.col("duration_ms").alias("durationMs"))
+    found = []
+    for version in range(1, versions.CURRENT + 1):
+        own = t.where(F.col("songId") % versions.CURRENT == version - 1)
+        tables = {"embeddings": own.withColumn("vector", F.to_json("vector")) if version == 1 else audio.encoded(own)}
+        versions.written_as(tables | ({"play_events": events} if version >= 3 else {}), f"{base}/{version}", version)
+        read = versions.migrated(spark, f"{base}/{version}")
+        n = read["play_events"].agg(F.count(F.lit(1)).alias("listens"))
+        found.append(read["embeddings"].crossJoin(F.broadcast(n)).select("song_id", F.lit(version).alias("version"), F.size("vector").alias("dims"), r6(V.total(V.doubles(F.col("vector")))).alias("total"), "listens"))
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 @query
 def current_analysis(spark, sf_dir):
     t = S.tracks(spark, sf_dir).withColumn("analysis_version", F.lit(1) + F.col("song_id") % 2)
