@@ -331,3 +331,42 @@ def test_a_library_too_large_is_refused(monkeypatch):
     monkeypatch.setattr(SW, "MOST_BYTES", 100)
     with pytest.raises(ValueError):
         SW.steered(None, library())
+
+
+STATES = "listener long, ts timestamp, song_id long, position_ms long, duration_ms long, playing boolean"
+
+
+def states():
+    at = lambda ms: dt.datetime(2024, 1, 1, 12, 0, 0) + dt.timedelta(milliseconds=ms)
+    return [
+        [(1, at(0), 10, 0, 3_000, True), (1, at(1_700), 10, 1_700, 3_000, False), (2, at(0), 20, 2_000, 2_600, True)],
+        [(1, at(5_000), 10, 1_700, 3_000, True), (1, at(6_000), 11, 0, None, True), (2, at(9_000), 21, None, 0, True)],
+        [(1, at(7_501), 11, 1_501, None, False), (2, at(9_400), 21, 400, 0, False), (3, at(0), 30, 0, 0, True)],
+    ]
+
+
+#: (listener, song, ms since noon, position): the end of a track and the next state end the samples, which never lie upon that state.
+SAMPLES = {
+    (1, 10, 500, 500), (1, 10, 1_000, 1_000), (1, 10, 1_500, 1_500), (2, 20, 500, 2_500), (1, 10, 5_500, 2_200),
+    (1, 11, 6_500, 500), (1, 11, 7_000, 1_000), (1, 11, 7_500, 1_500),
+}
+
+
+def samples_of(rows):
+    noon = dt.datetime(2024, 1, 1, 12, 0, 0)
+    return sorted((r["listener"], r["song_id"], round((r["ts"] - noon).total_seconds() * 1000), r["position_ms"]) for r in rows)
+
+
+def test_positions_are_sampled(spark):
+    got = P.sampled(spark.createDataFrame([r for b in states() for r in b], STATES)).collect()
+    assert samples_of(got) == sorted(SAMPLES) and {r["kind"] for r in got} == {"progress"}
+    assert P.sampled(spark.createDataFrame([], STATES)).count() == 0
+
+
+def test_positions_are_sampled_in_a_stream(spark, tmp_path):
+    L.use_rocksdb(spark)
+    late = [(1, dt.datetime(2024, 1, 1, 12, 0, 1), 10, 0, 0, True)]
+    found = P.sampled(files_in_turn(spark, str(tmp_path / "in"), STATES, [*states(), late]))
+    q = found.writeStream.format("memory").queryName("positions").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert samples_of(spark.table("positions").collect()) == sorted(SAMPLES)

@@ -106,6 +106,11 @@ def size_text(b: Column) -> Column:
     return F.when(b >= 1 << 30, written(1 << 30, "GB")).when(b >= 1 << 20, written(1 << 20, "MB")).otherwise(written(1 << 10, "KB"))
 
 
+def snapped(value: Column, steps: int, least: float, most: float) -> Column:
+    """A slider's value: the nearest of so many steps to one, within its bounds."""
+    return F.round(F.least(F.lit(most), F.greatest(F.lit(least), value)) * steps) / steps
+
+
 def hash_uniform(seed: Column | str | int, key: Column) -> Column:
     """A number strictly between 0 and 1 that depends on seed and key alone, the same in any engine with md5."""
     seed = seed if isinstance(seed, Column) else F.lit(str(seed))

@@ -79,6 +79,20 @@ def excerpt(data: bytes) -> np.ndarray | None:
         return None
 
 
+def resampled(rows: DataFrame, rate: int, channels: int = 1, pcm: str = "pcm", samples: str = "samples") -> DataFrame:
+    """rows with samples, one channel at RATE of the interleaved 16-bit pcm (array<smallint>), in its place. Null stays null, a part of a frame at the end is left out."""
+    others = [c for c in rows.columns if c != pcm]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(len(others)).to_pylist()
+            out = [None if x is None else mono(np.asarray(x, dtype="<i2"), channels, rate) for x in own]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float64()))], [*others, samples])
+
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in others)
+    return rows.select(*others, pcm).mapInArrow(run, f"{kinds}`{samples}` array<double>")
+
+
 def wav_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..session import written
 from ..sources.tables import DAY
 
 SIZE, ANCHORS, ANCHOR_FLOOR = 28, 4, 0.01
@@ -138,7 +139,7 @@ def daily_mix(tracks: DataFrame, weights: DataFrame, offered: DataFrame, favouri
     few = tracks.select("song_id").limit(size + 1).count() <= size
     if few:
         return tracks.select((F.row_number().over(Window.orderBy("song_id")) - 1).cast("long").alias("position"), "song_id")
-    pool = eligible(tracks, weights, offered, favourites, now, excluded)
+    pool = written(eligible(tracks, weights, offered, favourites, now, excluded), "pool")  # read for the anchors and for the shortlist
     rows = shortlist(pool, anchors(pool, seed)).withColumn("fresh", is_fresh(F.col("last_played"), now)).withColumn("one", F.lit(1))
     return sequenced(rows.select("one", "song_id", V.doubles(F.col("vector")).alias("vector"), "score", "grp", "duplicate_key", "fresh"), "one", size=size).select("position", "song_id")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 
@@ -123,3 +124,28 @@ def tokenized(texts: DataFrame, tokenizer: BytePairs | WordPieces, column: str =
 def vocabulary(spark: SparkSession, path: str) -> list[str]:
     """A vocabulary with a word to a line, by line number."""
     return spark.read.text(path, wholetext=True).first()[0].split("\n")
+
+
+def _whole(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def pair_vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
+    """The ids of a vocab.json: an object of a number to each token."""
+    return {token: int(k) for token, k in json.loads(_whole(spark, path)).items()}
+
+
+def merges(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a merges.txt, in the order of their rank; blank ones and the version are none."""
+    return [line for line in (x.strip() for x in _whole(spark, path).split("\n")) if line and not line.startswith("#version")]
+
+
+def byte_pairs(spark: SparkSession, vocab: str, ranks: str, **marks) -> BytePairs:
+    """The tokenizer of a vocab.json and a merges.txt, which the driver reads: a vocabulary is some megabytes whatever the corpus."""
+    return BytePairs(pair_vocabulary(spark, vocab), merges(spark, ranks), **marks)
+
+
+def word_pieces(spark: SparkSession, path: str) -> WordPieces:
+    """The tokenizer of a vocabulary with a word to a line; the empty end of the last line is no word."""
+    words = vocabulary(spark, path)
+    return WordPieces(words[:-1] if words[-1] == "" else words)

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -247,5 +249,56 @@ def decoded(data: bytes) -> tuple[State, str, int, str | None] | None:
         return None
 
 
-def resumes(mode: str, state: State, saved_at: int, playing: int, now: int, modes: frozenset[str] = frozenset({"similar", "description", "taste"})) -> bool:
+SESSION = "mode string, description string, saved_at bigint, direction array<double>, centre array<double>, avoid array<double>, played array<bigint>, recent array<string>, steps int, rejections int"
+MODES = ("similar", "description", "taste")
+
+
+def stored(sessions: DataFrame, *keys: str) -> DataFrame:
+    """(keys, session): sessions, with the columns of SESSION, as bytes. avoid and description may be null, recent holds groups."""
+    names = [c.split()[0] for c in SESSION.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = []
+            for r in pa.Table.from_batches([batch]).select(names).to_pylist():
+                vector = lambda v: None if v is None else np.asarray(v, dtype=float)
+                state = State(vector(r["direction"]), vector(r["centre"]), vector(r["avoid"]), frozenset(r["played"]), tuple(r["recent"]), r["steps"], r["rejections"])
+                raw.append(encoded(state, r["mode"], r["saved_at"], r["description"]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(raw, pa.binary())], [*keys, "session"])
+
+    kinds = "".join(f"`{c}` {sessions.schema[c].dataType.simpleString()}, " for c in keys)
+    return sessions.select(*keys, *names).mapInArrow(run, f"{kinds}session binary")
+
+
+def restored(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows' keys with the columns of SESSION of each row's bytes; null and damaged ones are left out."""
+    names = [c.split()[0] for c in SESSION.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, out = [], []
+            for k, data in enumerate(batch.column(len(keys)).to_pylist()):
+                found = None if data is None else decoded(data)
+                if found:
+                    state, mode, saved_at, description = found
+                    kept.append(k)
+                    out.append((mode, description, saved_at, state.direction.tolist(), state.centre.tolist(), None if state.avoid is None else state.avoid.tolist(), sorted(state.played), list(state.recent), state.steps, state.rejections))
+            own = [batch.column(k).take(pa.array(kept, pa.int32())) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(_ARROW))], [*keys, *names])
+
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keys)
+    return rows.select(*keys, "session").mapInArrow(run, f"{kinds}{SESSION}")
+
+
+_DOUBLES = pa.list_(pa.float64())
+_ARROW = (pa.string(), pa.string(), pa.int64(), _DOUBLES, _DOUBLES, _DOUBLES, pa.list_(pa.int64()), pa.list_(pa.string()), pa.int32(), pa.int32())
+
+
+def can_resume(playing: Column, now: Column | int) -> Column:
+    """resumes() of rows with the columns of SESSION."""
+    now = now if isinstance(now, Column) else F.lit(now)
+    return F.coalesce(F.col("mode").isin(*MODES) & F.array_contains("played", playing) & (now - F.col("saved_at") <= TTL_MS), F.lit(False))
+
+
+def resumes(mode: str, state: State, saved_at: int, playing: int, now: int, modes: frozenset[str] = frozenset(MODES)) -> bool:
     return mode in modes and playing in state.played and now - saved_at <= TTL_MS

@@ -371,9 +371,86 @@ _BODIES["daily_mix"] = """, anchored AS (SELECT p.song_id, max(list_dot_product(
   WHERE left_over)
 SELECT stop::BIGINT AS position, song_id FROM walk WHERE turn = (SELECT max(turn) FROM walk)"""
 
+_BODIES |= {
+    "albums_files": "SELECT 's0' AS signature, label, song_id FROM tracks WHERE label < 3 UNION ALL SELECT 's1', label, song_id FROM tracks",
+    "cleared_stores": """SELECT 'vectors' AS store, (SELECT count(*) FROM tracks) AS before, 0::BIGINT AS cleared, (SELECT count(*) FROM tracks WHERE song_id % 2 = 0) AS after, (SELECT count(*) FROM tracks WHERE song_id % 2 = 0) AS analysed
+UNION ALL SELECT 'listens', (SELECT count(*) FROM listens), 0, (SELECT count(*) FROM listens WHERE id % 3 = 0), NULL""",
+    "stored_sessions": """, l AS (SELECT listener, song_id AS last, played_at AS saved_at FROM listens QUALIFY row_number() OVER (PARTITION BY listener ORDER BY played_at DESC, id DESC) = 1),
+ p AS (SELECT l.listener, list_sort(list(DISTINCT s.song_id)) AS played FROM l JOIN listens s USING (listener) WHERE saved_at - s.played_at < 86400000 GROUP BY l.listener)
+SELECT listener, CASE listener % 4 WHEN 0 THEN 'similar' WHEN 1 THEN 'description' WHEN 2 THEN 'taste' ELSE 'radio' END AS mode, CASE WHEN listener % 4 = 1 THEN 'ночь ' || listener END AS description,
+ len(played)::INTEGER AS songs, len(played)::INTEGER AS steps, (listener % 3)::INTEGER AS rejections, 'a,б' AS recent, listener % 2 = 0 AS avoids, round(vector[1], 6) AS first, round(list_sum(list_transform(vector, lambda x: x * 0.5::DOUBLE)), 6) AS centre,
+ listener % 4 < 3 AND listener % 5 <> 0 AND 1706659200000 - 3600000 - saved_at <= 12 * 3600000::BIGINT AS resumes
+FROM l JOIN p USING (listener) JOIN tracks ON song_id = last WHERE listener % 7 <> 0 AND listener % 11 <> 0""",
+    "titles_in_pairs": """, one AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz0123456789', '')) AS c),
+ joined AS (SELECT a.c AS a, b.c AS b, row_number() OVER (ORDER BY (13 * unicode(a.c) + 29 * unicode(b.c)) % 101, a.c, b.c) AS r FROM (SELECT c FROM one UNION ALL SELECT 'Ġ') a, one b WHERE (7 * unicode(a.c) + 11 * unicode(b.c)) % 5 < 3),
+ tokens AS (
+  SELECT c AS t, row_number() OVER (ORDER BY o) + 3 AS id FROM (SELECT c, 4 + row_number() OVER () AS o FROM one UNION ALL SELECT * FROM (VALUES ('Ġ', 0), ('#', 1), ('B', 2), ('-', 3))) WHERE c NOT IN ('q', 'x', '7')
+  UNION ALL SELECT a || b, (SELECT 4 + count(*) + 4 - 3 FROM one) - 1 + row_number() OVER (ORDER BY r) FROM joined WHERE b <> 't'),
+ m AS (SELECT map(list(a || ' ' || b ORDER BY r), list(r ORDER BY r)) AS ranks, list(a ORDER BY r) AS lefts, list(b ORDER BY r) AS rights FROM joined),
+ v AS (SELECT map(list(t), list(id)) AS ids FROM tokens),
+ cut AS (SELECT song_id, regexp_extract_all(title, ' ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+') AS ws FROM songs),
+ merge(w, parts, turn) AS (
+  SELECT w, string_split(w, ''), 0 FROM (SELECT DISTINCT replace(unnest(ws), ' ', 'Ġ') AS w FROM cut)
+  UNION ALL
+  SELECT w, list_reduce(list_transform(parts, lambda p: [p]), lambda acc, x: CASE WHEN acc[-1] = lefts[best] AND x[1] = rights[best] THEN list_concat(acc[1:len(acc) - 1], [lefts[best] || rights[best]]) ELSE list_concat(acc, x) END), turn + 1
+  FROM (SELECT w, parts, turn, lefts, rights, list_min(list_transform(range(1, len(parts)), lambda i: map_extract(ranks, parts[i] || ' ' || parts[i + 1])[1])) AS best FROM merge, m) WHERE best IS NOT NULL),
+ done AS (SELECT w, list_transform(arg_max(parts, turn), lambda p: coalesce(map_extract(any_value(ids), p)[1], 3)) AS ids FROM merge, v GROUP BY w),
+ flat_words AS (SELECT song_id, replace(unnest(ws), ' ', 'Ġ') AS w, unnest(range(len(ws))) AS k FROM cut)
+SELECT song_id, array_to_string(list_concat([0], list_concat(flatten(list(ids ORDER BY k)), [2])), ',') AS ids FROM flat_words JOIN done USING (w) GROUP BY song_id""",
+    "titles_in_pieces": """, one AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz0123456789', '')) AS c, unnest(range(36)) AS o),
+ two AS (SELECT a.c || b.c AS t, row_number() OVER (ORDER BY a.o, b.o) AS o FROM one a, one b WHERE (5 * unicode(a.c) + 3 * unicode(b.c)) % 7 < 3),
+ vocab AS (SELECT t, row_number() OVER (ORDER BY part, o) + 2 AS id FROM (
+  SELECT c AS t, 0 AS part, o FROM one WHERE c NOT IN ('z', '9') UNION ALL SELECT '#', 1, 0 UNION ALL SELECT t, 2, o FROM two
+  UNION ALL SELECT '##' || c, 3, o FROM one WHERE c NOT IN ('g', 'k', '8') UNION ALL SELECT '##' || t, 4, o FROM two)),
+ v AS (SELECT map(list(t), list(id)) AS ids FROM vocab),
+ cut AS (SELECT song_id, regexp_extract_all(lower(title), '[a-z0-9]+|[^a-z0-9\\s]') AS ws FROM songs),
+ greedy(w, here, pieces) AS (
+  SELECT w, 0, []::BIGINT[] FROM (SELECT DISTINCT unnest(ws) AS w FROM cut)
+  UNION ALL
+  SELECT w, CASE WHEN two IS NOT NULL THEN here + 2 WHEN single IS NOT NULL THEN here + 1 ELSE length(w) + 1 END, CASE WHEN coalesce(two, single) IS NULL THEN [0] ELSE list_append(pieces, coalesce(two, single)) END
+  FROM (SELECT w, here, pieces, CASE WHEN here + 2 <= length(w) THEN map_extract(ids, (CASE WHEN here > 0 THEN '##' ELSE '' END) || substr(w, here + 1, 2))[1] END AS two,
+               map_extract(ids, (CASE WHEN here > 0 THEN '##' ELSE '' END) || substr(w, here + 1, 1))[1] AS single FROM greedy, v WHERE here < length(w))),
+ flat_words AS (SELECT song_id, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM cut)
+SELECT song_id, array_to_string(list_concat([1], list_concat(flatten(list(pieces ORDER BY k)), [2])), ',') AS ids FROM flat_words JOIN (SELECT * FROM greedy WHERE here >= length(w)) USING (w) GROUP BY song_id""",
+    "resampled_sounds": """, p AS (SELECT song_id, list_transform(range(1, len(vector) // 2 + 1), lambda i: (floor(vector[2 * i - 1] * 30000) + floor(vector[2 * i] * 30000)) / 2::DOUBLE / 32768::DOUBLE) AS x FROM tracks),
+ a AS (SELECT song_id, x, list_transform(range(floor(len(x) * 48000 / 44100)::BIGINT), lambda k: k * 44100 / 48000::DOUBLE) AS here FROM p),
+ s AS (SELECT song_id, list_transform(here, lambda t: x[floor(t)::BIGINT + 1] + (t - floor(t)) * (x[least(floor(t)::BIGINT + 2, len(x))] - x[floor(t)::BIGINT + 1])) AS y FROM a)
+SELECT song_id, len(y)::INTEGER AS n, round(list_sum(y), 6) AS total, round(y[18], 6) AS inner, round(y[-1], 6) AS last FROM s""",
+    "dominant_acts": """, b AS (SELECT *, folder || '/' || substr(coalesce(display, 'Brand#' || (song_id % 9 + 1)), 1, 7) AS cluster FROM acts),
+ n AS (SELECT cluster, display, count(*) AS n, min(song_id) AS f FROM b WHERE display IS NOT NULL GROUP BY ALL), z AS (SELECT cluster, count(*) AS size FROM b GROUP BY cluster),
+ r AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, f) = 1)
+SELECT cluster, display AS artist FROM r JOIN z USING (cluster) WHERE 2 * n >= size""",
+    "positions_sampled": """, st AS (
+  SELECT listener, played_at AS ts, song_id, CASE WHEN id % 3 = 0 THEN duration_ms // 2 ELSE 0 END AS position, CASE WHEN id % 4 > 0 THEN duration_ms ELSE 0 END AS len, true AS playing FROM plays
+  UNION ALL SELECT listener, played_at + played_ms, song_id, 0, duration_ms, false FROM plays),
+ sp AS (SELECT *, lead(ts) OVER (PARTITION BY listener ORDER BY ts, playing, song_id) - ts AS span FROM st),
+ n AS (SELECT *, greatest(0, least((span - 1) // 500, CASE WHEN len > 0 THEN (len - position) // 500 END)) AS n FROM sp WHERE playing AND span IS NOT NULL AND span > 0)
+SELECT listener, song_id, sum(n)::BIGINT AS samples, max(position + n * 500)::BIGINT AS furthest, max(ts + n * 500)::BIGINT AS last FROM n WHERE n > 0 GROUP BY listener, song_id""",
+    "readable_covers": """, k AS (SELECT song_id, (song_id * 2654435) % 16777216 AS rgb, least(song_id * 7 % 101, song_id * 13 % 101) / 100.0::DOUBLE AS dark, greatest(song_id * 7 % 101, song_id * 13 % 101) / 100.0::DOUBLE AS bright, (song_id % 5) / 4.0::DOUBLE AS alpha FROM tracks),
+ parts AS (SELECT song_id, unnest([0.2126::DOUBLE, 0.7152::DOUBLE, 0.0722::DOUBLE]) AS w, unnest([rgb // 65536, rgb // 256 % 256, rgb % 256]) / 255.0::DOUBLE AS g FROM k),
+ theme AS (SELECT song_id, sum(w * CASE WHEN g <= 0.03928 THEN g / 12.92::DOUBLE ELSE pow((g + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END) AS theme FROM parts GROUP BY song_id),
+ greys AS (SELECT k.*, theme, list_transform([theme, dark, bright], lambda l: CASE WHEN l <= 0.0031308 THEN l * 12.92::DOUBLE ELSE 1.055::DOUBLE * pow(l, 1 / 2.4::DOUBLE) - 0.055::DOUBLE END) AS g FROM k JOIN theme USING (song_id)),
+ tried AS (SELECT song_id, s / 100.0::DOUBLE AS s, list_transform([g[2], g[3]], lambda i: (g[1] * (1 - alpha) + i * alpha) * (1 - s / 100.0::DOUBLE) + g[1] * s / 100.0::DOUBLE) AS b FROM greys, (SELECT unnest(range(0, 88, 2)) AS s)),
+ lum AS (SELECT song_id, s, list_transform(b, lambda v: CASE WHEN v <= 0.03928 THEN v / 12.92::DOUBLE ELSE pow((v + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END) AS l FROM tried),
+ need AS (SELECT song_id, min(s) AS s FROM lum WHERE greatest((list_min(l) + 0.05::DOUBLE) / 0.05::DOUBLE, 1.05::DOUBLE / (list_max(l) + 0.05::DOUBLE)) >= 4.5 GROUP BY song_id)
+SELECT song_id, round(theme, 6) AS luminance, round(1.05::DOUBLE / (theme + 0.05::DOUBLE), 6) AS on_white, round(greatest((dark + 0.05::DOUBLE) / 0.05::DOUBLE, 1.05::DOUBLE / (bright + 0.05::DOUBLE)), 6) AS best,
+ round(CASE WHEN alpha <= 0 THEN 0.0::DOUBLE ELSE coalesce(s, 0.88::DOUBLE) END, 6) AS scrim FROM greys LEFT JOIN need USING (song_id)""",
+}
+#: Exact and coarse ranks of every hundredth track, and what becomes of its nearest.
+_FIDELITY = """, c AS (SELECT song_id, vector, list_transform(vector, lambda x: round(x * 8) / 8) AS coarse FROM tracks),
+ r AS (SELECT q.song_id AS query_id, t.song_id, row_number() OVER (PARTITION BY q.song_id ORDER BY list_dot_product(t.vector, q.vector) DESC, t.song_id) AS a,
+              row_number() OVER (PARTITION BY q.song_id ORDER BY list_dot_product(t.coarse, q.coarse) DESC, t.song_id) AS b FROM c t, c q WHERE q.song_id % 100 = 0 AND t.song_id <> q.song_id),
+ f AS (SELECT query_id, count(*) FILTER (WHERE a <= 1 AND b <= 1) AS shared_1, count(*) FILTER (WHERE a <= 5 AND b <= 5) AS shared_5, count(*) FILTER (WHERE a <= 10 AND b <= 10) AS shared_10, (min(b) FILTER (WHERE a = 1)) - 1 AS place FROM r GROUP BY query_id),
+ w AS (SELECT f.*, CASE WHEN list_dot_product(coarse, coarse) > 0 THEN list_cosine_similarity(vector, coarse) ELSE 0.0::DOUBLE END AS own FROM f JOIN c ON song_id = query_id)
+"""
+_BODIES |= {
+    "model_fidelity": _FIDELITY + "SELECT query_id, round(own, 6) AS own, shared_1, shared_5, shared_10, place FROM w",
+    "model_agreement": _FIDELITY + "SELECT round(min(own), 6) AS own_least, round(avg(own), 6) AS own_mean, round(avg(shared_1), 6) AS top_1, round(avg(shared_5) / 5, 6) AS top_5, round(avg(shared_10) / 10, 6) AS top_10, round(avg(place), 6) AS place_mean, max(place) AS place_worst FROM w",
+}
+
 
 def _whole(body: str) -> str:
-    prelude = PRELUDE.replace("WITH raw", "WITH RECURSIVE raw", 1) if " reach(" in body or " greedy(" in body else PRELUDE
+    prelude = PRELUDE.replace("WITH raw", "WITH RECURSIVE raw", 1) if any(f" {name}(" in body for name in ("reach", "greedy", "merge")) else PRELUDE
     return prelude.rstrip() + ("" if body.startswith(",") else "\n") + body
 
 

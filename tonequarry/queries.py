@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import colour as C
 from .functions import text as X
 from .functions import vectors as V
-from .operators import album_build, albums, audio, clustering, encode, history, mix, rhythm, sets, similarity, wave
+from .operators import album_build, albums, audio, clustering, encode, fidelity, history, mix, rhythm, sets, similarity, tokenize, wave
 from .oracles import ORACLE_SQL, PRELUDE
 from .session import work_dir, written
 from .sources import cache, export, versions
@@ -191,6 +194,104 @@ def albums_document(spark, sf_dir):
     return export.albums_from(doc.unionByName(stale), "s1")
 
 
+@query
+def albums_files(spark, sf_dir):
+    """The albums document as a file under its signature; one under another signature is another file, and one whose own signature is old counts as none."""
+    by = S.tracks(spark, sf_dir).groupBy("label").agg(F.array_sort(F.collect_list("song_id")).alias("songIds"))
+    store = f"{work_dir(spark)}/albums-{uuid.uuid4().hex}"
+    doc = lambda rows, sign: rows.agg(F.sort_array(F.collect_list(F.struct("label", "songIds"))).alias("albums")).select(F.to_json(F.struct(F.lit(sign).alias("signature"), F.lit(True).alias("named"), "albums")).alias("doc"))
+    kept = {"s0": doc(by.where("label < 3"), "s0"), "s1": doc(by, "s1"), "s2": doc(by, "old")}
+    for sign, rows in kept.items():
+        cache.stored(spark, store, sign, lambda rows=rows: rows)
+    found = [export.albums_from(cache.stored(spark, store, sign, lambda: by.limit(0)), sign).select(F.lit(sign).alias("signature"), "label", "song_id") for sign in kept]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def cleared_stores(spark, sf_dir):
+    """Vectors of an older analysis and listens, stored, counted, deleted, and stored anew in part: nothing of before comes back."""
+    base = f"{work_dir(spark)}/cleared-{uuid.uuid4().hex}"
+    t = S.tracks(spark, sf_dir).select("song_id", F.lit(S.ANALYSIS_VERSION).alias("version"))
+    old = t.withColumn("version", F.lit(S.ANALYSIS_VERSION - 1))
+    l = _listens(spark, sf_dir).select("id", "song_id", "played_at")
+    stores = {
+        "vectors": (scan.Store(f"{base}/vectors", "song_id bigint, version int", ["song_id"], ["version"]), old, t.where(F.col("song_id") % 2 == 0)),
+        "listens": (scan.Store(f"{base}/listens", "id bigint, song_id bigint, played_at bigint", ["id"], ["played_at", "song_id"]), l, l.where(F.col("id") % 3 == 0)),
+    }
+    rows = []
+    for name, (store, before, after) in stores.items():
+        store.put(before, "first", 0)
+        counts = [store.count(spark)]
+        store.clear(spark)
+        counts.append(store.count(spark))
+        store.put(after, "second", 0)
+        current = store.latest(spark)
+        rows.append((name, *counts, current.count(), S.current(current, column="version").count() if name == "vectors" else None))
+    return spark.createDataFrame(rows, "store string, before bigint, cleared bigint, after bigint, analysed bigint")
+
+
+@query
+def stored_sessions(spark, sf_dir):
+    """Each listener's wave as stored bytes, some damaged, read back: its mode, its songs and vectors, and whether it goes on with the track that plays."""
+    l = _listens(spark, sf_dir)
+    last = S.upserted(l, ["listener"], [F.desc("played_at"), F.desc("id")]).select("listener", F.col("song_id").alias("last"), F.col("played_at").alias("saved_at"))
+    # A day's songs, of one listener.
+    played = l.join(last, "listener").where(F.col("saved_at") - F.col("played_at") < S.DAY).groupBy("listener").agg(F.array_sort(F.collect_set("song_id")).alias("played"))
+    rows = last.join(played, "listener").join(S.tracks(spark, sf_dir).select(F.col("song_id").alias("last"), V.doubles(F.col("vector")).alias("direction")), "last")
+    k = F.col("listener")
+    mode = F.when(k % 4 == 0, "similar").when(k % 4 == 1, "description").when(k % 4 == 2, "taste").otherwise("radio")
+    sessions = rows.select(
+        "listener", "last", "played", "saved_at", "direction",
+        mode.alias("mode"), F.when(k % 4 == 1, F.concat(F.lit("ночь "), k.cast("string"))).alias("description"),
+        V.scaled(F.col("direction"), 0.5).alias("centre"), F.when(k % 2 == 0, F.col("direction")).alias("avoid"),
+        F.array(F.lit("a"), F.lit("б")).alias("recent"), F.size("played").alias("steps"), (k % 3).cast("int").alias("rejections"),
+    )
+    raw = wave.stored(sessions, "listener", "last")
+    damaged = F.when(k % 7 == 0, F.substring("session", 1, F.length("session") - 1)).when(k % 11 == 0, F.lit(None)).otherwise(F.col("session"))
+    found = wave.restored(raw.withColumn("session", damaged), "listener", "last")
+    playing = F.when(k % 5 == 0, F.lit(-1)).otherwise(F.col("last"))
+    return found.select("listener", "mode", "description", F.size("played").alias("songs"), "steps", "rejections", F.array_join("recent", ",").alias("recent"), F.col("avoid").isNotNull().alias("avoids"), r6(F.col("direction")[0]).alias("first"), r6(V.total(F.col("centre"))).alias("centre"), wave.can_resume(playing, S.NOW - 3_600_000).alias("resumes"))
+
+
+# Tokenizers, over vocabularies that follow from a rule, so that SQL can state them, by way of their files.
+
+
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@query
+def titles_in_pairs(spark, sf_dir):
+    """Titles as ids of a byte-level BPE that joins some pairs of letters; some letters and pairs have no id."""
+    base = f"{work_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    joined = [(a, b) for a in ["Ġ", *_ALPHABET] for b in _ALPHABET if (7 * ord(a) + 11 * ord(b)) % 5 < 3]
+    joined.sort(key=lambda p: ((13 * ord(p[0]) + 29 * ord(p[1])) % 101, p))
+    tokens = ["<s>", "<pad>", "</s>", "<unk>", *[c for c in ["Ġ", "#", "B", "-", *_ALPHABET] if c not in "qx7"], *[a + b for a, b in joined if b != "t"]]
+    spark.createDataFrame([(json.dumps({t: k for k, t in enumerate(tokens)}),)], "value string").coalesce(1).write.text(f"{base}/vocab")
+    spark.createDataFrame([("\n".join(["#version: 0.2", "", *(f"{a} {b}" for a, b in joined)]),)], "value string").coalesce(1).write.text(f"{base}/merges")
+    found = tokenize.tokenized(S.songs(spark, sf_dir).select("song_id", "title"), tokenize.byte_pairs(spark, f"{base}/vocab", f"{base}/merges"), "title")
+    return found.select("song_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query
+def titles_in_pieces(spark, sf_dir):
+    """Titles, lower-cased, as ids of word pieces of one letter or two; words that do not come out are unknown."""
+    path = f"{work_dir(spark)}/pieces-{uuid.uuid4().hex}"
+    ones = [c for c in _ALPHABET if c not in "z9"] + ["#"]
+    twos = [a + b for a in _ALPHABET for b in _ALPHABET if (5 * ord(a) + 3 * ord(b)) % 7 < 3]
+    words = ["[UNK]", "[CLS]", "[SEP]", *ones, *twos, *(f"##{c}" for c in _ALPHABET if c not in "gk8"), *(f"##{t}" for t in twos)]
+    spark.createDataFrame([("\n".join(words),)], "value string").coalesce(1).write.text(path)
+    found = tokenize.tokenized(S.songs(spark, sf_dir).select("song_id", F.lower("title").alias("title")), tokenize.word_pieces(spark, path), "title")
+    return found.select("song_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query
+def resampled_sounds(spark, sf_dir):
+    """Vectors taken for stereo sounds of 44.1 kHz, as one channel of 48 kHz."""
+    pcm = F.transform(V.doubles(F.col("vector")), lambda x: F.floor(x * 30_000).cast("smallint")).alias("pcm")
+    found = audio.resampled(S.tracks(spark, sf_dir).select("song_id", pcm), 44_100, 2)
+    return found.select("song_id", F.size("samples").alias("n"), r6(V.total(F.col("samples"))).alias("total"), r6(F.get("samples", F.lit(17))).alias("inner"), r6(F.element_at("samples", -1)).alias("last"))
+
+
 @query
 def tsv_round_trip(spark, sf_dir):
     lines = export.library_lines(S.songs(spark, sf_dir), S.tracks(spark, sf_dir))
@@ -320,14 +421,14 @@ def cyrillic_routing(spark, sf_dir):
 
 @query
 def slider_snap(spark, sf_dir):
-    x = F.least(F.lit(1.5), F.greatest(F.lit(0.5), F.col("song_id") / F.lit(300.0)))
-    return S.tracks(spark, sf_dir).select("song_id", r6(F.round(x * 20) / 20).alias("snapped"))
+    return S.tracks(spark, sf_dir).select("song_id", r6(X.snapped(F.col("song_id") / F.lit(300.0), 20, clustering.LEAST_SCALE, clustering.MOST_SCALE)).alias("snapped"))
 
 
 @query
 def size_gates(spark, sf_dir):
-    n = S.tracks(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    return n.select((F.col("n") >= albums.MIN_SONGS).alias("albums"), (F.col("n") >= mix.MIN_LIBRARY).alias("mix"), (F.col("n") >= wave.MIN_LIBRARY).alias("wave"), F.greatest(F.lit(4), F.least(F.lit(12), F.bround(F.log(F.greatest("n", F.lit(1)))))).cast("int").alias("min_points"), F.least(F.lit(60), F.greatest(F.lit(20), F.floor(F.col("n") * F.lit(0.15)))).cast("int").alias("cap"))
+    n = S.tracks(spark, sf_dir).count()
+    row = (n >= albums.MIN_SONGS, n >= mix.MIN_LIBRARY, n >= wave.MIN_LIBRARY, clustering.min_points(n), clustering.album_cap(n))
+    return spark.createDataFrame([row], "albums boolean, mix boolean, wave boolean, min_points int, cap int")
 
 
 @query
@@ -533,6 +634,14 @@ def dominant_artists(spark, sf_dir):
     return albums.dominant_artist(m)
 
 
+@query
+def dominant_acts(spark, sf_dir):
+    """Artists of half of what a folder has under one of their first letters, some with such an artist and some without."""
+    m = _songs_acts(spark, sf_dir)
+    letters = F.substring(F.coalesce("display", F.concat(F.lit("Brand#"), (F.col("song_id") % 9 + 1).cast("string"))), 1, 7)
+    return albums.dominant_artist(m.select(F.concat_ws("/", "folder", letters).alias("cluster"), F.col("display").alias("artist"), F.col("song_id").alias("place")))
+
+
 @query
 def leading_artists(spark, sf_dir):
     m = _songs_acts(spark, sf_dir).select((F.col("song_id") % 6).alias("cluster"), F.col("display").alias("artist"), F.col("song_id").alias("place"))
@@ -599,9 +708,8 @@ def last_groups(spark, sf_dir):
 def variance_cut(spark, sf_dir):
     """The fewest leading shares that reach 60 %, within 4 to 12."""
     s = S.tracks(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("n"), "label")
-    run = s.select(F.row_number().over(w).alias("k"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.sum("n").over(Window.partitionBy()).alias("t"))
-    return run.agg(F.greatest(F.lit(4), F.least(F.lit(12), F.coalesce(F.min(F.when(F.col("s") >= 0.6 * F.col("t"), F.col("k"))), F.max("k")))).alias("k"))
+    shares = [float(r["n"]) for r in s.orderBy(F.desc("n"), "label").limit(clustering.MOST_DIMENSIONS).collect()]
+    return spark.createDataFrame([(clustering.dimensions(shares, float(s.agg(F.sum("n")).first()[0])),)], "k int")
 
 
 @query
@@ -673,9 +781,9 @@ def remembered_union(spark, sf_dir):
 @query
 def favourites_heard(spark, sf_dir):
     """How many of the favourites each listener has heard: the size of an intersection."""
-    fav = S.favourites(spark, sf_dir).agg(F.collect_set("song_id").alias("f"))
-    heard = _listens(spark, sf_dir).groupBy("listener").agg(F.collect_set("song_id").alias("s"))
-    return heard.crossJoin(F.broadcast(fav)).select("listener", F.size(F.array_intersect("s", "f")).alias("shared"))
+    heard = _listens(spark, sf_dir).select("listener", "song_id").distinct()
+    fav = S.favourites(spark, sf_dir).select("song_id", F.lit(1).alias("one"))
+    return heard.join(fav, "song_id", "left").groupBy("listener").agg(F.count("one").cast("int").alias("shared"))
 
 
 @query
@@ -860,12 +968,11 @@ def wave_draw(spark, sf_dir):
 @query
 def wave_reaction(spark, sf_dir):
     """The direction after a finished track and a skip."""
-    t = S.tracks(spark, sf_dir)
-    pick = lambda k, name: t.where(F.col("song_id") == k).select(F.col("vector").alias(name))
-    s = _wave_state(spark, sf_dir).crossJoin(F.broadcast(pick(5, "liked"))).crossJoin(F.broadcast(pick(6, "skipped")))
-    s = s.withColumn("direction", V.normalized(V.plus_times(F.col("direction"), wave.PULL, V.normalized(V.minus(F.col("liked"), F.col("centre"))))))
-    s = s.withColumn("direction", V.normalized(V.plus_times(F.col("direction"), wave.PUSH, V.normalized(V.minus(F.col("skipped"), F.col("centre"))))))
-    return s.select(F.posexplode("direction").alias("pos", "x")).select("pos", r6("x").alias("x"))
+    own = {r["song_id"]: wave.Track(r["song_id"], r["vector"], "") for r in S.tracks(spark, sf_dir).where(F.col("song_id").isin(5, 6)).collect()}
+    first = _wave_state(spark, sf_dir).first()
+    state = wave.State(wave.unit(np.asarray(first["direction"])), np.asarray(first["centre"]))
+    state = wave.react(wave.react(state, own[5], 1.0), own[6], 0.0)
+    return spark.createDataFrame([(state.direction.tolist(),)], "direction array<double>").select(F.posexplode("direction").alias("pos", "x")).select("pos", r6("x").alias("x"))
 
 
 # Albums.
@@ -921,6 +1028,25 @@ def fidelity_report(spark, sf_dir):
     return c.agg(r6(F.min(V.cosine(F.col("vector"), F.col("coarse")))).alias("worst"), r6(F.avg(V.cosine(F.col("vector"), F.col("coarse")))).alias("mean"))
 
 
+def _compared(spark, sf_dir):
+    t = S.tracks(spark, sf_dir).select("song_id", V.doubles(F.col("vector")).alias("vector"))
+    coarse = t.select("song_id", F.transform("vector", lambda x: F.round(x * 8) / 8).alias("vector"))
+    return fidelity.compared(t, coarse, t.where(F.col("song_id") % 100 == 0).select(F.col("song_id").alias("query_id")))
+
+
+@query
+def model_fidelity(spark, sf_dir):
+    """What a coarse quantisation does to every hundredth track: how far it moves, how many of its 1, 5 and 10 nearest stay, and where its nearest ends up."""
+    return _compared(spark, sf_dir).select("query_id", r6("own").alias("own"), "shared_1", "shared_5", "shared_10", "place")
+
+
+@query
+def model_agreement(spark, sf_dir):
+    """The same in one row: the shares of neighbours that stay, and the places of the nearest."""
+    found = fidelity.agreement(_compared(spark, sf_dir))
+    return found.select(*(r6(c).alias(c) for c in ("own_least", "own_mean", "top_1", "top_5", "top_10", "place_mean")), "place_worst")
+
+
 @query
 def alignment_report(spark, sf_dir):
     """For each label's vector the peak, mean and deviation of its scores."""
@@ -992,3 +1118,26 @@ def live_folders(spark, sf_dir):
     """Analysed tracks of each folder, some of them told twice."""
     told = S.tracks(spark, sf_dir).select("song_id").where(F.col("song_id") % 3 != 0)
     return player.analysed_by_folder(told.unionByName(told.where(F.col("song_id") % 2 == 0)), S.songs(spark, sf_dir))
+
+
+@query
+def positions_sampled(spark, sf_dir):
+    """Half-second positions of a player that each departure starts, in the middle of the track or at its front, and some stop again."""
+    e = S.play_events(spark, sf_dir)
+    begun = e.select("listener", F.timestamp_millis("played_at").alias("ts"), "song_id", F.when(F.col("id") % 3 == 0, F.floor(F.col("duration_ms") / 2)).otherwise(F.lit(0)).alias("position_ms"), F.when(F.col("id") % 4 > 0, F.col("duration_ms")).alias("duration_ms"), F.lit(True).alias("playing"))
+    ended = e.select("listener", F.timestamp_millis(F.col("played_at") + F.col("played_ms")).alias("ts"), "song_id", F.lit(0).alias("position_ms"), "duration_ms", F.lit(False).alias("playing"))
+    found = player.sampled(begun.unionByName(ended))
+    return found.groupBy("listener", "song_id").agg(F.count(F.lit(1)).alias("samples"), F.max("position_ms").alias("furthest"), F.max(F.unix_millis("ts")).alias("last"))
+
+
+@query
+def readable_covers(spark, sf_dir):
+    """How well text reads on a song's colours, and the scrim that it takes over two greys."""
+    k = F.col("song_id")
+    rgb = F.pmod(k * 2_654_435, F.lit(1 << 24)).cast("int")
+    one, two = F.pmod(k * 7, F.lit(101)) / 100.0, F.pmod(k * 13, F.lit(101)) / 100.0
+    dark, bright = F.least(one, two), F.greatest(one, two)
+    s = S.tracks(spark, sf_dir).select("song_id", rgb.alias("rgb"), dark.alias("dark"), bright.alias("bright"), (F.pmod(k, F.lit(5)) / 4.0).alias("alpha"))
+    theme = C.luminance(F.col("rgb"))
+    need = C.scrim(theme, F.col("dark"), F.col("bright"), F.col("alpha"))
+    return s.select("song_id", r6(theme).alias("luminance"), r6(C.contrast(theme, F.lit(1.0))).alias("on_white"), r6(C.best_contrast(F.col("dark"), F.col("bright"))).alias("best"), r6(need).alias("scrim"))
