@@ -144,3 +144,18 @@ def test_mix_query_is_in_the_order_of_training(spark, sf):
     copies = list(dict.fromkeys(r["doc_id"] for r in mixing.curriculum(table).select("doc_id").collect()))
     have = [r["doc_id"] for r in got if r["doc_id"] in set(copies)]
     assert copies == have
+
+
+@pytest.mark.parametrize("most", [1.0, 2.5, 4.0])
+def test_sources_are_read_as_often_as_most_says(spark, most):
+    rows = [(k, "w " * (k % 7 + 1), "a") for k in range(60)] + [(100 + k, "w " * 3, "b") for k in range(40)]
+    size = {"a": sum(k % 7 + 1 for k in range(60)), "b": 120}
+    found = mixing.mix(mixing.sized(docs(spark, rows), "doc_id", "source"), most=most, share=9.0).collect()
+    for source, n in size.items():
+        own = [r for r in found if r["source"] == source]
+        assert own[0]["__target"] == most * n and sum(x["words"] for r in own for x in r["__reads"]) == round(most * n)
+        assert all(r["__size"] * most + 1 > sum(x["words"] for x in r["__reads"]) - r["__size"] for r in own)
+    whole = Counter()
+    for r in mixing.curriculum(docs(spark, rows), most=most, share=9.0).collect():
+        whole[r["source"]] += len(r["text"].split())
+    assert all(abs(whole[s] - most * n) <= 7 for s, n in size.items())

@@ -358,3 +358,14 @@ def test_scores_hold_every_context(spark, table):
     want = lm_score.log_probabilities(own, lm_score.weighted(levels))
     got = {r["doc_id"]: r["score"] for r in lm_score.score(docs(spark, rows)).collect()}
     assert all(abs(got[r[0]] - w) < 1e-4 * abs(w) for r, w in zip(rows, want, strict=True))
+
+
+def test_rules_of_any_number(spark):
+    words = [f"k{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuv"]
+    rules = tuple(secret_scan.Rule(w, f"{w}[0-9]+", 0, 6) for w in words)
+    assert len(set().union(*(secret_scan.named(secret_scan.trigram_query(r.pattern)) for r in rules))) > 255
+    rows = [f"{words[0]}12 {words[-1]}345 {words[7]}", f"x{words[200]}99", "", None, words[3].upper() + "12"]
+    got = secret_scan.find_secrets(docs(spark, [(k, t, None) for k, t in enumerate(rows)]), rules=rules, base=2)
+    want = [",".join(f"{r.kind}:{m.start()}:{m.end()}" for m, r in sorted(((m, r) for r in rules for m in re.finditer(r.pattern, t or "") if len(m.group()) >= 6), key=lambda x: x[0].start())) for t in rows]
+    assert [r["spans"] for r in got.orderBy("doc_id").collect()] == want and want[0] and want[1] and not want[4]
+    assert secret_scan.find_secrets(docs(spark, []), rules=rules).count() == 0

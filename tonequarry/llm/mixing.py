@@ -9,6 +9,8 @@ Documents range-sort by position.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,9 @@ def sized(docs: DataFrame, *keep: str, id_col: str = "doc_id", source_col: str =
 def with_places(rows: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, rows_per_bucket: int = 4096) -> DataFrame:
     """rows of sized() with __source_size, __target, __rank, __even, __odd and __before: the words ahead of the row in its source's shuffled stream.
 
+    Targets stop at most times a source's words. Null ids sort first, null sources are a source, equal rows are rows each, and an
+    empty table gives an empty one.
+
     The stream's order is that of md5(id). One source may hold most rows, so the running sum has two
     levels: sums of buckets of the hash's range, summed over the buckets of a source, then a window
     within each bucket. Buckets hold about rows_per_bucket rows however large a source is.
@@ -132,12 +137,17 @@ def reads(passes: int = 2) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def _passes(most: float = 2.0, **_) -> int:
+    """How often a source's stream is begun until most times its words are read."""
+    return max(1, math.ceil(most))
+
+
 def mix(rows: DataFrame, id_col: str = "doc_id", **targets) -> DataFrame:
     """rows of sized() with __size, __source_size, __target and __reads, range-sorted by the first position; rows never read come last.
 
     Null texts have no words; null sources are a source, the last. Repeated rows are rows each. An empty table gives an empty one.
     """
-    placed = with_places(rows, id_col, **targets).withColumn("__reads", reads())
+    placed = with_places(rows, id_col, **targets).withColumn("__reads", reads(_passes(**targets)))
     return placed.orderBy(F.get("__reads", F.lit(0))["position"].asc_nulls_last(), id_col).drop("__before", "__rank", "__even", "__odd")
 
 
@@ -151,5 +161,5 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     must be free.
     """
     placed = with_places(sized(docs, *docs.columns, id_col=id_col, source_col=source_col, text_col=text_col), id_col, **targets)
-    copies = placed.select(*docs.columns, F.explode(F.filter(reads(), lambda x: x["whole"])).alias("__read"))
+    copies = placed.select(*docs.columns, F.explode(F.filter(reads(_passes(**targets)), lambda x: x["whole"])).alias("__read"))
     return copies.select(*docs.columns, F.col("__read.position").alias("__position")).orderBy("__position", id_col)

@@ -167,7 +167,7 @@ class Segment:
         data = column.buffers()[2]
         raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
         folded = _FOLD[raw]
-        number = np.zeros(0, dtype=np.uint8)
+        number = np.zeros(0, dtype=lookup.dtype)
         if len(folded) > 2:
             code = folded[:-2].astype(np.int32)
             code <<= 8
@@ -200,9 +200,8 @@ _FOLD[65:91] += 32
 def _plan(rules: tuple[Rule, ...]) -> tuple[list, dict[str, int], np.ndarray]:
     queries = [trigram_query(r.pattern) for r in rules]
     wanted = {t: k for k, t in enumerate(sorted(set().union(*map(named, queries))), 1)}
-    if len(wanted) > 255:
-        raise ValueError(f"{len(wanted)} trigrams; a segment numbers 255")
-    lookup = np.zeros(1 << 24, dtype=np.uint8)
+    # A byte a trigram while 255 numbers do, and as many bytes as more of them take.
+    lookup = np.zeros(1 << 24, dtype=np.min_scalar_type(len(wanted)))
     for t, k in wanted.items():
         lookup[_packed(t)] = k
     compiled = []
