@@ -345,3 +345,41 @@ def test_signature_is_of_the_set(spark):
     base = signature(rows([1, 2, 3]), "full", "v", 1.0)
     assert base == signature(rows([3, 1, 2, 2]), "full", "v", 1.0)
     assert len({base, signature(rows([1, 2]), "full", "v", 1.0), signature(rows([1, 2, 3]), "lite", "v", 1.0), signature(rows([1, 2, 3]), "full", "w", 1.0), signature(rows([1, 2, 3]), "full", "v", 1.05), signature(rows([]), "full", "v", 1.0)}) == 6
+
+
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_sweep_without_stored_pairs(spark, monkeypatch, least):
+    """Points of several groups, repeated ones among them, by several blocks and tiles: the clusters that all pairs give, and no table of pairs."""
+    from tonequarry.operators import blocks
+
+    monkeypatch.setattr(blocks, "LEAST_BLOCKS", 3)
+    rng = np.random.default_rng(31)
+    sets = [unit(np.concatenate([rng.normal(c, 0.3, (40, 5)) for c in rng.normal(0, 1, (3, 5))] + [rng.normal(0, 1, (30, 5))])), np.repeat(unit(rng.normal(0, 1, (5, 3))), 9, 0)]
+    points = grouped(spark, sets).withColumn("most", F.lit(0.4))
+    grid = spark.createDataFrame([(g, k, e) for g in (0, 7) for k, e in enumerate((0.0101, 0.0503, 0.1007, 0.4))], "grp long, step int, eps double")
+    told = lambda sweep: {(r["grp"], r["step"], r["node"]): r["cluster"] for r in sweep.at(grid).collect()}
+    want = told(C.Sweep(points, C.written(C.block_products(points, 16), "pairs"), least))
+    made = []
+    monkeypatch.setattr(C, "written", lambda df, what, f=C.written: (made.append((what, f(df, what))), made[-1][1])[1])
+    assert told(C.Sweep.within(points, least, 16)) == want and len(want) > 100
+    n = points.count()
+    assert all(t.count() <= 4 * n * max(1, least - 1) for _, t in made)
+
+
+def test_running_forest(monkeypatch):
+    """Tiles of weights, and what is kept of them between: the forest of all edges, and few of them held."""
+    rng = np.random.default_rng(32)
+    x = rng.normal(0, 1, (300, 4))
+    d = np.round(np.linalg.norm(x[:, None] - x[None], axis=2), 2)
+    monkeypatch.setattr(forest, "COLLECTED", 500)
+    found = forest.Running(np.arange(1000, 1300), 2.0)
+    for s in range(0, 300, 50):
+        for t in range(s, 300, 50):
+            w = d[s : s + 50, t : t + 50].copy()
+            if s == t:
+                w[np.tril_indices(50)] = np.inf
+            found.add(np.arange(s, s + 50), np.arange(t, t + 50), w)
+            assert found.count <= 500
+    u, v = np.nonzero(np.triu(d <= 2.0, 1))
+    k = forest.kept(u, v, d[u, v], u, v)
+    assert sorted(zip(*(c.tolist() for c in found.edges()), strict=True)) == sorted(zip((u[k] + 1000).tolist(), (v[k] + 1000).tolist(), d[u[k], v[k]].tolist(), strict=True))

@@ -13,7 +13,7 @@ from ..functions import vectors as V
 from ..plans.forest import cut_components, spanning_forest
 from ..plans.graph import connected_components
 from ..session import written
-from .similarity import block_products
+from .blocks import TILE, block_products, forests, nearest, nearest_of
 
 MOST_DIMENSIONS, LEAST_DIMENSIONS, VARIANCE = 12, 4, 0.6
 LEAST_QUANTILE, MOST_QUANTILE, COARSE, FINE = 0.001, 0.150, 40, 24
@@ -207,12 +207,12 @@ def coverage(clusters: DataFrame, least: int, cap: int, *keys: str) -> DataFrame
     return sizes.groupBy(*keys).agg(F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0)).alias("covered"), F.max("size").alias("largest"))
 
 
-def core_distances(pairs: DataFrame, least: int) -> DataFrame:
-    """(node, core): the distance from which on a point has least points about it, itself included. pairs (a, b, distance) hold each pair once."""
-    both = pairs.select(F.col("a").alias("node"), "distance").unionByName(pairs.select(F.col("b").alias("node"), "distance"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("distance"))
-    # Tasks keep the nearest of each point before they pass them on.
-    near = both.withColumn("__rank", rank).where(F.col("__rank") <= max(1, least - 1))
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("of"), "distance").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("of"), "distance"))
+
+
+def core_distances(near: DataFrame, least: int) -> DataFrame:
+    """(node, core): the distance from which on a point has least points about it, itself included. near (node, of, distance) holds each point's least - 1 nearest."""
     found = near.groupBy("node").agg(F.max("distance").alias("core"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least - 1)
     return found.select("node", F.col("core") if least > 1 else F.lit(0.0).alias("core"))
 
@@ -223,20 +223,38 @@ class Sweep:
     Two cores are in one cluster at a radius if a path of edges joins them that are no longer than it and join points
     that are cores at it: an edge counts from the largest of its length and both its ends' core distances on. So the
     minimum spanning forest by that weight, cut at the radius, is the clusters' cores. A border point joins the
-    cluster of the smallest core among its cores' clusters.
+    cluster of the smallest core among its cores' clusters; as it is no core, its cores are among its least - 1 nearest.
     """
 
     def __init__(self, points: DataFrame, pairs: DataFrame, least: int) -> None:
         """points (grp, node) and pairs (grp, a, b, distance) up to the largest radius; nodes are from 0 to 2**57."""
+        self._know(points, nearest_of(_both_ways(pairs), max(1, least - 1)), least)
+        side = lambda c: self.known.select(F.col("node").alias(c), F.col("core").alias(f"core_{c}"))
+        both = pairs.select("a", "b", "distance").join(side("a"), "a").join(side("b"), "b")
+        self._span(both.select("a", "b", F.greatest("distance", "core_a", "core_b").alias("w")))
+
+    @classmethod
+    def within(cls, points: DataFrame, least: int, rows_per_block: int = TILE) -> Sweep:
+        """Of points (grp, node, vector, most, n) themselves, up to their group's most. Pairs are computed twice and never stored: for each point's nearest, then for forests."""
+        self = cls.__new__(cls)
+        self._know(points, nearest(points, max(1, least - 1), rows_per_block), least)
+        self._span(forests(points.join(self.known, "node", "left"), rows_per_block))
+        return self
+
+    def _know(self, points: DataFrame, near: DataFrame, least: int) -> None:
         self.points = points.select("grp", "node")
-        known = written(core_distances(pairs, least), "cores")
+        near = written(near.select("node", "of", "distance"), "near")
+        known = core_distances(near, least)
         # With least of 1 every point is a core, also one that is close to none.
-        self.cores = self.points.join(known, "node", "left" if least <= 1 else "inner").select("grp", "node", F.coalesce("core", F.lit(0.0)).alias("core"))
-        side = lambda c: known.select(F.col("node").alias(c), F.col("core").alias(f"core_{c}"))
-        links = pairs.select("grp", "a", "b", "distance").join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.col("core_a").isNotNull() | F.col("core_b").isNotNull())
-        self.links = written(links, "links")
-        both = self.links.where(F.col("core_a").isNotNull() & F.col("core_b").isNotNull())
-        forest = spanning_forest(both.select("a", "b", F.greatest("distance", "core_a", "core_b").alias("w")))
+        self.known = written(known if least > 1 else self.points.select("node", F.lit(0.0).alias("core")), "cores")
+        self.cores = self.points.join(self.known, "node")
+        # What a point can be a border point by: cores nearer than those that make it one.
+        links = near.join(self.known.withColumnRenamed("node", "of").withColumnRenamed("core", "own"), "of").join(self.known, "node", "left")
+        links = links.select("node", "of", F.greatest("distance", "own").alias("r"), F.col("core").alias("until"))
+        self.links = written(links.where(F.col("until").isNull() | (F.col("r") < F.col("until"))), "links")
+
+    def _span(self, edges: DataFrame) -> None:
+        forest = spanning_forest(edges.select("a", "b", "w"))
         self.forest = written(forest.join(self.points.withColumnRenamed("node", "a"), "a").select("grp", "a", "b", "w"), "forest")
 
     def at(self, grid: DataFrame) -> DataFrame:
@@ -252,8 +270,7 @@ class Sweep:
         own = self.cores.join(radii, "grp").select("grp", "node", first(F.col("core")).alias("low"), last.alias("high")).where("low < high")
         own = own.select("grp", "node", F.explode(F.sequence("low", F.col("high") - 1)).alias("step"))
         named = written(own.join(parts.drop("grp"), ["step", "node"], "left").select("grp", "step", "node", F.coalesce("component", "node").alias("cluster")), "cores")
-        ways = [self.links.select("grp", F.col(p).alias("node"), F.col(q).alias("of"), F.greatest("distance", f"core_{q}").alias("r"), F.col(f"core_{p}").alias("until")).where(F.col(f"core_{q}").isNotNull()) for p, q in ("ab", "ba")]
-        border = ways[0].unionByName(ways[1]).where(F.col("until").isNull() | (F.col("r") < F.col("until"))).join(radii, "grp")
+        border = self.links.join(self.points, "node").join(radii, "grp")
         border = border.select("node", "of", first(F.col("r")).alias("step"), F.when(F.col("until").isNull(), last).otherwise(first(F.col("until"))).alias("high")).where("step < high")
         # Cores of one cluster stay in one, so a border point needs each cluster once, from the step at which it first reaches it; the cluster's least core stands for it.
         seen = border.join(named.withColumnRenamed("node", "of"), ["step", "of"]).groupBy("node", F.col("cluster").alias("of")).agg(F.min("step").alias("low"), F.max("high").alias("high"))
@@ -303,15 +320,14 @@ def cluster_groups(rows: DataFrame, least: int, cap: int, scale: float = 1.0) ->
     sizes = written(placed.groupBy("grp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "sizes")
     points = written(reduced(placed), "reduced")
     grid = written(distance_quantiles(points, sizes), "grid")
-    most = grid.groupBy("grp").agg((F.max("eps") * MOST_SCALE).alias("most")).join(sizes.select("grp", "n"), "grp")
-    pairs = written(block_products(points.join(most, "grp")), "pairs")
-    sweep = Sweep(points, pairs, least)
+    factor = min(MOST_SCALE, max(LEAST_SCALE, scale))
+    most = grid.groupBy("grp").agg((F.max("eps") * max(1.0, factor)).alias("most")).join(sizes.select("grp", "n"), "grp")
+    sweep = Sweep.within(points.join(most, "grp"), least)
     chosen, clusters, finer = best_eps(sweep, grid, sizes, least, cap)
     if scale == 1.0:
         own = chosen.select("grp", "step", "finer")
         found = clusters.join(own.where(~F.col("finer")), ["grp", "step"]).unionByName(finer.join(own.where("finer"), ["grp", "step"]))
     else:
-        factor = min(MOST_SCALE, max(LEAST_SCALE, scale))
         asked = chosen.join(most, "grp").select("grp", F.lit(0).alias("step"), F.least("most", F.col("eps") * factor).alias("eps"))
         found = sweep.at(written(asked, "asked"))
     counts = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..session import written
+from .blocks import block_products
 
 #: Scores at and below the floor display as 0, at and above the strong one as 0.99.
 FLOOR, STRONG, SHOWN = 0.15, 0.45, 0.99
@@ -256,26 +257,6 @@ def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
     return x[chosen]
 
 
-def block_products(points: DataFrame, rows_per_block: int = 2048) -> DataFrame:
-    """(grp, a, b, distance) with a < b and 1 - product at most most, within groups of points (grp, node, vector, most, n); n: the group's size.
-
-    A group's rows are dealt to blocks by a hash; a task multiplies two blocks of bounded size and passes on the
-    close pairs alone.
-    """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_block)).cast("int")
-    dealt = points.select("grp", "node", F.col("vector").cast("array<double>").alias("vector"), "most", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", "node", "vector", "most", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, own, most = table["node"].to_numpy(), table["own"].to_numpy(), table["most"][0].as_py()
-        x = np.stack(table["vector"].to_numpy(zero_copy_only=False))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        a, b, d = _close(ids, x, np.flatnonzero(own == i), np.flatnonzero(own == j), most, i == j)
-        return pa.table({"grp": np.full(len(a), table["grp"][0].as_py(), dtype=np.int64), "a": a, "b": b, "distance": d})
-
-    return dealt.groupBy("grp", "i", "j").applyInArrow(run, "grp bigint, a bigint, b bigint, distance double")
-
-
 def _close(ids: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray, most: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The close pairs of rows left and right of x, the smaller id first; same: left and right are the same rows."""
     distance = 1.0 - x[left] @ x[right].T

@@ -55,6 +55,57 @@ def kept(u: np.ndarray, v: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarr
         label = least_labels(label[x[best]], label[y[best]], len(nodes))[label]
 
 
+#: Edges beside those of its forest that a task collects, and the shares of the forest at whose weights it knows the components.
+COLLECTED, LEVELS = 1 << 18, (0.25, 0.5, 0.75, 0.9, 0.97, 1.0)
+
+
+class Running:
+    """The minimum spanning forest of a task's nodes out of tiles of weights up to most, in memory that grows with the nodes.
+
+    An edge is passed over if the forest of those before joins its ends by lighter ones.
+    """
+
+    def __init__(self, ids: np.ndarray, most: float) -> None:
+        self.ids, self.most = ids, most
+        self.held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        self.new: list[list[np.ndarray]] = []
+        self.count, self.levels = 0, []
+
+    def add(self, rows: np.ndarray, columns: np.ndarray, w: np.ndarray) -> None:
+        near = w <= self.most
+        if self.levels:
+            # On a part of the tile, the level that leaves the fewest edges.
+            left = lambda level, p, q, w: (w <= level[0]) | (level[1][p][:, None] != level[1][q][None, :])
+            p, q, some = rows[::16], columns[::16], w[::16, ::16]
+            near &= left(min(self.levels, key=lambda level: np.count_nonzero(left(level, p, q, some) & (some <= self.most))), rows, columns, w)
+        p, q = np.nonzero(near & (w < np.inf))
+        u, v, w = rows[p], columns[q], w[p, q]
+        for most, label in self.levels:
+            keep = (w <= most) | (label[u] != label[v])
+            u, v, w = u[keep], v[keep], w[keep]
+        keep = self.ids[u] != self.ids[v]
+        self.new.append([u[keep], v[keep], w[keep]])
+        self.count += int(keep.sum())
+        if self.count > max(COLLECTED, len(self.held[0])):
+            self._thin()
+
+    def _thin(self) -> None:
+        u, v, w = (np.concatenate(x) for x in zip(self.held, *self.new, strict=True))
+        a, b = self.ids[u], self.ids[v]
+        k = kept(u, v, w, np.minimum(a, b), np.maximum(a, b))
+        self.held, self.new, self.count = [u[k], v[k], w[k]], [], 0
+        if len(k):
+            ranked = np.sort(self.held[2])
+            at = sorted({float(ranked[int(q * (len(k) - 1))]) for q in LEVELS})
+            self.levels = [(t, least_labels(self.held[0][self.held[2] <= t], self.held[1][self.held[2] <= t], len(self.ids)).astype(np.int32)) for t in at]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, w) of the forest, a the smaller id."""
+        self._thin()
+        a, b = self.ids[self.held[0]], self.ids[self.held[1]]
+        return np.minimum(a, b), np.maximum(a, b), self.held[2]
+
+
 def _thinned(edges: DataFrame) -> DataFrame:
     """Each task's edges without those that its own forest has no use for: no cycle's largest edge is in the forest of all."""
 
