@@ -150,3 +150,37 @@ def test_planted_difference_is_found(spark):
     # The same music at any hour: the hour tells nothing.
     flat = spark.createDataFrame([(k, rng.normal(0, 1, 4).tolist()) for k in range(180)], "song_id long, vector array<double>")
     assert rhythm.permuted(rhythm.sittings(listens, flat), "day", "evening", 99).first()["p"] > 0.05
+
+
+def test_listens_with_vectors_by_buckets(spark, monkeypatch):
+    """Several buckets of listeners, songs without a vector and a zero one: as by plain sums, and no row for each number of a listen's vector."""
+    from tonequarry.operators import rhythm
+
+    monkeypatch.setattr(rhythm, "IN_BUCKET", 100)
+    rng = np.random.default_rng(5)
+    hour = 3_600_000
+    rows = [(k, int(rng.integers(0, 9)) ** 2, int(rng.integers(0, 12)), int(rng.integers(0, 6 * 24)) * hour) for k in range(700)] + [(900, 500, 1, hour), (901, 501, 99, hour)]
+    vectors = {k: (rng.normal(0, 1, 5) if k else np.zeros(5)) for k in range(10)}
+    listens = spark.createDataFrame(rows, "id long, listener long, song_id long, played_at long").repartition(3)
+    tracks = spark.createDataFrame([(k, v.tolist()) for k, v in vectors.items()], "song_id long, vector array<double>")
+    part = lambda at: "night" if (h := at // hour % 24) < 5 else "morning" if h < 12 else "day" if h < 18 else "evening"
+    known = [(who, part(at), at // (24 * hour), vectors[song]) for _, who, song, at in rows if song in vectors]
+    cos = lambda a, b: a @ b / n if (n := np.linalg.norm(a) * np.linalg.norm(b)) > 0 else 0.0
+    want = {}
+    for who, slot, day, v in known:
+        others = [(s, x) for w, s, d, x in known if w == who and d != day]
+        if any(s == slot for s, _ in others):
+            want.setdefault(slot, []).append((cos(v, np.sum([x for s, x in others if s == slot], axis=0)), cos(v, np.sum([x for _, x in others], axis=0))))
+    found = rhythm.left_out(listens, tracks)
+    got = {r["slot"]: r for r in found.collect()}
+    assert set(got) == set(want)
+    for slot, pairs in want.items():
+        a, b = np.asarray(pairs).T
+        assert got[slot]["n"] == len(a) and np.allclose([got[slot][c] for c in ("same", "any", "wins")], [a.mean(), b.mean(), (a > b + 1e-12).mean()])
+    sat = rhythm.sittings(listens, tracks)
+    plain = sittings_of([(who, at, k, song) for k, who, song, at in rows], rhythm.GAP_MS)
+    total = {k: (part(v[0][0]), np.sum([np.append(1.0, vectors[s]) for _, s in v if s in vectors], axis=0)) for k, v in plain.items() if any(s in vectors for _, s in v)}
+    told = {(r["listener"], r["sitting"]): (r["slot"], np.append(r["n"], r["total"])) for r in sat.collect()}
+    assert set(told) == set(total) and all(told[k][0] == total[k][0] and np.allclose(told[k][1], total[k][1]) for k in total)
+    assert rhythm.left_out(listens, tracks.limit(0)).count() == rhythm.left_out(listens.limit(0), tracks).count() == rhythm.sittings(listens.limit(0), tracks).count() == 0
+    assert not any("Generate" in df._jdf.queryExecution().optimizedPlan().toString() for df in (found,))

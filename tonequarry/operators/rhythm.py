@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +15,20 @@ from ..functions import vectors as V
 GAP_MS, ROUNDS = 30 * 60_000, 999
 
 
+SLOTS = ("night", "morning", "day", "evening")
+
+
 def slot_of(played_at: Column) -> Column:
     """The part of the day, by the session's time zone, of a time in milliseconds."""
     hour = F.hour(F.timestamp_millis(played_at))
     return F.when(hour < 5, "night").when(hour < 12, "morning").when(hour < 18, "day").otherwise("evening")
 
 
+def _slot_code() -> Column:
+    """slot_of() played_at as a place in SLOTS."""
+    return F.array_position(F.array(*map(F.lit, SLOTS)), slot_of(F.col("played_at"))) - 1
+
+
 def sat(listens: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     """listens (listener, played_at, ...) with sitting: listens of a listener that are no further apart than the gap share one, numbered from 1."""
     order = Window.partitionBy("listener").orderBy("played_at", "id")
@@ -27,6 +36,66 @@ def sat(listens: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     return listens.withColumn("sitting", F.sum(apart.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
 
 
+#: Listens of a bucket of listeners, about, and rows of vectors that a task takes at once.
+IN_BUCKET, AT_ONCE = 1 << 17, 1 << 14
+
+
+def _by_listeners(rows: DataFrame, tracks: DataFrame, numbers: list[str], run: Callable[[np.ndarray, dict[str, np.ndarray]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """run(vectors, columns) of buckets of listeners: rows (listener, song_id, numbers), whole numbers all, sorted by them; song is a row of vectors, or -1 where there is none.
+
+    A listener is in one bucket. A vector is shuffled once for each bucket that has heard the song, not for each listen, and a
+    listen as its numbers, which are also all that a task holds of it.
+    """
+    names = ["listener", *numbers, "song_id"]
+    light = rows.where(F.col("listener").isNotNull()).select(*(F.col(c).cast("bigint").alias(c) for c in names))
+    buckets = max(1, -(-light.count() // IN_BUCKET))
+    light = light.withColumn("bucket", F.pmod(F.xxhash64("listener"), F.lit(buckets)).cast("int"))
+    known = light.select("bucket", "song_id").distinct().join(tracks.select("song_id", "vector"), "song_id")
+    known = known.select(*(F.col(c) if c == "song_id" else F.lit(None).cast("bigint").alias(c) for c in names), "bucket", "vector")
+    both = light.withColumn("vector", F.lit(None).cast(tracks.schema["vector"].dataType)).unionByName(known)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, told = [np.empty(0, np.int64)], [], {c: [] for c in names}
+        for batch in batches:
+            of = pa.Table.from_batches([batch])
+            has = of["vector"].is_valid()
+            songs, listens = of.filter(has), of.filter(pc.invert(has))
+            if songs.num_rows:
+                ids.append(songs["song_id"].to_numpy())
+                vectors.append(np.concatenate([np.asarray(c.flatten()) for c in songs["vector"].chunks]).reshape(songs.num_rows, -1))
+            for c in names:
+                told[c].append(listens[c].fill_null(-1).to_numpy())
+        if not vectors:
+            return
+        known = np.concatenate(ids)
+        order = np.argsort(known)
+        known, x = known[order], np.concatenate(vectors)[order]
+        columns = {c: np.concatenate(told.pop(c)) for c in names}
+        at = np.minimum(np.searchsorted(known, columns["song_id"]), len(known) - 1)
+        columns["song"] = np.where(known[at] == columns.pop("song_id"), at, -1)
+        sort = np.lexsort([columns[c] for c in reversed(["listener", *numbers])])
+        yield from run(x, {c: v[sort] for c, v in columns.items()})
+
+    return both.groupBy("bucket").applyInArrow(whole, schema)
+
+
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values of sorted columns begin."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def _summed(x: np.ndarray, song: np.ndarray, run: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the songs' vectors of each of n runs, whose numbers ascend along song."""
+    out = np.zeros((n, x.shape[1]))
+    for at in range(0, len(song), AT_ONCE):
+        own = run[at : at + AT_ONCE]
+        begun = _begins(own)
+        out[own[begun]] += np.add.reduceat(x[song[at : at + AT_ONCE]].astype(np.float64), begun, axis=0)
+    return out
+
+
 def sittings(listens: DataFrame, tracks: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     """(listener, sitting, slot, n, total): each sitting's part of the day, by its first listen, its listens with a vector, and the sum of those."""
     rows = sat(listens, gap_ms)
@@ -98,14 +167,58 @@ def left_out(listens: DataFrame, tracks: DataFrame) -> DataFrame:
     same part of the day, and all. same and any are the means, wins the share for which the same part tells more. Listens
     without another of their part on another day are left out.
     """
-    day = F.to_date(F.timestamp_millis("played_at"))
-    rows = listens.join(tracks.select("song_id", "vector"), "song_id").select("listener", slot_of(F.col("played_at")).alias("slot"), day.alias("day"), V.doubles(F.col("vector")).alias("vector"))
-    # Four sums of vectors, the coarser from the finer; what is left out is taken from the whole.
-    by = V.elementwise(rows, "vector", ["listener", "slot", "day"], F.sum, alias="sd").join(rows.groupBy("listener", "slot", "day").agg(F.count(F.lit(1)).alias("n_sd")), ["listener", "slot", "day"])
-    total = lambda keys, name: V.elementwise(by.select(*keys, "sd"), "sd", keys, F.sum, alias=name)
-    slots = total(["listener", "slot"], "s").join(by.groupBy("listener", "slot").agg(F.sum("n_sd").alias("n_s")), ["listener", "slot"])
-    profile = by.join(slots, ["listener", "slot"]).join(total(["listener", "day"], "d"), ["listener", "day"]).join(total(["listener"], "a"), "listener")
-    profile = profile.where(F.col("n_s") > F.col("n_sd")).select("listener", "slot", "day", V.minus(F.col("s"), F.col("sd")).alias("own"), V.minus(F.col("a"), F.col("d")).alias("every"))
-    told = rows.join(profile, ["listener", "slot", "day"]).select("slot", V.cosine(F.col("vector"), F.col("own")).alias("same"), V.cosine(F.col("vector"), F.col("every")).alias("any"))
-    wins = F.avg((F.col("same") > F.col("any") + 1e-12).cast("double")).alias("wins")
-    return told.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.avg("same").alias("same"), F.avg("any").alias("any"), wins)
+    day = F.datediff(F.to_date(F.timestamp_millis("played_at")), F.lit("1970-01-01").cast("date"))
+    rows = listens.where(F.col("played_at").isNotNull()).select("listener", _slot_code().alias("slot"), day.alias("day"), "song_id")
+
+    def run(x: np.ndarray, of: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        of = {c: v[of["song"] >= 0] for c, v in of.items()}
+        listeners = np.append(_begins(of["listener"]), len(of["song"])) if len(of["song"]) else np.zeros(1, dtype=int)
+        told = np.zeros((len(SLOTS), 4))
+        at = 0
+        while at < len(listeners) - 1:
+            # Whole listeners, of AT_ONCE listens together, or one that has more.
+            to = max(at + 1, int(np.searchsorted(listeners, listeners[at] + AT_ONCE, "right")) - 1)
+            told += _foretold(x, *(of[c][listeners[at] : listeners[to]] for c in ("listener", "slot", "day", "song")))
+            at = to
+        some = np.flatnonzero(told[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array([SLOTS[k] for k in some], pa.string()), pa.array(told[some, 0].astype(np.int64)), *(pa.array(told[some, k]) for k in (1, 2, 3))], ["slot", "n", "same", "any", "wins"])
+
+    told = _by_listeners(rows, tracks, ["slot", "day"], run, "slot string, n bigint, same double, any double, wins double")
+    mean = lambda c: (F.sum(c) / F.sum("n")).alias(c)
+    return told.groupBy("slot").agg(mean("same"), mean("any"), mean("wins"), F.sum("n").alias("n")).select("slot", "n", "same", "any", "wins")
+
+
+def _foretold(x: np.ndarray, listener: np.ndarray, slot: np.ndarray, day: np.ndarray, song: np.ndarray) -> np.ndarray:
+    """For each part of the day the number of listens, and sums of same, any and wins, over whole listeners' listens, sorted by the columns."""
+    cells = _begins(listener, slot, day)
+    cell = np.repeat(np.arange(len(cells)), np.diff(np.append(cells, len(song))))
+    n = np.bincount(cell)
+    own = _summed(x, song, cell, len(cells))
+    # Coarser sums from the finer; what is left out is taken from the whole.
+    who, part, when = listener[cells], slot[cells], day[cells]
+    _, by_part = np.unique(np.stack((who, part)), axis=1, return_inverse=True)
+    _, by_day = np.unique(np.stack((who, when)), axis=1, return_inverse=True)
+    _, by_all = np.unique(who, return_inverse=True)
+
+    def whole(group: np.ndarray) -> np.ndarray:
+        order = np.argsort(group, kind="stable")
+        begun = _begins(group[order])
+        return np.add.reduceat(own[order], begun, axis=0)[group]
+
+    more = np.bincount(by_part, n)[by_part] > n
+    every = whole(by_all) - whole(by_day)
+    same = whole(by_part) - own
+    keep = np.flatnonzero(more[cell])
+    told = np.zeros((len(SLOTS), 4))
+    for at in range(0, len(keep), AT_ONCE):
+        k = keep[at : at + AT_ONCE]
+        v = x[song[k]].astype(np.float64)
+        a, b = _cosines(v, same[cell[k]]), _cosines(v, every[cell[k]])
+        told += np.stack([np.bincount(slot[k], w, len(SLOTS)) for w in (None, a, b, a > b + 1e-12)], axis=1)
+    return told
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row; 0 where either is zero."""
+    below = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    return np.where(below > 0, np.einsum("ij,ij->i", a, b) / np.where(below > 0, below, 1.0), 0.0)
