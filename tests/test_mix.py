@@ -183,4 +183,4 @@ def test_listens_with_vectors_by_buckets(spark, monkeypatch):
     told = {(r["listener"], r["sitting"]): (r["slot"], np.append(r["n"], r["total"])) for r in sat.collect()}
     assert set(told) == set(total) and all(told[k][0] == total[k][0] and np.allclose(told[k][1], total[k][1]) for k in total)
     assert rhythm.left_out(listens, tracks.limit(0)).count() == rhythm.left_out(listens.limit(0), tracks).count() == rhythm.sittings(listens.limit(0), tracks).count() == 0
-    assert not any("Generate" in df._jdf.queryExecution().optimizedPlan().toString() for df in (found,))
+    assert not any("Generate" in df._jdf.queryExecution().optimizedPlan().toString() for df in (found, sat))

@@ -98,12 +98,25 @@ def _summed(x: np.ndarray, song: np.ndarray, run: np.ndarray, n: int) -> np.ndar
 
 def sittings(listens: DataFrame, tracks: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     """(listener, sitting, slot, n, total): each sitting's part of the day, by its first listen, its listens with a vector, and the sum of those."""
-    rows = sat(listens, gap_ms)
-    begun = rows.groupBy("listener", "sitting").agg(slot_of(F.min("played_at")).alias("slot"))
-    heard = rows.join(tracks.select("song_id", "vector"), "song_id")
-    count = heard.groupBy("listener", "sitting").agg(F.count(F.lit(1)).alias("n"))
-    total = V.elementwise(heard, "vector", ["listener", "sitting"], F.sum, alias="total")
-    return begun.join(count, ["listener", "sitting"]).join(total, ["listener", "sitting"])
+    rows = sat(listens, gap_ms).select("listener", "sitting", F.coalesce("played_at", F.lit((1 << 63) - 1)).alias("played_at"), _slot_code().alias("slot"), "song_id")
+
+    def run(x: np.ndarray, of: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        first = _begins(of["listener"], of["sitting"])
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(of["song"]))))
+        heard = of["song"] >= 0
+        count = np.bincount(number[heard], minlength=len(first))
+        ends = np.append(first, len(of["song"]))
+        for at in range(0, len(first), AT_ONCE // 4):
+            some = slice(ends[at], ends[min(at + AT_ONCE // 4, len(first))])
+            n = min(AT_ONCE // 4, len(first) - at)
+            mine = heard[some]
+            total = _summed(x, of["song"][some][mine], number[some][mine] - at, n)
+            k = np.flatnonzero(count[at : at + n])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * x.shape[1]), pa.array(total[k].ravel()))
+            begun = first[at + k]
+            yield pa.RecordBatch.from_arrays([pa.array(of["listener"][begun]), pa.array(of["sitting"][begun]), pa.array([SLOTS[c] for c in of["slot"][begun]], pa.string()), pa.array(count[at + k]), lists], ["listener", "sitting", "slot", "n", "total"])
+
+    return _by_listeners(rows, tracks, ["sitting", "played_at", "slot"], run, "listener bigint, sitting bigint, slot string, n bigint, total array<double>")
 
 
 def draws(seed: int, listener: int, sitting: int, rounds: int) -> np.ndarray:
