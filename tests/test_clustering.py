@@ -383,3 +383,15 @@ def test_running_forest(monkeypatch):
     u, v = np.nonzero(np.triu(d <= 2.0, 1))
     k = forest.kept(u, v, d[u, v], u, v)
     assert sorted(zip(*(c.tolist() for c in found.edges()), strict=True)) == sorted(zip((u[k] + 1000).tolist(), (v[k] + 1000).tolist(), d[u[k], v[k]].tolist(), strict=True))
+
+
+def test_pairs_shuffle_a_row_once_a_block(spark, monkeypatch):
+    """However small the products, however open the cells: no row goes to more tasks than there are blocks."""
+    from tonequarry.operators import blocks
+    from tonequarry.operators.similarity import PivotIndex
+
+    monkeypatch.setattr(blocks, "LEAST_BLOCKS", 5)
+    rng = np.random.default_rng(33)
+    even = np.concatenate([unit(rng.normal(0, 1, (300, 8))), np.repeat(unit(rng.normal(0, 1, (1, 8))), 100, 0)])
+    index = PivotIndex(frame(spark, even), 0.6, 400, 8)
+    assert same_pairs(index.pairs(), brute_pairs(even, 0.6)) and index.sent().count() <= 6 * 400 < index.copies

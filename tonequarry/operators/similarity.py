@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..session import written
-from .blocks import block_products
+from .blocks import TILE, block_count, block_products, joined
 
 #: Scores at and below the floor display as 0, at and above the strong one as 0.99.
 FLOOR, STRONG, SHOWN = 0.15, 0.45, 0.99
@@ -134,7 +134,7 @@ def _nearest(tracks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def close_pairs(tracks: DataFrame, most: float, rows_per_block: int = 2048, rows: int | None = None) -> DataFrame:
     """(a, b, distance) with a < b and 1 - product at most most: a theta self-join.
 
-    By a pivot index where that copies fewer rows than products of all blocks; both find the same pairs.
+    By a pivot index where that multiplies less than products of all blocks; both find the same pairs, and shuffle a row once a block at most.
     """
     n = tracks.count() if rows is None else rows
     index = PivotIndex(tracks, most, n, rows_per_block)
@@ -159,10 +159,11 @@ class PivotIndex:
     A row resides in the cell of the reference point at the least angle, and visits those cells of higher number that
     a bound leaves open: two vectors' angle is at least that of the one to the cell's point less the
     cell's radius, and with the cell's least and greatest length that bounds their product. The reference points
-    are chosen farthest first from a hashed sample, PIVOTS * CHOSEN_FROM rows at most. Residents and visitors of a
-    cell are dealt to blocks, so that a task multiplies two of bounded size whatever a cell holds.
-    Only a row for each cell goes to the driver. copies counts the rows that the join shuffles, closed the pairs of cells that no row
-    joins; without reference points, or if most is 1 or more, when no bound helps, copies is infinite.
+    are chosen farthest first from a hashed sample, PIVOTS * CHOSEN_FROM rows at most. Neighbouring cells share a
+    block, and a large one is dealt to several; a task takes two blocks and multiplies, by tiles, a cell's residents with its visitors
+    alone. A row is shuffled once for each block that holds a cell it visits or one whose rows visit its own, so at most once for each block.
+    Only a row for each pair of cells goes to the driver. copies counts the rows that products of blocks of rows_per_block in each cell take, a measure
+    of the work, closed the pairs of cells that no row joins; without reference points, or if most is 1 or more, when no bound helps, copies is infinite.
     """
 
     def __init__(self, tracks: DataFrame, most: float, n: int, rows_per_block: int = 2048) -> None:
@@ -171,7 +172,7 @@ class PivotIndex:
         if cells < 2 or most >= 1:
             return
         # A zero vector's products are 0, so it is close to none.
-        known = tracks.where(~V.is_zero(F.col("vector"))).select("song_id", F.col("vector").cast("array<double>").alias("vector"))
+        known = tracks.where(~V.is_zero(F.col("vector"))).select("song_id", "vector")
         sample = known.orderBy(F.xxhash64("song_id"), "song_id").limit(cells * CHOSEN_FROM).collect()
         if not sample:
             return
@@ -182,14 +183,17 @@ class PivotIndex:
         for r in stats:
             self.radius[r["cell"]], self.least[r["cell"]], self.greatest[r["cell"]], residents[r["cell"]] = r["radius"], r["least"], r["greatest"], r["n"]
         self.dealt = written(self._visiting(known), "dealt")
-        visitors, open_ = np.zeros(self.cells), 0
+        visitors, self.open = np.zeros(self.cells), np.eye(self.cells, dtype=bool)
         for r in self.dealt.select("cell", F.explode("visits").alias("to")).groupBy("cell", "to").count().collect():
             visitors[r["to"]] += r["count"]
-            open_ += 1
-        self.blocks = np.maximum(1, np.ceil(residents / rows_per_block)).astype(int)
-        self.guests = np.ceil(visitors / rows_per_block).astype(int)
-        self.closed = self.cells * (self.cells - 1) // 2 - open_
-        self.copies = float((residents * (self.blocks + self.guests) + visitors * self.blocks).sum())
+            self.open[r["cell"], r["to"]] = True
+        blocks, guests = np.maximum(1, np.ceil(residents / rows_per_block)), np.ceil(visitors / rows_per_block)
+        self.closed = self.cells * (self.cells - 1) // 2 - int(np.triu(self.open, 1).sum())
+        self.copies = float((residents * (blocks + guests) + visitors * blocks).sum())
+        # Cells in order fill blocks of like size.
+        ends = np.cumsum(residents)
+        room = max(1, -(-int(ends[-1]) // block_count(n, rows_per_block)))
+        self.begin, self.end = ((ends - residents) // room).astype(int), (np.maximum(ends - 1, ends - residents) // room).astype(int)
 
     def _assigned(self, known: DataFrame) -> DataFrame:
         pivots = self.pivots
@@ -197,49 +201,102 @@ class PivotIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    angles, length = _angles(np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1), pivots)
+                    angles, length = _angles(np.asarray(batch.column(0).flatten(), dtype=np.float64).reshape(batch.num_rows, -1), pivots)
                     yield pa.RecordBatch.from_arrays([pa.array(angles.argmin(1), pa.int32()), pa.array(angles.min(1)), pa.array(length)], ["cell", "angle", "length"])
 
         return known.select("vector").mapInArrow(run, "cell int, angle double, length double")
 
-    def _visiting(self, known: DataFrame) -> DataFrame:
+    def _bound(self) -> Callable[[np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray]]:
+        """A function of rows, and of their cells where those are known: their cells, and which cells each visits."""
         pivots, radius, least, greatest, most = self.pivots, self.radius, self.least, self.greatest, self.most
 
+        def visits(x: np.ndarray, cell: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+            angles, length = _angles(x.astype(np.float64), pivots)
+            cell = angles.argmin(1) if cell is None else cell
+            cosine = np.cos(np.maximum(0.0, angles - radius - SLACK))
+            product = length[:, None] * np.where(cosine >= 0, greatest, least) * cosine
+            return cell, (1.0 - product <= most + SLACK) & (np.arange(len(pivots)) > cell[:, None]) & (greatest > 0)
+
+        return visits
+
+    def _visiting(self, known: DataFrame) -> DataFrame:
+        visits = self._bound()
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                angles, length = _angles(np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1), pivots)
-                cell = angles.argmin(1)
-                cosine = np.cos(np.maximum(0.0, angles - radius - SLACK))
-                product = length[:, None] * np.where(cosine >= 0, greatest, least) * cosine
-                visits = (1.0 - product <= most + SLACK) & (np.arange(len(pivots)) > cell[:, None]) & (greatest > 0)
-                at = np.concatenate(([0], np.cumsum(visits.sum(1)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.nonzero(visits)[1], pa.int32()))
+                cell, to = visits(np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1))
+                at = np.concatenate(([0], np.cumsum(to.sum(1)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.nonzero(to)[1], pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), lists], ["song_id", "vector", "cell", "visits"])
 
-        return known.mapInArrow(run, "song_id bigint, vector array<double>, cell int, visits array<int>")
+        return known.mapInArrow(run, f"song_id bigint, vector {known.schema['vector'].dataType.simpleString()}, cell int, visits array<int>")
+
+    def sent(self) -> DataFrame:
+        """(i, j, own, cell, song_id, vector): each row for each two blocks, i up to j, that need it; own is its block."""
+        begin, end, opened = self.begin, self.end, self.open
+        numbers = np.arange(int(end.max()) + 1)
+        # cell by block: where the cell resides, and where rows that visit it do.
+        there = (begin[:, None] <= numbers) & (numbers <= end[:, None])
+        calling = opened.T.astype(np.float32) @ there.astype(np.float32) > 0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cell, hashed, lists = np.asarray(batch.column(2)), np.asarray(batch.column(3)), batch.column(4)
+                own = begin[cell] + hashed % (end[cell] - begin[cell] + 1)
+                to = there[cell] | (calling[cell] & (numbers <= own[:, None]))
+                row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
+                at = np.asarray(lists.flatten())
+                for portion in range(0, len(at), 1 << 16):
+                    np.logical_or.at(to, row[portion : portion + (1 << 16)], there[at[portion : portion + (1 << 16)]])
+                of, other = np.nonzero(to)
+                low, high = np.minimum(own[of], other), np.maximum(own[of], other)
+                rows = pa.array(of)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in (low, high, own[of])), *(batch.column(c).take(rows) for c in (2, 0, 1))], ["i", "j", "own", "cell", "song_id", "vector"])
+
+        rows = self.dealt.select("song_id", "vector", "cell", F.pmod(F.xxhash64("song_id"), F.lit(1 << 30)).alias("hashed"), "visits")
+        return rows.mapInArrow(run, f"i int, j int, own int, cell int, song_id bigint, vector {self.dealt.schema['vector'].dataType.simpleString()}")
 
     def pairs(self) -> DataFrame:
-        blocks, guests = (F.lit([int(v) for v in x])[F.col("cell")] for x in (self.blocks, self.guests))
-        block = lambda n: F.pmod(F.xxhash64("song_id"), n).cast("int")
-        below = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
-        at = self.dealt.withColumn("own", block(blocks))
-        within = at.select("cell", F.lit(False).alias("visit"), "own", below(blocks).alias("other"), "song_id", "vector").select("cell", "visit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "song_id", "vector")
-        hosts = at.select("cell", F.lit(True).alias("visit"), below(guests).alias("i"), F.col("own").alias("j"), "own", "song_id", "vector")
-        callers = self.dealt.select(F.explode("visits").alias("cell"), "song_id", "vector")
-        callers = callers.select("cell", F.lit(True).alias("visit"), block(guests).alias("i"), below(blocks).alias("j"), F.lit(-1).alias("own"), "song_id", "vector")
-        most = self.most
-
-        def run(table: pa.Table) -> pa.Table:
-            ids, own = table["song_id"].to_numpy(), table["own"].to_numpy()
-            x = np.stack(table["vector"].to_numpy(zero_copy_only=False))
-            i, j = table["i"][0].as_py(), table["j"][0].as_py()
-            left = np.flatnonzero(own == (-1 if table["visit"][0].as_py() else i))
-            a, b, d = _close(ids, x, left, np.flatnonzero(own == j), most, not table["visit"][0].as_py() and i == j)
-            return pa.table({"a": a, "b": b, "distance": d})
-
-        return within.unionByName(hosts).unionByName(callers).groupBy("cell", "visit", "i", "j").applyInArrow(run, "a bigint, b bigint, distance double")
+        most, visits, cells = self.most, self._bound(), self.cells
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = joined(batches, ["i", "j", "own", "cell", "song_id", "vector"])
+            order = np.argsort(at["song_id"])
+            ids, x, cell, own = (at[c][order] for c in ("song_id", "vector", "cell", "own"))
+            left, right = np.flatnonzero(own == at["i"][0]), np.flatnonzero(own == at["j"][0])
+            same = at["i"][0] == at["j"][0]
+            to = np.zeros((len(left), cells), dtype=bool)
+            for s in range(0, len(left), TILE):
+                p = left[s : s + TILE]
+                to[s : s + TILE] = visits(x[p], cell[p])[1]
+                to[np.arange(s, s + len(p)), cell[p]] = True
+            held, count = [], 0
+            for c in np.unique(cell[right]).tolist():
+                callers, hosts = left[to[:, c]], right[cell[right] == c]
+                for s in range(0, len(callers), TILE):
+                    for t in range(0, len(hosts), TILE):
+                        p, q = callers[s : s + TILE], hosts[t : t + TILE]
+                        d = 1.0 - x[p].astype(np.float64) @ x[q].astype(np.float64).T
+                        k, m = np.nonzero(d <= most)
+                        d, p, q = d[k, m], p[k], q[m]
+                        # Two residents of a cell meet twice where the blocks are one.
+                        keep = (ids[p] < ids[q]) | ((ids[p] > ids[q]) & ((cell[p] != c) | (not same)))
+                        held.append((np.minimum(ids[p], ids[q])[keep], np.maximum(ids[p], ids[q])[keep], d[keep]))
+                        count += len(k)
+                        if count > 1 << 16:
+                            yield _told(held)
+                            held, count = [], 0
+            yield _told(held)
+
+        return self.sent().groupBy("i", "j").applyInArrow(run, "a bigint, b bigint, distance double")
+
+
+def _told(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    a, b, d = (np.concatenate(c) for c in zip(none, *held, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "distance"])
 
 
 def _angles(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,13 +312,3 @@ def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
         chosen.append(int(nearest.argmin()))
         nearest = np.maximum(nearest, x @ x[chosen[-1]])
     return x[chosen]
-
-
-def _close(ids: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray, most: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The close pairs of rows left and right of x, the smaller id first; same: left and right are the same rows."""
-    distance = 1.0 - x[left] @ x[right].T
-    p, q = np.nonzero(distance <= most)
-    a, b, d = ids[left[p]], ids[right[q]], distance[p, q]
-    keep = a < b if same else a != b
-    a, b, d = a[keep], b[keep], d[keep]
-    return np.minimum(a, b), np.maximum(a, b), d
