@@ -395,3 +395,5 @@ def test_pairs_shuffle_a_row_once_a_block(spark, monkeypatch):
     even = np.concatenate([unit(rng.normal(0, 1, (300, 8))), np.repeat(unit(rng.normal(0, 1, (1, 8))), 100, 0)])
     index = PivotIndex(frame(spark, even), 0.6, 400, 8)
     assert same_pairs(index.pairs(), brute_pairs(even, 0.6)) and index.sent().count() <= 6 * 400 < index.copies
+    points = frame(spark, even).selectExpr("0L grp", "song_id node", "vector", "0.6D most", "400L n")
+    assert blocks.dealt(points, 8).count() == 5 * 400 and same_pairs(C.block_products(points, 8).drop("grp"), brute_pairs(even, 0.6))
