@@ -397,3 +397,22 @@ def test_pairs_shuffle_a_row_once_a_block(spark, monkeypatch):
     assert same_pairs(index.pairs(), brute_pairs(even, 0.6)) and index.sent().count() <= 6 * 400 < index.copies
     points = frame(spark, even).selectExpr("0L grp", "song_id node", "vector", "0.6D most", "400L n")
     assert blocks.dealt(points, 8).count() == 5 * 400 and same_pairs(C.block_products(points, 8).drop("grp"), brute_pairs(even, 0.6))
+
+
+@pytest.mark.parametrize("index", [False, True])
+def test_pairs_store_a_row_once(spark, monkeypatch, index):
+    """However many the blocks, whichever of them meet: a row is shuffled and stored once, and products have no shuffle."""
+    from tonequarry.operators import similarity as S
+
+    monkeypatch.setattr(S, "STORED_ROWS", 16)
+    made = []
+    monkeypatch.setattr(S, "written", lambda df, what, f=S.written: (made.append((df, f(df, what))), made[-1][1])[1])
+    rng = np.random.default_rng(34)
+    x = unit(np.concatenate([np.repeat(rng.normal(0, 1, (9, 8)), 30, 0) + 0.1 * rng.normal(0, 1, (270, 8)), rng.normal(0, 1, (130, 8)), np.repeat(rng.normal(0, 1, (1, 8)), 100, 0)]))
+    pts = frame(spark, x).repartition(3)
+    pairs = S.PivotIndex(pts, 0.4, 500, 8).pairs() if index else S.block_pairs(pts, 0.4, 500, 8)
+    ((before, stored),) = made
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(pairs).count("Exchange") == 0 and plan(before).count("Exchange") == 1 + plan(pts).count("Exchange")
+    assert stored.count() > 25 and stored.agg(F.sum(F.length("song_id") / 8)).first()[0] == 500
+    assert same_pairs(pairs, brute_pairs(x, 0.4))

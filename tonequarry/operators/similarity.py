@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..session import written
-from .blocks import TILE, block_count, block_products, joined
+from .blocks import TILE, block_count, joined
 
 #: Scores at and below the floor display as 0, at and above the strong one as 0.99.
 FLOOR, STRONG, SHOWN = 0.15, 0.45, 0.99
@@ -134,7 +134,7 @@ def _nearest(tracks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def close_pairs(tracks: DataFrame, most: float, rows_per_block: int = 2048, rows: int | None = None) -> DataFrame:
     """(a, b, distance) with a < b and 1 - product at most most: a theta self-join.
 
-    By a pivot index where that multiplies less than products of all blocks; both find the same pairs, and shuffle a row once a block at most.
+    By a pivot index where that multiplies less than products of all blocks; both find the same pairs, and shuffle and store a row once.
     """
     n = tracks.count() if rows is None else rows
     index = PivotIndex(tracks, most, n, rows_per_block)
@@ -142,9 +142,99 @@ def close_pairs(tracks: DataFrame, most: float, rows_per_block: int = 2048, rows
 
 
 def block_pairs(tracks: DataFrame, most: float, n: int, rows_per_block: int = 2048) -> DataFrame:
-    """close_pairs() as products of all blocks with all."""
-    one = tracks.select(F.lit(0).cast("long").alias("grp"), F.col("song_id").alias("node"), "vector", F.lit(float(most)).alias("most"), F.lit(n).cast("long").alias("n"))
-    return block_products(one, rows_per_block).select("a", "b", "distance")
+    """close_pairs() as products of all blocks with all: blocks of one cell."""
+    count = block_count(n, rows_per_block, STORED_ROWS)
+    own = F.pmod(F.xxhash64("song_id"), F.lit(count)).cast("int")
+    return Blocks(np.zeros(1, dtype=int), np.full(1, count - 1), np.eye(1, dtype=bool)).pairs(tracks.select(own.alias("own"), F.lit(0).alias("cell"), "song_id", "vector"), most)
+
+
+#: Rows of a stored block, at most.
+STORED_ROWS = 8192
+
+
+class Blocks:
+    """Rows (own, cell, song_id, vector) dealt to blocks, stored once as one row for each block, and the close pairs among them.
+
+    A cell's rows are in the blocks from begin to end, and open, cell by cell, has the cells whose rows meet, each cell's own among them. The
+    stored table is multiplied with itself, without a shuffle: a task reads files of it, and multiplies two blocks at a time. So disk is two
+    copies of the rows, however many the blocks are; what is read of them grows with the square.
+    """
+
+    def __init__(self, begin: np.ndarray, end: np.ndarray, opened: np.ndarray) -> None:
+        self.begin, self.end, self.open, self.count = begin, end, opened, int(end.max()) + 1
+
+    def stored(self, rows: DataFrame) -> DataFrame:
+        """(own, near, song_id, cell, vector): a block's rows by ascending id, as bytes, and the blocks that it meets."""
+        begin, end, opened, numbers = self.begin, self.end, self.open | self.open.T, np.arange(self.count, dtype=np.int32)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            some = [batch for batch in batches if batch.num_rows]
+            if not some:
+                return
+            at = joined(iter(some), ["own", "cell", "song_id", "vector"])
+            order = np.lexsort((at["song_id"], at["own"]))
+            for of in np.split(order, np.flatnonzero(np.diff(at["own"][order])) + 1):
+                met = opened[np.unique(at["cell"][of])].any(0)
+                near = numbers[((begin[met, None] <= numbers) & (numbers <= end[met, None])).any(0)]
+                held = [pa.array([at[c][of].tobytes()], pa.binary()) for c in ("song_id", "cell", "vector")]
+                yield pa.RecordBatch.from_arrays([pa.array(at["own"][of[:1]], pa.int32()), pa.array([near], pa.list_(pa.int32())), *held], ["own", "near", "song_id", "cell", "vector"])
+
+        return written(rows.repartitionById(self.count, "own").mapInArrow(run, "own int, near array<int>, song_id binary, cell binary, vector binary"), "blocks")
+
+    def pairs(self, rows: DataFrame, most: float, visits: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
+        """(a, b, distance) with a < b and 1 - product at most most. visits tells which cells of higher number a row meets; without it, its own alone."""
+        kind, cells = np.dtype(rows.schema["vector"].dataType.elementType.simpleString().replace("float", "float32")), len(self.begin)
+        blocks = self.stored(rows)
+        one, other = (blocks.select(*(F.col(c).alias(f"{side}_{c}") for c in blocks.columns)) for side in ("one", "other"))
+        # Two blocks meet once, and every block is about as often on either side.
+        i, j = F.col("one_own"), F.col("other_own")
+        meet = F.array_contains("one_near", j) & ((i == j) | ((i < j) == ((i + j) % 2 == 0)))
+        met = one.hint("shuffle_replicate_nl").join(other, meet).drop("one_near", "other_near")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    own, ids, cell, x = zip(*(_block(batch, side, row, kind) for side in ("one", "other")), strict=True)
+                    low, high = sorted((0, 1), key=own.__getitem__)
+                    to = np.zeros((len(ids[low]), cells), dtype=bool)
+                    to[np.arange(len(to)), cell[low]] = True
+                    for s in range(0, len(to) if visits else 0, TILE):
+                        to[s : s + TILE] |= visits(x[low][s : s + TILE], cell[low][s : s + TILE])[1]
+                    yield from _close(ids[low], x[low], cell[low], to, ids[high], x[high], cell[high], own[0] == own[1], most)
+
+        return met.mapInArrow(run, "a bigint, b bigint, distance double")
+
+
+def _block(batch: pa.RecordBatch, side: str, row: int, kind: np.dtype) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    own, *held = (batch.column(batch.schema.get_field_index(f"{side}_{c}"))[row] for c in ("own", "song_id", "cell", "vector"))
+    ids, cell, x = (np.frombuffer(c.as_buffer(), of) for c, of in zip(held, (np.int64, np.int32, kind), strict=True))
+    return own.as_py(), ids, cell, x.reshape(len(ids), -1)
+
+
+def _close(ids: np.ndarray, x: np.ndarray, cell: np.ndarray, to: np.ndarray, others: np.ndarray, y: np.ndarray, cells: np.ndarray, same: bool, most: float) -> Iterator[pa.RecordBatch]:
+    """The close pairs of two blocks, or of one with itself, both by ascending id; to: which cells of the second a row of the first meets."""
+    held, count = [], 0
+    for c in np.unique(cells).tolist():
+        callers, hosts = np.flatnonzero(to[:, c]), np.flatnonzero(cells == c)
+        for s in range(0, len(callers), TILE):
+            p = callers[s : s + TILE]
+            inside = same and bool((cell[p] == c).all())
+            z = x[p].astype(np.float64)
+            for t in range(0, len(hosts), TILE):
+                q = hosts[t : t + TILE]
+                # Two residents of a cell meet twice where the blocks are one.
+                if inside and ids[p[0]] > others[q[-1]]:
+                    continue
+                d = 1.0 - z @ y[q].astype(np.float64).T
+                k, m = np.nonzero(d <= most)
+                d, a, b = d[k, m], ids[p[k]], others[q[m]]
+                keep = (a < b) | ((a > b) & ((cell[p[k]] != c) | (not same)))
+                held.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], d[keep]))
+                count += len(k)
+                if count > 1 << 16:
+                    yield _told(held)
+                    held, count = [], 0
+    yield _told(held)
 
 
 #: Reference points of a pivot index, at most, and rows for each that they are chosen from.
@@ -160,8 +250,8 @@ class PivotIndex:
     a bound leaves open: two vectors' angle is at least that of the one to the cell's point less the
     cell's radius, and with the cell's least and greatest length that bounds their product. The reference points
     are chosen farthest first from a hashed sample, PIVOTS * CHOSEN_FROM rows at most. Neighbouring cells share a
-    block, and a large one is dealt to several; a task takes two blocks and multiplies, by tiles, a cell's residents with its visitors
-    alone. A row is shuffled once for each block that holds a cell it visits or one whose rows visit its own, so at most once for each block.
+    block, and a large one is dealt to several; blocks that hold cells open to each other meet, and of two blocks a cell's residents are multiplied, by
+    tiles, with its visitors alone. Which cells a row visits is computed where it is asked for, so a row is shuffled and stored once, without them.
     Only a row for each pair of cells goes to the driver. copies counts the rows that products of blocks of rows_per_block in each cell take, a measure
     of the work, closed the pairs of cells that no row joins; without reference points, or if most is 1 or more, when no bound helps, copies is infinite.
     """
@@ -182,17 +272,17 @@ class PivotIndex:
         self.radius, self.least, self.greatest, residents = (np.zeros(self.cells) for _ in range(4))
         for r in stats:
             self.radius[r["cell"]], self.least[r["cell"]], self.greatest[r["cell"]], residents[r["cell"]] = r["radius"], r["least"], r["greatest"], r["n"]
-        self.dealt = written(self._visiting(known), "dealt")
+        self.known = known
         visitors, self.open = np.zeros(self.cells), np.eye(self.cells, dtype=bool)
-        for r in self.dealt.select("cell", F.explode("visits").alias("to")).groupBy("cell", "to").count().collect():
-            visitors[r["to"]] += r["count"]
+        for r in self._visiting(known).groupBy("cell", "to").agg(F.sum("n").alias("n")).collect():
+            visitors[r["to"]] += r["n"]
             self.open[r["cell"], r["to"]] = True
         blocks, guests = np.maximum(1, np.ceil(residents / rows_per_block)), np.ceil(visitors / rows_per_block)
         self.closed = self.cells * (self.cells - 1) // 2 - int(np.triu(self.open, 1).sum())
         self.copies = float((residents * (blocks + guests) + visitors * blocks).sum())
         # Cells in order fill blocks of like size.
         ends = np.cumsum(residents)
-        room = max(1, -(-int(ends[-1]) // block_count(n, rows_per_block)))
+        room = max(1, -(-int(ends[-1]) // block_count(n, rows_per_block, STORED_ROWS)))
         self.begin, self.end = ((ends - residents) // room).astype(int), (np.maximum(ends - 1, ends - residents) // room).astype(int)
 
     def _assigned(self, known: DataFrame) -> DataFrame:
@@ -220,77 +310,38 @@ class PivotIndex:
         return visits
 
     def _visiting(self, known: DataFrame) -> DataFrame:
-        visits = self._bound()
+        """(cell, to, n): how many rows of a cell visit another, as each task counts them."""
+        visits, cells = self._bound(), self.cells
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros((cells, cells), dtype=np.int64)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                cell, to = visits(np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1))
-                at = np.concatenate(([0], np.cumsum(to.sum(1)))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.nonzero(to)[1], pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), lists], ["song_id", "vector", "cell", "visits"])
+                if batch.num_rows:
+                    cell, to = visits(np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1))
+                    for c in np.unique(cell):
+                        n[c] += to[cell == c].sum(0)
+            cell, to = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(to, pa.int32()), pa.array(n[cell, to])], ["cell", "to", "n"])
 
-        return known.mapInArrow(run, f"song_id bigint, vector {known.schema['vector'].dataType.simpleString()}, cell int, visits array<int>")
+        return known.select("vector").mapInArrow(run, "cell int, to int, n bigint")
 
     def sent(self) -> DataFrame:
-        """(i, j, own, cell, song_id, vector): each row for each two blocks, i up to j, that need it; own is its block."""
-        begin, end, opened = self.begin, self.end, self.open
-        numbers = np.arange(int(end.max()) + 1)
-        # cell by block: where the cell resides, and where rows that visit it do.
-        there = (begin[:, None] <= numbers) & (numbers <= end[:, None])
-        calling = opened.T.astype(np.float32) @ there.astype(np.float32) > 0
+        """(own, cell, song_id, vector): each row once, by its block."""
+        begin, end, pivots = self.begin, self.end, self.pivots
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cell, hashed, lists = np.asarray(batch.column(2)), np.asarray(batch.column(3)), batch.column(4)
-                own = begin[cell] + hashed % (end[cell] - begin[cell] + 1)
-                to = there[cell] | (calling[cell] & (numbers <= own[:, None]))
-                row = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))
-                at = np.asarray(lists.flatten())
-                for portion in range(0, len(at), 1 << 16):
-                    np.logical_or.at(to, row[portion : portion + (1 << 16)], there[at[portion : portion + (1 << 16)]])
-                of, other = np.nonzero(to)
-                low, high = np.minimum(own[of], other), np.maximum(own[of], other)
-                rows = pa.array(of)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in (low, high, own[of])), *(batch.column(c).take(rows) for c in (2, 0, 1))], ["i", "j", "own", "cell", "song_id", "vector"])
-
-        rows = self.dealt.select("song_id", "vector", "cell", F.pmod(F.xxhash64("song_id"), F.lit(1 << 30)).alias("hashed"), "visits")
-        return rows.mapInArrow(run, f"i int, j int, own int, cell int, song_id bigint, vector {self.dealt.schema['vector'].dataType.simpleString()}")
+                if batch.num_rows:
+                    angles, _ = _angles(np.asarray(batch.column(2).flatten(), dtype=np.float64).reshape(batch.num_rows, -1), pivots)
+                    cell = angles.argmin(1)
+                    own = begin[cell] + np.asarray(batch.column(0)) % (end[cell] - begin[cell] + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(cell, pa.int32()), batch.column(1), batch.column(2)], ["own", "cell", "song_id", "vector"])
 
-    def pairs(self) -> DataFrame:
-        most, visits, cells = self.most, self._bound(), self.cells
+        rows = self.known.select(F.pmod(F.xxhash64("song_id"), F.lit(1 << 30)).alias("hashed"), "song_id", "vector")
+        return rows.mapInArrow(run, f"own int, cell int, song_id bigint, vector {self.known.schema['vector'].dataType.simpleString()}")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at = joined(batches, ["i", "j", "own", "cell", "song_id", "vector"])
-            order = np.argsort(at["song_id"])
-            ids, x, cell, own = (at[c][order] for c in ("song_id", "vector", "cell", "own"))
-            left, right = np.flatnonzero(own == at["i"][0]), np.flatnonzero(own == at["j"][0])
-            same = at["i"][0] == at["j"][0]
-            to = np.zeros((len(left), cells), dtype=bool)
-            for s in range(0, len(left), TILE):
-                p = left[s : s + TILE]
-                to[s : s + TILE] = visits(x[p], cell[p])[1]
-                to[np.arange(s, s + len(p)), cell[p]] = True
-            held, count = [], 0
-            for c in np.unique(cell[right]).tolist():
-                callers, hosts = left[to[:, c]], right[cell[right] == c]
-                for s in range(0, len(callers), TILE):
-                    for t in range(0, len(hosts), TILE):
-                        p, q = callers[s : s + TILE], hosts[t : t + TILE]
-                        d = 1.0 - x[p].astype(np.float64) @ x[q].astype(np.float64).T
-                        k, m = np.nonzero(d <= most)
-                        d, p, q = d[k, m], p[k], q[m]
-                        # Two residents of a cell meet twice where the blocks are one.
-                        keep = (ids[p] < ids[q]) | ((ids[p] > ids[q]) & ((cell[p] != c) | (not same)))
-                        held.append((np.minimum(ids[p], ids[q])[keep], np.maximum(ids[p], ids[q])[keep], d[keep]))
-                        count += len(k)
-                        if count > 1 << 16:
-                            yield _told(held)
-                            held, count = [], 0
-            yield _told(held)
-
-        return self.sent().groupBy("i", "j").applyInArrow(run, "a bigint, b bigint, distance double")
+    def pairs(self) -> DataFrame:
+        return Blocks(self.begin, self.end, self.open).pairs(self.sent(), self.most, self._bound())
 
 
 def _told(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
