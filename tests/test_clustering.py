@@ -416,3 +416,19 @@ def test_pairs_store_a_row_once(spark, monkeypatch, index):
     assert plan(pairs).count("Exchange") == 0 and plan(before).count("Exchange") == 1 + plan(pts).count("Exchange")
     assert stored.count() > 25 and stored.agg(F.sum(F.length("song_id") / 8)).first()[0] == 500
     assert same_pairs(pairs, brute_pairs(x, 0.4))
+
+
+def test_products_in_32_bits_lose_no_pair():
+    """Thresholds right at a pair's distance, lengths of any size: the pairs and distances that doubles give."""
+    from tonequarry.operators.similarity import _within
+
+    rng = np.random.default_rng(35)
+    for scale in (1.0, 1e-4, 1e6, 1e16):
+        x, y = ((rng.normal(0, scale, (n, 300)) * rng.uniform(0, 1, (n, 1))).astype(np.float32) for n in (150, 200))
+        y[7] = 0
+        z = x.astype(np.float64)
+        d = 1.0 - z @ y.astype(np.float64).T
+        for most in (*np.sort(d.ravel())[:400:7], 0.0, 1.0, np.median(d)):
+            most = float(most) + 1e-12 * scale**2
+            k, m, found = _within(x, z, y, most)
+            assert set(zip(k.tolist(), m.tolist())) == set(zip(*(c.tolist() for c in np.nonzero(d <= most)))) and np.allclose(found, d[k, m], atol=1e-9 * max(1.0, scale**2))

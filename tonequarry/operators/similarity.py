@@ -225,9 +225,8 @@ def _close(ids: np.ndarray, x: np.ndarray, cell: np.ndarray, to: np.ndarray, oth
                 # Two residents of a cell meet twice where the blocks are one.
                 if inside and ids[p[0]] > others[q[-1]]:
                     continue
-                d = 1.0 - z @ y[q].astype(np.float64).T
-                k, m = np.nonzero(d <= most)
-                d, a, b = d[k, m], ids[p[k]], others[q[m]]
+                k, m, d = _within(x[p], z, y[q], most)
+                a, b = ids[p[k]], others[q[m]]
                 keep = (a < b) | ((a > b) & ((cell[p[k]] != c) | (not same)))
                 held.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], d[keep]))
                 count += len(k)
@@ -344,6 +343,27 @@ class PivotIndex:
         return Blocks(self.begin, self.end, self.open).pairs(self.sent(), self.most, self._bound())
 
 
+def _within(x: np.ndarray, z: np.ndarray, y: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs within most, and their distances in doubles; z: x in doubles.
+
+    Of 32-bit vectors a product in 32 bits finds them first, with what its rounding may take from it: for sums in any order, terms * 2**-24 of both lengths.
+    """
+    if x.dtype == np.float32:
+        lengths = float(np.linalg.norm(z, axis=1).max()) * float(np.linalg.norm(y.astype(np.float64), axis=1).max())
+        if lengths < 1e30:
+            near = x @ y.T >= np.float32(1.0 - most - 2.0**-22 * (x.shape[1] + 8) * (lengths + 1.0 + abs(most)))
+            if np.count_nonzero(near) << 6 <= near.size:
+                k, m = np.nonzero(near)
+                d = np.empty(len(k))
+                for s in range(0, len(k), TILE):
+                    d[s : s + TILE] = 1.0 - np.einsum("ij,ij->i", z[k[s : s + TILE]], y[m[s : s + TILE]].astype(np.float64))
+                close = d <= most
+                return k[close], m[close], d[close]
+    d = 1.0 - z @ y.astype(np.float64).T
+    k, m = np.nonzero(d <= most)
+    return k, m, d[k, m]
+
+
 def _told(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     a, b, d = (np.concatenate(c) for c in zip(none, *held, strict=True))
